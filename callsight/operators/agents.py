@@ -20,6 +20,12 @@ def _r6(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
+def _np_round(c: Column, digits: int) -> Column:
+    """numpy/pandas rounding: scale, round half to even on the binary value, unscale."""
+    scale = float(10**digits)
+    return F.rint(c * scale) / scale
+
+
 def total_calls(turns: DataFrame) -> DataFrame:
     return turns.agg(F.countDistinct("call_id").cast("bigint").alias("total_calls"))
 
@@ -118,11 +124,11 @@ def agent_dashboard(turns: DataFrame, low_threshold: float = 0.5, rounded: bool
         "total_messages",
         "agent_messages",
         "customer_messages",
-        F.bround("avg_message_length", 1).alias("avg_message_length"),
-        F.bround("avg_sentiment", 2).alias("avg_sentiment"),
+        _np_round(F.col("avg_message_length"), 1).alias("avg_message_length"),
+        _np_round(F.col("avg_sentiment"), 2).alias("avg_sentiment"),
         "low_sentiment_calls",
-        F.bround("avg_turns", 1).alias("avg_turns"),
-        F.bround(F.col("avg_response_ratio") * 100, 1).alias("avg_response_ratio"),
+        _np_round(F.col("avg_turns"), 1).alias("avg_turns"),
+        _np_round(F.col("avg_response_ratio") * 100, 1).alias("avg_response_ratio"),
     )
 
 

@@ -71,3 +71,411 @@ def theme_lexicon(spark: SparkSession) -> DataFrame:
         for t in themes:
             rows.append((len(rows), p_ord, pillar, t))
     return spark.createDataFrame(rows, "theme_ord INT, pillar_ord INT, pillar STRING, theme STRING")
+
+
+# ---------------------------------------------------------------------------
+# Roll-ups over flat theme rows
+# ---------------------------------------------------------------------------
+
+from pyspark.sql import Column, Window  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from callsight.operators.ordinal import with_global_ordinal  # noqa: E402
+
+# Fixed values that must equal the reference: priority weights, segment
+# bounds and labels, page size, fallback pillar and "none" texts.
+PRIORITY_WEIGHTS = {"high": 3, "medium": 2}
+OTHER_PRIORITY_WEIGHT = 1
+SEGMENT_PRIORITY = "Priority Coaching"
+SEGMENT_MODERATE = "Moderate Development"
+SEGMENT_HIGH_PERFORMER = "High Performer"
+AGENTS_PER_PAGE = 20
+FALLBACK_PILLAR = "Connection"
+NO_THEME = "N/A"
+
+
+def _r6(c: Column) -> Column:
+    return F.round(c.cast("double"), 6)
+
+
+def agents_of(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """All agents of the insights (agents with an empty theme list only exist in ``agents``)."""
+    base = theme_rows.select("agent").distinct()
+    if agents is None:
+        return base
+    return agents.select("agent").unionByName(base).distinct()
+
+
+def _weight(priority: Column) -> Column:
+    out = F.lit(OTHER_PRIORITY_WEIGHT)
+    for p, w in reversed(list(PRIORITY_WEIGHTS.items())):
+        out = F.when(priority == p, F.lit(w)).otherwise(out)
+    return out
+
+
+def pillar_match(theme: Column, pillar_ord: int, case_insensitive: bool) -> Column:
+    """True if any lexicon theme of the pillar is a substring of ``theme`` (array literal, codegen'd)."""
+    themes = PILLAR_THEMES[pillar_ord][1]
+    if case_insensitive:
+        lex = F.array(*[F.lit(t.lower()) for t in themes])
+        return F.exists(lex, lambda t: F.lower(theme).contains(t))
+    lex = F.array(*[F.lit(t) for t in themes])
+    return F.exists(lex, lambda t: theme.contains(t))
+
+
+def first_pillar_ord(theme: Column) -> Column:
+    """Ordinal of the first pillar whose lexicon (case-sensitive) hits the theme, else null."""
+    out = F.lit(None).cast("int")
+    for i in reversed(range(len(PILLARS))):
+        out = F.when(pillar_match(theme, i, False), F.lit(i)).otherwise(out)
+    return out
+
+
+def _pillar_names() -> Column:
+    return F.array(*[F.lit(p) for p in PILLARS])
+
+
+def theme_counts(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """Rows per theme and pct = rows / total agents × 100."""
+    n_agents = agents_of(theme_rows, agents).agg(F.count(F.lit(1)).alias("n_agents"))
+    counts = theme_rows.groupBy("theme").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return counts.crossJoin(n_agents).select(  # one-row total
+        "theme", "n", _r6(F.col("n") * 100.0 / F.col("n_agents")).alias("pct")
+    )
+
+
+def priority_dist(theme_rows: DataFrame) -> DataFrame:
+    """One row: theme rows per priority (high, medium, low), zeros kept."""
+    p = F.col("priority")
+    return theme_rows.agg(
+        *[F.sum(F.when(p == v, 1).otherwise(0)).cast("bigint").alias(v) for v in ("high", "medium", "low")]
+    )
+
+
+def top_themes(theme_rows: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` most frequent themes (ties by theme), with rank 1..k."""
+    counts = theme_rows.groupBy("theme").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    top = counts.orderBy(F.desc("n"), F.asc("theme")).limit(k)  # top-k is the feature
+    return top.select("theme", "n", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("theme"))).cast("int").alias("rank"))
+
+
+def theme_bars(theme_rows: DataFrame, k: int = 8) -> DataFrame:
+    """Top ``k`` themes with their bar length = n / max n × 100."""
+    t = top_themes(theme_rows, k)
+    return t.select("theme", "n", "rank", _r6(F.col("n") * 100.0 / F.max("n").over(Window.partitionBy())).alias("pct"))
+
+
+def pillar_demand(theme_rows: DataFrame) -> DataFrame:
+    """Per pillar: theme rows matching it case-insensitively (a row may count for several pillars)."""
+    th = F.col("theme")
+    wide = theme_rows.agg(
+        *[F.sum(F.when(pillar_match(th, i, True), 1).otherwise(0)).cast("bigint").alias(f"p{i}") for i in range(len(PILLARS))]
+    )
+    long = wide.select(
+        F.inline(
+            F.array(*[F.struct(F.lit(i).alias("pillar_ord"), F.lit(p).alias("pillar"), F.col(f"p{i}").alias("n")) for i, p in enumerate(PILLARS)])
+        )
+    )
+    return long.where(F.col("n") > 0)
+
+
+def top_pillar(theme_rows: DataFrame) -> DataFrame:
+    """One row: the pillar with the largest demand (ties by pillar order), else the fallback with 0."""
+    d = pillar_demand(theme_rows)
+    best = d.orderBy(F.desc("n"), F.asc("pillar_ord")).limit(1)
+    fallback = d.sparkSession.createDataFrame([(99, FALLBACK_PILLAR, 0)], "pillar_ord INT, pillar STRING, n BIGINT")
+    both = best.unionByName(fallback)
+    return both.orderBy(F.asc("pillar_ord")).limit(1).select(F.col("pillar").alias("top_pillar"), F.col("n").alias("top_pillar_n"))
+
+
+def pillar_scores_wide(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """Per agent: weighted score per pillar (first case-sensitive pillar only), zero-filled."""
+    po = first_pillar_ord(F.col("theme"))
+    w = _weight(F.col("priority"))
+    scored = theme_rows.select("agent", po.alias("po"), w.alias("w"))
+    wide = scored.groupBy("agent").agg(
+        *[F.sum(F.when(F.col("po") == i, F.col("w")).otherwise(0)).cast("bigint").alias(f"s{i}") for i in range(len(PILLARS))]
+    )
+    if agents is None:
+        return wide
+    return agents_of(theme_rows, agents).join(wide, "agent", "left").fillna(0, [f"s{i}" for i in range(len(PILLARS))])
+
+
+def pillar_scores(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """Long form: (agent, pillar_ord, pillar, score) for every agent and all five pillars."""
+    wide = pillar_scores_wide(theme_rows, agents)
+    return wide.select(
+        "agent",
+        F.inline(
+            F.array(*[F.struct(F.lit(i).alias("pillar_ord"), F.lit(p).alias("pillar"), F.col(f"s{i}").alias("score")) for i, p in enumerate(PILLARS)])
+        ),
+    )
+
+
+def pillar_agent_counts(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """Per pillar: agents with a score above zero."""
+    wide = pillar_scores_wide(theme_rows, agents)
+    one = wide.agg(*[F.sum(F.when(F.col(f"s{i}") > 0, 1).otherwise(0)).cast("bigint").alias(f"c{i}") for i in range(len(PILLARS))])
+    return one.select(
+        F.inline(
+            F.array(*[F.struct(F.lit(i).alias("pillar_ord"), F.lit(p).alias("pillar"), F.col(f"c{i}").alias("n_agents")) for i, p in enumerate(PILLARS)])
+        )
+    )
+
+
+def pillar_top_agents(theme_rows: DataFrame, k: int = 5, agents: DataFrame | None = None) -> DataFrame:
+    """Per pillar the top ``k`` agents by score (ties by agent), then zero scores dropped.
+
+    Adds ``pct`` = score / best kept score × 100. The ranking window keeps at
+    most k rows per pillar per task before the shuffle.
+    """
+    s = pillar_scores(theme_rows, agents)
+    w = Window.partitionBy("pillar_ord").orderBy(F.desc("score"), F.asc("agent"))
+    top = s.select("pillar_ord", "pillar", "agent", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    kept = top.where(F.col("score") > 0)
+    return kept.select(
+        "pillar_ord",
+        "pillar",
+        "agent",
+        "score",
+        F.col("rank").cast("int").alias("rank"),
+        _r6(F.col("score") * 100.0 / F.max("score").over(Window.partitionBy("pillar_ord"))).alias("pct"),
+    )
+
+
+def pillar_cards(theme_rows: DataFrame, k: int = 5, agents: DataFrame | None = None) -> DataFrame:
+    """Cards for the top agents per pillar: first two relevant themes joined by ', ' plus ' +n'.
+
+    A theme is relevant to every pillar whose lexicon (case-sensitive) hits it.
+    """
+    top = pillar_top_agents(theme_rows, k, agents)  # ≤ k × 5 rows
+    hits = theme_rows.select(
+        "agent",
+        "theme_pos",
+        "theme",
+        F.explode(
+            F.filter(
+                F.array(*[F.when(pillar_match(F.col("theme"), i, False), F.lit(i)) for i in range(len(PILLARS))]),
+                lambda x: x.isNotNull(),
+            )
+        ).alias("pillar_ord"),
+    )
+    rel = hits.join(F.broadcast(top.select("pillar_ord", "agent")), ["pillar_ord", "agent"], "left_semi")  # ≤ 25 keys
+    w = Window.partitionBy("pillar_ord", "agent").orderBy("theme_pos")
+    ranked = rel.select("pillar_ord", "agent", "theme_pos", "theme", F.row_number().over(w).alias("rn"))
+    agg = ranked.groupBy("pillar_ord", "agent").agg(
+        F.array_sort(F.collect_list(F.when(F.col("rn") <= 2, F.struct("theme_pos", "theme")))).alias("first2"),
+        F.count(F.lit(1)).alias("n_rel"),
+    )
+    text = F.concat(
+        F.array_join(F.transform("first2", lambda x: x["theme"]), ", "),
+        F.when(F.col("n_rel") > 2, F.concat(F.lit(" +"), (F.col("n_rel") - 2).cast("string"))).otherwise(F.lit("")),
+    )
+    out = top.join(agg.select("pillar_ord", "agent", text.alias("themes_text")), ["pillar_ord", "agent"], "left")
+    return out.select("pillar", "agent", "rank", "score", "pct", F.coalesce("themes_text", F.lit("")).alias("themes_text"))
+
+
+def agent_theme_counts(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """Per agent: number of themes and of high / medium ones (0 for agents without themes)."""
+    c = theme_rows.groupBy("agent").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_themes"),
+        F.sum(F.when(F.col("priority") == "high", 1).otherwise(0)).cast("bigint").alias("n_high"),
+        F.sum(F.when(F.col("priority") == "medium", 1).otherwise(0)).cast("bigint").alias("n_medium"),
+    )
+    if agents is None:
+        return c
+    return agents_of(theme_rows, agents).join(c, "agent", "left").fillna(0, ["n_themes", "n_high", "n_medium"])
+
+
+def _segment(n: Column) -> Column:
+    return F.when(n >= 4, F.lit(SEGMENT_PRIORITY)).when(n >= 2, F.lit(SEGMENT_MODERATE)).otherwise(F.lit(SEGMENT_HIGH_PERFORMER))
+
+
+def agent_segments(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """Agents per segment (≥4 themes, 2-3, 0-1); all three segments present."""
+    c = agent_theme_counts(theme_rows, agents)
+    one = c.agg(
+        *[
+            F.sum(F.when(_segment(F.col("n_themes")) == lbl, 1).otherwise(0)).cast("bigint").alias(f"g{i}")
+            for i, lbl in enumerate((SEGMENT_HIGH_PERFORMER, SEGMENT_MODERATE, SEGMENT_PRIORITY))
+        ]
+    )
+    return one.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(lbl).alias("segment"), F.col(f"g{i}").alias("n_agents"))
+                    for i, lbl in enumerate((SEGMENT_HIGH_PERFORMER, SEGMENT_MODERATE, SEGMENT_PRIORITY))
+                ]
+            )
+        )
+    )
+
+
+def agent_ranking(theme_rows: DataFrame, agents: DataFrame | None = None, per_page: int = AGENTS_PER_PAGE) -> DataFrame:
+    """Agents by (high, medium) desc, ties by agent; global rank, page and page count.
+
+    The rank is a distributed ordinal (no single-task window over all agents).
+    """
+    c = agent_theme_counts(theme_rows, agents)
+    ranked = with_global_ordinal(c, [F.desc("n_high"), F.desc("n_medium"), F.asc("agent")], "rank")
+    total = c.agg(F.count(F.lit(1)).alias("_n"))
+    return ranked.crossJoin(total).select(  # one-row total
+        "agent",
+        "n_high",
+        "n_medium",
+        "rank",
+        (F.floor((F.col("rank") - 1) / per_page) + 1).cast("bigint").alias("page"),
+        F.ceil(F.col("_n") / per_page).cast("bigint").alias("total_pages"),
+    )
+
+
+def first_theme(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """Per agent: the first theme in list order and its priority ('N/A'/'low' if none)."""
+    f = theme_rows.groupBy("agent").agg(F.min_by(F.struct("theme", "priority"), F.col("theme_pos")).alias("f"))
+    base = agents_of(theme_rows, agents)
+    return base.join(f, "agent", "left").select(
+        "agent",
+        F.coalesce(F.col("f.theme"), F.lit(NO_THEME)).alias("top_theme"),
+        F.coalesce(F.col("f.priority"), F.lit("low")).alias("top_priority"),
+    )
+
+
+def agent_summary_rows(theme_rows: DataFrame, agents: DataFrame | None = None, per_page: int = AGENTS_PER_PAGE) -> DataFrame:
+    """Ranking rows with calls, first theme, priority, page and the agent's initial."""
+    r = agent_ranking(theme_rows, agents, per_page)
+    f = first_theme(theme_rows, agents)
+    calls = (
+        agents.select("agent", F.col("calls_analyzed").cast("bigint").alias("calls"))
+        if agents is not None and "calls_analyzed" in agents.columns
+        else theme_rows.select("agent").distinct().select("agent", F.lit(0).cast("bigint").alias("calls"))
+    )
+    return (
+        r.join(f, "agent")
+        .join(calls, "agent", "left")
+        .select(
+            "agent",
+            "rank",
+            "page",
+            F.coalesce("calls", F.lit(0).cast("bigint")).alias("calls"),
+            "top_theme",
+            "top_priority",
+            F.upper(F.substring("agent", 1, 1)).alias("initial"),
+        )
+    )
+
+
+def _prio_rank(p: Column) -> Column:
+    return F.when(p == "high", 1).when(p == "medium", 2).otherwise(3)
+
+
+def agent_needs(theme_rows: DataFrame, k: int = 3) -> DataFrame:
+    """Per agent up to ``k`` themes ordered high, medium, other, then list order."""
+    w = Window.partitionBy("agent").orderBy(_prio_rank(F.col("priority")), F.col("theme_pos"))
+    return (
+        theme_rows.select("agent", "theme_pos", "theme", "priority", "recommendation", F.row_number().over(w).alias("need_rank"))
+        .where(F.col("need_rank") <= k)
+        .withColumn("need_rank", F.col("need_rank").cast("int"))
+    )
+
+
+def _first_agents(theme_rows: DataFrame, n: int, agents: DataFrame | None) -> DataFrame:
+    """The first ``n`` agents in agent order (a top-n report)."""
+    return agents_of(theme_rows, agents).orderBy("agent").limit(n)
+
+
+def profile_themes(theme_rows: DataFrame, n_agents: int = 10, n_themes: int = 3, rec_chars: int = 120) -> DataFrame:
+    """First ``n_agents`` agents × their first ``n_themes`` themes; upper priority; recommendation cut."""
+    first = _first_agents(theme_rows, n_agents, None)
+    rows = theme_rows.join(first, "agent", "left_semi").where(F.col("theme_pos") < n_themes)
+    return rows.select(
+        "agent",
+        "theme_pos",
+        "theme",
+        F.upper("priority").alias("priority_label"),
+        F.substring("recommendation", 1, rec_chars).alias("recommendation"),
+    )
+
+
+def context_block(theme_rows: DataFrame, n_agents: int = 20, n_themes: int = 2, rec_chars: int = 100) -> DataFrame:
+    """Per first-``n_agents`` agent: a text block with its theme count and first ``n_themes`` themes."""
+    first = _first_agents(theme_rows, n_agents, None)
+    rows = theme_rows.join(first, "agent", "left_semi")
+    g = rows.groupBy("agent").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_themes"),
+        F.array_sort(
+            F.collect_list(F.when(F.col("theme_pos") < n_themes, F.struct("theme_pos", "theme", "priority", "recommendation")))
+        ).alias("firsts"),
+    )
+    line = lambda x: F.concat(
+        F.lit("  - "), x["theme"], F.lit(" ("), x["priority"], F.lit("): "), F.substring(x["recommendation"], 1, rec_chars), F.lit("...\n")
+    )
+    text = F.concat(
+        F.lit("\n"), F.col("agent"), F.lit(": "), F.col("n_themes").cast("string"), F.lit(" themes\n"),
+        F.array_join(F.transform("firsts", line), ""),
+    )
+    return g.select("agent", "n_themes", text.alias("block"))
+
+
+def theme_card_text(theme_rows: DataFrame) -> DataFrame:
+    """Per theme row: first two examples joined by ' | ', frequency and priority."""
+    return theme_rows.select(
+        "agent",
+        "theme_pos",
+        "theme",
+        "priority",
+        "frequency",
+        F.array_join(F.slice(F.coalesce("examples", F.array().cast("array<string>")), 1, 2), " | ").alias("examples_text"),
+    )
+
+
+def report_header(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """One row: distinct calls, agents in the insights, total themes, mean sentiment (turn-weighted)."""
+    s = F.col("sentiment_score")
+    t = turns.agg(
+        F.countDistinct("call_id").cast("bigint").alias("total_calls"),
+        _r6(F.avg(F.when(~F.isnan(s), s))).alias("avg_sentiment"),
+    )
+    a = agents_of(theme_rows, agents).agg(F.count(F.lit(1)).cast("bigint").alias("total_agents"))
+    th = theme_rows.agg(F.count(F.lit(1)).cast("bigint").alias("total_themes"))
+    return t.crossJoin(a).crossJoin(th).select(  # one-row tables
+        "total_calls",
+        "total_agents",
+        "total_themes",
+        "avg_sentiment",
+        F.when(F.col("avg_sentiment") > 0, F.format_string("%.2f", F.col("avg_sentiment"))).otherwise(F.lit(NO_THEME)).alias(
+            "avg_sentiment_text"
+        ),
+    )
+
+
+def exec_summary(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """One row: header numbers, priority split, top 3 themes, top pillar, segment counts."""
+    h = report_header(turns, theme_rows, agents).select("total_calls", "total_agents", "avg_sentiment")
+    p = priority_dist(theme_rows)
+    top3 = top_themes(theme_rows, 3).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "theme", "n"))).alias("t")  # ≤ 3 rows
+    ).select(F.transform("t", lambda x: F.struct(x["theme"].alias("theme"), x["n"].alias("n"))).alias("top_themes"))
+    tp = top_pillar(theme_rows)
+    seg = agent_theme_counts(theme_rows, agents).agg(
+        F.sum(F.when(F.col("n_themes") >= 4, 1).otherwise(0)).cast("bigint").alias("priority_coaching"),
+        F.sum(F.when((F.col("n_themes") >= 2) & (F.col("n_themes") < 4), 1).otherwise(0)).cast("bigint").alias("moderate"),
+    )
+    out = h.crossJoin(p).crossJoin(top3).crossJoin(tp).crossJoin(seg)  # all one-row
+    return out.select(
+        "total_calls",
+        "total_agents",
+        "avg_sentiment",
+        F.col("high").alias("high_themes"),
+        F.col("medium").alias("medium_themes"),
+        F.col("low").alias("low_themes"),
+        F.array_join(F.transform("top_themes", lambda x: F.concat(x["theme"], F.lit(" ("), x["n"].cast("string"), F.lit(" agents)"))), ", ").alias(
+            "top_themes_text"
+        ),
+        F.coalesce(F.col("top_themes")[0]["theme"], F.lit("")).alias("focus_theme"),
+        "top_pillar",
+        "top_pillar_n",
+        (F.col("total_agents") - F.col("priority_coaching") - F.col("moderate")).alias("high_performers"),
+        "moderate",
+        "priority_coaching",
+    )

@@ -55,3 +55,149 @@ register(
     "parse_turns",
     TC + "SELECT call_id, agent, turn_idx, timestamp, speaker, message, sentiment_score FROM turns",
 )(turns)
+
+TCC = O.with_ctes(O.TURNS_SRC, O.CALLS, O.TURNS)
+
+register(
+    "detect_format",
+    TCC + """SELECT call_id, agent,
+      CASE WHEN transcript IS NULL THEN NULL WHEN instr(transcript, '|') > 0 THEN 'pipe' ELSE 'bracket' END AS format
+    FROM calls""",
+)(lambda spark, sf: P.call_formats(calls(spark, sf)))
+
+register(
+    "parse_summary",
+    TCC + """SELECT c.call_id, c.agent,
+      CASE WHEN instr(c.transcript, '|') > 0 THEN 'pipe' ELSE 'bracket' END AS format,
+      cast(coalesce(t.n, 0) AS bigint) AS n_turns
+    FROM calls c LEFT JOIN (SELECT call_id, count(*) AS n FROM turns GROUP BY call_id) t ON t.call_id = c.call_id""",
+)(lambda spark, sf: P.parse_summary(calls(spark, sf)))
+
+register(
+    "speaker_counts",
+    TC + "SELECT speaker, cast(count(*) AS bigint) AS n_turns FROM turns GROUP BY speaker",
+)(lambda spark, sf: A.speaker_counts(turns(spark, sf)))
+
+# -- per-agent statistics ----------------------------------------------------
+
+AGENT_STATS_SQL = """SELECT agent,
+    cast(count(DISTINCT call_id) AS bigint) AS total_calls,
+    cast(count(*) AS bigint) AS total_messages,
+    cast(sum(CASE WHEN speaker = 'agent' THEN 1 ELSE 0 END) AS bigint) AS agent_messages,
+    cast(sum(CASE WHEN speaker = 'customer' THEN 1 ELSE 0 END) AS bigint) AS customer_messages,
+    round(avg(length(message)), 6) AS avg_message_length
+  FROM turns GROUP BY agent"""
+SENTIMENT_STATS_SQL = """SELECT agent,
+    round(avg(sentiment_score), 6) AS avg_sentiment,
+    min(sentiment_score) AS min_sentiment,
+    max(sentiment_score) AS max_sentiment,
+    cast(count(CASE WHEN sentiment_score < 0.5 THEN 1 END) AS bigint) AS low_sentiment_calls
+  FROM (SELECT DISTINCT call_id, agent, sentiment_score FROM turns WHERE sentiment_score IS NOT NULL)
+  GROUP BY agent"""
+FLOW_STATS_SQL = """SELECT agent,
+    round(avg(turns_per_call), 6) AS avg_turns,
+    round(avg(agent_response_ratio), 6) AS avg_response_ratio
+  FROM (SELECT call_id, agent, count(*) AS turns_per_call,
+          cast(sum(CASE WHEN speaker = 'agent' THEN 1 ELSE 0 END) AS double) / count(*) AS agent_response_ratio
+        FROM turns GROUP BY call_id, agent)
+  GROUP BY agent"""
+
+register("agent_stats", TC + AGENT_STATS_SQL)(lambda spark, sf: A.agent_stats(turns(spark, sf)))
+register("sentiment_stats", TC + SENTIMENT_STATS_SQL)(lambda spark, sf: A.sentiment_stats(turns(spark, sf)))
+register("flow_stats", TC + FLOW_STATS_SQL)(lambda spark, sf: A.flow_stats(turns(spark, sf)))
+
+register(
+    "volume_counts",
+    TC + """SELECT cast(count(DISTINCT call_id) AS bigint) AS total_calls,
+      cast(count(DISTINCT agent) AS bigint) AS total_agents, cast(count(*) AS bigint) AS total_turns FROM turns""",
+)(lambda spark, sf: A.volume_counts(turns(spark, sf)))
+
+register(
+    "kpi_row",
+    TC + f"""SELECT cast(count(DISTINCT call_id) AS bigint) AS total_calls,
+      cast(count(DISTINCT agent) AS bigint) AS total_agents,
+      (SELECT round(avg(avg_sentiment), 6) FROM ({SENTIMENT_STATS_SQL})) AS avg_sentiment,
+      cast(count(*) AS bigint) AS total_messages
+    FROM turns""",
+)(lambda spark, sf: A.kpi_row(turns(spark, sf)))
+
+register(
+    "avg_sentiment_turns",
+    TC + "SELECT round(avg(sentiment_score), 6) AS avg_sentiment FROM turns",
+)(lambda spark, sf: A.avg_sentiment_turns(turns(spark, sf)))
+
+register(
+    "call_sentiment",
+    TC + """SELECT agent, call_id, round(avg(sentiment_score), 6) AS avg_sentiment
+    FROM turns GROUP BY agent, call_id HAVING avg(sentiment_score) IS NOT NULL""",
+)(lambda spark, sf: A.call_sentiment(turns(spark, sf)))
+
+AGENT_CALLS_SQL = """SELECT agent, cast(count(DISTINCT call_id) AS bigint) AS n_calls
+  FROM turns WHERE agent IS NOT NULL GROUP BY agent"""
+register("agent_call_counts", TC + AGENT_CALLS_SQL)(lambda spark, sf: A.agent_call_counts(turns(spark, sf)))
+
+register(
+    "agent_dashboard",
+    TC + f"""SELECT a.agent, total_calls, total_messages, agent_messages, customer_messages,
+      round_even(avg_message_length * 10, 0) / 10 AS avg_message_length,
+      round_even(avg_sentiment * 100, 0) / 100 AS avg_sentiment,
+      low_sentiment_calls,
+      round_even(avg_turns * 10, 0) / 10 AS avg_turns,
+      round_even(avg_response_ratio * 100 * 10, 0) / 10 AS avg_response_ratio
+    FROM ({AGENT_STATS_SQL}) a
+    LEFT JOIN ({SENTIMENT_STATS_SQL}) s ON a.agent IS NOT DISTINCT FROM s.agent
+    LEFT JOIN ({FLOW_STATS_SQL}) f ON a.agent IS NOT DISTINCT FROM f.agent""",
+)(lambda spark, sf: A.agent_dashboard(turns(spark, sf)))
+
+# -- selection ---------------------------------------------------------------
+
+from callsight.operators import selection as S  # noqa: E402
+
+MIN_CALLS = 10
+register(
+    "eligible_agents", TC + f"SELECT * FROM ({AGENT_CALLS_SQL}) WHERE n_calls >= {MIN_CALLS}"
+)(lambda spark, sf: S.eligible_agents(turns(spark, sf), MIN_CALLS))
+register(
+    "excluded_agents", TC + f"SELECT * FROM ({AGENT_CALLS_SQL}) WHERE n_calls < {MIN_CALLS}"
+)(lambda spark, sf: S.excluded_agents(turns(spark, sf), MIN_CALLS))
+register(
+    "eligibility_summary",
+    TC + f"""SELECT cast(sum(CASE WHEN n_calls >= {MIN_CALLS} THEN 1 ELSE 0 END) AS bigint) AS eligible_agents,
+      cast(sum(CASE WHEN n_calls < {MIN_CALLS} THEN 1 ELSE 0 END) AS bigint) AS excluded_agents
+    FROM ({AGENT_CALLS_SQL})""",
+)(lambda spark, sf: S.eligibility_summary(turns(spark, sf), MIN_CALLS))
+
+PREV_AGENTS_SQL = "SELECT DISTINCT agent FROM turns WHERE agent IS NOT NULL AND cast(right(agent, 1) AS int) % 2 = 0"
+register(
+    "new_agents",
+    TC + f"""SELECT e.* FROM ({AGENT_CALLS_SQL}) e WHERE n_calls >= {MIN_CALLS}
+      AND agent NOT IN ({PREV_AGENTS_SQL})""",
+)(lambda spark, sf: S.new_agents(turns(spark, sf), X.previous_session_agents(turns(spark, sf)), MIN_CALLS))
+
+WORST_CALLS_SQL = """SELECT agent, call_id, round(avg_sentiment, 6) AS avg_sentiment, cast(call_rank AS int) AS call_rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY agent ORDER BY avg_sentiment ASC NULLS LAST, call_id) AS call_rank,
+      max(CASE WHEN avg_sentiment IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY agent) AS any_scored
+    FROM (SELECT agent, call_id, avg(sentiment_score) AS avg_sentiment FROM turns WHERE agent IS NOT NULL
+          GROUP BY agent, call_id))
+  WHERE call_rank <= 5 AND (avg_sentiment IS NOT NULL OR any_scored = 0)"""
+register("worst_calls", TC + WORST_CALLS_SQL)(lambda spark, sf: S.worst_calls(turns(spark, sf), 5))
+
+REVIEW_TURNS_SQL = f"""SELECT t.* FROM turns t
+  WHERE t.agent IN (SELECT agent FROM ({AGENT_CALLS_SQL}) WHERE n_calls >= {MIN_CALLS})
+    AND (t.agent, t.call_id) IN (SELECT (agent, call_id) FROM ({WORST_CALLS_SQL}))"""
+register(
+    "selected_turns", TC + REVIEW_TURNS_SQL
+)(lambda spark, sf: S.review_turns(turns(spark, sf), MIN_CALLS, 5))
+
+register(
+    "first_messages",
+    TC + """SELECT agent, call_id, speaker, turn_idx, message, cast(msg_rank AS int) AS msg_rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY turn_idx) AS msg_rank
+      FROM turns WHERE speaker IN ('agent', 'customer')) WHERE msg_rank <= 3""",
+)(lambda spark, sf: S.first_messages(turns(spark, sf), 3))
+
+register(
+    "call_ordinal",
+    TC + f"""SELECT agent, call_id, cast(row_number() OVER (PARTITION BY agent ORDER BY call_id) AS int) AS call_no
+    FROM ({WORST_CALLS_SQL})""",
+)(lambda spark, sf: S.call_ordinal(S.worst_calls(turns(spark, sf), 5)))
