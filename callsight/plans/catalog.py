@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from callsight.operators import agents as A
 from callsight.operators import transcripts as P
@@ -201,3 +202,329 @@ register(
     TC + f"""SELECT agent, call_id, cast(row_number() OVER (PARTITION BY agent ORDER BY call_id) AS int) AS call_no
     FROM ({WORST_CALLS_SQL})""",
 )(lambda spark, sf: S.call_ordinal(S.worst_calls(turns(spark, sf), 5)))
+
+# -- theme roll-ups (F3 theme rows from documents) ---------------------------
+
+from callsight.operators import themes as H  # noqa: E402
+
+THC = O.THEME_CTES
+BOTH = O.with_ctes(O.TURNS_SRC, O.TURNS, O.lexicon_values(), O.THEME_ROWS)
+
+PILLARS_SQL = "(SELECT DISTINCT pillar_ord, pillar FROM theme_lexicon)"
+FIRST_PILLAR_SQL = """fp AS (SELECT r.agent, r.theme_pos, r.priority, min(l.pillar_ord) AS po
+    FROM theme_rows r LEFT JOIN theme_lexicon l ON contains(r.theme, l.theme) GROUP BY r.agent, r.theme_pos, r.priority)"""
+SCORES_SQL = f"""ps AS (SELECT fp.agent, p.pillar_ord, p.pillar,
+      cast(sum(CASE WHEN fp.po = p.pillar_ord THEN CASE fp.priority WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END
+               ELSE 0 END) AS bigint) AS score
+    FROM fp CROSS JOIN {PILLARS_SQL} p GROUP BY fp.agent, p.pillar_ord, p.pillar)"""
+DEMAND_SQL = """pd AS (SELECT pillar_ord, pillar, cast(count(*) AS bigint) AS n FROM (
+      SELECT DISTINCT r.agent, r.theme_pos, l.pillar_ord, l.pillar FROM theme_rows r
+      JOIN theme_lexicon l ON contains(lower(r.theme), lower(l.theme))) GROUP BY pillar_ord, pillar)"""
+TOPK_AGENTS_SQL = """tk AS (SELECT pillar_ord, pillar, agent, score, cast(rank AS int) AS rank,
+      round(score * 100.0 / max(score) OVER (PARTITION BY pillar_ord), 6) AS pct
+    FROM (SELECT *, row_number() OVER (PARTITION BY pillar_ord ORDER BY score DESC, agent) AS rank FROM ps)
+    WHERE rank <= 5 AND score > 0)"""
+AGENT_COUNTS_SQL = """ac AS (SELECT agent, cast(count(*) AS bigint) AS n_themes,
+      cast(sum(CASE WHEN priority = 'high' THEN 1 ELSE 0 END) AS bigint) AS n_high,
+      cast(sum(CASE WHEN priority = 'medium' THEN 1 ELSE 0 END) AS bigint) AS n_medium
+    FROM theme_rows GROUP BY agent)"""
+
+
+def _theme_sql(*ctes: str) -> str:
+    return THC.rstrip("\n") + ",\n" + ",\n".join(ctes) + "\n"
+
+
+TOP_THEMES_SQL = """SELECT theme, n, cast(rank AS int) AS rank FROM (
+    SELECT theme, cast(count(*) AS bigint) AS n, row_number() OVER (ORDER BY count(*) DESC, theme) AS rank
+    FROM theme_rows GROUP BY theme) WHERE rank <= {k}"""
+
+register(
+    "theme_counts",
+    THC + """SELECT theme, cast(count(*) AS bigint) AS n,
+      round(cast(count(*) AS double) * 100.0 / (SELECT count(DISTINCT agent) FROM theme_rows), 6) AS pct
+    FROM theme_rows GROUP BY theme""",
+)(lambda spark, sf: H.theme_counts(theme_rows(spark, sf)))
+
+register(
+    "priority_dist",
+    THC + """SELECT cast(sum(CASE WHEN priority = 'high' THEN 1 ELSE 0 END) AS bigint) AS high,
+      cast(sum(CASE WHEN priority = 'medium' THEN 1 ELSE 0 END) AS bigint) AS medium,
+      cast(sum(CASE WHEN priority = 'low' THEN 1 ELSE 0 END) AS bigint) AS low FROM theme_rows""",
+)(lambda spark, sf: H.priority_dist(theme_rows(spark, sf)))
+
+register("top_themes", THC + TOP_THEMES_SQL.format(k=5))(lambda spark, sf: H.top_themes(theme_rows(spark, sf), 5))
+
+register(
+    "theme_bars",
+    THC + f"""SELECT theme, n, rank, round(n * 100.0 / max(n) OVER (), 6) AS pct FROM ({TOP_THEMES_SQL.format(k=8)})""",
+)(lambda spark, sf: H.theme_bars(theme_rows(spark, sf), 8))
+
+register("pillar_demand", _theme_sql(DEMAND_SQL) + "SELECT pillar_ord, pillar, n FROM pd WHERE n > 0")(
+    lambda spark, sf: H.pillar_demand(theme_rows(spark, sf))
+)
+
+register(
+    "top_pillar",
+    _theme_sql(DEMAND_SQL)
+    + """SELECT coalesce((SELECT pillar FROM pd ORDER BY n DESC, pillar_ord LIMIT 1), 'Connection') AS top_pillar,
+      coalesce((SELECT n FROM pd ORDER BY n DESC, pillar_ord LIMIT 1), 0) AS top_pillar_n""",
+)(lambda spark, sf: H.top_pillar(theme_rows(spark, sf)))
+
+register("pillar_scores", _theme_sql(FIRST_PILLAR_SQL, SCORES_SQL) + "SELECT agent, pillar_ord, pillar, score FROM ps")(
+    lambda spark, sf: H.pillar_scores(theme_rows(spark, sf))
+)
+
+register(
+    "pillar_agent_counts",
+    _theme_sql(FIRST_PILLAR_SQL, SCORES_SQL)
+    + """SELECT pillar_ord, pillar, cast(sum(CASE WHEN score > 0 THEN 1 ELSE 0 END) AS bigint) AS n_agents
+    FROM ps GROUP BY pillar_ord, pillar""",
+)(lambda spark, sf: H.pillar_agent_counts(theme_rows(spark, sf)))
+
+register(
+    "pillar_top_agents",
+    _theme_sql(FIRST_PILLAR_SQL, SCORES_SQL, TOPK_AGENTS_SQL) + "SELECT * FROM tk",
+)(lambda spark, sf: H.pillar_top_agents(theme_rows(spark, sf), 5))
+
+register(
+    "pillar_cards",
+    _theme_sql(FIRST_PILLAR_SQL, SCORES_SQL, TOPK_AGENTS_SQL)
+    + """, rel AS (SELECT DISTINCT r.agent, r.theme_pos, r.theme, l.pillar_ord FROM theme_rows r
+          JOIN theme_lexicon l ON contains(r.theme, l.theme)),
+      rr AS (SELECT *, row_number() OVER (PARTITION BY pillar_ord, agent ORDER BY theme_pos) AS rn FROM rel),
+      cards AS (SELECT pillar_ord, agent,
+          string_agg(CASE WHEN rn <= 2 THEN theme END, ', ' ORDER BY theme_pos) AS first2, count(*) AS n_rel
+        FROM rr GROUP BY pillar_ord, agent)
+    SELECT tk.pillar, tk.agent, tk.rank, tk.score, tk.pct,
+      coalesce(c.first2 || CASE WHEN c.n_rel > 2 THEN ' +' || cast(c.n_rel - 2 AS varchar) ELSE '' END, '') AS themes_text
+    FROM tk LEFT JOIN cards c ON c.pillar_ord = tk.pillar_ord AND c.agent = tk.agent""",
+)(lambda spark, sf: H.pillar_cards(theme_rows(spark, sf), 5))
+
+register(
+    "agent_segments",
+    _theme_sql(AGENT_COUNTS_SQL)
+    + """SELECT s.segment, cast(count(ac.agent) AS bigint) AS n_agents
+    FROM (VALUES ('High Performer'), ('Moderate Development'), ('Priority Coaching')) s(segment)
+    LEFT JOIN ac ON s.segment = CASE WHEN ac.n_themes >= 4 THEN 'Priority Coaching'
+      WHEN ac.n_themes >= 2 THEN 'Moderate Development' ELSE 'High Performer' END
+    GROUP BY s.segment""",
+)(lambda spark, sf: H.agent_segments(theme_rows(spark, sf)))
+
+RANKING_SQL = """rk AS (SELECT agent, n_high, n_medium,
+      cast(row_number() OVER (ORDER BY n_high DESC, n_medium DESC, agent) AS bigint) AS rank FROM ac)"""
+register(
+    "agent_ranking",
+    _theme_sql(AGENT_COUNTS_SQL, RANKING_SQL)
+    + """SELECT agent, n_high, n_medium, rank, cast(floor((rank - 1) / 20) + 1 AS bigint) AS page,
+      cast(ceil((SELECT count(*) FROM ac) / 20.0) AS bigint) AS total_pages FROM rk""",
+)(lambda spark, sf: H.agent_ranking(theme_rows(spark, sf)))
+
+register(
+    "first_theme",
+    THC + """SELECT agent, coalesce(theme, 'N/A') AS top_theme, coalesce(priority, 'low') AS top_priority
+    FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY theme_pos) AS rn FROM theme_rows) WHERE rn = 1""",
+)(lambda spark, sf: H.first_theme(theme_rows(spark, sf)))
+
+register(
+    "agent_summary_rows",
+    _theme_sql(AGENT_COUNTS_SQL, RANKING_SQL)
+    + """SELECT rk.agent, rk.rank, cast(floor((rk.rank - 1) / 20) + 1 AS bigint) AS page, cast(0 AS bigint) AS calls,
+      f.theme AS top_theme, f.priority AS top_priority, upper(substr(rk.agent, 1, 1)) AS initial
+    FROM rk JOIN (SELECT * FROM theme_rows QUALIFY row_number() OVER (PARTITION BY agent ORDER BY theme_pos) = 1) f
+      ON f.agent = rk.agent""",
+)(lambda spark, sf: H.agent_summary_rows(theme_rows(spark, sf)))
+
+register(
+    "agent_needs",
+    THC + """SELECT agent, theme_pos, theme, priority, recommendation, cast(need_rank AS int) AS need_rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY agent ORDER BY CASE priority WHEN 'high' THEN 1 WHEN 'medium' THEN 2
+        ELSE 3 END, theme_pos) AS need_rank FROM theme_rows) WHERE need_rank <= 3""",
+)(lambda spark, sf: H.agent_needs(theme_rows(spark, sf), 3))
+
+FIRST_AGENTS_SQL = "(SELECT DISTINCT agent FROM theme_rows ORDER BY agent LIMIT {n})"
+register(
+    "profile_themes",
+    THC + f"""SELECT agent, theme_pos, theme, upper(priority) AS priority_label, substr(recommendation, 1, 120) AS recommendation
+    FROM theme_rows WHERE agent IN {FIRST_AGENTS_SQL.format(n=10)} AND theme_pos < 3""",
+)(lambda spark, sf: H.profile_themes(theme_rows(spark, sf)))
+
+register(
+    "context_block",
+    THC + f"""SELECT agent, cast(count(*) AS bigint) AS n_themes,
+      chr(10) || agent || ': ' || cast(count(*) AS varchar) || ' themes' || chr(10) ||
+      coalesce(string_agg(CASE WHEN theme_pos < 2 THEN '  - ' || theme || ' (' || priority || '): ' ||
+        substr(recommendation, 1, 100) || '...' || chr(10) END, '' ORDER BY theme_pos), '') AS block
+    FROM theme_rows WHERE agent IN {FIRST_AGENTS_SQL.format(n=20)} GROUP BY agent""",
+)(lambda spark, sf: H.context_block(theme_rows(spark, sf)))
+
+register(
+    "theme_card_text",
+    THC + """SELECT agent, theme_pos, theme, priority, frequency, array_to_string(examples[1:2], ' | ') AS examples_text
+    FROM theme_rows""",
+)(lambda spark, sf: H.theme_card_text(theme_rows(spark, sf)))
+
+register(
+    "report_header",
+    BOTH + """SELECT (SELECT cast(count(DISTINCT call_id) AS bigint) FROM turns) AS total_calls,
+      (SELECT cast(count(DISTINCT agent) AS bigint) FROM theme_rows) AS total_agents,
+      (SELECT cast(count(*) AS bigint) FROM theme_rows) AS total_themes,
+      (SELECT round(avg(sentiment_score), 6) FROM turns) AS avg_sentiment,
+      (SELECT CASE WHEN round(avg(sentiment_score), 6) > 0 THEN printf('%.2f', round(avg(sentiment_score), 6))
+         ELSE 'N/A' END FROM turns) AS avg_sentiment_text""",
+)(lambda spark, sf: H.report_header(turns(spark, sf), theme_rows(spark, sf)))
+
+register(
+    "exec_summary",
+    BOTH.rstrip("\n") + ",\n" + ",\n".join([DEMAND_SQL, AGENT_COUNTS_SQL]) + "\n"
+    + f"""SELECT (SELECT cast(count(DISTINCT call_id) AS bigint) FROM turns) AS total_calls,
+      (SELECT cast(count(*) AS bigint) FROM ac) AS total_agents,
+      (SELECT round(avg(sentiment_score), 6) FROM turns) AS avg_sentiment,
+      (SELECT cast(count(*) FILTER (WHERE priority = 'high') AS bigint) FROM theme_rows) AS high_themes,
+      (SELECT cast(count(*) FILTER (WHERE priority = 'medium') AS bigint) FROM theme_rows) AS medium_themes,
+      (SELECT cast(count(*) FILTER (WHERE priority = 'low') AS bigint) FROM theme_rows) AS low_themes,
+      (SELECT string_agg(theme || ' (' || cast(n AS varchar) || ' agents)', ', ' ORDER BY rank)
+         FROM ({TOP_THEMES_SQL.format(k=3)})) AS top_themes_text,
+      (SELECT coalesce(max(theme), '') FROM ({TOP_THEMES_SQL.format(k=3)}) WHERE rank = 1) AS focus_theme,
+      coalesce((SELECT pillar FROM pd ORDER BY n DESC, pillar_ord LIMIT 1), 'Connection') AS top_pillar,
+      coalesce((SELECT n FROM pd ORDER BY n DESC, pillar_ord LIMIT 1), 0) AS top_pillar_n,
+      (SELECT cast(count(*) FILTER (WHERE n_themes < 2) AS bigint) FROM ac) AS high_performers,
+      (SELECT cast(count(*) FILTER (WHERE n_themes >= 2 AND n_themes < 4) AS bigint) FROM ac) AS moderate,
+      (SELECT cast(count(*) FILTER (WHERE n_themes >= 4) AS bigint) FROM ac) AS priority_coaching""",
+)(lambda spark, sf: H.exec_summary(turns(spark, sf), theme_rows(spark, sf)))
+
+# -- request building (F1 review turns) -----------------------------------
+
+from callsight.operators import requests as R  # noqa: E402
+from callsight.operators import responses as V  # noqa: E402
+from callsight.operators import exports as E  # noqa: E402
+
+MODEL = "test-model"
+RUN_STAMP = "2025-02-07T13:00:00"
+
+
+def _review(spark: SparkSession, sf: str):
+    t = turns(spark, sf)
+    scoped = S.filter_to_agents(t, S.eligible_agents(t, MIN_CALLS))
+    sel = S.worst_calls(scoped, 5)
+    return S.selected_turns(scoped, sel), sel
+
+
+def _digests(spark: SparkSession, sf: str):
+    review, sel = _review(spark, sf)
+    return R.call_digest(review, sel)
+
+
+SCOPED_SQL = f"""scoped AS (SELECT * FROM turns WHERE agent IN (SELECT agent FROM ({AGENT_CALLS_SQL}) WHERE n_calls >= {MIN_CALLS})),
+  sel AS ({WORST_CALLS_SQL.replace("FROM turns", "FROM scoped")}),
+  rt AS (SELECT * FROM scoped WHERE (agent, call_id) IN (SELECT (agent, call_id) FROM sel))"""
+
+register(
+    "call_digest",
+    TC.rstrip("\n") + ",\n" + SCOPED_SQL + """,
+  fm AS (SELECT *, CASE WHEN length(message) > 100 THEN substr(message, 1, 100) || '...' ELSE message END AS short
+         FROM (SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY turn_idx) AS rn FROM rt
+               WHERE speaker IN ('agent', 'customer')) WHERE rn <= 3),
+  sides AS (SELECT agent, call_id,
+      string_agg(CASE WHEN speaker = 'customer' THEN short END, ' | ' ORDER BY rn) AS cust,
+      string_agg(CASE WHEN speaker = 'agent' THEN short END, ' | ' ORDER BY rn) AS agt
+    FROM fm GROUP BY agent, call_id),
+  means AS (SELECT agent, call_id, avg(sentiment_score) AS m FROM rt GROUP BY agent, call_id),
+  ords AS (SELECT agent, call_id, cast(row_number() OVER (PARTITION BY agent ORDER BY call_id) AS int) AS call_no FROM sel)
+SELECT o.agent, o.call_id, o.call_no,
+  'Call ' || cast(o.call_no AS varchar) || ':' ||
+  CASE WHEN m.m IS NOT NULL AND m.m <> 0 THEN ' [Sentiment: ' || printf('%.2f', m.m) || ']' ELSE '' END ||
+  chr(10) || '- Customer: ' || coalesce(s.cust, '') || chr(10) || '- Agent: ' || coalesce(s.agt, '') AS digest
+FROM ords o LEFT JOIN means m ON m.agent = o.agent AND m.call_id = o.call_id
+  LEFT JOIN sides s ON s.agent = o.agent AND s.call_id = o.call_id""",
+)(_digests)
+
+
+def _prompts(spark: SparkSession, sf: str):
+    from callsight.operators.themes import DEFAULT_THEMES
+
+    return R.agent_prompts(_digests(spark, sf), DEFAULT_THEMES)
+
+
+register("agent_prompt")(_prompts)
+
+
+@register("request_rows")
+def _request_rows(spark: SparkSession, sf: str):
+    p = _prompts(spark, sf)
+    return R.request_rows(p, S.agent_batches(p.select("agent"), 20), MODEL)
+
+
+register(
+    "agent_batches",
+    THC + """SELECT agent, cast(row_number() OVER (ORDER BY agent) AS bigint) AS agent_ordinal,
+      cast(floor((row_number() OVER (ORDER BY agent) - 1) / 20) + 1 AS bigint) AS batch_no
+    FROM (SELECT DISTINCT agent FROM theme_rows)""",
+)(lambda spark, sf: S.agent_batches(theme_rows(spark, sf), 20))
+
+# -- responses (F3 insights serialised into damaged envelopes) ---------------
+
+
+def _responses(spark: SparkSession, sf: str):
+    # Python's json keeps the last duplicate key; VARIANT does with this flag.
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return X.responses_from_theme_rows(theme_rows(spark, sf))
+
+
+CLASS_SQL = "cast(right(agent, 5) AS int) % 8"
+register(
+    "response_errors",
+    THC + f"""SELECT agent, CASE {CLASS_SQL} WHEN 2 THEN 'error' WHEN 3 THEN 'no_choices' WHEN 4 THEN 'bad_json'
+      WHEN 5 THEN 'empty' WHEN 7 THEN 'no_response' ELSE 'ok' END AS status
+    FROM (SELECT DISTINCT agent FROM theme_rows)""",
+)(lambda spark, sf: V.response_errors(_responses(spark, sf)))
+
+register(
+    "validated_themes",
+    THC + f"""SELECT agent, theme_pos, theme,
+      CASE WHEN {CLASS_SQL} = 6 THEN 'low' ELSE priority END AS priority,
+      CASE WHEN {CLASS_SQL} = 6 THEN cast(0 AS bigint) ELSE frequency END AS frequency,
+      examples, recommendation
+    FROM theme_rows WHERE {CLASS_SQL} IN (0, 1, 6)""",
+)(lambda spark, sf: V.flatten_insights(V.validate_insights(_responses(spark, sf))))
+
+register(
+    "validated_strengths",
+    THC + f"""SELECT agent, ['Strength ' || cast(cast(right(agent, 5) AS int) % 3 AS varchar)] AS strengths
+    FROM (SELECT DISTINCT agent FROM theme_rows) WHERE {CLASS_SQL} IN (0, 1, 6)""",
+)(lambda spark, sf: V.validate_insights(_responses(spark, sf)).select("agent", "strengths"))
+
+
+@register(
+    "merge_insights",
+    THC + f"""SELECT agent, cast(count(*) AS bigint) AS n_themes FROM theme_rows
+    WHERE {CLASS_SQL} IN (0, 1, 6) OR cast(right(agent, 5) AS int) % 2 = 0 GROUP BY agent""",
+)
+def _merge(spark: SparkSession, sf: str):
+    old = X.insights_from_theme_rows(theme_rows(spark, sf)).where(F.substring("agent", -1, 1).cast("int") % 2 == 0)
+    new = V.validate_insights(_responses(spark, sf))
+    m = V.merge_insights(old.select("agent", "coaching_themes", "strengths"), new)
+    return m.select("agent", F.size("coaching_themes").cast("bigint").alias("n_themes"))
+
+
+# -- exports -------------------------------------------------------------------
+
+register(
+    "coaching_cache",
+    THC + f"""SELECT agent, theme, priority, frequency, to_json(examples)::varchar AS examples, recommendation,
+      '{RUN_STAMP}' AS processed_at, '{MODEL}' AS model_used FROM theme_rows""",
+)(lambda spark, sf: E.coaching_cache(theme_rows(spark, sf), RUN_STAMP, MODEL))
+
+register(
+    "export_theme_rows",
+    THC + "SELECT agent, theme, priority, frequency, array_to_string(examples, ' | ') AS examples, recommendation FROM theme_rows",
+)(lambda spark, sf: E.export_theme_rows(theme_rows(spark, sf)))
+
+register(
+    "export_summary",
+    THC + """SELECT agent, cast(0 AS bigint) AS calls, cast(count(*) AS bigint) AS coaching_themes,
+      cast(sum(CASE WHEN priority = 'high' THEN 1 ELSE 0 END) AS bigint) AS high_priority FROM theme_rows GROUP BY agent""",
+)(lambda spark, sf: E.export_summary(theme_rows(spark, sf)))
+
+register(
+    "export_details", THC + "SELECT agent, theme, priority, frequency, recommendation FROM theme_rows"
+)(lambda spark, sf: E.export_details(theme_rows(spark, sf)))

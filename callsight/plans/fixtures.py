@@ -147,3 +147,71 @@ def previous_session_agents(turns_or_calls: DataFrame) -> DataFrame:
         .distinct()
         .where(F.substring(F.col("agent"), -1, 1).cast("int") % 2 == 0)
     )
+
+
+RESPONSE_CLASSES = 8  # agent number modulo 8 picks how the response is damaged
+
+
+def insights_from_theme_rows(theme_rows: DataFrame) -> DataFrame:
+    """Nested insights per agent from flat F3 rows (≤ 6 themes per agent by construction)."""
+    g = theme_rows.groupBy("agent").agg(
+        F.array_sort(
+            F.collect_list(F.struct("theme_pos", "theme", "priority", "frequency", "examples", "recommendation"))
+        ).alias("t")
+    )
+    agent_no = F.substring(F.col("agent"), -5, 5).cast("int")
+    return g.select(
+        "agent",
+        F.transform(
+            "t",
+            lambda x: F.struct(
+                x["theme"].alias("theme"),
+                x["priority"].alias("priority"),
+                x["frequency"].alias("frequency"),
+                x["examples"].alias("examples"),
+                x["recommendation"].alias("recommendation"),
+            ),
+        ).alias("coaching_themes"),
+        F.array(F.concat(F.lit("Strength "), (agent_no % 3).cast("string"))).alias("strengths"),
+    )
+
+
+def responses_from_theme_rows(theme_rows: DataFrame) -> DataFrame:
+    """Model-response envelopes per F3 agent; the class (agent number % 8) decides the damage.
+
+    0 ok, 1 fenced, 2 error envelope, 3 no choices, 4 truncated JSON, 5 a JSON list,
+    6 priority 'urgent' and frequency as text, 7 no response.
+    """
+    ins = insights_from_theme_rows(theme_rows)
+    cls = F.substring(F.col("agent"), -5, 5).cast("int") % RESPONSE_CLASSES
+    plain = F.to_json(F.struct("coaching_themes", "strengths"))
+    odd = F.to_json(
+        F.struct(
+            F.transform(
+                "coaching_themes",
+                lambda x: F.struct(
+                    x["theme"].alias("theme"),
+                    F.lit("urgent").alias("priority"),
+                    x["frequency"].cast("string").alias("frequency"),
+                    x["examples"].alias("examples"),
+                    x["recommendation"].alias("recommendation"),
+                ),
+            ).alias("coaching_themes"),
+            F.col("strengths"),
+        )
+    )
+    content = (
+        F.when(cls == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```")))
+        .when(cls == 4, F.expr("substring(to_json(struct(coaching_themes, strengths)), 1, length(to_json(struct(coaching_themes, strengths))) - 1)"))
+        .when(cls == 5, F.lit("[]"))
+        .when(cls == 6, odd)
+        .otherwise(plain)
+    )
+    envelope = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
+    response = (
+        F.when(cls == 2, F.lit('{"error": "HTTP 429: slow down"}'))
+        .when(cls == 3, F.concat(F.lit('{"id": '), cls.cast("string"), F.lit("}")))
+        .when(cls == 7, F.lit(None).cast("string"))
+        .otherwise(envelope)
+    )
+    return ins.select("agent", response.alias("response"))
