@@ -528,3 +528,231 @@ register(
 register(
     "export_details", THC + "SELECT agent, theme, priority, frequency, recommendation FROM theme_rows"
 )(lambda spark, sf: E.export_details(theme_rows(spark, sf)))
+
+# -- questions ---------------------------------------------------------------
+
+from callsight.operators import questions as Q  # noqa: E402
+
+QUESTIONS_SQL = """qs AS (SELECT cast(right(agent, 5) AS int) AS question_id,
+    CASE cast(right(agent, 5) AS int) % 8 WHEN 0 THEN 'What are the top themes?'
+      WHEN 1 THEN 'How should ' || agent || ' improve?' WHEN 2 THEN 'How many calls are there?'
+      WHEN 3 THEN 'How many agents are there?' WHEN 4 THEN 'What is the average sentiment?'
+      WHEN 5 THEN 'List all supervisors' WHEN 6 THEN 'Why did Monday go badly?'
+      ELSE 'Which coaching theme fits ' || lower(agent) || ' best?' END AS question,
+    CASE cast(right(agent, 5) AS int) % 8 WHEN 0 THEN 'top_themes' WHEN 1 THEN 'agent_needs' WHEN 2 THEN 'count_calls'
+      WHEN 3 THEN 'count_agents' WHEN 4 THEN 'avg_sentiment' WHEN 5 THEN 'help' WHEN 6 THEN 'llm' ELSE 'agent_needs' END AS route,
+    CASE WHEN cast(right(agent, 5) AS int) % 8 IN (1, 7) THEN agent END AS agent
+  FROM (SELECT DISTINCT agent FROM theme_rows))"""
+
+
+def _questions(spark: SparkSession, sf: str):
+    return X.questions_from_agents(theme_rows(spark, sf))
+
+
+@register("question_intent", _theme_sql(QUESTIONS_SQL) + "SELECT question_id, question, route, agent FROM qs")
+def _route(spark: SparkSession, sf: str):
+    tr = theme_rows(spark, sf)
+    has = tr.agg((F.count(F.lit(1)) > 0).alias("has_coaching"))
+    return Q.route_questions(_questions(spark, sf), tr.select("agent").distinct(), has)
+
+
+register(
+    "agent_mentions",
+    _theme_sql(QUESTIONS_SQL) + "SELECT question_id, agent FROM qs WHERE agent IS NOT NULL",
+)(lambda spark, sf: Q.agent_mentions(_questions(spark, sf), theme_rows(spark, sf).select("agent").distinct()))
+
+register(
+    "answer_questions",
+    BOTH.rstrip("\n") + ",\n" + QUESTIONS_SQL + f""",
+  needs AS (SELECT agent, '**Coaching needs for ' || agent || ':**' || chr(10) ||
+      string_agg('- **' || theme || '** (' || priority || ' priority): ' || recommendation, chr(10) ORDER BY need_rank) AS a
+    FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY CASE priority WHEN 'high' THEN 1
+            WHEN 'medium' THEN 2 ELSE 3 END, theme_pos) AS need_rank FROM theme_rows) WHERE need_rank <= 3 GROUP BY agent),
+  top AS (SELECT '**Top coaching themes:**' || chr(10) ||
+      string_agg('- ' || theme || ': ' || cast(n AS varchar) || ' agents', chr(10) ORDER BY rank) AS a
+    FROM ({TOP_THEMES_SQL.format(k=5)}))
+SELECT qs.question_id, qs.question, qs.route, qs.agent,
+  CASE qs.route WHEN 'top_themes' THEN (SELECT a FROM top) WHEN 'agent_needs' THEN needs.a
+    WHEN 'count_calls' THEN 'There are ' || (SELECT cast(count(DISTINCT call_id) AS varchar) FROM turns) || ' calls in the dataset.'
+    WHEN 'count_agents' THEN 'There are ' || (SELECT cast(count(DISTINCT agent) AS varchar) FROM turns) || ' agents in the dataset.'
+    WHEN 'avg_sentiment' THEN (SELECT CASE WHEN avg(sentiment_score) IS NULL THEN 'Sentiment data not available in the transcripts.'
+      ELSE printf('The average sentiment score is %.2f.', avg(sentiment_score)) END FROM turns)
+    WHEN 'help' THEN 'I can answer questions about call counts, agent counts, and sentiment averages. Try rephrasing!'
+  END AS answer
+FROM qs LEFT JOIN needs ON needs.agent = qs.agent""",
+)(lambda spark, sf: Q.answer_questions(_questions(spark, sf), turns(spark, sf), theme_rows(spark, sf)))
+
+# -- sessions ------------------------------------------------------------------
+
+from callsight.operators import sessions as K  # noqa: E402
+from callsight.session import scratch_path  # noqa: E402
+
+FP_SQL = """SELECT substr(md5('call_id,agent,turn_idx,timestamp,speaker,message,sentiment_score' || chr(10) ||
+    string_agg(line, chr(10) ORDER BY call_id, turn_idx) || chr(10)), 1, 12) AS file_hash
+  FROM (SELECT call_id, turn_idx, concat_ws(',',
+      {f}) AS line FROM (SELECT * FROM turns ORDER BY call_id, turn_idx LIMIT 100))"""
+_FIELD = """CASE WHEN coalesce(cast({c} AS varchar), '') SIMILAR TO '.*[,"\\n\\r].*'
+      THEN '"' || replace(coalesce(cast({c} AS varchar), ''), '"', '""') || '"' ELSE coalesce(cast({c} AS varchar), '') END"""
+register(
+    "dataset_fingerprint",
+    TC + FP_SQL.format(
+        f=", ".join(_FIELD.format(c=c) for c in ["call_id", "agent", "turn_idx", "timestamp", "speaker", "message", "sentiment_score"])
+    ),
+)(lambda spark, sf: K.dataset_fingerprint(turns(spark, sf)))
+
+TS_OLD, TS_NEW = "2025-02-07 12:00:00", "2025-02-07 13:00:00"
+
+
+def _session_store(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """Two sessions of the F3 insights: an older one (even agents) and a newer one (all)."""
+    path = scratch_path(spark, "sessions")
+    ins = X.insights_from_theme_rows(theme_rows(spark, sf))
+    fh = K.dataset_fingerprint(turns(spark, sf)).first()["file_hash"]  # one 12-char value
+    K.save_session(ins.where(F.substring("agent", -1, 1).cast("int") % 2 == 0), path, fh, TS_OLD, MODEL, {"min_calls": "10"})
+    K.save_session(ins, path, fh, TS_NEW, MODEL, {"min_calls": "10", "sentiment_priority": "True"})
+    return path, fh
+
+
+@register(
+    "latest_session",
+    THC + f"""SELECT agent, cast(count(*) AS bigint) AS n_themes, '{MODEL}' AS model_used FROM theme_rows GROUP BY agent""",
+)
+def _latest(spark: SparkSession, sf: str):
+    path, fh = _session_store(spark, sf)
+    s = K.latest_session(spark, path, fh)
+    return s.select("agent", F.size("coaching_themes").cast("bigint").alias("n_themes"), "model_used")
+
+
+@register(
+    "list_sessions",
+    THC + f"""SELECT * FROM (VALUES (TIMESTAMP '{TS_NEW}', '{MODEL}', (SELECT cast(count(DISTINCT agent) AS bigint) FROM theme_rows)),
+      (TIMESTAMP '{TS_OLD}', '{MODEL}', (SELECT cast(count(DISTINCT agent) AS bigint) FROM theme_rows
+         WHERE cast(right(agent, 1) AS int) % 2 = 0))) t(session_ts, model_used, n_agents)""",
+)
+def _list(spark: SparkSession, sf: str):
+    path, _ = _session_store(spark, sf)
+    return K.list_sessions(spark, path).select("session_ts", "model_used", "n_agents")
+
+
+@register(
+    "delete_session",
+    THC + f"""SELECT TIMESTAMP '{TS_NEW}' AS session_ts, cast(count(DISTINCT agent) AS bigint) AS n_agents FROM theme_rows""",
+)
+def _delete(spark: SparkSession, sf: str):
+    path, fh = _session_store(spark, sf)
+    kept = K.delete_session(spark, path, fh, TS_OLD, scratch_path(spark, "sessions-kept"))
+    return kept.groupBy("session_ts").agg(F.count(F.lit(1)).cast("bigint").alias("n_agents"))
+
+
+register(
+    "session_metadata",
+    BOTH + f"""SELECT '{RUN_STAMP}' AS processed_at, '{MODEL}' AS model_used,
+      (SELECT cast(count(DISTINCT call_id) AS bigint) FROM turns) AS total_calls,
+      (SELECT cast(count(DISTINCT agent) AS bigint) FROM theme_rows) AS total_agents""",
+)(lambda spark, sf: K.session_metadata(turns(spark, sf), X.insights_from_theme_rows(theme_rows(spark, sf)), RUN_STAMP, MODEL))
+
+register("insights_json")(lambda spark, sf: K.insights_json(X.insights_from_theme_rows(theme_rows(spark, sf))))
+
+# -- sources and sinks -----------------------------------------------------------
+
+from callsight.sources import files as Y  # noqa: E402
+
+CALLS_OUT_SQL = "SELECT call_id, agent, transcript, sentiment_score FROM calls"
+
+
+@register("read_csv", TCC + CALLS_OUT_SQL)
+def _read_csv(spark: SparkSession, sf: str):
+    path = scratch_path(spark, "calls-csv")
+    E.write_csv(calls(spark, sf), path)
+    return Y.read_csv(spark, path, Y.CALLS_SCHEMA)
+
+
+@register("write_parquet", TC + "SELECT call_id, agent, turn_idx, timestamp, speaker, message, sentiment_score FROM turns")
+def _write_parquet(spark: SparkSession, sf: str):
+    path = scratch_path(spark, "turns-parquet")
+    Y.write_parquet(turns(spark, sf), path)
+    return Y.read_parquet(spark, path)
+
+
+@register(
+    "read_text_calls",
+    TCC + """SELECT 'CALL_' || lpad(cast(row_number() OVER (ORDER BY call_id) AS varchar), 4, '0') AS call_id,
+      'Unknown' AS agent, transcript || chr(10) AS transcript FROM calls""",
+)
+def _read_text(spark: SparkSession, sf: str):
+    path = scratch_path(spark, "calls-text")
+    Y.write_text_calls(calls(spark, sf), path)
+    return Y.read_text_calls(spark, path)
+
+
+@register(
+    "union_files",
+    TCC + """SELECT call_id, agent, transcript, sentiment_score FROM calls
+      UNION ALL SELECT call_id, agent, transcript, NULL FROM calls""",
+)
+def _union(spark: SparkSession, sf: str):
+    c = calls(spark, sf)
+    path = scratch_path(spark, "calls-csv")
+    E.write_csv(c.drop("sentiment_score"), path)
+    return Y.union_files([c, Y.read_calls(spark, path + "/*.csv"), Y.read_calls(spark, path + ".xlsx")])
+
+
+register(
+    "map_columns",
+    """SELECT cast(conv_id AS varchar) || '-' || cast(turn AS varchar) AS call_id, role AS agent, text AS transcript,
+      cast(NULL AS double) AS sentiment_score FROM conversations""",
+)(
+    lambda spark, sf: Y.map_columns(
+        X.read_table(spark, sf, "conversations").withColumn(
+            "key", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+        ),
+        "key",
+        "role",
+        "text",
+        None,
+    )
+)
+
+
+@register(
+    "active_themes",
+    _theme_sql("""cu AS (SELECT theme, min(agent || '#' || lpad(cast(theme_pos AS varchar), 3, '0')) AS k FROM theme_rows
+        WHERE theme NOT IN (SELECT theme FROM theme_lexicon) GROUP BY theme)""")
+    + """SELECT cast(theme_ord AS bigint) AS theme_ord, theme FROM theme_lexicon
+    UNION ALL SELECT cast(29 + row_number() OVER (ORDER BY k) AS bigint), theme FROM cu""",
+)
+def _active(spark: SparkSession, sf: str):
+    tr = theme_rows(spark, sf)
+    lex = H.theme_lexicon(spark)
+    custom = (
+        tr.join(F.broadcast(lex.select("theme")), "theme", "left_anti")  # 30 fixed rows
+        .groupBy("theme")
+        .agg(F.min(F.concat(F.col("agent"), F.lit("#"), F.lpad(F.col("theme_pos").cast("string"), 3, "0"))).alias("line_no"))
+        .select("line_no", F.col("theme").alias("line"))
+    )
+    return Y.active_themes(spark, "both", lex, custom)
+
+
+# -- bulk redaction over documents -------------------------------------------------
+
+from callsight.functions import text as TX  # noqa: E402
+
+register(
+    "redact_documents",
+    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+      '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[EMAIL_REDACTED]', 'g'),
+      '\b\d{3}[-.]?\d{3}[-.]?\d{4}\b', '[PHONE_REDACTED]', 'g'),
+      '\b\d{3}-\d{2}-\d{4}\b', '[SSN_REDACTED]', 'g'),
+      '\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b', '[CARD_REDACTED]', 'g') AS text FROM documents""",
+)(lambda spark, sf: X.read_table(spark, sf, "documents").select("doc_id", TX.redact_pii("text").alias("text")))
+
+# -- streaming ---------------------------------------------------------------------
+
+from callsight.streaming.turns import stream_turns  # noqa: E402
+
+
+@register("stream_turns", TC + "SELECT call_id, agent, turn_idx, timestamp, speaker, message, sentiment_score FROM turns")
+def _stream(spark: SparkSession, sf: str):
+    src = scratch_path(spark, "calls-stream-in")
+    Y.write_parquet(calls(spark, sf), src)
+    return stream_turns(spark, src, scratch_path(spark, "turns-stream-out"), scratch_path(spark, "turns-stream-ckpt"))

@@ -215,3 +215,21 @@ def responses_from_theme_rows(theme_rows: DataFrame) -> DataFrame:
         .otherwise(envelope)
     )
     return ins.select("agent", response.alias("response"))
+
+
+def questions_from_agents(theme_rows: DataFrame) -> DataFrame:
+    """F7 questions, one per F3 agent: the template is picked by agent number % 8."""
+    agents = theme_rows.select("agent").distinct()
+    no = F.substring(F.col("agent"), -5, 5).cast("int")
+    k = no % 8
+    q = (
+        F.when(k == 0, F.lit("What are the top themes?"))
+        .when(k == 1, F.concat(F.lit("How should "), F.col("agent"), F.lit(" improve?")))
+        .when(k == 2, F.lit("How many calls are there?"))
+        .when(k == 3, F.lit("How many agents are there?"))
+        .when(k == 4, F.lit("What is the average sentiment?"))
+        .when(k == 5, F.lit("List all supervisors"))
+        .when(k == 6, F.lit("Why did Monday go badly?"))
+        .otherwise(F.concat(F.lit("Which coaching theme fits "), F.lower(F.col("agent")), F.lit(" best?")))
+    )
+    return agents.select(no.cast("int").alias("question_id"), q.alias("question"))
