@@ -96,6 +96,37 @@ def _str_list(v: Column) -> Column:
     )
 
 
+def _truthy_k(v: Column, k: Column) -> Column:
+    """``_truthy`` with the type name already computed."""
+    return (
+        F.when(v.isNull() | (k == "VOID"), F.lit(False))
+        .when(k == "BOOLEAN", _get(v, "$", "boolean"))
+        .when(k == "STRING", F.length(_get(v, "$", "string")) > 0)
+        .when(_is_numeric(k), _get(v, "$", "double") != 0)
+        .when(k.startswith("ARRAY"), F.size(_get(v, "$", "array<variant>")) > 0)
+        .when(k.startswith("OBJECT"), k != "OBJECT<>")
+        .otherwise(F.lit(True))
+    )
+
+
+def _py_str_k(v: Column, k: Column) -> Column:
+    return (
+        F.when(k == "STRING", _get(v, "$", "string"))
+        .when(k == "BOOLEAN", F.when(_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
+        .when(k == "VOID", F.lit("None"))
+        .otherwise(F.to_json(v))
+    )
+
+
+def _py_int_k(v: Column, k: Column) -> Column:
+    return (
+        F.when(k == "BOOLEAN", _get(v, "$", "boolean").cast("bigint"))
+        .when(k.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), _get(v, "$", "bigint"))
+        .when(_is_numeric(k), _get(v, "$", "double").cast("bigint"))
+        .otherwise(F.lit(0).cast("bigint"))
+    )
+
+
 def validate_theme(x: Column) -> Column:
     """One theme value → STRUCT(theme, priority, frequency, examples, recommendation)."""
     is_obj = _kind(x).startswith("OBJECT")
@@ -167,24 +198,94 @@ def response_errors(responses: DataFrame) -> DataFrame:
     return parse_insights(responses).select("agent", "status")
 
 
+def _theme_list(v: Column) -> Column:
+    """``coaching_themes`` as ARRAY<VARIANT> with falsy entries skipped; a non-list gives []."""
+    themes_v = _get(v, "$.coaching_themes")
+    arr = F.when(_kind(themes_v).startswith("ARRAY"), _get(themes_v, "$", "array<variant>")).otherwise(
+        F.array().cast("array<variant>")
+    )
+    return F.filter(arr, lambda x: _truthy(x))
+
+
+def validated_theme_rows(responses: DataFrame) -> DataFrame:
+    """Usable responses → one validated row per theme (``theme_pos`` = position after skipping falsy entries).
+
+    The theme list is exploded first, so the validator runs as ordinary
+    code-generated column expressions (type tests computed once per value)
+    instead of inside an interpreted lambda.
+    """
+    p = parse_insights(responses).where(F.col("status") == "ok")
+    x = p.select("agent", F.posexplode(_theme_list(F.col("insight"))).alias("theme_pos", "x"))
+    fields = x.select(
+        "agent",
+        "theme_pos",
+        _kind(F.col("x")).alias("xk"),
+        _get(F.col("x"), "$.theme").alias("th"),
+        _get(F.col("x"), "$.priority").alias("pr"),
+        _get(F.col("x"), "$.frequency").alias("fr"),
+        _get(F.col("x"), "$.examples").alias("ex"),
+        _get(F.col("x"), "$.recommendation").alias("rec"),
+    )
+    kinds = fields.select(
+        "*",
+        _kind(F.col("th")).alias("thk"),
+        _kind(F.col("pr")).alias("prk"),
+        _kind(F.col("fr")).alias("frk"),
+        _kind(F.col("ex")).alias("exk"),
+        _kind(F.col("rec")).alias("reck"),
+    )
+    is_obj = F.col("xk").startswith("OBJECT")
+    prio_s = F.when(F.col("prk") == "STRING", _get(F.col("pr"), "$", "string"))
+    return kinds.select(
+        "agent",
+        F.col("theme_pos").cast("int").alias("theme_pos"),
+        F.when(is_obj & _truthy_k(F.col("th"), F.col("thk")), _py_str_k(F.col("th"), F.col("thk")))
+        .otherwise(F.lit(UNKNOWN_THEME))
+        .alias("theme"),
+        F.when(is_obj & prio_s.isin(*VALID_PRIORITIES), prio_s).otherwise(F.lit(DEFAULT_PRIORITY)).alias("priority"),
+        F.when(is_obj, F.coalesce(_py_int_k(F.col("fr"), F.col("frk")), F.lit(0).cast("bigint")))
+        .otherwise(F.lit(0).cast("bigint"))
+        .alias("frequency"),
+        F.when(is_obj & F.col("exk").startswith("ARRAY"), F.transform(_get(F.col("ex"), "$", "array<variant>"), lambda e: _py_str(e)))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("examples"),
+        F.when(is_obj & _truthy_k(F.col("rec"), F.col("reck")), _py_str_k(F.col("rec"), F.col("reck")))
+        .when(is_obj, F.lit(""))
+        .otherwise(F.lit(INVALID_THEME_RECOMMENDATION))
+        .alias("recommendation"),
+    )
+
+
+def validated_strengths(responses: DataFrame) -> DataFrame:
+    """Usable responses → (agent, strengths); a non-list becomes []."""
+    p = parse_insights(responses).where(F.col("status") == "ok")
+    return p.select("agent", F.coalesce(_str_list(_get(F.col("insight"), "$.strengths")), F.array().cast("array<string>")).alias("strengths"))
+
+
 def validate_insights(responses: DataFrame) -> DataFrame:
     """Usable responses → ``insights(agent, coaching_themes, strengths)`` with the validator's coercions.
 
     Themes: a non-list becomes []; falsy entries are skipped; each entry is
-    coerced by ``validate_theme``. Strengths: a non-list becomes [].
-    Only these two keys are kept.
+    coerced like the reference's validator. Strengths: a non-list becomes [].
+    Only these two keys are kept. Re-nesting groups one response's themes,
+    which is bounded by the response size.
     """
-    p = parse_insights(responses).where(F.col("status") == "ok")
-    v = F.col("insight")
-    themes_v = _get(v, "$.coaching_themes")
-    arr = F.when(_kind(themes_v).startswith("ARRAY"), _get(themes_v, "$", "array<variant>")).otherwise(
-        F.array().cast("array<variant>")
+    rows = validated_theme_rows(responses)
+    nested = rows.groupBy("agent").agg(
+        F.array_sort(F.collect_list(F.struct("theme_pos", "theme", "priority", "frequency", "examples", "recommendation"))).alias("t")
     )
-    themes = F.transform(F.filter(arr, lambda x: _truthy(x)), lambda x: validate_theme(x))
-    return p.select(
-        "agent",
-        themes.cast(THEME_TYPE).alias("coaching_themes"),
-        F.coalesce(_str_list(_get(v, "$.strengths")), F.array().cast("array<string>")).alias("strengths"),
+    themes = F.transform(
+        F.coalesce(F.col("t"), F.array().cast("array<struct<theme_pos:int,theme:string,priority:string,frequency:bigint,examples:array<string>,recommendation:string>>")),
+        lambda e: F.struct(
+            e["theme"].alias("theme"),
+            e["priority"].alias("priority"),
+            e["frequency"].alias("frequency"),
+            e["examples"].alias("examples"),
+            e["recommendation"].alias("recommendation"),
+        ),
+    )
+    return validated_strengths(responses).join(nested, "agent", "left").select(
+        "agent", themes.cast(THEME_TYPE).alias("coaching_themes"), "strengths"
     )
 
 

@@ -16,6 +16,7 @@ from callsight.operators import agents as A
 from callsight.operators import transcripts as P
 from callsight.plans import fixtures as X
 from callsight.plans import oracle as O
+from callsight.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -467,7 +468,10 @@ register(
 def _responses(spark: SparkSession, sf: str):
     # Python's json keeps the last duplicate key; VARIANT does with this flag.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return X.responses_from_theme_rows(theme_rows(spark, sf))
+    # Responses arrive from outside the job (the model service); land them as a table first.
+    path = scratch_path(spark, "responses")
+    X.responses_from_theme_rows(theme_rows(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 CLASS_SQL = "cast(right(agent, 5) AS int) % 8"
@@ -485,13 +489,13 @@ register(
       CASE WHEN {CLASS_SQL} = 6 THEN cast(0 AS bigint) ELSE frequency END AS frequency,
       examples, recommendation
     FROM theme_rows WHERE {CLASS_SQL} IN (0, 1, 6)""",
-)(lambda spark, sf: V.flatten_insights(V.validate_insights(_responses(spark, sf))))
+)(lambda spark, sf: V.validated_theme_rows(_responses(spark, sf)))
 
 register(
     "validated_strengths",
     THC + f"""SELECT agent, ['Strength ' || cast(cast(right(agent, 5) AS int) % 3 AS varchar)] AS strengths
     FROM (SELECT DISTINCT agent FROM theme_rows) WHERE {CLASS_SQL} IN (0, 1, 6)""",
-)(lambda spark, sf: V.validate_insights(_responses(spark, sf)).select("agent", "strengths"))
+)(lambda spark, sf: V.validated_strengths(_responses(spark, sf)))
 
 
 @register(
@@ -585,7 +589,6 @@ FROM qs LEFT JOIN needs ON needs.agent = qs.agent""",
 # -- sessions ------------------------------------------------------------------
 
 from callsight.operators import sessions as K  # noqa: E402
-from callsight.session import scratch_path  # noqa: E402
 
 FP_SQL = """SELECT substr(md5('call_id,agent,turn_idx,timestamp,speaker,message,sentiment_score' || chr(10) ||
     string_agg(line, chr(10) ORDER BY call_id, turn_idx) || chr(10)), 1, 12) AS file_hash
