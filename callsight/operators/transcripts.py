@@ -113,3 +113,15 @@ def parse_summary(calls: DataFrame) -> DataFrame:
         T.detect_format("transcript").alias("format"),
         F.coalesce(F.size(clean_turns(F.col("transcript"), redact=False)), F.lit(0)).cast("bigint").alias("n_turns"),
     ).withColumn("n_turns", F.greatest(F.col("n_turns"), F.lit(0)).cast("bigint"))
+
+
+def register_turns(turns: DataFrame, path: str) -> DataFrame:
+    """Write the turn table once (snappy Parquet in a shared folder) and read it back.
+
+    Downstream steps (eligibility, worst calls, digests) each scan the turn
+    table; reading the written table avoids re-running the regex parse per
+    branch and cuts the lineage, so a lost executor re-reads files instead
+    of re-parsing transcripts.
+    """
+    turns.write.mode("overwrite").option("compression", "snappy").parquet(path)
+    return turns.sparkSession.read.parquet(path)

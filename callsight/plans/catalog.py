@@ -189,7 +189,7 @@ REVIEW_TURNS_SQL = f"""SELECT t.* FROM turns t
     AND (t.agent, t.call_id) IN (SELECT (agent, call_id) FROM ({WORST_CALLS_SQL}))"""
 register(
     "selected_turns", TC + REVIEW_TURNS_SQL
-)(lambda spark, sf: S.review_turns(turns(spark, sf), MIN_CALLS, 5))
+)(lambda spark, sf: S.review_turns(stored_turns(spark, sf), MIN_CALLS, 5))
 
 register(
     "first_messages",
@@ -198,6 +198,10 @@ register(
       FROM turns WHERE speaker IN ('agent', 'customer')) WHERE msg_rank <= 3""",
 )(lambda spark, sf: S.first_messages(turns(spark, sf), 3))
 
+register(
+    "register_turns", TC + "SELECT call_id, agent, turn_idx, timestamp, speaker, message, sentiment_score FROM turns"
+)(lambda spark, sf: stored_turns(spark, sf))
+
 register(
     "call_ordinal",
     TC + f"""SELECT agent, call_id, cast(row_number() OVER (PARTITION BY agent ORDER BY call_id) AS int) AS call_no
@@ -403,8 +407,13 @@ MODEL = "test-model"
 RUN_STAMP = "2025-02-07T13:00:00"
 
 
+def stored_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The turn table parsed once and written to the shared scratch folder (multi-use flows)."""
+    return P.register_turns(turns(spark, sf), scratch_path(spark, "turns"))
+
+
 def _review(spark: SparkSession, sf: str):
-    t = turns(spark, sf)
+    t = stored_turns(spark, sf)
     scoped = S.filter_to_agents(t, S.eligible_agents(t, MIN_CALLS))
     sel = S.worst_calls(scoped, 5)
     return S.selected_turns(scoped, sel), sel
