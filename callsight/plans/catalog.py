@@ -768,3 +768,61 @@ def _stream(spark: SparkSession, sf: str):
     src = scratch_path(spark, "calls-stream-in")
     Y.write_parquet(calls(spark, sf), src)
     return stream_turns(spark, src, scratch_path(spark, "turns-stream-out"), scratch_path(spark, "turns-stream-ckpt"))
+
+# -- report texts ----------------------------------------------------------------
+
+from callsight.operators import reports as RP  # noqa: E402
+
+register(
+    "analytics_context",
+    BOTH.rstrip("\n") + f""",
+  top3 AS ({TOP_THEMES_SQL.format(k=3)}),
+  nums AS (SELECT (SELECT cast(count(DISTINCT agent) AS bigint) FROM theme_rows) AS total_agents,
+      (SELECT cast(count(DISTINCT call_id) AS bigint) FROM turns) AS total_calls,
+      (SELECT avg(sentiment_score) FROM turns) AS avg_s,
+      (SELECT cast(count(*) FILTER (WHERE priority = 'high') AS bigint) FROM theme_rows) AS high_themes,
+      (SELECT cast(count(*) FILTER (WHERE priority = 'medium') AS bigint) FROM theme_rows) AS medium_themes,
+      (SELECT cast(count(*) FILTER (WHERE priority = 'low') AS bigint) FROM theme_rows) AS low_themes)
+SELECT total_agents, total_calls, round(avg_s, 6) AS avg_sentiment, high_themes, medium_themes, low_themes,
+  chr(10) || 'COACHING ANALYTICS CONTEXT:' || chr(10) || chr(10) || 'Dataset Overview:' || chr(10) ||
+  '- Total Agents Analyzed: ' || cast(total_agents AS varchar) || chr(10) ||
+  '- Total Calls: ' || format('{{:,}}', total_calls) || chr(10) ||
+  '- Average Sentiment: ' || coalesce(printf('%.2f', avg_s), 'nan') || '/5.0' || chr(10) || chr(10) ||
+  'Theme Distribution:' || chr(10) ||
+  coalesce((SELECT string_agg('- #' || cast(rank AS varchar) || ' Theme: ' || theme || ' (' || cast(n AS varchar) ||
+      ' agents, ' || printf('%.1f', n * 100.0 / total_agents) || '%)' || chr(10), '' ORDER BY rank) FROM top3), '') ||
+  chr(10) || 'Priority Breakdown:' || chr(10) ||
+  '- High Priority: ' || cast(high_themes AS varchar) || ' themes requiring immediate attention' || chr(10) ||
+  '- Medium Priority: ' || cast(medium_themes AS varchar) || ' themes' || chr(10) ||
+  '- Low Priority: ' || cast(low_themes AS varchar) || ' themes' || chr(10) AS context_text
+FROM nums""",
+)(lambda spark, sf: RP.analytics_context(turns(spark, sf), theme_rows(spark, sf)))
+
+register(
+    "agent_profile",
+    _theme_sql(FIRST_PILLAR_SQL, SCORES_SQL)
+    + f""", firsts AS {FIRST_AGENTS_SQL.format(n=10)}
+SELECT f.agent,
+  coalesce((SELECT string_agg(pillar || ': ' || cast(score AS varchar) || ' coaching points', chr(10) ORDER BY pillar_ord)
+            FROM ps WHERE ps.agent = f.agent AND score > 0), '') AS framework_text,
+  (SELECT string_agg(cast(theme_pos + 1 AS varchar) || '. ' || theme || chr(10) || 'Priority Level: ' || upper(priority) ||
+      CASE WHEN length(recommendation) > 0 THEN chr(10) || substr(recommendation, 1, 120) || '...' ELSE '' END,
+      chr(10) ORDER BY theme_pos) FROM theme_rows r WHERE r.agent = f.agent AND theme_pos < 3) AS themes_text
+FROM firsts f""",
+)(lambda spark, sf: RP.agent_profile(theme_rows(spark, sf)))
+
+
+def _plans(spark: SparkSession, sf: str):
+    tr = theme_rows(spark, sf)
+    ins = X.insights_from_theme_rows(tr)
+    return RP.coaching_plan_text(tr, ins.select("agent", "strengths"), run_date="February 07, 2025")
+
+
+register("coaching_plan_text")(_plans)
+register("mailto_link")(lambda spark, sf: RP.mailto_link(_plans(spark, sf)))
+register("response_content")(lambda spark, sf: V.response_content(_responses(spark, sf)))
+
+register(
+    "cache_count",
+    THC + "SELECT cast(count(*) AS bigint) AS n_rows, count(*) > 0 AS has_coaching FROM theme_rows",
+)(lambda spark, sf: RP.cache_count(E.coaching_cache(theme_rows(spark, sf), RUN_STAMP, MODEL)))
