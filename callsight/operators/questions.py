@@ -11,7 +11,7 @@ distinct name lengths.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsight.operators import themes as H
@@ -40,26 +40,30 @@ def _any_contains(q, words) -> F.Column:
 
 
 def agent_mentions(questions: DataFrame, agents: DataFrame) -> DataFrame:
-    """Per question: the first agent (in agent order) whose lower-cased name occurs in the question."""
+    """Per question: the first agent (in agent order) whose lower-cased name occurs in the question.
+
+    Substrings are generated once per distinct question text (a repeated
+    question collapses in the map-side distinct), then the per-text result
+    is joined back to the question ids.
+    """
     names = agents.select("agent").where(F.col("agent").isNotNull()).distinct().select(
         "agent", F.lower("agent").alias("needle"), F.length("agent").alias("len")
     )
     lengths = names.agg(F.collect_set("len").alias("lens"))  # one row; bounded by the longest name
-    q = questions.select("question_id", F.lower("question").alias("q"))
+    texts = questions.select(F.lower("question").alias("q")).where(F.col("q").isNotNull()).distinct()
     cand = (
-        q.crossJoin(lengths)  # attach the one-row length set
-        .select("question_id", "q", F.explode("lens").alias("len"))
+        texts.crossJoin(lengths)  # attach the one-row length set
+        .select("q", F.explode("lens").alias("len"))
         .where(F.col("len") <= F.length("q"))
-        .select(
-            "question_id",
-            "len",
-            F.explode(F.sequence(F.lit(1), F.length("q") - F.col("len") + 1)).alias("pos"),
-            "q",
-        )
-        .select("question_id", "len", F.expr("substring(q, pos, len)").alias("needle"))
+        .select("q", "len", F.explode(F.sequence(F.lit(1), F.length("q") - F.col("len") + 1)).alias("pos"))
+        .select("q", "len", F.expr("substring(q, pos, len)").alias("needle"))
+    )
+    per_text = cand.join(names, ["len", "needle"]).groupBy("q").agg(F.min("agent").alias("agent"))
+    return (
+        questions.select("question_id", F.lower("question").alias("q"))
+        .join(per_text, "q")
+        .select("question_id", "agent")
     )
-    hits = cand.join(names, ["len", "needle"])
-    return hits.groupBy("question_id").agg(F.min("agent").alias("agent"))
 
 
 def route_questions(questions: DataFrame, agents: DataFrame, has_coaching: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from callsight.operators import agents as A
 from callsight.operators import transcripts as P
 from callsight.plans import fixtures as X
 from callsight.plans import oracle as O
-from callsight.session import scratch_path
+from callsight.session import ensure_checkpoint_dir, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,9 +24,22 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _prepared(fn: Query) -> Query:
+    """Session prerequisites every query relies on, set on whatever session the caller passes."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ensure_checkpoint_dir(spark)  # shared folder from spark.checkpoint.dir; a scratch one only if unset
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # last duplicate JSON key wins, as in Python
+        return fn(spark, sf)
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = _prepared(fn)
         if sql is not None:
             ORACLE[name] = sql
         return fn
