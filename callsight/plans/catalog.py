@@ -650,23 +650,25 @@ def _latest(spark: SparkSession, sf: str):
 
 @register(
     "list_sessions",
-    THC + f"""SELECT * FROM (VALUES (TIMESTAMP '{TS_NEW}', '{MODEL}', (SELECT cast(count(DISTINCT agent) AS bigint) FROM theme_rows)),
-      (TIMESTAMP '{TS_OLD}', '{MODEL}', (SELECT cast(count(DISTINCT agent) AS bigint) FROM theme_rows
+    THC + f"""SELECT * FROM (VALUES ('{TS_NEW}', '{MODEL}', (SELECT cast(count(DISTINCT agent) AS bigint) FROM theme_rows)),
+      ('{TS_OLD}', '{MODEL}', (SELECT cast(count(DISTINCT agent) AS bigint) FROM theme_rows
          WHERE cast(right(agent, 1) AS int) % 2 = 0))) t(session_ts, model_used, n_agents)""",
 )
 def _list(spark: SparkSession, sf: str):
     path, _ = _session_store(spark, sf)
-    return K.list_sessions(spark, path).select("session_ts", "model_used", "n_agents")
+    ts = F.date_format("session_ts", "yyyy-MM-dd HH:mm:ss").alias("session_ts")
+    return K.list_sessions(spark, path).select(ts, "model_used", "n_agents")
 
 
 @register(
     "delete_session",
-    THC + f"""SELECT TIMESTAMP '{TS_NEW}' AS session_ts, cast(count(DISTINCT agent) AS bigint) AS n_agents FROM theme_rows""",
+    THC + f"""SELECT '{TS_NEW}' AS session_ts, cast(count(DISTINCT agent) AS bigint) AS n_agents FROM theme_rows""",
 )
 def _delete(spark: SparkSession, sf: str):
     path, fh = _session_store(spark, sf)
     kept = K.delete_session(spark, path, fh, TS_OLD, scratch_path(spark, "sessions-kept"))
-    return kept.groupBy("session_ts").agg(F.count(F.lit(1)).cast("bigint").alias("n_agents"))
+    ts = F.date_format("session_ts", "yyyy-MM-dd HH:mm:ss").alias("session_ts")
+    return kept.groupBy(ts).agg(F.count(F.lit(1)).cast("bigint").alias("n_agents"))
 
 
 register(
