@@ -33,14 +33,22 @@ def _pipe_turns(t: Column) -> Column:
 
 
 def _bracket_turns(t: Column) -> Column:
-    """Bracket form: every header up to the next header or the end (DOTALL)."""
-    p = T.BRACKET_TURN_PATTERN
-    zipped = F.arrays_zip(
-        F.regexp_extract_all(t, F.lit(p), 1).alias("ts"),
-        F.regexp_extract_all(t, F.lit(p), 2).alias("spk"),
-        F.regexp_extract_all(t, F.lit(p), 3).alias("msg"),
+    """Bracket form: every header up to the next header or the end (DOTALL).
+
+    One pass of the full pattern over the transcript finds the turns; the
+    header fields are then read from the start of each (short) match, and the
+    body is what follows the header. Leading whitespace of the body is
+    dropped later by the whitespace collapse, as the pattern's ``\\s*`` would.
+    """
+    header = T.BRACKET_HEADER_PATTERN
+    return F.transform(
+        F.regexp_extract_all(t, F.lit(T.BRACKET_TURN_PATTERN), 0),
+        lambda m: F.struct(
+            F.regexp_extract(m, header, 1).alias("ts"),
+            F.regexp_extract(m, header, 2).alias("spk"),
+            F.substring(m, F.length(F.regexp_extract(m, header, 0)) + 1, 1 << 30).alias("msg"),
+        ),
     )
-    return zipped
 
 
 def raw_turns(t: Column) -> Column:
