@@ -91,30 +91,50 @@ def flow_stats(turns: DataFrame) -> DataFrame:
 
 
 def agent_dashboard(turns: DataFrame, low_threshold: float = 0.5, rounded: bool = True) -> DataFrame:
-    """agent_stats LEFT JOIN sentiment_stats LEFT JOIN flow_stats, null-safe on agent.
-
-    All three inputs are one row per agent (small relative to turns); the
-    joins are planned by Catalyst/AQE on their runtime sizes. ``rounded``
-    applies the display rounding: length 1, sentiment 2, turns 1, ratio as
-    percent with 1 decimal (half-even, like pandas).
+    """agent_stats LEFT JOIN sentiment_stats LEFT JOIN flow_stats on agent, from one pass over the turns.
+
+    The three per-agent tables share their first grouping level, so they are
+    computed as one two-level aggregation: per (agent, call) the turn counts,
+    length sum and the set of distinct sentiment values (bounded by the
+    call's turns), then per agent. One scan, two shuffles, partial
+    aggregation at both levels; the null agent is its own group as in SQL.
+    Agents without any sentiment get nulls, as the left join would.
+    ``rounded`` applies the display rounding: length 1, sentiment 2, turns 1,
+    ratio as percent with 1 decimal (half-even on the binary value, like pandas).
     """
-    a = agent_stats(turns)
-    s = sentiment_stats(turns, low_threshold).select(
-        F.col("agent").alias("s_agent"), "avg_sentiment", "low_sentiment_calls"
+    s = F.col("sentiment_score")
+    per_call = turns.groupBy("agent", "call_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        _cnt(F.col("speaker") == "agent").alias("n_agent"),
+        _cnt(F.col("speaker") == "customer").alias("n_customer"),
+        F.sum(F.length("message")).alias("len_sum"),
+        F.collect_set(F.when(~F.isnan(s), s)).alias("sents"),
     )
-    f = flow_stats(turns).select(F.col("agent").alias("f_agent"), "avg_turns", "avg_response_ratio")
-    j = a.join(s, a["agent"].eqNullSafe(s["s_agent"]), "left").join(f, a["agent"].eqNullSafe(f["f_agent"]), "left")
-    out = j.select(
+    vals = F.col("sents")
+    per_agent = per_call.groupBy("agent").agg(
+        F.count(F.lit(1)).cast("bigint").alias("total_calls"),
+        F.sum("n").cast("bigint").alias("total_messages"),
+        F.sum("n_agent").cast("bigint").alias("agent_messages"),
+        F.sum("n_customer").cast("bigint").alias("customer_messages"),
+        (F.sum("len_sum").cast("double") / F.sum("n").cast("double")).alias("avg_message_length"),
+        F.sum(F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x)).alias("_s_sum"),
+        F.sum(F.size(vals)).alias("_s_n"),
+        F.sum(F.size(F.filter(vals, lambda x: x < low_threshold))).cast("bigint").alias("_s_low"),
+        F.avg("n").alias("avg_turns"),
+        F.avg(F.col("n_agent").cast("double") / F.col("n").cast("double")).alias("avg_response_ratio"),
+    )
+    has_s = F.col("_s_n") > 0
+    out = per_agent.select(
         "agent",
         "total_calls",
         "total_messages",
         "agent_messages",
         "customer_messages",
-        "avg_message_length",
-        "avg_sentiment",
-        "low_sentiment_calls",
-        "avg_turns",
-        "avg_response_ratio",
+        _r6(F.col("avg_message_length")).alias("avg_message_length"),
+        F.when(has_s, _r6(F.col("_s_sum") / F.col("_s_n"))).alias("avg_sentiment"),
+        F.when(has_s, F.col("_s_low")).alias("low_sentiment_calls"),
+        _r6(F.col("avg_turns")).alias("avg_turns"),
+        _r6(F.col("avg_response_ratio")).alias("avg_response_ratio"),
     )
     if not rounded:
         return out
