@@ -43,13 +43,14 @@ def read_text_calls(spark: SparkSession, path: str) -> DataFrame:
     """Each text file is one call: ``CALL_0001``… by file path order, agent 'Unknown'.
 
     Unlike the reference (one fixed id for every text file) each file gets
-    its own id, so two files never merge into one call.
+    its own id, so two files never merge into one call. Only the path column
+    is numbered (the distributed ordinal checkpoints paths, never texts);
+    the numbers are joined back to the file contents on the path.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("path"), F.col("value").alias("transcript")
-    )
-    numbered = with_global_ordinal(files, [F.col("path")], "file_no")
-    return numbered.select(
+    files = spark.read.format("binaryFile").load(path)
+    numbered = with_global_ordinal(files.select("path"), [F.col("path")], "file_no")
+    texts = files.select("path", F.decode(F.col("content"), "UTF-8").alias("transcript"))
+    return texts.join(numbered, "path").select(
         F.concat(F.lit(TEXT_CALL_PREFIX), F.lpad(F.col("file_no").cast("string"), 4, "0")).alias("call_id"),
         F.lit(TEXT_AGENT).alias("agent"),
         "transcript",
