@@ -9,7 +9,7 @@ collected here is bounded by construction (≤ 3 messages per side per call,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsight.functions.text import truncate_text
@@ -51,6 +51,44 @@ Call Summaries:
 
 Identify top 3 coaching opportunities with specific examples and actionable recommendations."""
 
+# The older variant (first 10 calls, untruncated messages, all themes).
+LEGACY_SYSTEM_PROMPT_TEMPLATE = """You are an expert contact center QA analyst. Analyze agent performance and identify coaching opportunities.
+
+Focus on these themes: {themes}
+
+Provide response as JSON with this exact structure:
+{
+    "agent": "agent_name",
+    "calls_analyzed": number,
+    "coaching_themes": [
+        {
+            "theme": "theme name from provided list",
+            "priority": "high|medium|low",
+            "frequency": number,
+            "examples": ["specific example 1", "specific example 2"],
+            "recommendation": "specific actionable advice"
+        }
+    ],
+    "strengths": ["strength 1", "strength 2"],
+    "overall_sentiment_correlation": "insight about sentiment and performance"
+}
+
+CRITICAL: Only use themes from the provided list. Be specific and data-driven."""
+
+LEGACY_USER_PROMPT_TEMPLATE = """Agent: {agent}
+Calls analyzed: {n_calls}
+
+Call Summaries:
+{digests}
+
+Identify top 3-5 coaching opportunities with specific examples and actionable recommendations."""
+
+CUSTOMER_LABEL = "Customer"
+AGENT_LABEL = "Agent"
+LEGACY_CUSTOMER_LABEL = "Customer issues"
+LEGACY_AGENT_LABEL = "Agent responses"
+LEGACY_MAX_CALLS = 10
+
 TEMPERATURE = 0.3
 MAX_TOKENS = 2000
 PROMPT_THEME_LIMIT = 10
@@ -76,17 +114,23 @@ def _fill(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
-def call_digest(review: DataFrame, calls: DataFrame) -> DataFrame:
+def call_digest(
+    review: DataFrame,
+    calls: DataFrame,
+    truncate: int | None = MESSAGE_CHARS,
+    customer_label: str = CUSTOMER_LABEL,
+    agent_label: str = AGENT_LABEL,
+) -> DataFrame:
     """Per selected call: ``call_no`` and the digest text.
 
     ``review`` = turns of the selected calls; ``calls`` = (agent, call_id) of
     the selected calls. The sentiment tag is printed with two decimals and
-    left out when the call's mean is 0 or null.
+    left out when the call's mean is 0 or null. ``truncate=None`` keeps
+    whole messages (the older variant).
     """
     s = F.col("sentiment_score")
-    firsts = S.first_messages(review, MESSAGES_PER_SIDE).select(
-        "agent", "call_id", "speaker", "msg_rank", truncate_text("message", MESSAGE_CHARS).alias("short")
-    )
+    short = truncate_text("message", truncate) if truncate else F.col("message")
+    firsts = S.first_messages(review, MESSAGES_PER_SIDE).select("agent", "call_id", "speaker", "msg_rank", short.alias("short"))
     sides = firsts.groupBy("agent", "call_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("speaker") == "customer", F.struct("msg_rank", "short")))).alias("cust"),
         F.array_sort(F.collect_list(F.when(F.col("speaker") == "agent", F.struct("msg_rank", "short")))).alias("agt"),
@@ -101,18 +145,39 @@ def call_digest(review: DataFrame, calls: DataFrame) -> DataFrame:
     cust = F.array_join(F.transform(F.coalesce("cust", F.array()), lambda x: x["short"]), " | ")
     agt = F.array_join(F.transform(F.coalesce("agt", F.array()), lambda x: x["short"]), " | ")
     digest = F.concat(
-        F.lit("Call "), F.col("call_no").cast("string"), F.lit(":"), tag, F.lit("\n- Customer: "), cust, F.lit("\n- Agent: "), agt
+        F.lit("Call "), F.col("call_no").cast("string"), F.lit(":"), tag,
+        F.lit(f"\n- {customer_label}: "), cust, F.lit(f"\n- {agent_label}: "), agt,
     )
     return j.select("agent", "call_id", "call_no", digest.alias("digest"))
 
 
-def agent_prompts(digests: DataFrame, themes: list[str]) -> DataFrame:
-    """Per agent: system and user prompt from its call digests (≤ k per agent)."""
+def first_calls(turns: DataFrame, n: int = LEGACY_MAX_CALLS) -> DataFrame:
+    """Per agent its first ``n`` calls by call order (the older variant's call choice)."""
+    w = Window.partitionBy("agent").orderBy("call_id")
+    calls = turns.where(F.col("agent").isNotNull()).select("agent", "call_id").distinct()
+    return calls.select("agent", "call_id", F.row_number().over(w).alias("_rn")).where(F.col("_rn") <= n).drop("_rn")
+
+
+def call_digest_wide(turns: DataFrame, n_calls: int = LEGACY_MAX_CALLS) -> DataFrame:
+    """Older digest variant: first ``n_calls`` calls per agent, whole messages, 'issues/responses' labels."""
+    calls = first_calls(turns, n_calls)
+    review = turns.join(calls, ["agent", "call_id"], "left_semi")
+    return call_digest(review, calls, None, LEGACY_CUSTOMER_LABEL, LEGACY_AGENT_LABEL)
+
+
+def agent_prompts(digests: DataFrame, themes: list[str], legacy: bool = False, n_calls: DataFrame | None = None) -> DataFrame:
+    """Per agent: system and user prompt from its call digests (≤ k per agent).
+
+    ``legacy`` uses the older templates with every theme; its call count is
+    the agent's total calls, given as ``n_calls(agent, n_calls)``.
+    """
     per_agent = digests.groupBy("agent").agg(
         F.array_sort(F.collect_list(F.struct("call_no", "digest"))).alias("d"),
         F.count(F.lit(1)).cast("bigint").alias("n_calls"),
     )
-    theme_text = F.lit(", ".join(themes[:PROMPT_THEME_LIMIT]))
+    if n_calls is not None:
+        per_agent = per_agent.drop("n_calls").join(n_calls.select("agent", F.col("n_calls").cast("bigint")), "agent", "left")
+    theme_text = F.lit(", ".join(themes if legacy else themes[:PROMPT_THEME_LIMIT]))
     vals = {
         "themes": theme_text,
         "agent": F.col("agent"),
@@ -122,8 +187,8 @@ def agent_prompts(digests: DataFrame, themes: list[str]) -> DataFrame:
     return per_agent.select(
         "agent",
         "n_calls",
-        _fill(SYSTEM_PROMPT_TEMPLATE, vals).alias("system_prompt"),
-        _fill(USER_PROMPT_TEMPLATE, vals).alias("user_prompt"),
+        _fill(LEGACY_SYSTEM_PROMPT_TEMPLATE if legacy else SYSTEM_PROMPT_TEMPLATE, vals).alias("system_prompt"),
+        _fill(LEGACY_USER_PROMPT_TEMPLATE if legacy else USER_PROMPT_TEMPLATE, vals).alias("user_prompt"),
     )
 
 

@@ -441,10 +441,8 @@ SCOPED_SQL = f"""scoped AS (SELECT * FROM turns WHERE agent IN (SELECT agent FRO
   sel AS ({WORST_CALLS_SQL.replace("FROM turns", "FROM scoped")}),
   rt AS (SELECT * FROM scoped WHERE (agent, call_id) IN (SELECT (agent, call_id) FROM sel))"""
 
-register(
-    "call_digest",
-    TC.rstrip("\n") + ",\n" + SCOPED_SQL + """,
-  fm AS (SELECT *, CASE WHEN length(message) > 100 THEN substr(message, 1, 100) || '...' ELSE message END AS short
+DIGEST_SQL = """,
+  fm AS (SELECT *, {short} AS short
          FROM (SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY turn_idx) AS rn FROM rt
                WHERE speaker IN ('agent', 'customer')) WHERE rn <= 3),
   sides AS (SELECT agent, call_id,
@@ -456,11 +454,39 @@ register(
 SELECT o.agent, o.call_id, o.call_no,
   'Call ' || cast(o.call_no AS varchar) || ':' ||
   CASE WHEN m.m IS NOT NULL AND m.m <> 0 THEN ' [Sentiment: ' || printf('%.2f', m.m) || ']' ELSE '' END ||
-  chr(10) || '- Customer: ' || coalesce(s.cust, '') || chr(10) || '- Agent: ' || coalesce(s.agt, '') AS digest
+  chr(10) || '- {cust_label}: ' || coalesce(s.cust, '') || chr(10) || '- {agent_label}: ' || coalesce(s.agt, '') AS digest
 FROM ords o LEFT JOIN means m ON m.agent = o.agent AND m.call_id = o.call_id
-  LEFT JOIN sides s ON s.agent = o.agent AND s.call_id = o.call_id""",
+  LEFT JOIN sides s ON s.agent = o.agent AND s.call_id = o.call_id"""
+
+register(
+    "call_digest",
+    TC.rstrip("\n") + ",\n" + SCOPED_SQL
+    + DIGEST_SQL.format(
+        short="CASE WHEN length(message) > 100 THEN substr(message, 1, 100) || '...' ELSE message END",
+        cust_label="Customer",
+        agent_label="Agent",
+    ),
 )(_digests)
 
+WIDE_SQL = """sel AS (SELECT agent, call_id FROM (
+      SELECT agent, call_id, row_number() OVER (PARTITION BY agent ORDER BY call_id) AS rn
+      FROM (SELECT DISTINCT agent, call_id FROM turns WHERE agent IS NOT NULL)) WHERE rn <= 10),
+  rt AS (SELECT * FROM turns WHERE (agent, call_id) IN (SELECT (agent, call_id) FROM sel))"""
+
+register(
+    "call_digest_wide",
+    TC.rstrip("\n") + ",\n" + WIDE_SQL
+    + DIGEST_SQL.format(short="message", cust_label="Customer issues", agent_label="Agent responses"),
+)(lambda spark, sf: R.call_digest_wide(stored_turns(spark, sf)))
+
+
+@register("agent_prompt_wide")
+def _prompts_wide(spark: SparkSession, sf: str):
+    from callsight.operators.themes import DEFAULT_THEMES
+
+    t = stored_turns(spark, sf)
+    return R.agent_prompts(R.call_digest_wide(t), DEFAULT_THEMES, legacy=True, n_calls=A.agent_call_counts(t))
+
 
 def _prompts(spark: SparkSession, sf: str):
     from callsight.operators.themes import DEFAULT_THEMES
