@@ -18,16 +18,24 @@ TURN_COLUMNS = ["call_id", "agent", "turn_idx", "timestamp", "speaker", "message
 
 
 def _pipe_turns(t: Column) -> Column:
-    """Pipe form: split on '|', strip, skip blanks, keep segments matching the anchored pattern."""
-    p = T.PIPE_TURN_PATTERN
+    """Pipe form: split on '|', strip, skip blanks, keep segments whose start matches the turn header.
+
+    The turn pattern is ``header \\s* (.*)`` with ``.`` stopping at a newline,
+    so once the short header matched, the message is the first line of the
+    rest after its leading whitespace; the header is matched once per segment.
+    """
+    head = T.PIPE_HEADER_PATTERN
     segments = F.filter(F.transform(F.split(t, r"\|", -1), lambda s: T.strip_ws(s)), lambda s: s != "")
-    matched = F.filter(segments, lambda s: s.rlike(p))
+    heads = F.filter(
+        F.transform(segments, lambda s: F.struct(F.regexp_extract(s, head, 0).alias("h"), s.alias("s"))),
+        lambda x: x["h"] != "",
+    )
     return F.transform(
-        matched,
-        lambda s: F.struct(
-            F.regexp_extract(s, p, 1).alias("ts"),
-            F.regexp_extract(s, p, 2).alias("spk"),
-            F.regexp_extract(s, p, 3).alias("msg"),
+        heads,
+        lambda x: F.struct(
+            F.regexp_extract(x["h"], head, 1).alias("ts"),
+            F.regexp_extract(x["h"], head, 2).alias("spk"),
+            F.substring_index(T.lstrip_ws(F.substring(x["s"], F.length(x["h"]) + 1, 1 << 30)), "\n", 1).alias("msg"),
         ),
     )
 
@@ -35,18 +43,22 @@ def _pipe_turns(t: Column) -> Column:
 def _bracket_turns(t: Column) -> Column:
     """Bracket form: every header up to the next header or the end (DOTALL).
 
-    One pass of the full pattern over the transcript finds the turns; the
-    header fields are then read from the start of each (short) match, and the
-    body is what follows the header. Leading whitespace of the body is
-    dropped later by the whitespace collapse, as the pattern's ``\\s*`` would.
+    Finding all headers and splitting on the same header pattern both scan
+    left to right for non-overlapping headers, so they see the same header
+    sequence as the full turn pattern would; the split pieces after the
+    first are exactly the bodies (text up to the next header or the end).
+    This scans for headers only, instead of testing a lookahead at every
+    character of every body. Leading/trailing whitespace of a body is removed
+    later by the whitespace collapse, as the pattern's ``\\s*`` and ``$`` would.
     """
-    header = T.BRACKET_HEADER_PATTERN
+    headers = F.regexp_extract_all(t, F.lit(T.BRACKET_HEADER_FIND), 0)
+    bodies = F.slice(F.split(t, T.BRACKET_HEADER_FIND, -1), 2, F.size(headers))
     return F.transform(
-        F.regexp_extract_all(t, F.lit(T.BRACKET_TURN_PATTERN), 0),
-        lambda m: F.struct(
-            F.regexp_extract(m, header, 1).alias("ts"),
-            F.regexp_extract(m, header, 2).alias("spk"),
-            F.substring(m, F.length(F.regexp_extract(m, header, 0)) + 1, 1 << 30).alias("msg"),
+        F.arrays_zip(headers.alias("h"), bodies.alias("b")),
+        lambda x: F.struct(
+            F.regexp_extract(x["h"], T.BRACKET_HEADER_PATTERN, 1).alias("ts"),
+            F.regexp_extract(x["h"], T.BRACKET_HEADER_PATTERN, 2).alias("spk"),
+            x["b"].alias("msg"),
         ),
     )
 
@@ -58,24 +70,28 @@ def raw_turns(t: Column) -> Column:
 
 
 def clean_turns(t: Column, redact: bool = True) -> Column:
-    """Parsed turns with cleaned, redacted messages and normalized speakers; empty messages dropped."""
-    cleaned = F.transform(
+    """Parsed turns with cleaned, redacted messages and normalized speakers; empty messages dropped.
+
+    Two array stages: the first computes each derived value once (stripped
+    lower-case label, cleaned message); the second reads them as lambda
+    variables, so nothing is recomputed per reference. Timestamps need no
+    strip: both formats capture them from a digit to a digit.
+    """
+    stage1 = F.transform(
         raw_turns(t),
         lambda x: F.struct(
-            T.strip_ws(x["ts"]).alias("timestamp"),
-            T.normalize_speaker(x["spk"]).alias("speaker"),
+            x["ts"].alias("timestamp"),
+            F.lower(T.strip_ws(x["spk"])).alias("low"),
             T.clean_message(x["msg"]).alias("message"),
         ),
     )
-    kept = F.filter(cleaned, lambda x: F.length(x["message"]) > 0)
-    if not redact:
-        return kept
+    kept = F.filter(stage1, lambda x: F.length(x["message"]) > 0)
     return F.transform(
         kept,
         lambda x: F.struct(
             x["timestamp"].alias("timestamp"),
-            x["speaker"].alias("speaker"),
-            T.redact_pii(x["message"]).alias("message"),
+            T.speaker_from_lower(x["low"]).alias("speaker"),
+            (T.redact_pii(x["message"]) if redact else x["message"]).alias("message"),
         ),
     )
 

@@ -86,3 +86,65 @@ def test_turns_independent_of_partitioning(spark):
     a = sorted(parse_turns(calls.repartition(1)).collect())
     b = sorted(parse_turns(calls.repartition(7)).collect())
     assert a == b and len(a) > 0
+
+
+BRACKET_CASES = [
+    "[12:00:01 AGENT]: hi\n[12:00:02 CUSTOMER]: there\n",
+    "preamble [12:00:01 AGENT]:\n  a\n\n[12:00:02 Customer Service Rep]:b",
+    "[12:00 [12:01 AGENT]: nested header text",
+    "[12:00:01 AGENT]:[12:00:02 CUSTOMER]: back to back",
+    "[12:00:01 AGENT]: a [not a header] b [1:2 X]: c",
+    "[12:00:01 AGENT]: x [12:00:02 ]: y",
+    "[12:00:01\nAGENT]:\n  multi\nline\n\n",
+    "no headers at all",
+    "[:: A]: colons only",
+]
+
+
+@pytest.mark.parametrize("text", BRACKET_CASES)
+def test_bracket_split_matches_findall_brute_force(spark, text):
+    import re
+
+    pat = re.compile(r"\[([\d:]+)\s+([^\]]+)\]:\s*\n?\s*(.*?)(?=\[[\d:]+\s+[^\]]+\]:|$)", re.DOTALL)
+    want = []
+    for ts, spk, msg in pat.findall(text):
+        m = " ".join(msg.split())
+        if m:
+            low = spk.strip().lower()
+            sp = "agent" if any(w in low for w in ("agent", "representative", "rep")) else (
+                "customer" if any(w in low for w in ("customer", "consumer", "client")) else low)
+            want.append((len(want), ts.strip(), sp, m))
+    assert _turns(spark, text) == want
+
+
+PIPE_CASES = [
+    f"{P1} Consumer: Hi! | {P2} Agent: Hello",
+    f"{P1} Agent:\n\n  second line wins | {P2} Customer:   spaced  ",
+    f"  {P1}  Sales Rep : a:b:c | junk | {P2} Agent:",
+    f"{P1} Agent: a \nb | {P2} Client: <br>x",
+    f"{P1}\nAgent\n: multi-line speaker | x",
+    f"{P1}\nAgent\n: no pipe means bracket form",
+    "2025-02-07 13:17:57 0000 Agent: bad offset | | ",
+]
+
+
+@pytest.mark.parametrize("text", PIPE_CASES)
+def test_pipe_matches_brute_force(spark, text):
+    import re
+
+    pat = re.compile(r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\s+[+-]\d{4})\s+([^:]+):\s*(.*)")
+    want = []
+    for seg in (text.split("|") if "|" in text else []):  # no '|' means the bracket path
+        seg = seg.strip()
+        m = pat.match(seg) if seg else None
+        if not m:
+            continue
+        ts, spk, msg = m.groups()
+        msg = re.sub(r"<[^>]+>", "", re.sub(r"<br\s*/?>", " ", msg, flags=re.I))
+        msg = " ".join(msg.split())
+        if msg:
+            low = spk.strip().lower()
+            sp = "agent" if any(w in low for w in ("agent", "representative", "rep")) else (
+                "customer" if any(w in low for w in ("customer", "consumer", "client")) else low)
+            want.append((len(want), ts, sp, msg))
+    assert _turns(spark, text) == want
