@@ -153,11 +153,27 @@ def agent_dashboard(turns: DataFrame, low_threshold: float = 0.5, rounded: bool
 
 
 def kpi_row(turns: DataFrame, low_threshold: float = 0.5) -> DataFrame:
-    """One row: calls, agents, mean of per-agent mean sentiment, total messages."""
-    counts = volume_counts(turns).select("total_calls", "total_agents")
-    mean_of_means = sentiment_stats(turns, low_threshold).agg(_r6(F.avg("avg_sentiment")).alias("avg_sentiment"))
-    msgs = turns.agg(F.count(F.lit(1)).cast("bigint").alias("total_messages"))
-    return counts.crossJoin(mean_of_means).crossJoin(msgs)  # three one-row tables
+    """One row: calls, agents, mean of per-agent mean sentiment (over distinct values), total messages.
+
+    One scan: turns → (agent, call) partial table; both the distinct-call
+    count and the per-agent means are computed from it.
+    """
+    s = F.col("sentiment_score")
+    per_call = turns.groupBy("agent", "call_id").agg(
+        F.count(F.lit(1)).alias("n"), F.collect_set(F.when(~F.isnan(s), s)).alias("sents")
+    )
+    calls = per_call.agg(F.countDistinct("call_id").cast("bigint").alias("total_calls"))
+    per_agent = per_call.groupBy("agent").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.aggregate("sents", F.lit(0.0), lambda acc, x: acc + x)).alias("_s_sum"),
+        F.sum(F.size("sents")).alias("_s_n"),
+    )
+    one = per_agent.agg(
+        F.count("agent").cast("bigint").alias("total_agents"),
+        _r6(F.avg(F.when(F.col("_s_n") > 0, F.round(F.col("_s_sum") / F.col("_s_n"), 6)))).alias("avg_sentiment"),
+        F.sum("n").cast("bigint").alias("total_messages"),
+    )
+    return calls.crossJoin(one).select("total_calls", "total_agents", "avg_sentiment", "total_messages")  # one-row tables
 
 
 def avg_sentiment_turns(turns: DataFrame) -> DataFrame:
