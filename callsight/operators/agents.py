@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callsight.functions.scalars import one_value
+
 
 def _cnt(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
@@ -173,7 +175,7 @@ def kpi_row(turns: DataFrame, low_threshold: float = 0.5) -> DataFrame:
         _r6(F.avg(F.when(F.col("_s_n") > 0, F.round(F.col("_s_sum") / F.col("_s_n"), 6)))).alias("avg_sentiment"),
         F.sum("n").cast("bigint").alias("total_messages"),
     )
-    return calls.crossJoin(one).select("total_calls", "total_agents", "avg_sentiment", "total_messages")  # one-row tables
+    return one.select(one_value(calls).alias("total_calls"), "total_agents", "avg_sentiment", "total_messages")
 
 
 def avg_sentiment_turns(turns: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callsight.functions.scalars import one_row, one_value
 from callsight.operators import themes as H
 
 # ---------------------------------------------------------------------------
@@ -49,11 +50,11 @@ def agent_mentions(questions: DataFrame, agents: DataFrame) -> DataFrame:
     names = agents.select("agent").where(F.col("agent").isNotNull()).distinct().select(
         "agent", F.lower("agent").alias("needle"), F.length("agent").alias("len")
     )
-    lengths = names.agg(F.collect_set("len").alias("lens"))  # one row; bounded by the longest name
+    # The distinct name lengths: one value, bounded by the longest name.
+    lengths = one_value(names.agg(F.collect_set("len").alias("lens")))
     texts = questions.select(F.lower("question").alias("q")).where(F.col("q").isNotNull()).distinct()
     cand = (
-        texts.crossJoin(lengths)  # attach the one-row length set
-        .select("q", F.explode("lens").alias("len"))
+        texts.select("q", F.explode(lengths).alias("len"))
         .where(F.col("len") <= F.length("q"))
         .select("q", "len", F.explode(F.sequence(F.lit(1), F.length("q") - F.col("len") + 1)).alias("pos"))
         .select("q", "len", F.expr("substring(q, pos, len)").alias("needle"))
@@ -73,8 +74,8 @@ def route_questions(questions: DataFrame, agents: DataFrame, has_coaching: DataF
     """
     m = agent_mentions(questions, agents)
     q = F.lower(F.col("question"))
-    base = questions.join(m, "question_id", "left").crossJoin(has_coaching)  # one-row flag
-    step1 = F.col("has_coaching") & _any_contains(q, COACHING_KEYWORDS)
+    base = questions.join(m, "question_id", "left")
+    step1 = one_value(has_coaching, "has_coaching") & _any_contains(q, COACHING_KEYWORDS)
     route = (
         F.when(step1 & q.contains("top") & q.contains("theme"), F.lit("top_themes"))
         .when(step1 & F.col("agent").isNotNull(), F.lit("agent_needs"))
@@ -134,17 +135,18 @@ def answer_questions(questions: DataFrame, turns: DataFrame, cache: DataFrame) -
         F.countDistinct("agent").alias("n_agents"),
         F.avg(F.when(~F.isnan(s), s)).alias("avg_s"),
     )
-    j = routed.join(needs, "agent", "left").crossJoin(top).crossJoin(metrics)  # one-row tables
+    j = routed.join(needs, "agent", "left")
+    top_answer, m = one_value(top, "top_answer"), one_row(metrics)  # one-row tables as values
     r = F.col("route")
     answer = (
-        F.when(r == "top_themes", F.col("top_answer"))
+        F.when(r == "top_themes", top_answer)
         .when(r == "agent_needs", F.col("needs_answer"))
-        .when(r == "count_calls", F.format_string(COUNT_CALLS_TEXT.replace("{n}", "%d"), F.col("n_calls")))
-        .when(r == "count_agents", F.format_string(COUNT_AGENTS_TEXT.replace("{n}", "%d"), F.col("n_agents")))
+        .when(r == "count_calls", F.format_string(COUNT_CALLS_TEXT.replace("{n}", "%d"), m["n_calls"]))
+        .when(r == "count_agents", F.format_string(COUNT_AGENTS_TEXT.replace("{n}", "%d"), m["n_agents"]))
         .when(
             r == "avg_sentiment",
-            F.when(F.col("avg_s").isNull(), F.lit(NO_SENTIMENT_TEXT)).otherwise(
-                F.format_string(AVG_SENTIMENT_TEXT.replace("{x}", "%.2f"), F.col("avg_s"))
+            F.when(m["avg_s"].isNull(), F.lit(NO_SENTIMENT_TEXT)).otherwise(
+                F.format_string(AVG_SENTIMENT_TEXT.replace("{x}", "%.2f"), m["avg_s"])
             ),
         )
         .when(r == "help", F.lit(HELP_TEXT))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callsight.functions.scalars import one_row, one_value
 from callsight.operators import themes as H
 
 # ---------------------------------------------------------------------------
@@ -149,10 +150,12 @@ def analytics_context(turns: DataFrame, theme_rows: DataFrame) -> DataFrame:
     """One row: agents, calls, mean sentiment, top 3 themes with share, priority split, and the text block."""
     s = F.col("sentiment_score")
     t = turns.agg(F.countDistinct("call_id").cast("bigint").alias("total_calls"), F.avg(F.when(~F.isnan(s), s)).alias("avg_sentiment"))
-    a = theme_rows.agg(F.countDistinct("agent").cast("bigint").alias("total_agents"))
-    p = H.priority_dist(theme_rows)
-    top = H.top_themes(theme_rows, 3).agg(F.array_sort(F.collect_list(F.struct("rank", "theme", "n"))).alias("top3"))  # 3 rows
-    row = t.crossJoin(a).crossJoin(p).crossJoin(top)  # one-row tables
+    # t is the one-row base; the other one-row tables are scalar subqueries.
+    n_agents = one_value(theme_rows.agg(F.countDistinct("agent").cast("bigint").alias("total_agents")))
+    p = one_row(H.priority_dist(theme_rows))
+    top3 = one_value(H.top_themes(theme_rows, 3).agg(F.array_sort(F.collect_list(F.struct("rank", "theme", "n"))).alias("top3")))  # 3 rows
+    row = t.select("total_calls", "avg_sentiment", n_agents.alias("total_agents"), p["high"].alias("high"), p["medium"].alias("medium"),
+                   p["low"].alias("low"), top3.alias("top3"))
     dist = F.array_join(
         F.transform(
             "top3",

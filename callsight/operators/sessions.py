@@ -9,9 +9,11 @@ folder (a path the caller gives, e.g. under the cluster's checkpoint dir).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from callsight.functions.scalars import one_value
+
 # The fingerprint covers the first 100 rows, 12 hex characters.
 FINGERPRINT_ROWS = 100
 FINGERPRINT_CHARS = 12
@@ -40,15 +42,23 @@ def dataset_fingerprint(turns: DataFrame, order: tuple[str, ...] = ("call_id", "
     return agg.select(F.substring(F.md5(text), 1, FINGERPRINT_CHARS).alias("file_hash"))
 
 
+def _value(x: str | Column) -> Column:
+    return F.lit(x) if isinstance(x, str) else x
+
+
 def save_session(
     insights: DataFrame,
     path: str,
-    file_hash: str,
+    file_hash: str | Column,
     session_ts: str,
     model_used: str,
     filter_criteria: dict[str, str] | None = None,
 ) -> None:
-    """Append one session (all its agents) to the store."""
+    """Append one session (all its agents) to the store.
+
+    ``file_hash`` is a literal or a one-value column such as
+    ``one_value(dataset_fingerprint(turns))`` (computed on the cluster).
+    """
     crit = filter_criteria or {}
     crit_col = (
         F.create_map(*[x for k, v in sorted(crit.items()) for x in (F.lit(k), F.lit(str(v)))])
@@ -56,7 +66,7 @@ def save_session(
         else F.create_map().cast("map<string,string>")
     )
     out = insights.select(
-        F.lit(file_hash).alias("file_hash"),
+        _value(file_hash).alias("file_hash"),
         F.to_timestamp(F.lit(session_ts)).alias("session_ts"),
         F.lit(model_used).alias("model_used"),
         crit_col.alias("filter_criteria"),
@@ -69,9 +79,9 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def latest_session(spark: SparkSession, path: str, file_hash: str) -> DataFrame:
-    """Rows of the newest session of ``file_hash`` (partition-pruned); empty if none."""
-    s = read_sessions(spark, path).where(F.col("file_hash") == file_hash)
+def latest_session(spark: SparkSession, path: str, file_hash: str | Column) -> DataFrame:
+    """Rows of the newest session of ``file_hash`` (partition-pruned, also for a subquery value); empty if none."""
+    s = read_sessions(spark, path).where(F.col("file_hash") == _value(file_hash))
     newest = s.agg(F.max("session_ts").alias("session_ts"))  # one row
     return s.join(newest, "session_ts", "left_semi")
 
@@ -85,14 +95,14 @@ def list_sessions(spark: SparkSession, path: str, limit: int | None = LIST_LIMIT
     return s.limit(limit) if limit else s
 
 
-def delete_session(spark: SparkSession, path: str, file_hash: str, session_ts: str, out_path: str) -> DataFrame:
+def delete_session(spark: SparkSession, path: str, file_hash: str | Column, session_ts: str, out_path: str) -> DataFrame:
     """Write the store without one session to ``out_path`` (only the touched partition changes).
 
     Writing to a new path (then swapping) keeps the job restartable; the
     dynamic partition overwrite rewrites only the ``file_hash`` partition.
     """
     s = read_sessions(spark, path)
-    kept = s.where(~((F.col("file_hash") == file_hash) & (F.col("session_ts") == F.to_timestamp(F.lit(session_ts)))))
+    kept = s.where(~((F.col("file_hash") == _value(file_hash)) & (F.col("session_ts") == F.to_timestamp(F.lit(session_ts)))))
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     kept.write.mode("overwrite").partitionBy("file_hash").parquet(out_path)
     return spark.read.parquet(out_path)
@@ -106,9 +116,9 @@ def previous_agents(session: DataFrame) -> DataFrame:
 def session_metadata(turns: DataFrame, insights: DataFrame, processed_at: str, model_used: str) -> DataFrame:
     """One row: processed_at, model_used, distinct calls, agents in the insights."""
     c = turns.agg(F.countDistinct("call_id").cast("bigint").alias("total_calls"))
-    a = insights.agg(F.countDistinct("agent").cast("bigint").alias("total_agents"))
-    return c.crossJoin(a).select(  # one-row tables
-        F.lit(processed_at).alias("processed_at"), F.lit(model_used).alias("model_used"), "total_calls", "total_agents"
+    a = one_value(insights.agg(F.countDistinct("agent").cast("bigint").alias("total_agents")))
+    return c.select(
+        F.lit(processed_at).alias("processed_at"), F.lit(model_used).alias("model_used"), "total_calls", a.alias("total_agents")
     )
 
 

@@ -80,6 +80,7 @@ def theme_lexicon(spark: SparkSession) -> DataFrame:
 from pyspark.sql import Column, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from callsight.functions.scalars import one_row, one_value  # noqa: E402
 from callsight.operators.ordinal import with_global_ordinal  # noqa: E402
 
 # Fixed values that must equal the reference: priority weights, segment
@@ -137,11 +138,9 @@ def _pillar_names() -> Column:
 
 def theme_counts(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
     """Rows per theme and pct = rows / total agents × 100."""
-    n_agents = agents_of(theme_rows, agents).agg(F.count(F.lit(1)).alias("n_agents"))
+    n_agents = one_value(agents_of(theme_rows, agents).agg(F.count(F.lit(1)).alias("n_agents")))
     counts = theme_rows.groupBy("theme").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    return counts.crossJoin(n_agents).select(  # one-row total
-        "theme", "n", _r6(F.col("n") * 100.0 / F.col("n_agents")).alias("pct")
-    )
+    return counts.select("theme", "n", _r6(F.col("n") * 100.0 / n_agents).alias("pct"))
 
 
 def priority_dist(theme_rows: DataFrame) -> DataFrame:
@@ -319,14 +318,14 @@ def agent_ranking(theme_rows: DataFrame, agents: DataFrame | None = None, per_pa
     """
     c = agent_theme_counts(theme_rows, agents)
     ranked = with_global_ordinal(c, [F.desc("n_high"), F.desc("n_medium"), F.asc("agent")], "rank")
-    total = c.agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.crossJoin(total).select(  # one-row total
+    total = one_value(c.agg(F.count(F.lit(1)).alias("_n")))
+    return ranked.select(
         "agent",
         "n_high",
         "n_medium",
         "rank",
         (F.floor((F.col("rank") - 1) / per_page) + 1).cast("bigint").alias("page"),
-        F.ceil(F.col("_n") / per_page).cast("bigint").alias("total_pages"),
+        F.ceil(total / per_page).cast("bigint").alias("total_pages"),
     )
 
 
@@ -436,12 +435,12 @@ def report_header(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | N
         F.countDistinct("call_id").cast("bigint").alias("total_calls"),
         _r6(F.avg(F.when(~F.isnan(s), s))).alias("avg_sentiment"),
     )
-    a = agents_of(theme_rows, agents).agg(F.count(F.lit(1)).cast("bigint").alias("total_agents"))
-    th = theme_rows.agg(F.count(F.lit(1)).cast("bigint").alias("total_themes"))
-    return t.crossJoin(a).crossJoin(th).select(  # one-row tables
+    a = one_value(agents_of(theme_rows, agents).agg(F.count(F.lit(1)).cast("bigint").alias("total_agents")))
+    th = one_value(theme_rows.agg(F.count(F.lit(1)).cast("bigint").alias("total_themes")))
+    return t.select(
         "total_calls",
-        "total_agents",
-        "total_themes",
+        a.alias("total_agents"),
+        th.alias("total_themes"),
         "avg_sentiment",
         F.when(F.col("avg_sentiment") > 0, F.format_string("%.2f", F.col("avg_sentiment"))).otherwise(F.lit(NO_THEME)).alias(
             "avg_sentiment_text"
@@ -455,27 +454,31 @@ def exec_summary(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | No
     p = priority_dist(theme_rows)
     top3 = top_themes(theme_rows, 3).agg(
         F.array_sort(F.collect_list(F.struct("rank", "theme", "n"))).alias("t")  # ≤ 3 rows
-    ).select(F.transform("t", lambda x: F.struct(x["theme"].alias("theme"), x["n"].alias("n"))).alias("top_themes"))
+    ).select(
+        F.array_join(F.transform("t", lambda x: F.concat(x["theme"], F.lit(" ("), x["n"].cast("string"), F.lit(" agents)"))), ", ").alias(
+            "text"
+        ),
+        F.coalesce(F.col("t")[0]["theme"], F.lit("")).alias("focus"),
+    )
     tp = top_pillar(theme_rows)
     seg = agent_theme_counts(theme_rows, agents).agg(
         F.sum(F.when(F.col("n_themes") >= 4, 1).otherwise(0)).cast("bigint").alias("priority_coaching"),
         F.sum(F.when((F.col("n_themes") >= 2) & (F.col("n_themes") < 4), 1).otherwise(0)).cast("bigint").alias("moderate"),
     )
-    out = h.crossJoin(p).crossJoin(top3).crossJoin(tp).crossJoin(seg)  # all one-row
-    return out.select(
+    # h is the one-row base; the other one-row tables are scalar subqueries.
+    p, tp, seg, top3 = one_row(p), one_row(tp), one_row(seg), one_row(top3)
+    return h.select(
         "total_calls",
         "total_agents",
         "avg_sentiment",
-        F.col("high").alias("high_themes"),
-        F.col("medium").alias("medium_themes"),
-        F.col("low").alias("low_themes"),
-        F.array_join(F.transform("top_themes", lambda x: F.concat(x["theme"], F.lit(" ("), x["n"].cast("string"), F.lit(" agents)"))), ", ").alias(
-            "top_themes_text"
-        ),
-        F.coalesce(F.col("top_themes")[0]["theme"], F.lit("")).alias("focus_theme"),
-        "top_pillar",
-        "top_pillar_n",
-        (F.col("total_agents") - F.col("priority_coaching") - F.col("moderate")).alias("high_performers"),
-        "moderate",
-        "priority_coaching",
+        p["high"].alias("high_themes"),
+        p["medium"].alias("medium_themes"),
+        p["low"].alias("low_themes"),
+        top3["text"].alias("top_themes_text"),
+        top3["focus"].alias("focus_theme"),
+        tp["top_pillar"].alias("top_pillar"),
+        tp["top_pillar_n"].alias("top_pillar_n"),
+        (F.col("total_agents") - seg["priority_coaching"] - seg["moderate"]).alias("high_performers"),
+        seg["moderate"].alias("moderate"),
+        seg["priority_coaching"].alias("priority_coaching"),
     )

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callsight.functions.scalars import one_value
 from callsight.operators import agents as A
 from callsight.operators import transcripts as P
 from callsight.plans import fixtures as X
@@ -654,11 +655,14 @@ register(
 TS_OLD, TS_NEW = "2025-02-07 12:00:00", "2025-02-07 13:00:00"
 
 
-def _session_store(spark: SparkSession, sf: str) -> tuple[str, str]:
-    """Two sessions of the F3 insights: an older one (even agents) and a newer one (all)."""
+def _session_store(spark: SparkSession, sf: str):
+    """Two sessions of the F3 insights: an older one (even agents) and a newer one (all).
+
+    The fingerprint stays on the cluster: it is a one-value subquery in the writes and reads.
+    """
     path = scratch_path(spark, "sessions")
     ins = X.insights_from_theme_rows(theme_rows(spark, sf))
-    fh = K.dataset_fingerprint(turns(spark, sf)).first()["file_hash"]  # one 12-char value
+    fh = one_value(K.dataset_fingerprint(turns(spark, sf)))
     K.save_session(ins.where(F.substring("agent", -1, 1).cast("int") % 2 == 0), path, fh, TS_OLD, MODEL, {"min_calls": "10"})
     K.save_session(ins, path, fh, TS_NEW, MODEL, {"min_calls": "10", "sentiment_priority": "True"})
     return path, fh

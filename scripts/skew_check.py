@@ -49,7 +49,7 @@ def main() -> None:
 
     ensure_checkpoint_dir(spark)
     calls = C.calls(spark, sf_dir)
-    rep = calls.crossJoin(spark.range(replicas).withColumnRenamed("id", "rep")).select(  # fixed replica count
+    rep = calls.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).select(  # fixed replica count
         F.concat_ws("-", "call_id", F.col("rep").cast("string")).alias("call_id"),
         F.when(F.col("rep") % 3 == 0, F.lit("HOT")).otherwise(F.col("agent")).alias("agent"),
         "transcript",
