@@ -1,0 +1,64 @@
+"""Restricting a large table to a key set whose size is only known at run time.
+
+The review flow keeps the turns of a few calls per agent. The key set is
+small per agent, but the number of agents grows with the data, so it is
+measured before it is broadcast: the keys are materialised once (reliable
+checkpoint in the shared checkpoint folder), their bytes are summed on the
+cluster, and only that one number reaches the driver. Under the session's
+broadcast threshold the large side is filtered map-side with no shuffle;
+above it, a shuffle join on the keys themselves is used, which spreads a hot
+agent over its call ids.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+# Per key row: hash-table entry and row header on top of the key bytes.
+ROW_OVERHEAD_BYTES = 32
+
+
+def _to_bytes(text: str | None) -> int | None:
+    if text is None:
+        return None
+    m = re.fullmatch(r"\s*(-?\d+)\s*([a-zA-Z]*)\s*", str(text))
+    if not m:
+        return None
+    n = int(m.group(1))
+    return n if n < 0 else n * _UNITS.get(m.group(2).lower(), 1)
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """The session's broadcast threshold in bytes (AQE's own threshold when set); negative = never broadcast."""
+    adaptive = _to_bytes(spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None))
+    if adaptive is not None:
+        return adaptive
+    static = _to_bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    return static if static is not None else 10 << 20
+
+
+def keys_size_bytes(keys: DataFrame) -> int:
+    """Bytes of the key rows (string/binary lengths plus a fixed per-row overhead), summed on the cluster."""
+    width = F.lit(ROW_OVERHEAD_BYTES)
+    for c in keys.columns:
+        width = width + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    return int(keys.agg(F.sum(width).alias("b")).first()["b"] or 0)  # one number
+
+
+def restrict_to_keys(big: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi", materialise: bool = True) -> DataFrame:
+    """``big`` semi- (or anti-) joined with ``keys`` on ``on``; broadcast only after a size check.
+
+    ``materialise=False`` when ``keys`` is already a written or checkpointed
+    table (it is then read twice: once measured, once joined).
+    """
+    k = keys.select(*on)
+    if materialise:
+        k = k.checkpoint(eager=True)
+    limit = broadcast_limit(big.sparkSession)
+    if limit >= 0 and keys_size_bytes(k) <= limit:
+        return big.join(F.broadcast(k), on, how)
+    return big.join(k, on, how)

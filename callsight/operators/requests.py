@@ -160,8 +160,8 @@ def first_calls(turns: DataFrame, n: int = LEGACY_MAX_CALLS) -> DataFrame:
 
 def call_digest_wide(turns: DataFrame, n_calls: int = LEGACY_MAX_CALLS) -> DataFrame:
     """Older digest variant: first ``n_calls`` calls per agent, whole messages, 'issues/responses' labels."""
-    calls = first_calls(turns, n_calls)
-    review = turns.join(calls, ["agent", "call_id"], "left_semi")
+    calls = first_calls(turns, n_calls).checkpoint(eager=True)  # ≤ n_calls rows per agent, used twice
+    review = S.selected_turns(turns, calls, materialise=False)
     return call_digest(review, calls, None, LEGACY_CUSTOMER_LABEL, LEGACY_AGENT_LABEL)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsight.operators import agents as A
+from callsight.operators.joins import restrict_to_keys
 from callsight.operators.ordinal import with_global_ordinal
 
 
@@ -42,8 +43,19 @@ def new_agents(turns: DataFrame, previous_agents: DataFrame, min_calls: int = 10
 
 
 def filter_to_agents(turns: DataFrame, agents: DataFrame) -> DataFrame:
-    """Turns of the listed agents (semi join; AQE broadcasts the list when it is small)."""
-    return turns.join(agents.select("agent").distinct(), "agent", "left_semi")
+    """Turns of the listed agents (semi join; the list is broadcast only if its measured size allows)."""
+    return restrict_to_keys(turns, agents.select("agent").distinct(), ["agent"])
+
+
+def call_means(turns: DataFrame) -> DataFrame:
+    """Per (agent, call): mean sentiment with NaN skipped (null when unscored); null agents dropped.
+
+    One row per call: the table every per-agent selection below works on.
+    """
+    s = F.col("sentiment_score")
+    return turns.where(F.col("agent").isNotNull()).groupBy("agent", "call_id").agg(
+        F.avg(F.when(~F.isnan(s), s)).alias("avg_sentiment")
+    )
 
 
 def worst_calls(turns: DataFrame, k: int = 5) -> DataFrame:
@@ -53,10 +65,10 @@ def worst_calls(turns: DataFrame, k: int = 5) -> DataFrame:
     are taken instead. When an agent has some scores, unscored calls are not
     candidates. Output: agent, call_id, avg_sentiment (null if unscored), rank.
     """
-    s = F.col("sentiment_score")
-    per_call = turns.where(F.col("agent").isNotNull()).groupBy("agent", "call_id").agg(
-        F.avg(F.when(~F.isnan(s), s)).alias("avg_sentiment")
-    )
+    return _worst_of(call_means(turns), k)
+
+
+def _worst_of(per_call: DataFrame, k: int) -> DataFrame:
     # Scored calls sort first, so "the agent has a scored call" is visible in
     # its top k alone; the ranking keeps at most k rows per agent per task.
     w = Window.partitionBy("agent").orderBy(F.col("avg_sentiment").asc_nulls_last(), F.col("call_id"))
@@ -71,16 +83,37 @@ def worst_calls(turns: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def selected_turns(turns: DataFrame, selected_calls: DataFrame) -> DataFrame:
-    """Turns of the selected (agent, call) pairs."""
-    return turns.join(selected_calls.select("agent", "call_id"), ["agent", "call_id"], "left_semi")
+def selected_turns(turns: DataFrame, selected_calls: DataFrame, materialise: bool = True) -> DataFrame:
+    """Turns of the selected (agent, call) pairs.
+
+    The pairs are measured and broadcast when they fit (the turn scan is
+    then filtered map-side, no shuffle of turns); otherwise the join
+    shuffles on (agent, call_id), a call-level key with no hot agent.
+    """
+    return restrict_to_keys(turns, selected_calls, ["agent", "call_id"], materialise=materialise)
+
+
+def review_calls(turns: DataFrame, min_calls: int = 10, k: int = 5, previous_agents: DataFrame | None = None) -> DataFrame:
+    """The worst ``k`` calls of every eligible (and, given earlier sessions, new) agent.
+
+    Everything happens on the one-row-per-call table: per agent the top k
+    (partial WindowGroupLimit before the shuffle) and the call count
+    (partial aggregation), then the ≤ k rows per agent are filtered to the
+    eligible agents. Both sides of that filter have at most k rows per
+    agent, so no join here ever sees a hot agent's calls, let alone its turns.
+    """
+    per_call = call_means(turns)
+    counts = per_call.groupBy("agent").agg(F.count("call_id").alias("n_calls"))
+    agents = counts.where(F.col("n_calls") >= min_calls).select("agent")
+    if previous_agents is not None:
+        prev = previous_agents.select("agent").where(F.col("agent").isNotNull()).distinct()
+        agents = agents.join(prev, "agent", "left_anti")
+    return _worst_of(per_call, k).join(agents, "agent", "left_semi")
 
 
 def review_turns(turns: DataFrame, min_calls: int = 10, k: int = 5, previous_agents: DataFrame | None = None) -> DataFrame:
     """Eligible (and new) agents → their worst ``k`` calls → those calls' turns."""
-    agents = eligible_agents(turns, min_calls) if previous_agents is None else new_agents(turns, previous_agents, min_calls)
-    scoped = filter_to_agents(turns, agents)
-    return selected_turns(scoped, worst_calls(scoped, k))
+    return selected_turns(turns, review_calls(turns, min_calls, k, previous_agents))
 
 
 def first_messages(turns: DataFrame, n: int = 3, speakers: tuple[str, ...] = ("agent", "customer")) -> DataFrame:

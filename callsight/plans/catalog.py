@@ -428,9 +428,8 @@ def stored_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def _review(spark: SparkSession, sf: str):
     t = stored_turns(spark, sf)
-    scoped = S.filter_to_agents(t, S.eligible_agents(t, MIN_CALLS))
-    sel = S.worst_calls(scoped, 5)
-    return S.selected_turns(scoped, sel), sel
+    sel = S.review_calls(t, MIN_CALLS, 5).checkpoint(eager=True)  # ≤ 5 rows per agent, used twice
+    return S.selected_turns(t, sel, materialise=False), sel
 
 
 def _digests(spark: SparkSession, sf: str):
