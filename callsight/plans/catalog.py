@@ -480,7 +480,57 @@ register(
 )(lambda spark, sf: R.call_digest_wide(stored_turns(spark, sf)))
 
 
-@register("agent_prompt_wide")
+def _digest_ctes(head: str, short: str, cust_label: str, agent_label: str) -> str:
+    """The digest query with its final select as a CTE ``dg`` (agent, call_id, call_no, digest)."""
+    body = DIGEST_SQL.format(short=short, cust_label=cust_label, agent_label=agent_label)
+    marker = "\nSELECT o.agent, o.call_id, o.call_no,"
+    assert marker in body
+    return head + body.replace(marker, ",\n  dg AS (SELECT o.agent, o.call_id, o.call_no,") + ")"
+
+
+def _prompt_select(legacy: bool, n_calls_sql: str, extra_from: str = "", group: str = "dg.agent") -> str:
+    from callsight.operators.themes import DEFAULT_THEMES
+
+    themes = ", ".join(DEFAULT_THEMES if legacy else DEFAULT_THEMES[: R.PROMPT_THEME_LIMIT])
+    exprs = {
+        "themes": O.quote_sql(themes),
+        "agent": "dg.agent",
+        "n_calls": f"cast({n_calls_sql} AS varchar)",
+        "digests": "string_agg(dg.digest, chr(10) ORDER BY dg.call_no)",
+    }
+    sys_t = R.LEGACY_SYSTEM_PROMPT_TEMPLATE if legacy else R.SYSTEM_PROMPT_TEMPLATE
+    usr_t = R.LEGACY_USER_PROMPT_TEMPLATE if legacy else R.USER_PROMPT_TEMPLATE
+    return f"""SELECT dg.agent AS agent, cast({n_calls_sql} AS bigint) AS n_calls,
+  {O.text_template(sys_t, exprs)} AS system_prompt,
+  {O.text_template(usr_t, exprs)} AS user_prompt
+FROM dg {extra_from} GROUP BY {group}"""
+
+
+PROMPT_DIGESTS_SQL = _digest_ctes(
+    TC.rstrip("\n") + ",\n" + SCOPED_SQL,
+    "CASE WHEN length(message) > 100 THEN substr(message, 1, 100) || '...' ELSE message END",
+    "Customer",
+    "Agent",
+)
+PROMPTS_SQL = PROMPT_DIGESTS_SQL + "\n" + _prompt_select(False, "count(*)")
+WIDE_PROMPTS_SQL = (
+    _digest_ctes(TC.rstrip("\n") + ",\n" + WIDE_SQL, "message", "Customer issues", "Agent responses")
+    + f",\n  cc AS ({AGENT_CALLS_SQL})\n"
+    + _prompt_select(True, "cc.n_calls", "JOIN cc ON cc.agent = dg.agent", "dg.agent, cc.n_calls")
+)
+REQUESTS_SQL = (
+    PROMPT_DIGESTS_SQL
+    + ",\n  pr AS ("
+    + _prompt_select(False, "count(*)")
+    + f""")
+SELECT agent, cast(floor((row_number() OVER (ORDER BY agent) - 1) / 20) + 1 AS bigint) AS batch_no,
+  to_json({{'model': '{MODEL}', 'messages': [{{'role': 'system', 'content': system_prompt}}, {{'role': 'user', 'content': user_prompt}}],
+    'temperature': cast(0.3 AS double), 'max_tokens': 2000, 'response_format': {{'type': 'json_object'}}}})::varchar AS payload
+FROM pr"""
+)
+
+
+@register("agent_prompt_wide", WIDE_PROMPTS_SQL)
 def _prompts_wide(spark: SparkSession, sf: str):
     from callsight.operators.themes import DEFAULT_THEMES
 
@@ -494,10 +544,10 @@ def _prompts(spark: SparkSession, sf: str):
     return R.agent_prompts(_digests(spark, sf), DEFAULT_THEMES)
 
 
-register("agent_prompt")(_prompts)
+register("agent_prompt", PROMPTS_SQL)(_prompts)
 
 
-@register("request_rows")
+@register("request_rows", REQUESTS_SQL)
 def _request_rows(spark: SparkSession, sf: str):
     p = _prompts(spark, sf)
     return R.request_rows(p, S.agent_batches(p.select("agent"), 20), MODEL)
@@ -707,7 +757,11 @@ register(
       (SELECT cast(count(DISTINCT agent) AS bigint) FROM theme_rows) AS total_agents""",
 )(lambda spark, sf: K.session_metadata(turns(spark, sf), X.insights_from_theme_rows(theme_rows(spark, sf)), RUN_STAMP, MODEL))
 
-register("insights_json")(lambda spark, sf: K.insights_json(X.insights_from_theme_rows(theme_rows(spark, sf))))
+INS_CTES = THC.rstrip("\n") + ",\n" + O.INSIGHTS.strip() + "\n"
+register(
+    "insights_json",
+    INS_CTES + "SELECT agent, to_json({'coaching_themes': coaching_themes, 'strengths': strengths})::varchar AS insights_json FROM ins",
+)(lambda spark, sf: K.insights_json(X.insights_from_theme_rows(theme_rows(spark, sf))))
 
 # -- sources and sinks -----------------------------------------------------------
 
@@ -856,15 +910,62 @@ FROM firsts f""",
 )(lambda spark, sf: RP.agent_profile(theme_rows(spark, sf)))
 
 
+PLAN_DATE = "February 07, 2025"
+_EQ, _DASH = "repeat('=', 60)", "repeat('-', 60)"
+PLAN_SQL = THC.rstrip("\n") + f""",
+  blocks AS (
+    SELECT agent, theme_pos,
+      chr(10) || cast(row_number() OVER (PARTITION BY agent ORDER BY theme_pos) AS varchar) || '. ' || upper(theme) || chr(10) ||
+      '   Priority: ' || CASE priority WHEN 'high' THEN '[HIGH PRIORITY]' WHEN 'medium' THEN '[MEDIUM PRIORITY]'
+        WHEN 'low' THEN '[LOW PRIORITY]' ELSE '[LOW]' END || chr(10) ||
+      '   ' || chr(10) || '   Recommendation:' || chr(10) || '   ' || recommendation || chr(10) ||
+      CASE WHEN len(examples) > 0 THEN '   ' || chr(10) || '   Examples:' || chr(10) || '   • ' || examples[1] || chr(10) ||
+        CASE WHEN len(examples) > 1 THEN '   • ' || examples[2] || chr(10) ELSE '' END ELSE '' END ||
+      chr(10) || {_DASH} || chr(10) AS block
+    FROM theme_rows),
+  plans AS (
+    SELECT agent,
+      'COACHING PLAN FOR ' || upper(agent) || chr(10) || {_EQ} || chr(10) || chr(10) || 'SUMMARY' || chr(10) ||
+      '   • Calls Analyzed: 0' || chr(10) || '   • Date Generated: {PLAN_DATE}' || chr(10) || chr(10) ||
+      {_EQ} || chr(10) || chr(10) || 'COACHING THEMES' || chr(10) ||
+      string_agg(block, '' ORDER BY theme_pos) ||
+      chr(10) || 'STRENGTHS' || chr(10) || '   • Strength ' || cast({O.AGENT_NO} % 3 AS varchar) || chr(10) ||
+      chr(10) || {_EQ} || chr(10) ||
+      chr(10) || {O.quote_sql(RP.DEFAULT_FOOTER)} || chr(10) AS plan_text
+    FROM blocks GROUP BY agent)
+"""
+
+
 def _plans(spark: SparkSession, sf: str):
     tr = theme_rows(spark, sf)
     ins = X.insights_from_theme_rows(tr)
-    return RP.coaching_plan_text(tr, ins.select("agent", "strengths"), run_date="February 07, 2025")
+    return RP.coaching_plan_text(tr, ins.select("agent", "strengths"), run_date=PLAN_DATE)
 
 
-register("coaching_plan_text")(_plans)
-register("mailto_link")(lambda spark, sf: RP.mailto_link(_plans(spark, sf)))
-register("response_content")(lambda spark, sf: V.response_content(_responses(spark, sf)))
+register("coaching_plan_text", PLAN_SQL + "SELECT agent, plan_text FROM plans")(_plans)
+
+_URL = "replace(url_encode({x}), '%2F', '/')"  # the standard quoting rules keep '/'
+register(
+    "mailto_link",
+    PLAN_SQL
+    + "SELECT agent, 'mailto:?subject=' || "
+    + _URL.format(x="'Coaching Plan - ' || agent")
+    + " || '&body=' || "
+    + _URL.format(x="plan_text")
+    + " AS mailto FROM plans",
+)(lambda spark, sf: RP.mailto_link(_plans(spark, sf)))
+
+_PLAIN = "to_json({'coaching_themes': coaching_themes, 'strengths': strengths})::varchar"
+register(
+    "response_content",
+    INS_CTES
+    + f"""SELECT agent,
+      CASE {CLASS_SQL} WHEN 2 THEN 'error' WHEN 3 THEN 'no_choices' WHEN 7 THEN 'no_response' END AS status,
+      CASE {CLASS_SQL} WHEN 0 THEN {_PLAIN} WHEN 1 THEN {_PLAIN}
+        WHEN 4 THEN substr({_PLAIN}, 1, length({_PLAIN}) - 1) WHEN 5 THEN '[]'
+        WHEN 6 THEN to_json({{'coaching_themes': odd_themes, 'strengths': strengths}})::varchar END AS content
+    FROM ins""",
+)(lambda spark, sf: V.response_content(_responses(spark, sf)))
 
 register(
     "cache_count",

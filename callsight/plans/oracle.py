@@ -88,3 +88,36 @@ def with_ctes(*ctes: str) -> str:
 
 TURN_CTES = with_ctes(TURNS_SRC, TURNS)
 THEME_CTES = with_ctes(lexicon_values(), THEME_ROWS)
+
+
+def text_template(template: str, exprs: dict[str, str]) -> str:
+    """A text template as a DuckDB string expression: literal pieces quoted, ``{name}`` replaced by SQL."""
+    import re
+
+    parts = re.split(r"\{(" + "|".join(re.escape(k) for k in exprs) + r")\}", template)
+    out = []
+    for i, part in enumerate(parts):
+        if i % 2:
+            out.append(f"({exprs[part]})")
+        elif part:
+            out.append("'" + part.replace("'", "''") + "'")
+    return " || ".join(out) if out else "''"
+
+
+def quote_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# F3 insights nested per agent (themes in list order, one strength each) and
+# the serialised forms the response fixture builds from them.
+AGENT_NO = "cast(right(agent, 5) AS int)"
+INSIGHTS = f"""
+ins AS (
+  SELECT agent,
+    list({{'theme': theme, 'priority': priority, 'frequency': frequency, 'examples': examples,
+          'recommendation': recommendation}} ORDER BY theme_pos) AS coaching_themes,
+    list({{'theme': theme, 'priority': 'urgent', 'frequency': cast(frequency AS varchar), 'examples': examples,
+          'recommendation': recommendation}} ORDER BY theme_pos) AS odd_themes,
+    ['Strength ' || cast({AGENT_NO} % 3 AS varchar)] AS strengths
+  FROM theme_rows GROUP BY agent
+)"""
