@@ -110,9 +110,10 @@ def answer_questions(questions: DataFrame, turns: DataFrame, cache: DataFrame) -
             F.array_join(F.transform("t", lambda x: F.concat(F.lit("- "), x["theme"], F.lit(": "), x["n"].cast("string"), F.lit(" agents"))), "\n"),
         ).alias("top_answer")
     )
+    # Needs texts for every agent (≤ 3 themes each); the left join below keeps
+    # the mentioned ones, so the routing is planned once, not again as a filter.
     needs = (
         H.agent_needs(cache, 3)
-        .join(routed.where(F.col("route") == "agent_needs").select("agent").distinct(), "agent", "left_semi")
         .groupBy("agent")
         .agg(F.array_sort(F.collect_list(F.struct("need_rank", "theme", "priority", "recommendation"))).alias("n"))  # ≤ 3
         .select(

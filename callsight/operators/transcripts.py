@@ -9,6 +9,8 @@ by definition, so each is processed whole; nothing is grouped.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +98,18 @@ def clean_turns(t: Column, redact: bool = True) -> Column:
     )
 
 
+@lru_cache(maxsize=16)
+def _clean_turns_of(column: str, redact: bool) -> Column:
+    """``clean_turns`` of a named column, built once per process.
+
+    The expression is a constant tree of a few thousand nodes; building it
+    is driver work that does not depend on the data, like compiling a
+    regex once. Column expressions are unresolved, so one instance serves
+    every plan (and session) that has a column of that name.
+    """
+    return clean_turns(F.col(column), redact=redact)
+
+
 def parse_turns(calls: DataFrame, keep_original: bool = False, redact: bool = True) -> DataFrame:
     """``calls(call_id, agent, transcript, sentiment_score)`` → turn table.
 
@@ -110,7 +124,7 @@ def parse_turns(calls: DataFrame, keep_original: bool = False, redact: bool = Tr
         "agent",
         "sentiment_score",
         *extra,
-        F.posexplode(clean_turns(F.col("transcript"), redact=redact)).alias("turn_idx", "t"),
+        F.posexplode(_clean_turns_of("transcript", redact)).alias("turn_idx", "t"),
     )
     return exploded.select(
         "call_id",
@@ -135,7 +149,7 @@ def parse_summary(calls: DataFrame) -> DataFrame:
         "call_id",
         "agent",
         T.detect_format("transcript").alias("format"),
-        F.coalesce(F.size(clean_turns(F.col("transcript"), redact=False)), F.lit(0)).cast("bigint").alias("n_turns"),
+        F.coalesce(F.size(_clean_turns_of("transcript", False)), F.lit(0)).cast("bigint").alias("n_turns"),
     ).withColumn("n_turns", F.greatest(F.col("n_turns"), F.lit(0)).cast("bigint"))
 
 
