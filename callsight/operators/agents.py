@@ -92,36 +92,54 @@ def flow_stats(turns: DataFrame) -> DataFrame:
     )
 
 
-def agent_dashboard(turns: DataFrame, low_threshold: float = 0.5, rounded: bool = True) -> DataFrame:
-    """agent_stats LEFT JOIN sentiment_stats LEFT JOIN flow_stats on agent, from one pass over the turns.
-
-    The three per-agent tables share their first grouping level, so they are
-    computed as one two-level aggregation: per (agent, call) the turn counts,
-    length sum and the set of distinct sentiment values (bounded by the
-    call's turns), then per agent. One scan, two shuffles, partial
-    aggregation at both levels; the null agent is its own group as in SQL.
-    Agents without any sentiment get nulls, as the left join would.
-    ``rounded`` applies the display rounding: length 1, sentiment 2, turns 1,
-    ratio as percent with 1 decimal (half-even on the binary value, like pandas).
+def _per_call(turns: DataFrame, low_threshold: float) -> DataFrame:
+    """Per (agent, call): turn counts, length sum, and sum / count / low count of its DISTINCT sentiments.
+
+    Two grouping levels, sums and counts only: first per (agent, call,
+    sentiment value) — one row per distinct value, NaN folded into null —
+    then per (agent, call). Both levels aggregate partially before their
+    shuffle, and nothing is collected, so a call id shared by a third of
+    all rows is still just a running sum.
     """
     s = F.col("sentiment_score")
-    per_call = turns.groupBy("agent", "call_id").agg(
+    by_value = turns.groupBy("agent", "call_id", F.when(~F.isnan(s), s).alias("s")).agg(
         F.count(F.lit(1)).alias("n"),
         _cnt(F.col("speaker") == "agent").alias("n_agent"),
         _cnt(F.col("speaker") == "customer").alias("n_customer"),
         F.sum(F.length("message")).alias("len_sum"),
-        F.collect_set(F.when(~F.isnan(s), s)).alias("sents"),
     )
-    vals = F.col("sents")
-    per_agent = per_call.groupBy("agent").agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_calls"),
+    v = F.col("s")
+    return by_value.groupBy("agent", "call_id").agg(
+        F.sum("n").alias("n"),
+        F.sum("n_agent").alias("n_agent"),
+        F.sum("n_customer").alias("n_customer"),
+        F.sum("len_sum").alias("len_sum"),
+        F.sum(v).alias("s_sum"),
+        F.count(v).alias("s_n"),
+        F.count(F.when(v < low_threshold, 1)).alias("s_low"),
+    )
+
+
+def agent_dashboard(turns: DataFrame, low_threshold: float = 0.5, rounded: bool = True) -> DataFrame:
+    """agent_stats LEFT JOIN sentiment_stats LEFT JOIN flow_stats on agent, from one pass over the turns.
+
+    The three per-agent tables share their grouping levels, so they are
+    computed as one aggregation chain (``_per_call``, then per agent): one
+    scan, partial aggregation at every level, no join; the null agent is its
+    own group as in SQL. Agents without any sentiment get nulls, as the left
+    join would. ``rounded`` applies the display rounding: length 1,
+    sentiment 2, turns 1, ratio as percent with 1 decimal (half-even on the
+    binary value, like pandas).
+    """
+    per_agent = _per_call(turns, low_threshold).groupBy("agent").agg(
+        F.count("call_id").cast("bigint").alias("total_calls"),
         F.sum("n").cast("bigint").alias("total_messages"),
         F.sum("n_agent").cast("bigint").alias("agent_messages"),
         F.sum("n_customer").cast("bigint").alias("customer_messages"),
         (F.sum("len_sum").cast("double") / F.sum("n").cast("double")).alias("avg_message_length"),
-        F.sum(F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x)).alias("_s_sum"),
-        F.sum(F.size(vals)).alias("_s_n"),
-        F.sum(F.size(F.filter(vals, lambda x: x < low_threshold))).cast("bigint").alias("_s_low"),
+        F.sum("s_sum").alias("_s_sum"),
+        F.sum("s_n").alias("_s_n"),
+        F.sum("s_low").cast("bigint").alias("_s_low"),
         F.avg("n").alias("avg_turns"),
         F.avg(F.col("n_agent").cast("double") / F.col("n").cast("double")).alias("avg_response_ratio"),
     )
@@ -157,18 +175,15 @@ def agent_dashboard(turns: DataFrame, low_threshold: float = 0.5, rounded: bool
 def kpi_row(turns: DataFrame, low_threshold: float = 0.5) -> DataFrame:
     """One row: calls, agents, mean of per-agent mean sentiment (over distinct values), total messages.
 
-    One scan: turns → (agent, call) partial table; both the distinct-call
-    count and the per-agent means are computed from it.
+    One scan: turns → per-(agent, call) table; both the distinct-call count
+    and the per-agent means are computed from it.
     """
-    s = F.col("sentiment_score")
-    per_call = turns.groupBy("agent", "call_id").agg(
-        F.count(F.lit(1)).alias("n"), F.collect_set(F.when(~F.isnan(s), s)).alias("sents")
-    )
+    per_call = _per_call(turns, low_threshold)
     calls = per_call.agg(F.countDistinct("call_id").cast("bigint").alias("total_calls"))
     per_agent = per_call.groupBy("agent").agg(
         F.sum("n").alias("n"),
-        F.sum(F.aggregate("sents", F.lit(0.0), lambda acc, x: acc + x)).alias("_s_sum"),
-        F.sum(F.size("sents")).alias("_s_n"),
+        F.sum("s_sum").alias("_s_sum"),
+        F.sum("s_n").alias("_s_n"),
     )
     one = per_agent.agg(
         F.count("agent").cast("bigint").alias("total_agents"),

@@ -89,3 +89,27 @@ def test_question_routes(spark):
     empty = spark.createDataFrame([(False,)], "has_coaching boolean")
     top = Q.route_questions(qs.where("question_id = 1"), agents, empty).first()
     assert top.route == "llm"
+
+
+def test_dashboard_with_a_hot_call_id_matches_the_separate_tables(spark):
+    # One call id shared by many call rows with different sentiments (a third of the rows),
+    # plus ordinary calls: the one-pass dashboard must equal the three separate statistics.
+    rows = [("HOT", "A", i, "t", "agent" if i % 3 else "customer", "m" * (i % 7 + 1), float(i % 50) / 10) for i in range(300)]
+    rows += [(f"c{i}", "A" if i % 2 else "B", j, "t", "agent" if j % 2 else "customer", "x" * (j + 1), (i % 9) / 10 if i % 4 else None)
+             for i in range(60) for j in range(10)]
+    rows += [("n1", "B", 0, "t", "agent", "m", float("nan"))]
+    t = _turns(spark, rows)
+    dash = {r.agent: r for r in A.agent_dashboard(t, rounded=False).collect()}
+    stats = {r.agent: r for r in A.agent_stats(t).collect()}
+    sent = {r.agent: r for r in A.sentiment_stats(t).collect()}
+    flow = {r.agent: r for r in A.flow_stats(t).collect()}
+    assert set(dash) == set(stats) == {"A", "B"}
+    for a, d in dash.items():
+        assert (d.total_calls, d.total_messages, d.agent_messages, d.customer_messages) == (
+            stats[a].total_calls, stats[a].total_messages, stats[a].agent_messages, stats[a].customer_messages)
+        assert math.isclose(d.avg_message_length, stats[a].avg_message_length, abs_tol=1e-6)
+        assert math.isclose(d.avg_sentiment, sent[a].avg_sentiment, abs_tol=1e-6)
+        assert d.low_sentiment_calls == sent[a].low_sentiment_calls
+        assert math.isclose(d.avg_turns, flow[a].avg_turns, abs_tol=1e-6)
+        assert math.isclose(d.avg_response_ratio, flow[a].avg_response_ratio, abs_tol=1e-6)
+    assert sent["A"].low_sentiment_calls >= 5  # the hot call counts once per distinct value
