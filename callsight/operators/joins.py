@@ -42,23 +42,26 @@ def broadcast_limit(spark: SparkSession) -> int:
 
 
 def keys_size_bytes(keys: DataFrame) -> int:
-    """Bytes of the key rows (string/binary lengths plus a fixed per-row overhead), summed on the cluster."""
+    """Bytes of the rows (value lengths as text plus a fixed per-row overhead), summed on the cluster."""
     width = F.lit(ROW_OVERHEAD_BYTES)
     for c in keys.columns:
         width = width + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
     return int(keys.agg(F.sum(width).alias("b")).first()["b"] or 0)  # one number
 
 
-def restrict_to_keys(big: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi", materialise: bool = True) -> DataFrame:
-    """``big`` semi- (or anti-) joined with ``keys`` on ``on``; broadcast only after a size check.
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", materialise: bool = True) -> DataFrame:
+    """``big`` joined with ``small`` on ``on``; ``small`` is broadcast only after a size check.
 
-    ``materialise=False`` when ``keys`` is already a written or checkpointed
+    ``materialise=False`` when ``small`` is already a written or checkpointed
     table (it is then read twice: once measured, once joined).
     """
-    k = keys.select(*on)
-    if materialise:
-        k = k.checkpoint(eager=True)
+    k = small.checkpoint(eager=True) if materialise else small
     limit = broadcast_limit(big.sparkSession)
     if limit >= 0 and keys_size_bytes(k) <= limit:
         return big.join(F.broadcast(k), on, how)
     return big.join(k, on, how)
+
+
+def restrict_to_keys(big: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi", materialise: bool = True) -> DataFrame:
+    """``big`` semi- (or anti-) joined with the ``on`` columns of ``keys``; broadcast only after a size check."""
+    return join_checked(big, keys.select(*on), on, how, materialise)

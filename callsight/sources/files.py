@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callsight.functions.scalars import one_value
+from callsight.operators.joins import join_checked
 from callsight.operators.ordinal import with_global_ordinal
 
 CALLS_SCHEMA = "call_id STRING, agent STRING, transcript STRING, sentiment_score DOUBLE"
@@ -50,7 +52,9 @@ def read_text_calls(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     numbered = with_global_ordinal(files.select("path"), [F.col("path")], "file_no")
     texts = files.select("path", F.decode(F.col("content"), "UTF-8").alias("transcript"))
-    return texts.join(numbered, "path").select(
+    # One (path, number) row per file: broadcast when its measured size allows,
+    # so the texts are numbered where they are read; otherwise a join on the path.
+    return join_checked(texts, numbered, ["path"]).select(
         F.concat(F.lit(TEXT_CALL_PREFIX), F.lpad(F.col("file_no").cast("string"), 4, "0")).alias("call_id"),
         F.lit(TEXT_AGENT).alias("agent"),
         "transcript",
@@ -129,7 +133,7 @@ def active_themes(spark: SparkSession, mode: str, lexicon: DataFrame, custom: Da
     cleaned = custom.select(
         "line_no", F.regexp_replace("line", r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$", "").alias("theme")
     ).where(F.col("theme") != "")
-    offset = 0 if mode == "custom" else lexicon.count()  # 30 fixed rows
+    offset = F.lit(0) if mode == "custom" else one_value(lexicon.agg(F.count(F.lit(1))))  # 30 fixed rows
     numbered = with_global_ordinal(cleaned, [F.col("line_no")], "_o")
-    cust = numbered.select((F.col("_o") - 1 + F.lit(offset)).cast("bigint").alias("theme_ord"), "theme")
+    cust = numbered.select((F.col("_o") - 1 + offset).cast("bigint").alias("theme_ord"), "theme")
     return cust if mode == "custom" else pre.unionByName(cust)
