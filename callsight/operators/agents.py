@@ -59,14 +59,19 @@ def agent_stats(turns: DataFrame) -> DataFrame:
     )
 
 
+def distinct_call_sentiments(turns: DataFrame) -> DataFrame:
+    """DISTINCT (call_id, agent, sentiment_score) rows with a sentiment (NaN counts as missing)."""
+    s = F.col("sentiment_score")
+    return turns.where(s.isNotNull() & ~F.isnan(s)).select("call_id", "agent", "sentiment_score").distinct()
+
+
 def sentiment_stats(turns: DataFrame, low_threshold: float = 0.5) -> DataFrame:
     """Per agent over DISTINCT (call, agent, sentiment): mean, min, max, count below the threshold.
 
     A call with two different sentiment values counts once per value.
     """
     s = F.col("sentiment_score")
-    distinct = turns.where(s.isNotNull() & ~F.isnan(s)).select("call_id", "agent", "sentiment_score").distinct()
-    return distinct.groupBy("agent").agg(
+    return distinct_call_sentiments(turns).groupBy("agent").agg(
         _r6(F.avg(s)).alias("avg_sentiment"),
         F.min(s).alias("min_sentiment"),
         F.max(s).alias("max_sentiment"),

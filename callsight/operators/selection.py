@@ -116,6 +116,11 @@ def review_turns(turns: DataFrame, min_calls: int = 10, k: int = 5, previous_age
     return selected_turns(turns, review_calls(turns, min_calls, k, previous_agents))
 
 
+def speaker_turns(turns: DataFrame, speaker: str) -> DataFrame:
+    """Turns of one normalized speaker side ('agent' or 'customer')."""
+    return turns.where(F.col("speaker") == speaker)
+
+
 def first_messages(turns: DataFrame, n: int = 3, speakers: tuple[str, ...] = ("agent", "customer")) -> DataFrame:
     """First ``n`` messages per (call, speaker side) in turn order."""
     w = Window.partitionBy("call_id", "speaker").orderBy("turn_idx")

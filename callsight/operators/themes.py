@@ -132,6 +132,18 @@ def first_pillar_ord(theme: Column) -> Column:
     return out
 
 
+def pillar_matches(theme_rows: DataFrame) -> DataFrame:
+    """Per theme row: the first pillar whose lexicon hits the theme (case-sensitive, for scores)
+    and the number of pillars it hits case-insensitively (for demand)."""
+    th = F.col("theme")
+    first = first_pillar_ord(th)
+    names = _pillar_names()
+    n_ci = sum(F.when(pillar_match(th, i, True), 1).otherwise(0) for i in range(len(PILLARS)))
+    return theme_rows.select(
+        "agent", "theme_pos", "theme", F.when(first.isNotNull(), names[first]).alias("first_pillar"), n_ci.cast("int").alias("n_pillars_ci")
+    )
+
+
 def _pillar_names() -> Column:
     return F.array(*[F.lit(p) for p in PILLARS])
 

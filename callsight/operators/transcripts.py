@@ -138,6 +138,17 @@ def parse_turns(calls: DataFrame, keep_original: bool = False, redact: bool = Tr
     )
 
 
+def speaker_labels(calls: DataFrame) -> DataFrame:
+    """Distinct raw speaker labels of the parsed turns and their normalized speaker."""
+    raw = calls.select(F.explode(raw_turns(F.col("transcript"))).alias("t"))
+    return raw.select(T.strip_ws(F.col("t.spk")).alias("label")).distinct().select("label", T.normalize_speaker("label").alias("speaker"))
+
+
+def clean_markup_text(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, text)`` with markup removed and whitespace collapsed: the turn cleaning, for any text column."""
+    return df.select(key, T.clean_message(text).alias(text))
+
+
 def call_formats(calls: DataFrame) -> DataFrame:
     """Per call: detected format (pipe/bracket/null)."""
     return calls.select("call_id", "agent", T.detect_format("transcript").alias("format"))

@@ -971,3 +971,94 @@ register(
     "cache_count",
     THC + "SELECT cast(count(*) AS bigint) AS n_rows, count(*) > 0 AS has_coaching FROM theme_rows",
 )(lambda spark, sf: RP.cache_count(E.coaching_cache(theme_rows(spark, sf), RUN_STAMP, MODEL)))
+
+# -- single-operator keys ------------------------------------------------------------
+# SURVEY §2 lines that otherwise only run inside larger queries get their own key.
+
+from callsight.functions.text import truncate_text  # noqa: E402
+
+register("read_parquet", "SELECT conv_id, turn, role, text FROM conversations")(
+    lambda spark, sf: Y.read_parquet(spark, f"{sf.rstrip('/')}/conversations.parquet").select("conv_id", "turn", "role", "text")
+)
+
+register("total_calls", TC + "SELECT cast(count(DISTINCT call_id) AS bigint) AS total_calls FROM turns")(
+    lambda spark, sf: A.total_calls(turns(spark, sf))
+)
+register("total_agents", TC + "SELECT cast(count(DISTINCT agent) AS bigint) AS total_agents FROM turns")(
+    lambda spark, sf: A.total_agents(turns(spark, sf))
+)
+register(
+    "distinct_rows", TC + "SELECT DISTINCT call_id, agent, sentiment_score FROM turns WHERE sentiment_score IS NOT NULL"
+)(lambda spark, sf: A.distinct_call_sentiments(turns(spark, sf)))
+
+register(
+    "turn_filter",
+    TC + "SELECT call_id, agent, turn_idx, timestamp, speaker, message, sentiment_score FROM turns WHERE speaker = 'agent'",
+)(lambda spark, sf: S.speaker_turns(turns(spark, sf), "agent"))
+
+register(
+    "truncate_text",
+    TC + """SELECT call_id, turn_idx,
+      CASE WHEN length(message) > 100 THEN substr(message, 1, 100) || '...' ELSE message END AS short FROM turns""",
+)(lambda spark, sf: turns(spark, sf).select("call_id", "turn_idx", truncate_text("message").alias("short")))
+
+register(
+    "normalize_speaker",
+    O.with_ctes(O.TURNS_SRC)
+    + "SELECT DISTINCT CASE WHEN conv_id % 2 = 0 THEN upper(speaker_label) ELSE speaker_label END AS label, speaker FROM turns_src",
+)(lambda spark, sf: P.speaker_labels(calls(spark, sf)))
+
+
+@register(
+    "filter_to_agents",
+    TC + f"""SELECT call_id, agent, turn_idx, timestamp, speaker, message, sentiment_score FROM turns
+    WHERE agent IN (SELECT agent FROM ({AGENT_CALLS_SQL}) WHERE n_calls >= {MIN_CALLS})""",
+)
+def _filter_to_agents(spark: SparkSession, sf: str):
+    t = stored_turns(spark, sf)
+    return S.filter_to_agents(t, S.eligible_agents(t, MIN_CALLS))
+
+
+@register(
+    "attach_responses",
+    THC + f"""SELECT agent, cast(floor((row_number() OVER (ORDER BY agent) - 1) / 20) + 1 AS bigint) AS batch_no,
+      {CLASS_SQL} <> 7 AS has_response FROM (SELECT DISTINCT agent FROM theme_rows)""",
+)
+def _attach(spark: SparkSession, sf: str):
+    requests = S.agent_batches(theme_rows(spark, sf), 20).select("agent", "batch_no")
+    out = V.attach_responses(requests, _responses(spark, sf))
+    return out.select("agent", "batch_no", F.col("response").isNotNull().alias("has_response"))
+
+
+register(
+    "pillar_match",
+    THC + """SELECT r.agent, r.theme_pos, r.theme,
+      (SELECT l.pillar FROM theme_lexicon l WHERE contains(r.theme, l.theme) ORDER BY l.pillar_ord LIMIT 1) AS first_pillar,
+      cast((SELECT count(DISTINCT l.pillar_ord) FROM theme_lexicon l WHERE contains(lower(r.theme), lower(l.theme))) AS int)
+        AS n_pillars_ci
+    FROM theme_rows r""",
+)(lambda spark, sf: H.pillar_matches(theme_rows(spark, sf)))
+
+register(
+    "validate_insights",
+    THC + f"""SELECT agent,
+      to_json(list({{'theme': theme, 'priority': CASE WHEN {CLASS_SQL} = 6 THEN 'low' ELSE priority END,
+            'frequency': CASE WHEN {CLASS_SQL} = 6 THEN cast(0 AS bigint) ELSE frequency END,
+            'examples': examples, 'recommendation': recommendation}} ORDER BY theme_pos))::varchar AS coaching_themes,
+      ['Strength ' || cast({O.AGENT_NO} % 3 AS varchar)] AS strengths
+    FROM theme_rows WHERE {CLASS_SQL} IN (0, 1, 6) GROUP BY agent""",
+)(
+    # Nested result compared as JSON text: the theme list in order, every field after coercion.
+    lambda spark, sf: V.validate_insights(_responses(spark, sf)).select(
+        "agent", F.to_json("coaching_themes").alias("coaching_themes"), "strengths"
+    )
+)
+
+# The turn cleaning (markup, then whitespace) over raw web pages: every page, whole.
+_PY_WS = r"[\t\n\x0B\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+register(
+    "clean_pages",
+    "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, "
+    + r"'(?i)<br[ \t\n\x0B\f\r]*/?>', ' ', 'g'), '<[^>]+>', '', 'g'), "
+    + f"'{_PY_WS}', ' ', 'g')) AS html FROM pages",
+)(lambda spark, sf: P.clean_markup_text(X.read_table(spark, sf, "pages"), "page_id", "html"))
