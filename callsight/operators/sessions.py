@@ -1,10 +1,15 @@
-"""Saved analysis sessions as a Parquet table partitioned by dataset fingerprint.
+"""Saved analysis sessions as a Parquet table partitioned by dataset fingerprint and session.
 
 A session is the insights of one run (one row per agent) stamped with the
 dataset fingerprint (``file_hash``), the session time, the model and the
-filter criteria. Sessions are appended; reads prune to one ``file_hash``
-partition and pick the newest ``session_ts``. The store lives in a shared
-folder (a path the caller gives, e.g. under the cluster's checkpoint dir).
+filter criteria. Each session is its own partition ``fp=h<hash>/session_id=s<time>``
+written with dynamic partition overwrite, so saving the same session again
+(a re-run after a failure) replaces it instead of adding a copy. Partition
+values carry a letter prefix because Spark infers partition value types on
+read: a bare fingerprint made only of digits would come back as a number.
+Reads prune to one fingerprint and pick the newest ``session_ts``. The store
+lives in a shared folder (a path the caller gives, e.g. under the cluster's
+checkpoint dir).
 """
 
 from __future__ import annotations
@@ -19,6 +24,10 @@ FINGERPRINT_ROWS = 100
 FINGERPRINT_CHARS = 12
 LIST_LIMIT = 5
 
+_FP_PREFIX = "h"
+_SESSION_PREFIX = "s"
+PARTITION_COLUMNS = ("fp", "session_id")
+
 
 def _csv_field(c) -> F.Column:
     """A value as a CSV field: null → '', quoted when it holds a comma, quote or newline."""
@@ -46,6 +55,11 @@ def _value(x: str | Column) -> Column:
     return F.lit(x) if isinstance(x, str) else x
 
 
+def _fp(file_hash: str | Column) -> Column:
+    """Partition value of a fingerprint (never numeric-looking)."""
+    return F.concat(F.lit(_FP_PREFIX), _value(file_hash))
+
+
 def save_session(
     insights: DataFrame,
     path: str,
@@ -65,23 +79,32 @@ def save_session(
         if crit
         else F.create_map().cast("map<string,string>")
     )
+    ts = F.to_timestamp(F.lit(session_ts))
     out = insights.select(
+        _fp(file_hash).alias("fp"),
+        F.concat(F.lit(_SESSION_PREFIX), F.date_format(ts, "yyyyMMddHHmmssSSS")).alias("session_id"),
         _value(file_hash).alias("file_hash"),
-        F.to_timestamp(F.lit(session_ts)).alias("session_ts"),
+        ts.alias("session_ts"),
         F.lit(model_used).alias("model_used"),
         crit_col.alias("filter_criteria"),
         *[c for c in insights.columns],
     )
-    out.write.mode("append").partitionBy("file_hash").parquet(path)
+    (
+        out.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")  # replaces only this session's partition
+        .partitionBy(*PARTITION_COLUMNS)
+        .parquet(path)
+    )
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """The whole store; ``fp`` and ``session_id`` are the partition columns."""
     return spark.read.parquet(path)
 
 
 def latest_session(spark: SparkSession, path: str, file_hash: str | Column) -> DataFrame:
     """Rows of the newest session of ``file_hash`` (partition-pruned, also for a subquery value); empty if none."""
-    s = read_sessions(spark, path).where(F.col("file_hash") == _value(file_hash))
+    s = read_sessions(spark, path).where(F.col("fp") == _fp(file_hash))
     newest = s.agg(F.max("session_ts").alias("session_ts"))  # one row
     return s.join(newest, "session_ts", "left_semi")
 
@@ -96,15 +119,14 @@ def list_sessions(spark: SparkSession, path: str, limit: int | None = LIST_LIMIT
 
 
 def delete_session(spark: SparkSession, path: str, file_hash: str | Column, session_ts: str, out_path: str) -> DataFrame:
-    """Write the store without one session to ``out_path`` (only the touched partition changes).
+    """Write the store without one session to ``out_path`` and return it.
 
-    Writing to a new path (then swapping) keeps the job restartable; the
-    dynamic partition overwrite rewrites only the ``file_hash`` partition.
+    Writing a new folder (then swapping it in) keeps the step restartable:
+    a failed run leaves the old store untouched.
     """
     s = read_sessions(spark, path)
-    kept = s.where(~((F.col("file_hash") == _value(file_hash)) & (F.col("session_ts") == F.to_timestamp(F.lit(session_ts)))))
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    kept.write.mode("overwrite").partitionBy("file_hash").parquet(out_path)
+    gone = (F.col("fp") == _fp(file_hash)) & (F.col("session_ts") == F.to_timestamp(F.lit(session_ts)))
+    s.where(~gone).write.mode("overwrite").partitionBy(*PARTITION_COLUMNS).parquet(out_path)
     return spark.read.parquet(out_path)
 
 
