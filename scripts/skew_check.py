@@ -24,6 +24,30 @@ from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 
+def _event_files(log_dir: str) -> list[str]:
+    """Event log files: plain files or Spark 4's rolling folders (``eventlog_v2_*/events_*``)."""
+    out = []
+    for path in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True):
+        name = os.path.basename(path)
+        if os.path.isfile(path) and not name.startswith((".", "appstatus")):
+            out.append(path)
+    return sorted(out)
+
+
+def _lines(path: str):
+    """Lines of one event file, zstd-compressed or plain."""
+    if path.endswith(".zstd"):
+        import io
+
+        import zstandard
+
+        with open(path, "rb") as fh:
+            yield from io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(fh, read_across_frames=True), encoding="utf-8")
+    else:
+        with open(path) as fh:
+            yield from fh
+
+
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     replicas = int(sys.argv[2]) if len(sys.argv) > 2 else 30
@@ -73,9 +97,10 @@ def main() -> None:
     # stage -> job group, and per-task shuffle records
     stage_group: dict[int, str] = {}
     per_stage: dict[int, list[int]] = defaultdict(list)
-    for path in glob.glob(os.path.join(log_dir, "*")):
-        with open(path) as fh:
-            for line in fh:
+    per_stage_ms: dict[int, list[int]] = defaultdict(list)
+    for path in _event_files(log_dir):
+        for line in _lines(path):
+            if line.strip():
                 ev = json.loads(line)
                 kind = ev.get("Event")
                 if kind == "SparkListenerJobStart":
@@ -86,7 +111,9 @@ def main() -> None:
                 elif kind == "SparkListenerTaskEnd":
                     m = ev.get("Task Metrics") or {}
                     rd = (m.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
+                    info = ev.get("Task Info") or {}
                     per_stage[ev["Stage ID"]].append(rd)
+                    per_stage_ms[ev["Stage ID"]].append(info.get("Finish Time", 0) - info.get("Launch Time", 0))
     report: dict[str, dict] = {}
     for sid, recs in per_stage.items():
         g = stage_group.get(sid)
@@ -97,6 +124,8 @@ def main() -> None:
             r["max_task_shuffle_records"] = max(recs)
             r["stage_total_at_max"] = sum(recs)
             r["tasks"] = len(recs)
+            ms = sorted(per_stage_ms[sid])
+            r["task_ms_max"], r["task_ms_median"] = ms[-1], ms[len(ms) // 2]
     print(
         json.dumps(
             {"turns": n_turns, "hot_agent_turns": hot_turns, "hot_share": round(hot_turns / n_turns, 3), "queries": report, "event_log": log_dir}
