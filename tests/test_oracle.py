@@ -28,6 +28,5 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
-def test_every_query_but_documented_ones_has_an_oracle():
-    rows_only = {"agent_prompt", "agent_prompt_wide", "request_rows", "insights_json", "coaching_plan_text", "mailto_link", "response_content"}
-    assert set(QUERIES) - set(ORACLE) <= rows_only
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
