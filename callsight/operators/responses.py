@@ -173,11 +173,37 @@ def response_content(responses: DataFrame) -> DataFrame:
     return responses.select("agent", status.alias("status"), strip_fences(content).alias("content"))
 
 
+def _first_object_ends_last(content: Column) -> Column:
+    """True when the object that opens ``content`` is closed by its last bracket.
+
+    ``try_parse_json`` reads the first value and ignores what follows;
+    Python's json rejects any extra data. String literals are blanked
+    first (their brackets do not count), then only brackets are kept and
+    the running depth finds where the first object closes. Together with
+    "the text ends with '}'" this means nothing follows the object.
+    """
+    no_strings = F.regexp_replace(content, r'(?s)"(?:[^"\\]|\\.)*"', '""')
+    marks = F.regexp_replace(no_strings, r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed_at"), F.lit(0).alias("pos"))
+
+    def step(acc: Column, ch: Column) -> Column:
+        depth = acc["depth"] + F.when(ch.isin("{", "["), 1).when(ch.isin("}", "]"), -1).otherwise(0)
+        first_close = (acc["closed_at"] == 0) & (depth == 0) & (ch != "")
+        return F.struct(
+            depth.alias("depth"),
+            F.when(first_close, acc["pos"] + 1).otherwise(acc["closed_at"]).alias("closed_at"),
+            (acc["pos"] + 1).alias("pos"),
+        )
+
+    closed_at = F.aggregate(F.split(marks, ""), start, step, lambda acc: acc["closed_at"])
+    return content.endswith("}") & (closed_at == F.length(marks))
+
+
 def parse_insights(responses: DataFrame) -> DataFrame:
     """Responses → (agent, status, insight VARIANT): insight is set only for a usable non-empty object.
 
-    The content must parse as JSON and, trimmed, start with '{' and end with
-    '}' (Python rejects trailing text after the value).
+    The content must parse as JSON with nothing after the object (Python
+    rejects extra data, including a second object).
     """
     rc = response_content(responses)
     parsed = F.try_parse_json(F.col("content"))
@@ -186,7 +212,7 @@ def parse_insights(responses: DataFrame) -> DataFrame:
         F.when(F.col("status").isNotNull(), F.col("status"))
         .when(parsed.isNull(), F.lit("bad_json"))
         .when(~kind.startswith("OBJECT"), F.when(_truthy(parsed), F.lit("not_object")).otherwise(F.lit("empty")))
-        .when(~F.col("content").endswith("}"), F.lit("bad_json"))
+        .when(~_first_object_ends_last(F.col("content")), F.lit("bad_json"))
         .when(kind == "OBJECT<>", F.lit("empty"))
         .otherwise(F.lit("ok"))
     )

@@ -37,6 +37,12 @@ CASES = {
     "textitem": _env('{"coaching_themes":["Empathy", null, 0]}'),
     "themes_obj": _env('{"coaching_themes":{"a":1}}'),
     "strengths_text": _env('{"coaching_themes":[],"strengths":"no"}'),
+    "two_objects": _env('{"strengths":["a"]}{"strengths":["b"]}'),
+    "two_objects_spaced": _env('{"strengths":["a"]} \n {"strengths":["b"]}'),
+    "extra_brace": _env('{"strengths":["a"]}}'),
+    "trailing_brace_text": _env('{"strengths":["a"]} ok}'),
+    "brackets_in_strings": _env('{"strengths":["}{", "[x]", "a\\"}"]}'),
+    "nested_ok": _env('{"coaching_themes":[{"theme":"T {1}","examples":[["n"]]}],"strengths":[]}'),
     "null_response": None,
     "error": '{"error":"HTTP 429: slow down"}',
     "no_choices": '{"id":1}',
@@ -55,9 +61,34 @@ def validated(spark):
     return status, rows, strengths
 
 
+def _python_keeps(response):
+    """Brute force with Python's json: envelope, fences, strict parse, non-empty object."""
+    if response is None:
+        return False
+    env = json.loads(response)
+    if "error" in env or "choices" not in env:
+        return False
+    content = env["choices"][0]["message"]["content"].replace("```json\n", "").replace("```json", "")
+    content = content.replace("```\n", "").replace("```", "").strip()
+    try:
+        value = json.loads(content)
+    except ValueError:
+        return False
+    return isinstance(value, dict) and bool(value)
+
+
+def test_kept_matches_python_json(validated):
+    status, _, _ = validated
+    assert {a for a, s in status.items() if s == "ok"} == {a for a, r in CASES.items() if _python_keeps(r)}
+    for a in ("two_objects", "two_objects_spaced", "extra_brace", "trailing_brace_text"):
+        assert status[a] == "bad_json", a
+    assert status["brackets_in_strings"] == "ok" and status["nested_ok"] == "ok"
+
+
 def test_kept_and_dropped(validated):
     status, rows, strengths = validated
-    dropped = {"list", "empty", "broken", "trailing", "null_response", "error", "no_choices"}
+    dropped = {"list", "empty", "broken", "trailing", "null_response", "error", "no_choices",
+               "two_objects", "two_objects_spaced", "extra_brace", "trailing_brace_text"}
     assert {a for a, s in status.items() if s != "ok"} == dropped
     assert status["broken"] == "bad_json" and status["null_response"] == "no_response"
     assert status["error"] == "error" and status["no_choices"] == "no_choices"
