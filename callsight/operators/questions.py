@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsight.functions.scalars import one_row, one_value
+from callsight.functions.templates import fill
 from callsight.operators import themes as H
 
 # ---------------------------------------------------------------------------
@@ -22,8 +23,15 @@ from callsight.operators import themes as H
 # ---------------------------------------------------------------------------
 COACHING_KEYWORDS = ("coaching", "theme", "improve", "recommendation")
 SQL_KEYWORDS = ("how many", "count", "average", "total", "list all")
+TOP_THEME_WORDS = ("top", "theme")
+COUNT_CALLS_PHRASE = "how many calls"
+COUNT_AGENTS_PHRASE = "how many agents"
+AVG_SENTIMENT_PHRASE = "average sentiment"
 TOP_THEMES_HEADER = "**Top coaching themes:**\n"
+TOP_THEME_LINE = "- {theme}: {n} agents"
 AGENT_NEEDS_HEADER = "**Coaching needs for {agent}:**\n"
+AGENT_NEED_LINE = "- **{theme}** ({priority} priority): {recommendation}"
+ANSWER_LINE_SEPARATOR = "\n"
 COUNT_CALLS_TEXT = "There are {n} calls in the dataset."
 COUNT_AGENTS_TEXT = "There are {n} agents in the dataset."
 AVG_SENTIMENT_TEXT = "The average sentiment score is {x}."
@@ -77,11 +85,11 @@ def route_questions(questions: DataFrame, agents: DataFrame, has_coaching: DataF
     base = questions.join(m, "question_id", "left")
     step1 = one_value(has_coaching, "has_coaching") & _any_contains(q, COACHING_KEYWORDS)
     route = (
-        F.when(step1 & q.contains("top") & q.contains("theme"), F.lit("top_themes"))
+        F.when(step1 & q.contains(TOP_THEME_WORDS[0]) & q.contains(TOP_THEME_WORDS[1]), F.lit("top_themes"))
         .when(step1 & F.col("agent").isNotNull(), F.lit("agent_needs"))
-        .when(_any_contains(q, SQL_KEYWORDS) & q.contains("how many calls"), F.lit("count_calls"))
-        .when(_any_contains(q, SQL_KEYWORDS) & q.contains("how many agents"), F.lit("count_agents"))
-        .when(_any_contains(q, SQL_KEYWORDS) & q.contains("average sentiment"), F.lit("avg_sentiment"))
+        .when(_any_contains(q, SQL_KEYWORDS) & q.contains(COUNT_CALLS_PHRASE), F.lit("count_calls"))
+        .when(_any_contains(q, SQL_KEYWORDS) & q.contains(COUNT_AGENTS_PHRASE), F.lit("count_agents"))
+        .when(_any_contains(q, SQL_KEYWORDS) & q.contains(AVG_SENTIMENT_PHRASE), F.lit("avg_sentiment"))
         .when(_any_contains(q, SQL_KEYWORDS), F.lit("help"))
         .otherwise(F.lit("llm"))
     )
@@ -107,7 +115,9 @@ def answer_questions(questions: DataFrame, turns: DataFrame, cache: DataFrame) -
     ).select(
         F.concat(
             F.lit(TOP_THEMES_HEADER),
-            F.array_join(F.transform("t", lambda x: F.concat(F.lit("- "), x["theme"], F.lit(": "), x["n"].cast("string"), F.lit(" agents"))), "\n"),
+            F.array_join(
+                F.transform("t", lambda x: fill(TOP_THEME_LINE, {"theme": x["theme"], "n": x["n"].cast("string")})), ANSWER_LINE_SEPARATOR
+            ),
         ).alias("top_answer")
     )
     # Needs texts for every agent (≤ 3 themes each); the left join below keeps
@@ -119,13 +129,15 @@ def answer_questions(questions: DataFrame, turns: DataFrame, cache: DataFrame) -
         .select(
             "agent",
             F.concat(
-                F.lit("**Coaching needs for "), F.col("agent"), F.lit(":**\n"),
+                fill(AGENT_NEEDS_HEADER, {"agent": F.col("agent")}),
                 F.array_join(
                     F.transform(
                         "n",
-                        lambda x: F.concat(F.lit("- **"), x["theme"], F.lit("** ("), x["priority"], F.lit(" priority): "), x["recommendation"]),
+                        lambda x: fill(
+                            AGENT_NEED_LINE, {"theme": x["theme"], "priority": x["priority"], "recommendation": x["recommendation"]}
+                        ),
                     ),
-                    "\n",
+                    ANSWER_LINE_SEPARATOR,
                 ),
             ).alias("needs_answer"),
         )
@@ -142,12 +154,12 @@ def answer_questions(questions: DataFrame, turns: DataFrame, cache: DataFrame) -
     answer = (
         F.when(r == "top_themes", top_answer)
         .when(r == "agent_needs", F.col("needs_answer"))
-        .when(r == "count_calls", F.format_string(COUNT_CALLS_TEXT.replace("{n}", "%d"), m["n_calls"]))
-        .when(r == "count_agents", F.format_string(COUNT_AGENTS_TEXT.replace("{n}", "%d"), m["n_agents"]))
+        .when(r == "count_calls", fill(COUNT_CALLS_TEXT, {"n": m["n_calls"].cast("string")}))
+        .when(r == "count_agents", fill(COUNT_AGENTS_TEXT, {"n": m["n_agents"].cast("string")}))
         .when(
             r == "avg_sentiment",
             F.when(m["avg_s"].isNull(), F.lit(NO_SENTIMENT_TEXT)).otherwise(
-                F.format_string(AVG_SENTIMENT_TEXT.replace("{x}", "%.2f"), m["avg_s"])
+                fill(AVG_SENTIMENT_TEXT, {"x": F.format_string("%.2f", m["avg_s"])})
             ),
         )
         .when(r == "help", F.lit(HELP_TEXT))

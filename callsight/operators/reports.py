@@ -10,19 +10,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsight.functions.scalars import one_row, one_value
+from callsight.functions.templates import fill
 from callsight.operators import themes as H
 
 # ---------------------------------------------------------------------------
-# Fixed values that must equal the reference's texts.
+# Fixed values that must equal the reference's texts. Placeholders in braces
+# are filled per agent (or per theme); everything else is literal text.
 # ---------------------------------------------------------------------------
 RULE = "=" * 60
 THIN_RULE = "-" * 60
 PRIORITY_LABELS = {"high": "[HIGH PRIORITY]", "medium": "[MEDIUM PRIORITY]", "low": "[LOW PRIORITY]"}
 OTHER_PRIORITY_LABEL = "[LOW]"
 PLAN_EXAMPLES = 2
+PLAN_HEADER = (
+    "COACHING PLAN FOR {agent}\n"
+    "{rule}\n"
+    "\n"
+    "SUMMARY\n"
+    "   • Calls Analyzed: {calls}\n"
+    "   • Date Generated: {date}\n"
+    "\n"
+    "{rule}\n"
+    "\n"
+    "COACHING THEMES\n"
+)
+PLAN_THEME = (
+    "\n"
+    "{n}. {theme}\n"
+    "   Priority: {label}\n"
+    "   \n"
+    "   Recommendation:\n"
+    "   {recommendation}\n"
+)
+PLAN_EXAMPLES_HEADER = "   \n   Examples:\n"
+PLAN_BULLET = "   • {item}\n"
+PLAN_THEME_END = "\n{thin_rule}\n"
+PLAN_STRENGTHS_HEADER = "\nSTRENGTHS\n"
+PLAN_STRENGTHS_END = "\n{rule}\n"
+PLAN_FOOTER = "\n{footer}\n"
+MAIL_SUBJECT = "Coaching Plan - {agent}"
+MAIL_LINK = "mailto:?subject={subject}&body={body}"
 PROFILE_AGENTS = 10
 PROFILE_THEMES = 3
 PROFILE_REC_CHARS = 120
+PROFILE_PILLAR_LINE = "{pillar}: {score} coaching points"
+PROFILE_THEME = "{n}. {theme}\nPriority Level: {priority}"
+PROFILE_RECOMMENDATION = "\n{recommendation}..."
+CONTEXT_TEMPLATE = (
+    "\n"
+    "COACHING ANALYTICS CONTEXT:\n"
+    "\n"
+    "Dataset Overview:\n"
+    "- Total Agents Analyzed: {agents}\n"
+    "- Total Calls: {calls}\n"
+    "- Average Sentiment: {sentiment}/5.0\n"
+    "\n"
+    "Theme Distribution:\n"
+    "{themes}"
+    "\n"
+    "Priority Breakdown:\n"
+    "- High Priority: {high} themes requiring immediate attention\n"
+    "- Medium Priority: {medium} themes\n"
+    "- Low Priority: {low} themes\n"
+)
+CONTEXT_THEME_LINE = "- #{rank} Theme: {theme} ({n} agents, {pct}%)\n"
+MISSING_SENTIMENT_TEXT = "nan"
 # ---------------------------------------------------------------------------
 DEFAULT_FOOTER = "Generated by the coaching analytics job"
 
@@ -58,38 +110,34 @@ def coaching_plan_text(
         n = n.join(calls.select("agent", F.col("calls_analyzed").cast("bigint")), "agent", "left")
     else:
         n = n.withColumn("calls_analyzed", F.lit(0).cast("bigint"))
+    bullets = lambda items: F.array_join(F.transform(items, lambda e: fill(PLAN_BULLET, {"item": e})), "")
     theme_block = F.transform(
         "t",
         lambda x, i: F.concat(
-            F.lit("\n"), (i + 1).cast("string"), F.lit(". "), F.upper(x["theme"]),
-            F.lit("\n   Priority: "), _label(x["priority"]),
-            F.lit("\n   \n   Recommendation:\n   "), x["recommendation"], F.lit("\n"),
+            fill(
+                PLAN_THEME,
+                {"n": (i + 1).cast("string"), "theme": F.upper(x["theme"]), "label": _label(x["priority"]), "recommendation": x["recommendation"]},
+            ),
             F.when(
-                F.size(x["examples"]) > 0,
-                F.concat(
-                    F.lit("   \n   Examples:\n"),
-                    F.array_join(F.transform(F.slice(x["examples"], 1, PLAN_EXAMPLES), lambda e: F.concat(F.lit("   • "), e, F.lit("\n"))), ""),
-                ),
+                F.size(x["examples"]) > 0, F.concat(F.lit(PLAN_EXAMPLES_HEADER), bullets(F.slice(x["examples"], 1, PLAN_EXAMPLES)))
             ).otherwise(F.lit("")),
-            F.lit("\n" + THIN_RULE + "\n"),
+            fill(PLAN_THEME_END, {"thin_rule": F.lit(THIN_RULE)}),
         ),
     )
     strengths_block = F.when(
         F.size(F.coalesce("strengths", F.array().cast("array<string>"))) > 0,
-        F.concat(
-            F.lit("\nSTRENGTHS\n"),
-            F.array_join(F.transform("strengths", lambda s: F.concat(F.lit("   • "), s, F.lit("\n"))), ""),
-            F.lit("\n" + RULE + "\n"),
-        ),
+        F.concat(F.lit(PLAN_STRENGTHS_HEADER), bullets(F.col("strengths")), fill(PLAN_STRENGTHS_END, {"rule": F.lit(RULE)})),
     ).otherwise(F.lit(""))
-    text = F.concat(
-        F.lit("COACHING PLAN FOR "), F.upper("agent"), F.lit("\n" + RULE + "\n\nSUMMARY\n   • Calls Analyzed: "),
-        F.coalesce(F.col("calls_analyzed"), F.lit(0)).cast("string"),
-        F.lit(f"\n   • Date Generated: {run_date}\n\n{RULE}\n\nCOACHING THEMES\n"),
-        F.array_join(theme_block, ""),
-        strengths_block,
-        F.lit(f"\n{footer}\n"),
+    header = fill(
+        PLAN_HEADER,
+        {
+            "agent": F.upper("agent"),
+            "rule": F.lit(RULE),
+            "calls": F.coalesce(F.col("calls_analyzed"), F.lit(0)).cast("string"),
+            "date": F.lit(run_date),
+        },
     )
+    text = F.concat(header, F.array_join(theme_block, ""), strengths_block, fill(PLAN_FOOTER, {"footer": F.lit(footer)}))
     return n.select("agent", text.alias("plan_text"))
 
 
@@ -104,10 +152,8 @@ def _quote(c: Column) -> Column:
 
 def mailto_link(plans: DataFrame) -> DataFrame:
     """Per agent: ``mailto:?subject=…&body=…`` with the plan text percent-encoded."""
-    subject = F.concat(F.lit("Coaching Plan - "), F.col("agent"))
-    return plans.select(
-        "agent", F.concat(F.lit("mailto:?subject="), _quote(subject), F.lit("&body="), _quote(F.col("plan_text"))).alias("mailto")
-    )
+    subject = fill(MAIL_SUBJECT, {"agent": F.col("agent")})
+    return plans.select("agent", fill(MAIL_LINK, {"subject": _quote(subject), "body": _quote(F.col("plan_text"))}).alias("mailto"))
 
 
 def agent_profile(theme_rows: DataFrame, n_agents: int = PROFILE_AGENTS) -> DataFrame:
@@ -119,7 +165,7 @@ def agent_profile(theme_rows: DataFrame, n_agents: int = PROFILE_AGENTS) -> Data
         F.filter(
             F.array(
                 *[
-                    F.when(F.col(f"s{i}") > 0, F.concat(F.lit(f"{p}: "), F.col(f"s{i}").cast("string"), F.lit(" coaching points")))
+                    F.when(F.col(f"s{i}") > 0, fill(PROFILE_PILLAR_LINE, {"pillar": F.lit(p), "score": F.col(f"s{i}").cast("string")}))
                     for i, p in enumerate(H.PILLARS)
                 ]
             ),
@@ -134,10 +180,10 @@ def agent_profile(theme_rows: DataFrame, n_agents: int = PROFILE_AGENTS) -> Data
         F.transform(
             "t",
             lambda x, i: F.concat(
-                (i + 1).cast("string"), F.lit(". "), x["theme"], F.lit("\nPriority Level: "), F.upper(x["priority"]),
+                fill(PROFILE_THEME, {"n": (i + 1).cast("string"), "theme": x["theme"], "priority": F.upper(x["priority"])}),
                 F.when(
                     F.length(x["recommendation"]) > 0,
-                    F.concat(F.lit("\n"), F.substring(x["recommendation"], 1, PROFILE_REC_CHARS), F.lit("...")),
+                    fill(PROFILE_RECOMMENDATION, {"recommendation": F.substring(x["recommendation"], 1, PROFILE_REC_CHARS)}),
                 ).otherwise(F.lit("")),
             ),
         ),
@@ -159,22 +205,31 @@ def analytics_context(turns: DataFrame, theme_rows: DataFrame) -> DataFrame:
     dist = F.array_join(
         F.transform(
             "top3",
-            lambda x: F.concat(
-                F.lit("- #"), x["rank"].cast("string"), F.lit(" Theme: "), x["theme"], F.lit(" ("), x["n"].cast("string"),
-                F.lit(" agents, "), F.format_string("%.1f", x["n"] * 100.0 / F.col("total_agents")), F.lit("%)\n"),
+            lambda x: fill(
+                CONTEXT_THEME_LINE,
+                {
+                    "rank": x["rank"].cast("string"),
+                    "theme": x["theme"],
+                    "n": x["n"].cast("string"),
+                    "pct": F.format_string("%.1f", x["n"] * 100.0 / F.col("total_agents")),
+                },
             ),
         ),
         "",
     )
-    text = F.concat(
-        F.lit("\nCOACHING ANALYTICS CONTEXT:\n\nDataset Overview:\n- Total Agents Analyzed: "), F.col("total_agents").cast("string"),
-        F.lit("\n- Total Calls: "), F.format_number(F.col("total_calls"), 0),
-        F.lit("\n- Average Sentiment: "),
-        F.when(F.col("avg_sentiment").isNull(), F.lit("nan")).otherwise(F.format_string("%.2f", F.col("avg_sentiment"))),
-        F.lit("/5.0\n\nTheme Distribution:\n"), dist,
-        F.lit("\nPriority Breakdown:\n- High Priority: "), F.col("high").cast("string"),
-        F.lit(" themes requiring immediate attention\n- Medium Priority: "), F.col("medium").cast("string"),
-        F.lit(" themes\n- Low Priority: "), F.col("low").cast("string"), F.lit(" themes\n"),
+    text = fill(
+        CONTEXT_TEMPLATE,
+        {
+            "agents": F.col("total_agents").cast("string"),
+            "calls": F.format_number(F.col("total_calls"), 0),
+            "sentiment": F.when(F.col("avg_sentiment").isNull(), F.lit(MISSING_SENTIMENT_TEXT)).otherwise(
+                F.format_string("%.2f", F.col("avg_sentiment"))
+            ),
+            "themes": dist,
+            "high": F.col("high").cast("string"),
+            "medium": F.col("medium").cast("string"),
+            "low": F.col("low").cast("string"),
+        },
     )
     return row.select(
         "total_agents", "total_calls", F.round("avg_sentiment", 6).alias("avg_sentiment"),

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callsight.functions.templates import fill
 from callsight.functions.text import truncate_text
 from callsight.operators import selection as S
 
@@ -83,6 +84,10 @@ Call Summaries:
 
 Identify top 3-5 coaching opportunities with specific examples and actionable recommendations."""
 
+DIGEST_TEMPLATE = "Call {n}:{sentiment}\n- {customer_label}: {customer}\n- {agent_label}: {agent}"
+SENTIMENT_TAG = " [Sentiment: {value}]"
+DIGEST_MESSAGE_SEPARATOR = " | "
+DIGEST_SEPARATOR = "\n"
 CUSTOMER_LABEL = "Customer"
 AGENT_LABEL = "Agent"
 LEGACY_CUSTOMER_LABEL = "Customer issues"
@@ -97,23 +102,6 @@ MESSAGE_CHARS = 100
 # ---------------------------------------------------------------------------
 
 
-def _fill(template: str, values: dict[str, Column]) -> Column:
-    """Template → concat of literal pieces and columns (placeholders in order of appearance)."""
-    parts: list[Column] = []
-    rest = template
-    while rest:
-        hits = [(rest.find("{" + k + "}"), k) for k in values if rest.find("{" + k + "}") >= 0]
-        if not hits:
-            parts.append(F.lit(rest))
-            break
-        pos, key = min(hits)
-        if pos:
-            parts.append(F.lit(rest[:pos]))
-        parts.append(values[key])
-        rest = rest[pos + len(key) + 2 :]
-    return F.concat(*parts)
-
-
 def call_digest(
     review: DataFrame,
     calls: DataFrame,
@@ -140,13 +128,20 @@ def call_digest(
     j = ordinals.join(means, ["agent", "call_id"], "left").join(sides, ["agent", "call_id"], "left")
     tag = F.when(
         F.col("avg_sentiment").isNotNull() & (F.col("avg_sentiment") != 0),
-        F.format_string(" [Sentiment: %.2f]", F.col("avg_sentiment")),
+        fill(SENTIMENT_TAG, {"value": F.format_string("%.2f", F.col("avg_sentiment"))}),
     ).otherwise(F.lit(""))
-    cust = F.array_join(F.transform(F.coalesce("cust", F.array()), lambda x: x["short"]), " | ")
-    agt = F.array_join(F.transform(F.coalesce("agt", F.array()), lambda x: x["short"]), " | ")
-    digest = F.concat(
-        F.lit("Call "), F.col("call_no").cast("string"), F.lit(":"), tag,
-        F.lit(f"\n- {customer_label}: "), cust, F.lit(f"\n- {agent_label}: "), agt,
+    cust = F.array_join(F.transform(F.coalesce("cust", F.array()), lambda x: x["short"]), DIGEST_MESSAGE_SEPARATOR)
+    agt = F.array_join(F.transform(F.coalesce("agt", F.array()), lambda x: x["short"]), DIGEST_MESSAGE_SEPARATOR)
+    digest = fill(
+        DIGEST_TEMPLATE,
+        {
+            "n": F.col("call_no").cast("string"),
+            "sentiment": tag,
+            "customer_label": F.lit(customer_label),
+            "customer": cust,
+            "agent_label": F.lit(agent_label),
+            "agent": agt,
+        },
     )
     return j.select("agent", "call_id", "call_no", digest.alias("digest"))
 
@@ -182,13 +177,13 @@ def agent_prompts(digests: DataFrame, themes: list[str], legacy: bool = False, n
         "themes": theme_text,
         "agent": F.col("agent"),
         "n_calls": F.col("n_calls").cast("string"),
-        "digests": F.array_join(F.transform("d", lambda x: x["digest"]), "\n"),
+        "digests": F.array_join(F.transform("d", lambda x: x["digest"]), DIGEST_SEPARATOR),
     }
     return per_agent.select(
         "agent",
         "n_calls",
-        _fill(LEGACY_SYSTEM_PROMPT_TEMPLATE if legacy else SYSTEM_PROMPT_TEMPLATE, vals).alias("system_prompt"),
-        _fill(LEGACY_USER_PROMPT_TEMPLATE if legacy else USER_PROMPT_TEMPLATE, vals).alias("user_prompt"),
+        fill(LEGACY_SYSTEM_PROMPT_TEMPLATE if legacy else SYSTEM_PROMPT_TEMPLATE, vals).alias("system_prompt"),
+        fill(LEGACY_USER_PROMPT_TEMPLATE if legacy else USER_PROMPT_TEMPLATE, vals).alias("user_prompt"),
     )
 
 

@@ -81,6 +81,7 @@ from pyspark.sql import Column, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from callsight.functions.scalars import one_row, one_value  # noqa: E402
+from callsight.functions.templates import fill  # noqa: E402
 from callsight.operators.ordinal import with_global_ordinal  # noqa: E402
 
 # Fixed values that must equal the reference: priority weights, segment
@@ -93,6 +94,10 @@ SEGMENT_HIGH_PERFORMER = "High Performer"
 AGENTS_PER_PAGE = 20
 FALLBACK_PILLAR = "Connection"
 NO_THEME = "N/A"
+CONTEXT_AGENT_LINE = "\n{agent}: {n} themes\n"
+CONTEXT_THEME_LINE = "  - {theme} ({priority}): {recommendation}...\n"
+SUMMARY_THEME_ITEM = "{theme} ({n} agents)"
+SUMMARY_THEME_SEPARATOR = ", "
 
 
 def _r6(c: Column) -> Column:
@@ -418,11 +423,11 @@ def context_block(theme_rows: DataFrame, n_agents: int = 20, n_themes: int = 2,
             F.collect_list(F.when(F.col("theme_pos") < n_themes, F.struct("theme_pos", "theme", "priority", "recommendation")))
         ).alias("firsts"),
     )
-    line = lambda x: F.concat(
-        F.lit("  - "), x["theme"], F.lit(" ("), x["priority"], F.lit("): "), F.substring(x["recommendation"], 1, rec_chars), F.lit("...\n")
+    line = lambda x: fill(
+        CONTEXT_THEME_LINE, {"theme": x["theme"], "priority": x["priority"], "recommendation": F.substring(x["recommendation"], 1, rec_chars)}
     )
     text = F.concat(
-        F.lit("\n"), F.col("agent"), F.lit(": "), F.col("n_themes").cast("string"), F.lit(" themes\n"),
+        fill(CONTEXT_AGENT_LINE, {"agent": F.col("agent"), "n": F.col("n_themes").cast("string")}),
         F.array_join(F.transform("firsts", line), ""),
     )
     return g.select("agent", "n_themes", text.alias("block"))
@@ -467,9 +472,9 @@ def exec_summary(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | No
     top3 = top_themes(theme_rows, 3).agg(
         F.array_sort(F.collect_list(F.struct("rank", "theme", "n"))).alias("t")  # ≤ 3 rows
     ).select(
-        F.array_join(F.transform("t", lambda x: F.concat(x["theme"], F.lit(" ("), x["n"].cast("string"), F.lit(" agents)"))), ", ").alias(
-            "text"
-        ),
+        F.array_join(
+            F.transform("t", lambda x: fill(SUMMARY_THEME_ITEM, {"theme": x["theme"], "n": x["n"].cast("string")})), SUMMARY_THEME_SEPARATOR
+        ).alias("text"),
         F.coalesce(F.col("t")[0]["theme"], F.lit("")).alias("focus"),
     )
     tp = top_pillar(theme_rows)
