@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callsight.functions.text import strip_ws
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's validator.
 # ---------------------------------------------------------------------------
@@ -28,7 +30,6 @@ FENCE_PATTERN = r"```\n?"
 # ---------------------------------------------------------------------------
 
 _NUMERIC_PREFIXES = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL")
-_WS_EDGES = r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$"
 
 THEME_TYPE = (
     "ARRAY<STRUCT<theme: STRING, priority: STRING, frequency: BIGINT, examples: ARRAY<STRING>, recommendation: STRING>>"
@@ -153,7 +154,7 @@ def validate_theme(x: Column) -> Column:
 
 def strip_fences(c: Column) -> Column:
     """Remove ```json and ``` fences (each with an optional newline) anywhere, then strip."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, FENCE_JSON_PATTERN, ""), FENCE_PATTERN, ""), _WS_EDGES, "")
+    return strip_ws(F.regexp_replace(F.regexp_replace(c, FENCE_JSON_PATTERN, ""), FENCE_PATTERN, ""))
 
 
 def response_content(responses: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsight.functions.scalars import one_value
+from callsight.functions.text import strip_ws
 from callsight.operators.joins import join_checked
 from callsight.operators.ordinal import with_global_ordinal
 
@@ -131,7 +132,7 @@ def active_themes(spark: SparkSession, mode: str, lexicon: DataFrame, custom: Da
     if custom is None or mode == "preloaded":
         return pre
     cleaned = custom.select(
-        "line_no", F.regexp_replace("line", r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$", "").alias("theme")
+        "line_no", strip_ws("line").alias("theme")
     ).where(F.col("theme") != "")
     offset = F.lit(0) if mode == "custom" else one_value(lexicon.agg(F.count(F.lit(1))))  # 30 fixed rows
     numbered = with_global_ordinal(cleaned, [F.col("line_no")], "_o")
