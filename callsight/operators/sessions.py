@@ -105,8 +105,8 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 def latest_session(spark: SparkSession, path: str, file_hash: str | Column) -> DataFrame:
     """Rows of the newest session of ``file_hash`` (partition-pruned, also for a subquery value); empty if none."""
     s = read_sessions(spark, path).where(F.col("fp") == _fp(file_hash))
-    newest = s.agg(F.max("session_ts").alias("session_ts"))  # one row
-    return s.join(newest, "session_ts", "left_semi")
+    newest = one_value(s.agg(F.max("session_ts").alias("session_ts")))
+    return s.where(F.col("session_ts") == newest)
 
 
 def list_sessions(spark: SparkSession, path: str, limit: int | None = LIST_LIMIT) -> DataFrame:
