@@ -74,9 +74,36 @@ def read_calls(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return None
 
 
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _widened_types(frames: list[DataFrame]) -> dict[str, str]:
+    """Columns typed differently across inputs → the type all inputs are cast to.
+
+    All numeric → DOUBLE; otherwise STRING (a text column holds every value,
+    as a mixed column does after concatenating frames). Without this, the
+    union's implicit coercion may cast text to a number and fail at run time.
+    """
+    seen: dict[str, set[str]] = {}
+    for f in frames:
+        for name, dtype in f.dtypes:
+            seen.setdefault(name, set()).add(dtype)
+    out = {}
+    for name, types in seen.items():
+        if len(types) > 1:
+            out[name] = "double" if all(t in _NUMERIC or t.startswith("decimal") for t in types) else "string"
+    return out
+
+
 def union_files(frames: list[DataFrame | None]) -> DataFrame:
-    """Union by column name; columns missing in a frame become null; skipped inputs ignored."""
+    """Union by column name; columns missing in a frame become null; skipped inputs ignored.
+
+    Columns whose types differ between inputs are widened explicitly first.
+    """
     kept = [f for f in frames if f is not None]
+    wide = _widened_types(kept)
+    if wide:
+        kept = [f.select(*[F.col(c).cast(wide[c]).alias(c) if c in wide else F.col(c) for c in f.columns]) for f in kept]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kept)
 
 
@@ -91,15 +118,15 @@ def map_columns(
     """User columns → ``calls(call_id, agent, transcript, sentiment_score)``.
 
     The three required columns must exist (checked when the plan is built).
-    A missing sentiment mapping gives a null column. NaN sentiment becomes
-    null here, once, so later averages skip it.
+    A missing sentiment mapping gives a null column. NaN or non-numeric
+    sentiment becomes null here, once, so later averages skip it.
     """
     missing = [c for c in (call_id, agent, transcript) if c not in raw.columns]
     if missing:
         raise ValueError(f"required columns not found: {missing}")
     s: Column
     if sentiment and sentiment != "None":
-        v = F.col(sentiment).cast("double")
+        v = F.col(sentiment).try_cast("double")  # a malformed value is a missing score, not a failed job
         s = F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
     else:
         s = F.lit(None).cast("double")

@@ -79,3 +79,17 @@ def test_attach_responses_keeps_requests_without_response(spark):
 
 def test_unsupported_extension_is_skipped(spark):
     assert Y.read_calls(spark, "/nowhere/file.xlsx") is None
+
+
+def test_union_widens_mixed_types_then_maps(spark):
+    a = spark.createDataFrame([("c1", "A", "t", 0.5)], "call_id string, agent string, transcript string, sentiment double")
+    b = spark.createDataFrame([(2, "B", "t", "0.7")], "call_id int, agent string, transcript string, sentiment string")
+    c = spark.createDataFrame([(3, "C", "t", "n/a")], "call_id bigint, agent string, transcript string, sentiment string")
+    d = spark.createDataFrame([(4, "D", 1)], "call_id int, agent string, sentiment int")  # no transcript column
+    u = Y.union_files([a, b, c, None, d])
+    assert dict(u.dtypes)["call_id"] == "string" and dict(u.dtypes)["sentiment"] == "string"
+    m = Y.map_columns(u, "call_id", "agent", "transcript", "sentiment")
+    got = sorted((r.call_id, r.sentiment_score) for r in m.collect())
+    assert got == [("2", 0.7), ("3", None), ("4", 1.0), ("c1", 0.5)]
+    nums = Y.union_files([spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2.5,)], "x double")])
+    assert dict(nums.dtypes)["x"] == "double"
