@@ -28,19 +28,30 @@ def _np_round(c: Column, digits: int) -> Column:
     return F.rint(c * scale) / scale
 
 
-def total_calls(turns: DataFrame) -> DataFrame:
-    return turns.agg(F.countDistinct("call_id").cast("bigint").alias("total_calls"))
+def _distinct(c: str, approx_rsd: float | None) -> Column:
+    """Exact distinct count, or a HyperLogLog++ estimate with relative standard deviation ``approx_rsd`` (opt-in).
 
+    The exact count shuffles every distinct value once; the estimate merges
+    fixed-size sketches, which matters for call ids at billions of calls.
+    """
+    if approx_rsd is None:
+        return F.countDistinct(c).cast("bigint")
+    return F.approx_count_distinct(c, approx_rsd).cast("bigint")
+
+
+def total_calls(turns: DataFrame, approx_rsd: float | None = None) -> DataFrame:
+    return turns.agg(_distinct("call_id", approx_rsd).alias("total_calls"))
 
-def total_agents(turns: DataFrame) -> DataFrame:
-    return turns.agg(F.countDistinct("agent").cast("bigint").alias("total_agents"))
 
+def total_agents(turns: DataFrame, approx_rsd: float | None = None) -> DataFrame:
+    return turns.agg(_distinct("agent", approx_rsd).alias("total_agents"))
 
-def volume_counts(turns: DataFrame) -> DataFrame:
-    """One row: distinct calls, distinct agents, turns."""
+
+def volume_counts(turns: DataFrame, approx_rsd: float | None = None) -> DataFrame:
+    """One row: distinct calls, distinct agents, turns (distinct counts exact unless ``approx_rsd`` is given)."""
     return turns.agg(
-        F.countDistinct("call_id").cast("bigint").alias("total_calls"),
-        F.countDistinct("agent").cast("bigint").alias("total_agents"),
+        _distinct("call_id", approx_rsd).alias("total_calls"),
+        _distinct("agent", approx_rsd).alias("total_agents"),
         F.count(F.lit(1)).cast("bigint").alias("total_turns"),
     )
 

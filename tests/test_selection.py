@@ -113,3 +113,13 @@ def test_dashboard_with_a_hot_call_id_matches_the_separate_tables(spark):
         assert math.isclose(d.avg_turns, flow[a].avg_turns, abs_tol=1e-6)
         assert math.isclose(d.avg_response_ratio, flow[a].avg_response_ratio, abs_tol=1e-6)
     assert sent["A"].low_sentiment_calls >= 5  # the hot call counts once per distinct value
+
+
+def test_approximate_distinct_counts_are_opt_in_and_close(spark):
+    rows = [(f"c{i}", f"a{i % 37}", 0, "t", "agent", "m", 1.0) for i in range(5000)]
+    t = _turns(spark, rows)
+    exact = A.volume_counts(t).first()
+    approx = A.volume_counts(t, approx_rsd=0.02).first()
+    assert (exact.total_calls, exact.total_agents, exact.total_turns) == (5000, 37, 5000)
+    assert abs(approx.total_calls - 5000) <= 5000 * 0.08 and abs(approx.total_agents - 37) <= 3
+    assert approx.total_turns == 5000
