@@ -37,3 +37,18 @@ def test_scan_prunes_columns(spark):
     p = _plan(catalog.QUERIES["pillar_scores"](spark, MEDIUM))
     scans = re.findall(r"FileScan parquet \[([^\]]*)\]", p)
     assert scans and all("text" not in s for s in scans)  # documents.text is never read for theme roll-ups
+
+
+FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def test_no_query_has_python_cartesian_or_nested_loop_operators(spark):
+    from .conftest import SMALL
+
+    bad = {}
+    for name, fn in sorted(catalog.QUERIES.items()):
+        p = _plan(fn(spark, SMALL))
+        hits = [op for op in FORBIDDEN if op in p]
+        if hits:
+            bad[name] = hits
+    assert not bad, bad
