@@ -43,7 +43,9 @@ def dataset_fingerprint(turns: DataFrame, order: tuple[str, ...] = ("call_id", "
     ever reach the final task.
     """
     cols = turns.columns
-    first = turns.orderBy(*order).limit(FINGERPRINT_ROWS)
+    # Ties (a repeated call id) are broken on every other column, so the 100
+    # rows, and the hash, are the same on every run.
+    first = turns.orderBy(*order, *[c for c in cols if c not in order]).limit(FINGERPRINT_ROWS)
     lines = first.select(*[F.col(c) for c in order], F.concat_ws(",", *[_csv_field(F.col(c)) for c in cols]).alias("line"))
     agg = lines.agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col("line")))).alias("rows"))  # ≤ 100
     header = ",".join(cols)

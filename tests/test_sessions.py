@@ -42,3 +42,17 @@ def test_delete_removes_only_that_session(spark):
     kept = K.delete_session(spark, path, "feedfeedfeed", "2025-02-07 12:00:00", scratch_path(spark, "sessions-kept"))
     assert sorted(r.agent for r in kept.collect()) == ["c"]
     assert K.read_sessions(spark, path).count() == 3  # the original store is untouched
+
+
+def test_fingerprint_is_stable_with_repeated_call_ids(spark):
+    schema = "call_id string, agent string, turn_idx int, timestamp string, speaker string, message string, sentiment_score double"
+    rows = [("C1", f"a{i % 3}", 0, "t", "agent", f"m{i}", None) for i in range(150)]
+
+    def reordered(step):  # the same rows in another order
+        return [r for k in range(step) for r in rows[k::step]]
+
+    hashes = {
+        K.dataset_fingerprint(spark.createDataFrame(reordered(step), schema).repartition(n)).first()[0]
+        for step, n in ((1, 1), (1, 7), (2, 3), (3, 5), (7, 2))
+    }
+    assert len(hashes) == 1
