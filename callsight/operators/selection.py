@@ -122,8 +122,8 @@ def speaker_turns(turns: DataFrame, speaker: str) -> DataFrame:
 
 
 def first_messages(turns: DataFrame, n: int = 3, speakers: tuple[str, ...] = ("agent", "customer")) -> DataFrame:
-    """First ``n`` messages per (call, speaker side) in turn order."""
-    w = Window.partitionBy("call_id", "speaker").orderBy("turn_idx")
+    """First ``n`` messages per (call, speaker side) in turn order (a repeated call id ties on agent, then text)."""
+    w = Window.partitionBy("call_id", "speaker").orderBy("turn_idx", "agent", "message")
     return (
         turns.where(F.col("speaker").isin(*speakers))
         .select("agent", "call_id", "speaker", "turn_idx", "message", F.row_number().over(w).alias("msg_rank"))
