@@ -277,12 +277,17 @@ def pillar_cards(theme_rows: DataFrame, k: int = 5, agents: DataFrame | None = N
         ).alias("pillar_ord"),
     )
     rel = hits.join(F.broadcast(top.select("pillar_ord", "agent")), ["pillar_ord", "agent"], "left_semi")  # ≤ 25 keys
-    w = Window.partitionBy("pillar_ord", "agent").orderBy("theme_pos")
-    ranked = rel.select("pillar_ord", "agent", "theme_pos", "theme", F.row_number().over(w).alias("rn"))
-    agg = ranked.groupBy("pillar_ord", "agent").agg(
-        F.array_sort(F.collect_list(F.when(F.col("rn") <= 2, F.struct("theme_pos", "theme")))).alias("first2"),
-        F.count(F.lit(1)).alias("n_rel"),
+    # Count with partial aggregation; the first two come from a ranking filter,
+    # which Spark limits per task before the shuffle. No group is gathered whole.
+    counts = rel.groupBy("pillar_ord", "agent").agg(F.count(F.lit(1)).alias("n_rel"))
+    w = Window.partitionBy("pillar_ord", "agent").orderBy("theme_pos", "theme")
+    firsts = (
+        rel.select("pillar_ord", "agent", "theme_pos", "theme", F.row_number().over(w).alias("rn"))
+        .where(F.col("rn") <= 2)
+        .groupBy("pillar_ord", "agent")
+        .agg(F.array_sort(F.collect_list(F.struct("rn", "theme"))).alias("first2"))
     )
+    agg = counts.join(firsts, ["pillar_ord", "agent"])
     text = F.concat(
         F.array_join(F.transform("first2", lambda x: x["theme"]), ", "),
         F.when(F.col("n_rel") > 2, F.concat(F.lit(" +"), (F.col("n_rel") - 2).cast("string"))).otherwise(F.lit("")),

@@ -20,7 +20,7 @@ def test_no_python_and_no_cartesian(spark, name):
     assert "CartesianProduct" not in p
 
 
-@pytest.mark.parametrize("name", ["worst_calls", "first_messages", "pillar_top_agents"])
+@pytest.mark.parametrize("name", ["worst_calls", "first_messages", "pillar_top_agents", "pillar_cards", "agent_needs", "call_digest"])
 def test_topk_is_limited_before_the_shuffle(spark, name):
     p = _plan(catalog.QUERIES[name](spark, MEDIUM))
     assert re.search(r"WindowGroupLimit .*Partial", p), p
