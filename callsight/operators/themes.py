@@ -168,17 +168,32 @@ def priority_dist(theme_rows: DataFrame) -> DataFrame:
     )
 
 
-def top_themes(theme_rows: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` most frequent themes (ties by theme), with rank 1..k."""
+def _ranked_top(theme_rows: DataFrame, k: int) -> DataFrame:
+    """One row: the ``k`` most frequent themes as an array sorted by (n desc, theme).
+
+    The per-task top k runs before any exchange (TakeOrderedAndProject), so
+    only k rows per task move; the final array holds at most k entries.
+    """
     counts = theme_rows.groupBy("theme").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc("theme")).limit(k)  # top-k is the feature
-    return top.select("theme", "n", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("theme"))).cast("int").alias("rank"))
+    return top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg_n"), "theme", "n"))).alias("t"))
+
+
+def top_themes(theme_rows: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` most frequent themes (ties by theme), with rank 1..k."""
+    return _ranked_top(theme_rows, k).select(F.posexplode("t").alias("i", "x")).select(
+        F.col("x.theme").alias("theme"), F.col("x.n").alias("n"), (F.col("i") + 1).cast("int").alias("rank")
+    )
 
 
 def theme_bars(theme_rows: DataFrame, k: int = 8) -> DataFrame:
-    """Top ``k`` themes with their bar length = n / max n × 100."""
-    t = top_themes(theme_rows, k)
-    return t.select("theme", "n", "rank", _r6(F.col("n") * 100.0 / F.max("n").over(Window.partitionBy())).alias("pct"))
+    """Top ``k`` themes with their bar length = n / max n × 100 (the max is the first entry)."""
+    return _ranked_top(theme_rows, k).select(F.posexplode("t").alias("i", "x"), F.col("t")[0]["n"].alias("max_n")).select(
+        F.col("x.theme").alias("theme"),
+        F.col("x.n").alias("n"),
+        (F.col("i") + 1).cast("int").alias("rank"),
+        _r6(F.col("x.n") * 100.0 / F.col("max_n")).alias("pct"),
+    )
 
 
 def pillar_demand(theme_rows: DataFrame) -> DataFrame:
