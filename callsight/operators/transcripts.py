@@ -26,7 +26,7 @@ def _pipe_turns(t: Column) -> Column:
     so once the short header matched, the message is the first line of the
     rest after its leading whitespace; the header is matched once per segment.
     """
-    head = T.PIPE_HEADER_PATTERN
+    head = T.PIPE_HEADER_PATTERN_J
     segments = F.filter(F.transform(F.split(t, r"\|", -1), lambda s: T.strip_ws(s)), lambda s: s != "")
     heads = F.filter(
         F.transform(segments, lambda s: F.struct(F.regexp_extract(s, head, 0).alias("h"), s.alias("s"))),
@@ -53,13 +53,13 @@ def _bracket_turns(t: Column) -> Column:
     character of every body. Leading/trailing whitespace of a body is removed
     later by the whitespace collapse, as the pattern's ``\\s*`` and ``$`` would.
     """
-    headers = F.regexp_extract_all(t, F.lit(T.BRACKET_HEADER_FIND), 0)
-    bodies = F.slice(F.split(t, T.BRACKET_HEADER_FIND, -1), 2, F.size(headers))
+    headers = F.regexp_extract_all(t, F.lit(T.BRACKET_HEADER_FIND_J), 0)
+    bodies = F.slice(F.split(t, T.BRACKET_HEADER_FIND_J, -1), 2, F.size(headers))
     return F.transform(
         F.arrays_zip(headers.alias("h"), bodies.alias("b")),
         lambda x: F.struct(
-            F.regexp_extract(x["h"], T.BRACKET_HEADER_PATTERN, 1).alias("ts"),
-            F.regexp_extract(x["h"], T.BRACKET_HEADER_PATTERN, 2).alias("spk"),
+            F.regexp_extract(x["h"], T.BRACKET_HEADER_PATTERN_J, 1).alias("ts"),
+            F.regexp_extract(x["h"], T.BRACKET_HEADER_PATTERN_J, 2).alias("spk"),
             x["b"].alias("msg"),
         ),
     )

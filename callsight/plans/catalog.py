@@ -1055,10 +1055,11 @@ register(
 )
 
 # The turn cleaning (markup, then whitespace) over raw web pages: every page, whole.
-_PY_WS = r"[\t\n\x0B\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_PY_WS_CLASS = r"[\t\n\x0B\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_PY_WS = _PY_WS_CLASS + "+"
 register(
     "clean_pages",
     "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, "
-    + r"'(?i)<br[ \t\n\x0B\f\r]*/?>', ' ', 'g'), '<[^>]+>', '', 'g'), "
+    + f"'(?i)<br{_PY_WS_CLASS}*/?>', ' ', 'g'), '<[^>]+>', '', 'g'), "
     + f"'{_PY_WS}', ' ', 'g')) AS html FROM pages",
 )(lambda spark, sf: P.clean_markup_text(X.read_table(spark, sf, "pages"), "page_id", "html"))
