@@ -26,16 +26,24 @@ TEXT_AGENT = "Unknown"
 TEXT_CALL_PREFIX = "CALL_"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: str | None = None, infer_schema: bool = False, multi_line: bool = True
+) -> DataFrame:
     """Header CSV; quoted fields may span lines (RFC-4180 doubled quotes).
 
-    ``multiLine`` makes each file one split, so parallelism comes from the
-    number of files; give a schema to avoid an inference pass.
+    Without a schema every column is read as text: ``map_columns`` casts the
+    mapped columns anyway, and inference would be a full extra pass over
+    the data (``infer_schema=True`` opts in). ``multiLine`` makes each file
+    one split, so parallelism then comes from the number of files; pass
+    ``multi_line=False`` for uploads known to hold one record per line, so
+    large files are split across tasks.
     """
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema:
         return r.schema(schema).csv(path)
-    return r.option("inferSchema", True).csv(path)
+    if infer_schema:
+        return r.option("inferSchema", True).csv(path)
+    return r.csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
