@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callsight.functions.numbers import py_fixed
 from callsight.functions.scalars import one_row, one_value
 from callsight.functions.templates import fill
 from callsight.operators import themes as H
@@ -159,7 +160,7 @@ def answer_questions(questions: DataFrame, turns: DataFrame, cache: DataFrame) -
         .when(
             r == "avg_sentiment",
             F.when(m["avg_s"].isNull(), F.lit(NO_SENTIMENT_TEXT)).otherwise(
-                fill(AVG_SENTIMENT_TEXT, {"x": F.format_string("%.2f", m["avg_s"])})
+                fill(AVG_SENTIMENT_TEXT, {"x": py_fixed(m["avg_s"], 2)})
             ),
         )
         .when(r == "help", F.lit(HELP_TEXT))

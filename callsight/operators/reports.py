@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callsight.functions.numbers import py_fixed
 from callsight.functions.scalars import one_row, one_value
 from callsight.functions.templates import fill
 from callsight.operators import themes as H
@@ -211,7 +212,7 @@ def analytics_context(turns: DataFrame, theme_rows: DataFrame) -> DataFrame:
                     "rank": x["rank"].cast("string"),
                     "theme": x["theme"],
                     "n": x["n"].cast("string"),
-                    "pct": F.format_string("%.1f", x["n"] * 100.0 / F.col("total_agents")),
+                    "pct": py_fixed(x["n"] * 100.0 / F.col("total_agents"), 1),
                 },
             ),
         ),
@@ -223,7 +224,7 @@ def analytics_context(turns: DataFrame, theme_rows: DataFrame) -> DataFrame:
             "agents": F.col("total_agents").cast("string"),
             "calls": F.format_number(F.col("total_calls"), 0),
             "sentiment": F.when(F.col("avg_sentiment").isNull(), F.lit(MISSING_SENTIMENT_TEXT)).otherwise(
-                F.format_string("%.2f", F.col("avg_sentiment"))
+                py_fixed(F.col("avg_sentiment"), 2)
             ),
             "themes": dist,
             "high": F.col("high").cast("string"),

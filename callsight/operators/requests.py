@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callsight.functions.numbers import py_fixed
 from callsight.functions.templates import fill
 from callsight.functions.text import truncate_text
 from callsight.operators import selection as S
@@ -128,7 +129,7 @@ def call_digest(
     j = ordinals.join(means, ["agent", "call_id"], "left").join(sides, ["agent", "call_id"], "left")
     tag = F.when(
         F.col("avg_sentiment").isNotNull() & (F.col("avg_sentiment") != 0),
-        fill(SENTIMENT_TAG, {"value": F.format_string("%.2f", F.col("avg_sentiment"))}),
+        fill(SENTIMENT_TAG, {"value": py_fixed(F.col("avg_sentiment"), 2)}),
     ).otherwise(F.lit(""))
     cust = F.array_join(F.transform(F.coalesce("cust", F.array()), lambda x: x["short"]), DIGEST_MESSAGE_SEPARATOR)
     agt = F.array_join(F.transform(F.coalesce("agt", F.array()), lambda x: x["short"]), DIGEST_MESSAGE_SEPARATOR)

@@ -80,6 +80,7 @@ def theme_lexicon(spark: SparkSession) -> DataFrame:
 from pyspark.sql import Column, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from callsight.functions.numbers import py_fixed  # noqa: E402
 from callsight.functions.scalars import one_row, one_value  # noqa: E402
 from callsight.functions.templates import fill  # noqa: E402
 from callsight.operators.ordinal import with_global_ordinal  # noqa: E402
@@ -470,7 +471,7 @@ def report_header(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | N
     s = F.col("sentiment_score")
     t = turns.agg(
         F.countDistinct("call_id").cast("bigint").alias("total_calls"),
-        _r6(F.avg(F.when(~F.isnan(s), s))).alias("avg_sentiment"),
+        F.avg(F.when(~F.isnan(s), s)).alias("_avg"),
     )
     a = one_value(agents_of(theme_rows, agents).agg(F.count(F.lit(1)).cast("bigint").alias("total_agents")))
     th = one_value(theme_rows.agg(F.count(F.lit(1)).cast("bigint").alias("total_themes")))
@@ -478,10 +479,9 @@ def report_header(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | N
         "total_calls",
         a.alias("total_agents"),
         th.alias("total_themes"),
-        "avg_sentiment",
-        F.when(F.col("avg_sentiment") > 0, F.format_string("%.2f", F.col("avg_sentiment"))).otherwise(F.lit(NO_THEME)).alias(
-            "avg_sentiment_text"
-        ),
+        _r6(F.col("_avg")).alias("avg_sentiment"),
+        # The text is formatted from the unrounded mean, with Python's rounding.
+        F.when(F.col("_avg") > 0, py_fixed(F.col("_avg"), 2)).otherwise(F.lit(NO_THEME)).alias("avg_sentiment_text"),
     )
 
 

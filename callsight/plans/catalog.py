@@ -388,7 +388,7 @@ register(
       (SELECT cast(count(DISTINCT agent) AS bigint) FROM theme_rows) AS total_agents,
       (SELECT cast(count(*) AS bigint) FROM theme_rows) AS total_themes,
       (SELECT round(avg(sentiment_score), 6) FROM turns) AS avg_sentiment,
-      (SELECT CASE WHEN round(avg(sentiment_score), 6) > 0 THEN printf('%.2f', round(avg(sentiment_score), 6))
+      (SELECT CASE WHEN avg(sentiment_score) > 0 THEN printf('%.2f', avg(sentiment_score))
          ELSE 'N/A' END FROM turns) AS avg_sentiment_text""",
 )(lambda spark, sf: H.report_header(turns(spark, sf), theme_rows(spark, sf)))
 

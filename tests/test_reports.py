@@ -47,3 +47,15 @@ def test_quote_special_characters(spark):
     df = spark.createDataFrame([("a", "x y~z*/é+&=\n'\"")], "agent string, plan_text string")
     got = RP.mailto_link(df).first().mailto
     assert got.endswith("&body=" + urllib.parse.quote("x y~z*/é+&=\n'\""))
+
+
+def test_digest_sentiment_uses_python_rounding(spark):
+    from callsight.operators import requests as R
+
+    schema = "call_id string, agent string, turn_idx int, timestamp string, speaker string, message string, sentiment_score double"
+    rows = [("c1", "A", 0, "t", "customer", "help", 0.125), ("c1", "A", 1, "t", "agent", "sure", 0.125),
+            ("c2", "A", 0, "t", "customer", "hi", 2.675)]
+    review = spark.createDataFrame(rows, schema)
+    calls = review.select("agent", "call_id").distinct()
+    got = {r.call_id: r.digest.split("\n")[0] for r in R.call_digest(review, calls).collect()}
+    assert got == {"c1": f"Call 1: [Sentiment: {0.125:.2f}]", "c2": f"Call 2: [Sentiment: {2.675:.2f}]"}
