@@ -4,6 +4,10 @@ A global aggregate (a total, a flag, a top-k summary) is attached to every
 row of another table as a scalar subquery: Spark runs it once, before the
 outer query, and passes the value in. No join node, no exchange of the
 outer rows, and sibling subqueries over the same plan are merged.
+
+Every reference to a scalar value is planned as its own subquery, so a
+value used more than once is attached as a column once (a ``select``) and
+read through that column; long expressions over it then cost nothing extra.
 """
 
 from __future__ import annotations

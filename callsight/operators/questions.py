@@ -83,8 +83,9 @@ def route_questions(questions: DataFrame, agents: DataFrame, has_coaching: DataF
     """
     m = agent_mentions(questions, agents)
     q = F.lower(F.col("question"))
-    base = questions.join(m, "question_id", "left")
-    step1 = one_value(has_coaching, "has_coaching") & _any_contains(q, COACHING_KEYWORDS)
+    # The flag is attached as a column once, so the plan holds one subquery for it.
+    base = questions.join(m, "question_id", "left").select("*", one_value(has_coaching, "has_coaching").alias("_has"))
+    step1 = F.col("_has") & _any_contains(q, COACHING_KEYWORDS)
     route = (
         F.when(step1 & q.contains(TOP_THEME_WORDS[0]) & q.contains(TOP_THEME_WORDS[1]), F.lit("top_themes"))
         .when(step1 & F.col("agent").isNotNull(), F.lit("agent_needs"))
@@ -149,20 +150,23 @@ def answer_questions(questions: DataFrame, turns: DataFrame, cache: DataFrame) -
         F.countDistinct("agent").alias("n_agents"),
         F.avg(F.when(~F.isnan(s), s)).alias("avg_s"),
     )
-    j = routed.join(needs, "agent", "left")
-    top_answer, m = one_value(top, "top_answer"), one_row(metrics)  # one-row tables as values
+    # The one-row answers are built inside their one-row tables and attached as
+    # columns once: each scalar subquery appears once in the plan.
+    texts = metrics.select(
+        fill(COUNT_CALLS_TEXT, {"n": F.col("n_calls").cast("string")}).alias("calls_text"),
+        fill(COUNT_AGENTS_TEXT, {"n": F.col("n_agents").cast("string")}).alias("agents_text"),
+        F.when(F.col("avg_s").isNull(), F.lit(NO_SENTIMENT_TEXT))
+        .otherwise(fill(AVG_SENTIMENT_TEXT, {"x": py_fixed(F.col("avg_s"), 2)}))
+        .alias("sentiment_text"),
+    )
+    j = routed.join(needs, "agent", "left").select("*", one_value(top, "top_answer").alias("_top"), one_row(texts).alias("_m"))
     r = F.col("route")
     answer = (
-        F.when(r == "top_themes", top_answer)
+        F.when(r == "top_themes", F.col("_top"))
         .when(r == "agent_needs", F.col("needs_answer"))
-        .when(r == "count_calls", fill(COUNT_CALLS_TEXT, {"n": m["n_calls"].cast("string")}))
-        .when(r == "count_agents", fill(COUNT_AGENTS_TEXT, {"n": m["n_agents"].cast("string")}))
-        .when(
-            r == "avg_sentiment",
-            F.when(m["avg_s"].isNull(), F.lit(NO_SENTIMENT_TEXT)).otherwise(
-                fill(AVG_SENTIMENT_TEXT, {"x": py_fixed(m["avg_s"], 2)})
-            ),
-        )
+        .when(r == "count_calls", F.col("_m.calls_text"))
+        .when(r == "count_agents", F.col("_m.agents_text"))
+        .when(r == "avg_sentiment", F.col("_m.sentiment_text"))
         .when(r == "help", F.lit(HELP_TEXT))
     )
     return j.select("question_id", "question", "route", "agent", answer.alias("answer"))

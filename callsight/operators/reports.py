@@ -201,8 +201,11 @@ def analytics_context(turns: DataFrame, theme_rows: DataFrame) -> DataFrame:
     n_agents = one_value(theme_rows.agg(F.countDistinct("agent").cast("bigint").alias("total_agents")))
     p = one_row(H.priority_dist(theme_rows))
     top3 = one_value(H.top_themes(theme_rows, 3).agg(F.array_sort(F.collect_list(F.struct("rank", "theme", "n"))).alias("top3")))  # 3 rows
-    row = t.select("total_calls", "avg_sentiment", n_agents.alias("total_agents"), p["high"].alias("high"), p["medium"].alias("medium"),
-                   p["low"].alias("low"), top3.alias("top3"))
+    attached = t.select("total_calls", "avg_sentiment", n_agents.alias("total_agents"), p.alias("_p"), top3.alias("top3"))
+    row = attached.select(
+        "total_calls", "avg_sentiment", "total_agents", F.col("_p.high").alias("high"), F.col("_p.medium").alias("medium"),
+        F.col("_p.low").alias("low"), "top3",
+    )
     dist = F.array_join(
         F.transform(
             "top3",

@@ -502,20 +502,22 @@ def exec_summary(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | No
         F.sum(F.when(F.col("n_themes") >= 4, 1).otherwise(0)).cast("bigint").alias("priority_coaching"),
         F.sum(F.when((F.col("n_themes") >= 2) & (F.col("n_themes") < 4), 1).otherwise(0)).cast("bigint").alias("moderate"),
     )
-    # h is the one-row base; the other one-row tables are scalar subqueries.
-    p, tp, seg, top3 = one_row(p), one_row(tp), one_row(seg), one_row(top3)
-    return h.select(
+    # h is the one-row base; each other one-row table is attached once as a struct column.
+    wide = h.select(
+        "*", one_row(p).alias("_p"), one_row(tp).alias("_tp"), one_row(seg).alias("_seg"), one_row(top3).alias("_top3")
+    )
+    return wide.select(
         "total_calls",
         "total_agents",
         "avg_sentiment",
-        p["high"].alias("high_themes"),
-        p["medium"].alias("medium_themes"),
-        p["low"].alias("low_themes"),
-        top3["text"].alias("top_themes_text"),
-        top3["focus"].alias("focus_theme"),
-        tp["top_pillar"].alias("top_pillar"),
-        tp["top_pillar_n"].alias("top_pillar_n"),
-        (F.col("total_agents") - seg["priority_coaching"] - seg["moderate"]).alias("high_performers"),
-        seg["moderate"].alias("moderate"),
-        seg["priority_coaching"].alias("priority_coaching"),
+        F.col("_p.high").alias("high_themes"),
+        F.col("_p.medium").alias("medium_themes"),
+        F.col("_p.low").alias("low_themes"),
+        F.col("_top3.text").alias("top_themes_text"),
+        F.col("_top3.focus").alias("focus_theme"),
+        F.col("_tp.top_pillar").alias("top_pillar"),
+        F.col("_tp.top_pillar_n").alias("top_pillar_n"),
+        (F.col("total_agents") - F.col("_seg.priority_coaching") - F.col("_seg.moderate")).alias("high_performers"),
+        F.col("_seg.moderate").alias("moderate"),
+        F.col("_seg.priority_coaching").alias("priority_coaching"),
     )

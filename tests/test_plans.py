@@ -52,3 +52,15 @@ def test_no_query_has_python_cartesian_or_nested_loop_operators(spark):
         if hits:
             bad[name] = hits
     assert not bad, bad
+
+
+def test_scalar_values_are_planned_once(spark):
+    # Each one-row table is attached once as a column: a long expression over a
+    # scalar value must not multiply its subquery (one per reference otherwise).
+    from .conftest import SMALL
+
+    worst = {}
+    for name, fn in sorted(catalog.QUERIES.items()):
+        n = len(set(re.findall(r"Subquery subquery#(\d+)", _plan(fn(spark, SMALL)))))
+        worst[name] = n
+    assert max(worst.values()) <= 6, sorted(worst.items(), key=lambda kv: -kv[1])[:5]
