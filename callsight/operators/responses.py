@@ -207,17 +207,24 @@ def parse_insights(responses: DataFrame) -> DataFrame:
     rejects extra data, including a second object).
     """
     rc = response_content(responses)
-    parsed = F.try_parse_json(F.col("content"))
-    kind = _kind(parsed)
+    # Staged columns: the JSON is parsed once, its type read once, the
+    # extra-data check run once and only for objects; status is then a column.
+    parsed = rc.select("agent", "status", "content", F.try_parse_json(F.col("content")).alias("parsed"))
+    typed = parsed.select("*", _kind(F.col("parsed")).alias("kind"))
+    checked = typed.select(
+        "*", F.when(F.col("kind").startswith("OBJECT"), _first_object_ends_last(F.col("content"))).alias("single")
+    )
+    kind = F.col("kind")
     status = (
         F.when(F.col("status").isNotNull(), F.col("status"))
-        .when(parsed.isNull(), F.lit("bad_json"))
-        .when(~kind.startswith("OBJECT"), F.when(_truthy(parsed), F.lit("not_object")).otherwise(F.lit("empty")))
-        .when(~_first_object_ends_last(F.col("content")), F.lit("bad_json"))
+        .when(F.col("parsed").isNull(), F.lit("bad_json"))
+        .when(~kind.startswith("OBJECT"), F.when(_truthy(F.col("parsed")), F.lit("not_object")).otherwise(F.lit("empty")))
+        .when(~F.col("single"), F.lit("bad_json"))
         .when(kind == "OBJECT<>", F.lit("empty"))
         .otherwise(F.lit("ok"))
     )
-    return rc.select("agent", status.alias("status"), F.when(status == "ok", parsed).alias("insight"))
+    with_status = checked.select("agent", status.alias("status"), "parsed")
+    return with_status.select("agent", "status", F.when(F.col("status") == "ok", F.col("parsed")).alias("insight"))
 
 
 def response_errors(responses: DataFrame) -> DataFrame:
