@@ -3,12 +3,13 @@
 import pytest
 
 import __spark_entry__ as E
+from callsight.plans import catalog
 from callsight.plans.compare import compare, duck
 
 from .conftest import SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = {k: f for k, f in E.queries().items() if k in catalog.QUERIES}
+ORACLE = {k: q for k, q in E.oracle_sql().items() if k in catalog.QUERIES}
 
 
 @pytest.fixture(scope="module")
