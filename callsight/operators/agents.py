@@ -18,14 +18,13 @@ def _cnt(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
 
 
-def _r6(c: Column) -> Column:
-    return F.round(c.cast("double"), 6)
-
-
 def _np_round(c: Column, digits: int) -> Column:
-    """numpy/pandas rounding: scale, round half to even on the binary value, unscale."""
+    """numpy/pandas rounding: scale, round half to even on the binary value, unscale.
+
+    The 12th digit is rounded first: below it, a mean depends on the order in which partitions were summed.
+    """
     scale = float(10**digits)
-    return F.rint(c * scale) / scale
+    return F.rint(F.round(c, 12) * scale) / scale
 
 
 def _distinct(c: str, approx_rsd: float | None) -> Column:
@@ -49,11 +48,19 @@ def total_agents(turns: DataFrame, approx_rsd: float | None = None) -> DataFrame
 
 def volume_counts(turns: DataFrame, approx_rsd: float | None = None) -> DataFrame:
     """One row: distinct calls, distinct agents, turns (distinct counts exact unless ``approx_rsd`` is given)."""
-    return turns.agg(
-        _distinct("call_id", approx_rsd).alias("total_calls"),
-        _distinct("agent", approx_rsd).alias("total_agents"),
-        F.count(F.lit(1)).cast("bigint").alias("total_turns"),
-    )
+    if approx_rsd is not None:
+        return turns.agg(
+            _distinct("call_id", approx_rsd).alias("total_calls"),
+            _distinct("agent", approx_rsd).alias("total_agents"),
+            F.count(F.lit(1)).cast("bigint").alias("total_turns"),
+        )
+    # Two distinct counts in one aggregate would send every turn twice (Expand). The turns are first summed up to
+    # (agent, call), then to calls and to agents; each count reads those few rows.
+    per_call = turns.groupBy("agent", "call_id").agg(F.count(F.lit(1)).alias("n"))
+    agents = per_call.groupBy("agent").agg(F.sum("n").alias("n"))
+    one = agents.agg(F.count("agent").cast("bigint").alias("total_agents"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_turns"))
+    calls = one_value(per_call.agg(F.countDistinct("call_id").cast("bigint").alias("total_calls")))
+    return one.select(calls.alias("total_calls"), "total_agents", "total_turns")
 
 
 def agent_stats(turns: DataFrame) -> DataFrame:
@@ -66,7 +73,7 @@ def agent_stats(turns: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("total_messages"),
         _cnt(F.col("speaker") == "agent").alias("agent_messages"),
         _cnt(F.col("speaker") == "customer").alias("customer_messages"),
-        _r6(F.avg(F.length("message"))).alias("avg_message_length"),
+        F.avg(F.length("message")).alias("avg_message_length"),
     )
 
 
@@ -83,7 +90,7 @@ def sentiment_stats(turns: DataFrame, low_threshold: float = 0.5) -> DataFrame:
     """
     s = F.col("sentiment_score")
     return distinct_call_sentiments(turns).groupBy("agent").agg(
-        _r6(F.avg(s)).alias("avg_sentiment"),
+        F.avg(s).alias("avg_sentiment"),
         F.min(s).alias("min_sentiment"),
         F.max(s).alias("max_sentiment"),
         F.count(F.when(s < low_threshold, 1)).cast("bigint").alias("low_sentiment_calls"),
@@ -103,8 +110,8 @@ def call_flow(turns: DataFrame) -> DataFrame:
 def flow_stats(turns: DataFrame) -> DataFrame:
     """Per agent: mean turns per call and mean agent share, over calls."""
     return call_flow(turns).groupBy("agent").agg(
-        _r6(F.avg("turns_per_call")).alias("avg_turns"),
-        _r6(F.avg("agent_response_ratio")).alias("avg_response_ratio"),
+        F.avg("turns_per_call").alias("avg_turns"),
+        F.avg("agent_response_ratio").alias("avg_response_ratio"),
     )
 
 
@@ -166,11 +173,11 @@ def agent_dashboard(turns: DataFrame, low_threshold: float = 0.5, rounded: bool
         "total_messages",
         "agent_messages",
         "customer_messages",
-        _r6(F.col("avg_message_length")).alias("avg_message_length"),
-        F.when(has_s, _r6(F.col("_s_sum") / F.col("_s_n"))).alias("avg_sentiment"),
+        F.col("avg_message_length").alias("avg_message_length"),
+        F.when(has_s, F.col("_s_sum") / F.col("_s_n")).alias("avg_sentiment"),
         F.when(has_s, F.col("_s_low")).alias("low_sentiment_calls"),
-        _r6(F.col("avg_turns")).alias("avg_turns"),
-        _r6(F.col("avg_response_ratio")).alias("avg_response_ratio"),
+        F.col("avg_turns").alias("avg_turns"),
+        F.col("avg_response_ratio").alias("avg_response_ratio"),
     )
     if not rounded:
         return out
@@ -191,8 +198,9 @@ def agent_dashboard(turns: DataFrame, low_threshold: float = 0.5, rounded: bool
 def kpi_row(turns: DataFrame, low_threshold: float = 0.5) -> DataFrame:
     """One row: calls, agents, mean of per-agent mean sentiment (over distinct values), total messages.
 
-    One scan: turns → per-(agent, call) table; both the distinct-call count
-    and the per-agent means are computed from it.
+    Turns → per-(agent, call) rows, from which the distinct-call count (a
+    scalar subquery) and the per-agent means are computed; the plan reads the
+    turns for each of the two.
     """
     per_call = _per_call(turns, low_threshold)
     calls = per_call.agg(F.countDistinct("call_id").cast("bigint").alias("total_calls"))
@@ -203,7 +211,7 @@ def kpi_row(turns: DataFrame, low_threshold: float = 0.5) -> DataFrame:
     )
     one = per_agent.agg(
         F.count("agent").cast("bigint").alias("total_agents"),
-        _r6(F.avg(F.when(F.col("_s_n") > 0, F.round(F.col("_s_sum") / F.col("_s_n"), 6)))).alias("avg_sentiment"),
+        F.avg(F.when(F.col("_s_n") > 0, F.col("_s_sum") / F.col("_s_n"))).alias("avg_sentiment"),
         F.sum("n").cast("bigint").alias("total_messages"),
     )
     return one.select(one_value(calls).alias("total_calls"), "total_agents", "avg_sentiment", "total_messages")
@@ -212,7 +220,7 @@ def kpi_row(turns: DataFrame, low_threshold: float = 0.5) -> DataFrame:
 def avg_sentiment_turns(turns: DataFrame) -> DataFrame:
     """Turn-weighted mean sentiment (NaN skipped), one row."""
     s = F.col("sentiment_score")
-    return turns.agg(_r6(F.avg(F.when(~F.isnan(s), s))).alias("avg_sentiment"))
+    return turns.agg(F.avg(F.when(~F.isnan(s), s)).alias("avg_sentiment"))
 
 
 def call_sentiment(turns: DataFrame) -> DataFrame:
@@ -222,7 +230,7 @@ def call_sentiment(turns: DataFrame) -> DataFrame:
         turns.groupBy("agent", "call_id")
         .agg(F.avg(F.when(~F.isnan(s), s)).alias("avg_sentiment"))
         .where(F.col("avg_sentiment").isNotNull())
-        .select("agent", "call_id", _r6(F.col("avg_sentiment")).alias("avg_sentiment"))
+        .select("agent", "call_id", F.col("avg_sentiment").alias("avg_sentiment"))
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference's export defaults.
@@ -23,6 +23,15 @@ def coaching_cache(theme_rows: DataFrame, processed_at: str, model_used: str) ->
     )
 
 
+def write_cache(cache: DataFrame, path: str) -> None:
+    """Replaces the stored cache table with this run's rows."""
+    cache.write.mode("overwrite").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def export_theme_rows(theme_rows: DataFrame) -> DataFrame:
     """CSV export rows: examples joined by ' | ', missing values defaulted."""
     return theme_rows.select(
@@ -36,14 +45,17 @@ def export_theme_rows(theme_rows: DataFrame) -> DataFrame:
 
 
 def export_summary(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
-    """Summary sheet: per agent calls, number of themes, number of high-priority themes."""
+    """Summary sheet: per agent calls that went to review, number of themes, number of high-priority themes.
+
+    ``agents(agent, calls_analyzed)`` gives the counts and the agents without themes; without it calls are 0.
+    """
     c = theme_rows.groupBy("agent").agg(
         F.count(F.lit(1)).cast("bigint").alias("coaching_themes"),
         F.sum(F.when(F.col("priority") == "high", 1).otherwise(0)).cast("bigint").alias("high_priority"),
     )
     if agents is not None and "calls_analyzed" in agents.columns:
         base = agents.select("agent", F.col("calls_analyzed").cast("bigint").alias("calls"))
-        return base.join(c, "agent", "left").fillna(0, ["coaching_themes", "high_priority"])
+        return base.join(c, "agent", "full_outer").fillna(0, ["calls", "coaching_themes", "high_priority"]).select("agent", "calls", "coaching_themes", "high_priority")
     return c.select("agent", F.lit(0).cast("bigint").alias("calls"), "coaching_themes", "high_priority")
 
 

@@ -57,7 +57,7 @@ def agent_mentions(questions: DataFrame, agents: DataFrame) -> DataFrame:
     is joined back to the question ids.
     """
     names = agents.select("agent").where(F.col("agent").isNotNull()).distinct().select(
-        "agent", F.lower("agent").alias("needle"), F.length("agent").alias("len")
+        "agent", F.lower("agent").alias("needle"), F.length(F.lower("agent")).alias("len")
     )
     # The distinct name lengths: one value, bounded by the longest name.
     lengths = one_value(names.agg(F.collect_set("len").alias("lens")))
@@ -71,7 +71,7 @@ def agent_mentions(questions: DataFrame, agents: DataFrame) -> DataFrame:
     per_text = cand.join(names, ["len", "needle"]).groupBy("q").agg(F.min("agent").alias("agent"))
     return (
         questions.select("question_id", F.lower("question").alias("q"))
-        .join(per_text, "q")
+        .join(per_text, "q")  # a question that many ask is a hot key of a plain join, which Spark splits
         .select("question_id", "agent")
     )
 
@@ -103,13 +103,15 @@ def route_questions(questions: DataFrame, agents: DataFrame, has_coaching: DataF
     )
 
 
-def answer_questions(questions: DataFrame, turns: DataFrame, cache: DataFrame) -> DataFrame:
+def answer_questions(questions: DataFrame, turns: DataFrame, cache: DataFrame, agents: DataFrame | None = None) -> DataFrame:
     """Routed questions joined to the answer tables; ``llm`` questions get a null answer.
 
-    ``cache`` is the flat theme table (agent, theme_pos, theme, priority, recommendation).
+    ``cache`` is the flat theme table (agent, theme_pos, theme, priority, recommendation); ``agents`` adds agents without
+    themes, whose questions are routed to an empty list of needs.
     """
     has = cache.agg((F.count(F.lit(1)) > 0).alias("has_coaching"))
-    agents = cache.select("agent").distinct()
+    names = cache.select("agent") if agents is None else cache.select("agent").unionByName(agents.select("agent"))
+    agents = names.distinct()
     routed = route_questions(questions, agents, has)
 
     top = H.top_themes(cache, 5).agg(
@@ -145,11 +147,13 @@ def answer_questions(questions: DataFrame, turns: DataFrame, cache: DataFrame) -
         )
     )
     s = F.col("sentiment_score")
-    metrics = turns.agg(
-        F.countDistinct("call_id").alias("n_calls"),
-        F.countDistinct("agent").alias("n_agents"),
-        F.avg(F.when(~F.isnan(s), s)).alias("avg_s"),
-    )
+    # Summed up to (agent, call) first: two distinct counts over the turns would send each of them twice.
+    score = F.when(~F.isnan(s), s)
+    per_call = turns.groupBy("agent", "call_id").agg(F.sum(score).alias("s_sum"), F.count(score).alias("s_n"))
+    n_calls = one_value(per_call.agg(F.countDistinct("call_id").alias("n")))
+    per_agent = per_call.groupBy("agent").agg(F.sum("s_sum").alias("s_sum"), F.sum("s_n").alias("s_n"))
+    metrics = per_agent.agg(F.count("agent").alias("n_agents"), F.try_divide(F.sum("s_sum"), F.sum("s_n")).alias("avg_s"))
+    metrics = metrics.select(n_calls.alias("n_calls"), "n_agents", "avg_s")
     # The one-row answers are built inside their one-row tables and attached as
     # columns once: each scalar subquery appears once in the plan.
     texts = metrics.select(

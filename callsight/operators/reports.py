@@ -51,9 +51,7 @@ PLAN_STRENGTHS_END = "\n{rule}\n"
 PLAN_FOOTER = "\n{footer}\n"
 MAIL_SUBJECT = "Coaching Plan - {agent}"
 MAIL_LINK = "mailto:?subject={subject}&body={body}"
-PROFILE_AGENTS = 10
 PROFILE_THEMES = 3
-PROFILE_REC_CHARS = 120
 PROFILE_PILLAR_LINE = "{pillar}: {score} coaching points"
 PROFILE_THEME = "{n}. {theme}\nPriority Level: {priority}"
 PROFILE_RECOMMENDATION = "\n{recommendation}..."
@@ -157,10 +155,9 @@ def mailto_link(plans: DataFrame) -> DataFrame:
     return plans.select("agent", fill(MAIL_LINK, {"subject": _quote(subject), "body": _quote(F.col("plan_text"))}).alias("mailto"))
 
 
-def agent_profile(theme_rows: DataFrame, n_agents: int = PROFILE_AGENTS) -> DataFrame:
-    """First ``n_agents`` agents: nonzero pillar scores as text and their first three themes."""
-    first = theme_rows.select("agent").distinct().orderBy("agent").limit(n_agents)  # a top-n report
-    rows = theme_rows.join(first, "agent", "left_semi")
+def agent_profile(theme_rows: DataFrame, n_agents: int | None = None, rec_chars: int | None = None) -> DataFrame:
+    """Per agent: nonzero pillar scores as text and its first three themes. ``n_agents`` and ``rec_chars`` cut a report to size."""
+    rows = H._first_agents(theme_rows, n_agents)
     wide = H.pillar_scores_wide(rows)
     framework = F.array_join(
         F.filter(
@@ -184,7 +181,7 @@ def agent_profile(theme_rows: DataFrame, n_agents: int = PROFILE_AGENTS) -> Data
                 fill(PROFILE_THEME, {"n": (i + 1).cast("string"), "theme": x["theme"], "priority": F.upper(x["priority"])}),
                 F.when(
                     F.length(x["recommendation"]) > 0,
-                    fill(PROFILE_RECOMMENDATION, {"recommendation": F.substring(x["recommendation"], 1, PROFILE_REC_CHARS)}),
+                    fill(PROFILE_RECOMMENDATION, {"recommendation": H._cut(x["recommendation"], rec_chars)}),
                 ).otherwise(F.lit("")),
             ),
         ),
@@ -236,7 +233,7 @@ def analytics_context(turns: DataFrame, theme_rows: DataFrame) -> DataFrame:
         },
     )
     return row.select(
-        "total_agents", "total_calls", F.round("avg_sentiment", 6).alias("avg_sentiment"),
+        "total_agents", "total_calls", "avg_sentiment",
         F.col("high").alias("high_themes"), F.col("medium").alias("medium_themes"), F.col("low").alias("low_themes"),
         text.alias("context_text"),
     )

@@ -97,7 +97,6 @@ LEGACY_MAX_CALLS = 10
 
 TEMPERATURE = 0.3
 MAX_TOKENS = 2000
-PROMPT_THEME_LIMIT = 10
 MESSAGES_PER_SIDE = 3
 MESSAGE_CHARS = 100
 # ---------------------------------------------------------------------------
@@ -147,25 +146,28 @@ def call_digest(
     return j.select("agent", "call_id", "call_no", digest.alias("digest"))
 
 
-def first_calls(turns: DataFrame, n: int = LEGACY_MAX_CALLS) -> DataFrame:
-    """Per agent its first ``n`` calls by call order (the older variant's call choice)."""
+def first_calls(turns: DataFrame, n: int | None = None) -> DataFrame:
+    """Per agent its calls, or the first ``n`` by call order."""
     w = Window.partitionBy("agent").orderBy("call_id")
     calls = turns.where(F.col("agent").isNotNull()).select("agent", "call_id").distinct()
+    if n is None:
+        return calls
     return calls.select("agent", "call_id", F.row_number().over(w).alias("_rn")).where(F.col("_rn") <= n).drop("_rn")
 
 
-def call_digest_wide(turns: DataFrame, n_calls: int = LEGACY_MAX_CALLS) -> DataFrame:
-    """Older digest variant: first ``n_calls`` calls per agent, whole messages, 'issues/responses' labels."""
-    calls = first_calls(turns, n_calls).checkpoint(eager=True)  # ≤ n_calls rows per agent, used twice
-    review = S.selected_turns(turns, calls, materialise=False)
+def call_digest_wide(turns: DataFrame, n_calls: int | None = None) -> DataFrame:
+    """Older digest variant: every call (or the first ``n_calls`` per agent), whole messages, 'issues/responses' labels."""
+    calls = first_calls(turns, n_calls)
+    review = S.selected_turns(turns, calls)
     return call_digest(review, calls, None, LEGACY_CUSTOMER_LABEL, LEGACY_AGENT_LABEL)
 
 
-def agent_prompts(digests: DataFrame, themes: list[str], legacy: bool = False, n_calls: DataFrame | None = None) -> DataFrame:
+def agent_prompts(digests: DataFrame, themes: list[str], legacy: bool = False, n_calls: DataFrame | None = None, theme_limit: int | None = None) -> DataFrame:
     """Per agent: system and user prompt from its call digests (≤ k per agent).
 
-    ``legacy`` uses the older templates with every theme; its call count is
-    the agent's total calls, given as ``n_calls(agent, n_calls)``.
+    ``legacy`` uses the older templates; its call count is the agent's total
+    calls, given as ``n_calls(agent, n_calls)``. Every theme reaches the
+    prompt unless ``theme_limit`` says how many.
     """
     per_agent = digests.groupBy("agent").agg(
         F.array_sort(F.collect_list(F.struct("call_no", "digest"))).alias("d"),
@@ -173,7 +175,7 @@ def agent_prompts(digests: DataFrame, themes: list[str], legacy: bool = False, n
     )
     if n_calls is not None:
         per_agent = per_agent.drop("n_calls").join(n_calls.select("agent", F.col("n_calls").cast("bigint")), "agent", "left")
-    theme_text = F.lit(", ".join(themes if legacy else themes[:PROMPT_THEME_LIMIT]))
+    theme_text = F.lit(", ".join(themes[:theme_limit]))
     vals = {
         "themes": theme_text,
         "agent": F.col("agent"),

@@ -79,12 +79,17 @@ def _py_str(v: Column) -> Column:
 
 
 def _py_int(v: Column) -> Column:
-    """``int(value)`` if the value is a JSON number or boolean (truncated toward zero), else 0."""
+    """``int(value)`` if the value is a JSON number or boolean (truncated toward zero), else 0.
+
+    Python's integers have no limit; a number beyond 64 bits becomes the nearest 64-bit one.
+    """
     k = _kind(v)
+    number = _get(v, "$", "double")
+    fits = number.try_cast("bigint")
     return (
         F.when(k == "BOOLEAN", _get(v, "$", "boolean").cast("bigint"))
         .when(k.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), _get(v, "$", "bigint"))
-        .when(_is_numeric(k), _get(v, "$", "double").cast("bigint"))
+        .when(_is_numeric(k), F.coalesce(fits, F.when(number > 0, F.lit(2**63 - 1)).otherwise(F.lit(-(2**63)))))
         .otherwise(F.lit(0).cast("bigint"))
     )
 
@@ -97,37 +102,6 @@ def _str_list(v: Column) -> Column:
     )
 
 
-def _truthy_k(v: Column, k: Column) -> Column:
-    """``_truthy`` with the type name already computed."""
-    return (
-        F.when(v.isNull() | (k == "VOID"), F.lit(False))
-        .when(k == "BOOLEAN", _get(v, "$", "boolean"))
-        .when(k == "STRING", F.length(_get(v, "$", "string")) > 0)
-        .when(_is_numeric(k), _get(v, "$", "double") != 0)
-        .when(k.startswith("ARRAY"), F.size(_get(v, "$", "array<variant>")) > 0)
-        .when(k.startswith("OBJECT"), k != "OBJECT<>")
-        .otherwise(F.lit(True))
-    )
-
-
-def _py_str_k(v: Column, k: Column) -> Column:
-    return (
-        F.when(k == "STRING", _get(v, "$", "string"))
-        .when(k == "BOOLEAN", F.when(_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
-        .when(k == "VOID", F.lit("None"))
-        .otherwise(F.to_json(v))
-    )
-
-
-def _py_int_k(v: Column, k: Column) -> Column:
-    return (
-        F.when(k == "BOOLEAN", _get(v, "$", "boolean").cast("bigint"))
-        .when(k.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), _get(v, "$", "bigint"))
-        .when(_is_numeric(k), _get(v, "$", "double").cast("bigint"))
-        .otherwise(F.lit(0).cast("bigint"))
-    )
-
-
 def validate_theme(x: Column) -> Column:
     """One theme value → STRUCT(theme, priority, frequency, examples, recommendation)."""
     is_obj = _kind(x).startswith("OBJECT")
@@ -160,18 +134,21 @@ def strip_fences(c: Column) -> Column:
 def response_content(responses: DataFrame) -> DataFrame:
     """Per agent: failure class (or null) and the stripped content string.
 
-    Classes: no_response (null body), error (``error`` key), no_choices,
-    exception (no ``choices[0].message.content`` string).
+    Classes: no_response (null body, unreadable, or an empty value such as ``{}``), error (``error`` key), no_choices,
+    exception (``choices[0].message.content`` is missing or not a string).
     """
-    env = F.try_parse_json(F.col("response"))
-    content = _get(env, "$.choices[0].message.content", "string")
+    # Staged columns: the envelope is parsed once, the content taken once and its type read before any cast.
+    rows = responses.select("agent", "response", F.try_parse_json(F.col("response")).alias("env"))
+    rows = rows.select("agent", "env", _get(F.col("env"), "$.choices[0].message.content").alias("inner"))
+    env, inner = F.col("env"), F.col("inner")
     status = (
-        F.when(F.col("response").isNull() | env.isNull() | (_kind(env) == "VOID"), F.lit("no_response"))
+        F.when(~_truthy(env), F.lit("no_response"))
         .when(_get(env, "$.error").isNotNull(), F.lit("error"))
         .when(_get(env, "$.choices").isNull(), F.lit("no_choices"))
-        .when(content.isNull(), F.lit("exception"))
+        .when(inner.isNull() | (_kind(inner) != "STRING"), F.lit("exception"))
     )
-    return responses.select("agent", status.alias("status"), strip_fences(content).alias("content"))
+    content = F.when(_kind(inner) == "STRING", _get(inner, "$", "string"))
+    return rows.select("agent", status.alias("status"), strip_fences(content).alias("content"))
 
 
 def _first_object_ends_last(content: Column) -> Column:
@@ -183,7 +160,7 @@ def _first_object_ends_last(content: Column) -> Column:
     the running depth finds where the first object closes. Together with
     "the text ends with '}'" this means nothing follows the object.
     """
-    no_strings = F.regexp_replace(content, r'(?s)"(?:[^"\\]|\\.)*"', '""')
+    no_strings = F.regexp_replace(content, r'(?s)"(?:[^"\\]|\\.)*+"', '""')  # possessive: no recursion per character
     marks = F.regexp_replace(no_strings, r"[^\[\]{}]", "")
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed_at"), F.lit(0).alias("pos"))
 
@@ -241,86 +218,32 @@ def _theme_list(v: Column) -> Column:
     return F.filter(arr, lambda x: _truthy(x))
 
 
-def validated_theme_rows(responses: DataFrame) -> DataFrame:
-    """Usable responses → one validated row per theme (``theme_pos`` = position after skipping falsy entries).
+def validate_insights(responses: DataFrame) -> DataFrame:
+    """Usable responses → ``insights(agent, coaching_themes, strengths)`` with the validator's coercions.
 
-    The theme list is exploded first, so the validator runs as ordinary
-    code-generated column expressions (type tests computed once per value)
-    instead of inside an interpreted lambda.
+    Themes: a non-list becomes []; falsy entries are skipped; each entry is
+    coerced like the reference's validator. Strengths: a non-list becomes [].
+    Only these two keys are kept. One pass per row: no shuffle and no join, so
+    two responses of one agent stay two rows with their own themes, and a null
+    agent keeps its.
     """
     p = parse_insights(responses).where(F.col("status") == "ok")
-    x = p.select("agent", F.posexplode(_theme_list(F.col("insight"))).alias("theme_pos", "x"))
-    fields = x.select(
-        "agent",
-        "theme_pos",
-        _kind(F.col("x")).alias("xk"),
-        _get(F.col("x"), "$.theme").alias("th"),
-        _get(F.col("x"), "$.priority").alias("pr"),
-        _get(F.col("x"), "$.frequency").alias("fr"),
-        _get(F.col("x"), "$.examples").alias("ex"),
-        _get(F.col("x"), "$.recommendation").alias("rec"),
-    )
-    kinds = fields.select(
-        "*",
-        _kind(F.col("th")).alias("thk"),
-        _kind(F.col("pr")).alias("prk"),
-        _kind(F.col("fr")).alias("frk"),
-        _kind(F.col("ex")).alias("exk"),
-        _kind(F.col("rec")).alias("reck"),
-    )
-    is_obj = F.col("xk").startswith("OBJECT")
-    prio_s = F.when(F.col("prk") == "STRING", _get(F.col("pr"), "$", "string"))
-    return kinds.select(
+    insight = F.col("insight")
+    return p.select(
         "agent",
-        F.col("theme_pos").cast("int").alias("theme_pos"),
-        F.when(is_obj & _truthy_k(F.col("th"), F.col("thk")), _py_str_k(F.col("th"), F.col("thk")))
-        .otherwise(F.lit(UNKNOWN_THEME))
-        .alias("theme"),
-        F.when(is_obj & prio_s.isin(*VALID_PRIORITIES), prio_s).otherwise(F.lit(DEFAULT_PRIORITY)).alias("priority"),
-        F.when(is_obj, F.coalesce(_py_int_k(F.col("fr"), F.col("frk")), F.lit(0).cast("bigint")))
-        .otherwise(F.lit(0).cast("bigint"))
-        .alias("frequency"),
-        F.when(is_obj & F.col("exk").startswith("ARRAY"), F.transform(_get(F.col("ex"), "$", "array<variant>"), lambda e: _py_str(e)))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("examples"),
-        F.when(is_obj & _truthy_k(F.col("rec"), F.col("reck")), _py_str_k(F.col("rec"), F.col("reck")))
-        .when(is_obj, F.lit(""))
-        .otherwise(F.lit(INVALID_THEME_RECOMMENDATION))
-        .alias("recommendation"),
+        F.transform(_theme_list(insight), validate_theme).cast(THEME_TYPE).alias("coaching_themes"),
+        F.coalesce(_str_list(_get(insight, "$.strengths")), F.array().cast("array<string>")).alias("strengths"),
     )
 
 
-def validated_strengths(responses: DataFrame) -> DataFrame:
-    """Usable responses → (agent, strengths); a non-list becomes []."""
-    p = parse_insights(responses).where(F.col("status") == "ok")
-    return p.select("agent", F.coalesce(_str_list(_get(F.col("insight"), "$.strengths")), F.array().cast("array<string>")).alias("strengths"))
-
+def validated_theme_rows(responses: DataFrame) -> DataFrame:
+    """Usable responses → one validated row per theme (``theme_pos`` = position after skipping falsy entries)."""
+    return flatten_insights(validate_insights(responses))
 
-def validate_insights(responses: DataFrame) -> DataFrame:
-    """Usable responses → ``insights(agent, coaching_themes, strengths)`` with the validator's coercions.
 
-    Themes: a non-list becomes []; falsy entries are skipped; each entry is
-    coerced like the reference's validator. Strengths: a non-list becomes [].
-    Only these two keys are kept. Re-nesting groups one response's themes,
-    which is bounded by the response size.
-    """
-    rows = validated_theme_rows(responses)
-    nested = rows.groupBy("agent").agg(
-        F.array_sort(F.collect_list(F.struct("theme_pos", "theme", "priority", "frequency", "examples", "recommendation"))).alias("t")
-    )
-    themes = F.transform(
-        F.coalesce(F.col("t"), F.array().cast("array<struct<theme_pos:int,theme:string,priority:string,frequency:bigint,examples:array<string>,recommendation:string>>")),
-        lambda e: F.struct(
-            e["theme"].alias("theme"),
-            e["priority"].alias("priority"),
-            e["frequency"].alias("frequency"),
-            e["examples"].alias("examples"),
-            e["recommendation"].alias("recommendation"),
-        ),
-    )
-    return validated_strengths(responses).join(nested, "agent", "left").select(
-        "agent", themes.cast(THEME_TYPE).alias("coaching_themes"), "strengths"
-    )
+def validated_strengths(responses: DataFrame) -> DataFrame:
+    """Usable responses → (agent, strengths); a non-list becomes []."""
+    return validate_insights(responses).select("agent", "strengths")
 
 
 def flatten_insights(insights: DataFrame) -> DataFrame:
@@ -337,10 +260,19 @@ def flatten_insights(insights: DataFrame) -> DataFrame:
 
 
 def merge_insights(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Right-biased merge by agent: an agent in ``new`` replaces its ``old`` row."""
-    return old.join(new.select("agent"), "agent", "left_anti").unionByName(new)
+    """Right-biased merge by agent: the rows of an agent in ``new`` replace its rows in ``old``.
+
+    One aggregation instead of a join, so either side is read once; an agent's
+    rows of the winning side are few (its responses of one run).
+    """
+    columns = [c for c in new.columns if c != "agent"]
+    tagged = old.select("agent", F.lit(0).alias("run"), *columns).unionByName(new.select("agent", F.lit(1).alias("run"), *columns))
+    per_run = tagged.groupBy("agent", "run").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    winner = per_run.groupBy("agent").agg(F.max_by("rows", "run").alias("rows"))
+    return winner.select("agent", F.inline("rows")).select(*new.columns)
 
 
 def attach_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Each request with its response (null when none came back)."""
-    return requests.join(responses, "agent", "left")
+    """Each request with its response; requests that failed (none came back, or not a usable one) are dropped."""
+    usable = response_errors(responses).where(F.col("status") == "ok").select("agent").distinct()
+    return requests.join(responses, "agent").join(usable, "agent", "left_semi")

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsight.operators import agents as A
-from callsight.operators.joins import restrict_to_keys
 from callsight.operators.ordinal import with_global_ordinal
 
 
@@ -43,8 +42,8 @@ def new_agents(turns: DataFrame, previous_agents: DataFrame, min_calls: int = 10
 
 
 def filter_to_agents(turns: DataFrame, agents: DataFrame) -> DataFrame:
-    """Turns of the listed agents (semi join; the list is broadcast only if its measured size allows)."""
-    return restrict_to_keys(turns, agents.select("agent").distinct(), ["agent"])
+    """Turns of the listed agents: a plain semi join, which Spark broadcasts or splits by the sizes it sees at run time."""
+    return turns.join(agents.select("agent").distinct(), "agent", "left_semi").select(*turns.columns)
 
 
 def call_means(turns: DataFrame) -> DataFrame:
@@ -79,18 +78,24 @@ def _worst_of(per_call: DataFrame, k: int) -> DataFrame:
     return (
         top.withColumn("_any", any_scored)
         .where(F.col("avg_sentiment").isNotNull() | (F.col("_any") == 0))
-        .select("agent", "call_id", F.round("avg_sentiment", 6).alias("avg_sentiment"), F.col("call_rank").cast("int"))
+        .select("agent", "call_id", "avg_sentiment", F.col("call_rank").cast("int"))
     )
 
 
-def selected_turns(turns: DataFrame, selected_calls: DataFrame, materialise: bool = True) -> DataFrame:
+def selected_turns(turns: DataFrame, selected_calls: DataFrame) -> DataFrame:
     """Turns of the selected (agent, call) pairs.
 
-    The pairs are measured and broadcast when they fit (the turn scan is
-    then filtered map-side, no shuffle of turns); otherwise the join
-    shuffles on (agent, call_id), a call-level key with no hot agent.
+    A plain semi join: a small pair list is broadcast at run time and the turn
+    scan filtered where it is read; a large one is joined on (agent, call_id),
+    a call-level key with no hot agent.
     """
-    return restrict_to_keys(turns, selected_calls, ["agent", "call_id"], materialise=materialise)
+    keys = selected_calls.select("agent", "call_id")
+    return turns.join(keys, ["agent", "call_id"], "left_semi").select(*turns.columns)
+
+
+def calls_analyzed(selected_calls: DataFrame) -> DataFrame:
+    """Per agent the number of its calls that went to review."""
+    return selected_calls.groupBy("agent").agg(F.countDistinct("call_id").cast("bigint").alias("calls_analyzed"))
 
 
 def review_calls(turns: DataFrame, min_calls: int = 10, k: int = 5, previous_agents: DataFrame | None = None) -> DataFrame:
@@ -122,8 +127,11 @@ def speaker_turns(turns: DataFrame, speaker: str) -> DataFrame:
 
 
 def first_messages(turns: DataFrame, n: int = 3, speakers: tuple[str, ...] = ("agent", "customer")) -> DataFrame:
-    """First ``n`` messages per (call, speaker side) in turn order (a repeated call id ties on agent, then text)."""
-    w = Window.partitionBy("call_id", "speaker").orderBy("turn_idx", "agent", "message")
+    """First ``n`` messages per (agent, call, speaker side) in turn order (equal turn numbers tie on the text).
+
+    A call that two agents share has its first messages for each of them.
+    """
+    w = Window.partitionBy("agent", "call_id", "speaker").orderBy("turn_idx", "message")
     return (
         turns.where(F.col("speaker").isin(*speakers))
         .select("agent", "call_id", "speaker", "turn_idx", "message", F.row_number().over(w).alias("msg_rank"))

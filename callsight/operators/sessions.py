@@ -14,15 +14,12 @@ checkpoint dir).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsight.functions.scalars import one_value
 
-# The fingerprint covers the first 100 rows, 12 hex characters.
-FINGERPRINT_ROWS = 100
 FINGERPRINT_CHARS = 12
-LIST_LIMIT = 5
 
 _FP_PREFIX = "h"
 _SESSION_PREFIX = "s"
@@ -36,21 +33,24 @@ def _csv_field(c) -> F.Column:
     return F.when(needs, F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(s)
 
 
-def dataset_fingerprint(turns: DataFrame, order: tuple[str, ...] = ("call_id", "turn_idx")) -> DataFrame:
-    """One row: md5 of the CSV text (header + first 100 rows in ``order``), first 12 hex chars.
+def dataset_fingerprint(turns: DataFrame, first_rows: int | None = None, order: tuple[str, ...] = ("call_id", "turn_idx")) -> DataFrame:
+    """One row: 12 hex characters that depend on every row and on no order of them.
 
-    The first rows are a top-100 (TakeOrderedAndProject), so only 100 rows
-    ever reach the final task.
+    Each row's CSV text is hashed on its own; the number of rows, the sum and
+    the exclusive or of their hashes are hashed together, so partial sums meet
+    in one row. ``first_rows`` looks at the first rows in ``order`` alone
+    (faster, but two datasets with an equal beginning get one fingerprint).
     """
     cols = turns.columns
-    # Ties (a repeated call id) are broken on every other column, so the 100
-    # rows, and the hash, are the same on every run.
-    first = turns.orderBy(*order, *[c for c in cols if c not in order]).limit(FINGERPRINT_ROWS)
-    lines = first.select(*[F.col(c) for c in order], F.concat_ws(",", *[_csv_field(F.col(c)) for c in cols]).alias("line"))
-    agg = lines.agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col("line")))).alias("rows"))  # ≤ 100
-    header = ",".join(cols)
-    text = F.concat(F.lit(header + "\n"), F.array_join(F.transform("rows", lambda x: x["line"]), "\n"), F.lit("\n"))
-    return agg.select(F.substring(F.md5(text), 1, FINGERPRINT_CHARS).alias("file_hash"))
+    if first_rows is not None:  # ties on every other column: the rows are the same on every run
+        turns = turns.orderBy(*order, *[c for c in cols if c not in order]).limit(first_rows)
+    line = F.md5(F.concat_ws(",", *[_csv_field(F.col(c)) for c in cols]))
+    number = F.conv(F.substring(line, 1, 15), 16, 10).cast("bigint")
+    one = turns.select(number.alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).alias("s"), F.coalesce(F.expr("bit_xor(h)"), F.lit(0)).alias("x")
+    )
+    text = F.concat_ws(",", F.lit(",".join(cols)), F.col("n").cast("string"), F.col("s").cast("decimal(38,0)").cast("string"), F.col("x").cast("string"))
+    return one.select(F.substring(F.md5(text), 1, FINGERPRINT_CHARS).alias("file_hash"))
 
 
 def _value(x: str | Column) -> Column:
@@ -111,8 +111,8 @@ def latest_session(spark: SparkSession, path: str, file_hash: str | Column) -> D
     return s.where(F.col("session_ts") == newest)
 
 
-def list_sessions(spark: SparkSession, path: str, limit: int | None = LIST_LIMIT) -> DataFrame:
-    """Sessions newest first with their agent counts (the top ``limit`` shown)."""
+def list_sessions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Sessions newest first with their agent counts (all, or the newest ``limit``)."""
     s = read_sessions(spark, path).groupBy("file_hash", "session_ts", "model_used").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_agents")
     )
@@ -120,16 +120,13 @@ def list_sessions(spark: SparkSession, path: str, limit: int | None = LIST_LIMIT
     return s.limit(limit) if limit else s
 
 
-def delete_session(spark: SparkSession, path: str, file_hash: str | Column, session_ts: str, out_path: str) -> DataFrame:
-    """Write the store without one session to ``out_path`` and return it.
-
-    Writing a new folder (then swapping it in) keeps the step restartable:
-    a failed run leaves the old store untouched.
-    """
-    s = read_sessions(spark, path)
-    gone = (F.col("fp") == _fp(file_hash)) & (F.col("session_ts") == F.to_timestamp(F.lit(session_ts)))
-    s.where(~gone).write.mode("overwrite").partitionBy(*PARTITION_COLUMNS).parquet(out_path)
-    return spark.read.parquet(out_path)
+def delete_session(spark: SparkSession, path: str, file_hash: str | Column, session_ts: str) -> DataFrame:
+    """The store without one session: its partition's folder is deleted, no other file is read or written."""
+    day = F.concat(F.lit(_SESSION_PREFIX), F.date_format(F.to_timestamp(F.lit(session_ts)), "yyyyMMddHHmmssSSS"))
+    fp, session_id = spark.range(1).select(_fp(file_hash), day).first()  # two short texts
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/fp={fp}/session_id={session_id}")
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    return read_sessions(spark, path)
 
 
 def previous_agents(session: DataFrame) -> DataFrame:
@@ -150,9 +147,3 @@ def insights_json(insights: DataFrame) -> DataFrame:
     """Per agent: the insights object as JSON text."""
     payload = [c for c in insights.columns if c != "agent"]
     return insights.select("agent", F.to_json(F.struct(*payload)).alias("insights_json"))
-
-
-def newest_per_agent(sessions: DataFrame) -> DataFrame:
-    """Across sessions of one hash, the newest insight per agent (right-biased merge over time)."""
-    w = Window.partitionBy("agent").orderBy(F.desc("session_ts"))
-    return sessions.select("*", F.row_number().over(w).alias("_rn")).where(F.col("_rn") == 1).drop("_rn")

@@ -10,6 +10,8 @@ theme list is ever gathered into one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
 # ---------------------------------------------------------------------------
@@ -101,10 +103,6 @@ SUMMARY_THEME_ITEM = "{theme} ({n} agents)"
 SUMMARY_THEME_SEPARATOR = ", "
 
 
-def _r6(c: Column) -> Column:
-    return F.round(c.cast("double"), 6)
-
-
 def agents_of(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
     """All agents of the insights (agents with an empty theme list only exist in ``agents``)."""
     base = theme_rows.select("agent").distinct()
@@ -121,13 +119,10 @@ def _weight(priority: Column) -> Column:
 
 
 def pillar_match(theme: Column, pillar_ord: int, case_insensitive: bool) -> Column:
-    """True if any lexicon theme of the pillar is a substring of ``theme`` (array literal, codegen'd)."""
-    themes = PILLAR_THEMES[pillar_ord][1]
-    if case_insensitive:
-        lex = F.array(*[F.lit(t.lower()) for t in themes])
-        return F.exists(lex, lambda t: F.lower(theme).contains(t))
-    lex = F.array(*[F.lit(t) for t in themes])
-    return F.exists(lex, lambda t: theme.contains(t))
+    """True if any lexicon theme of the pillar is a substring of ``theme``: plain ``contains`` tests of literals, which are code-generated."""
+    text = F.lower(theme) if case_insensitive else theme
+    words = [t.lower() if case_insensitive else t for t in PILLAR_THEMES[pillar_ord][1]]
+    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))
 
 
 def first_pillar_ord(theme: Column) -> Column:
@@ -158,7 +153,7 @@ def theme_counts(theme_rows: DataFrame, agents: DataFrame | None = None) -> Data
     """Rows per theme and pct = rows / total agents × 100."""
     n_agents = one_value(agents_of(theme_rows, agents).agg(F.count(F.lit(1)).alias("n_agents")))
     counts = theme_rows.groupBy("theme").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    return counts.select("theme", "n", _r6(F.col("n") * 100.0 / n_agents).alias("pct"))
+    return counts.select("theme", "n", (F.col("n") * 100.0 / n_agents).alias("pct"))
 
 
 def priority_dist(theme_rows: DataFrame) -> DataFrame:
@@ -193,15 +188,17 @@ def theme_bars(theme_rows: DataFrame, k: int = 8) -> DataFrame:
         F.col("x.theme").alias("theme"),
         F.col("x.n").alias("n"),
         (F.col("i") + 1).cast("int").alias("rank"),
-        _r6(F.col("x.n") * 100.0 / F.col("max_n")).alias("pct"),
+        (F.col("x.n") * 100.0 / F.col("max_n")).alias("pct"),
     )
 
 
 def pillar_demand(theme_rows: DataFrame) -> DataFrame:
     """Per pillar: theme rows matching it case-insensitively (a row may count for several pillars)."""
+    # Each different theme is tested once; its rows are counted before.
+    counts = theme_rows.groupBy("theme").agg(F.count(F.lit(1)).alias("n"))
     th = F.col("theme")
-    wide = theme_rows.agg(
-        *[F.sum(F.when(pillar_match(th, i, True), 1).otherwise(0)).cast("bigint").alias(f"p{i}") for i in range(len(PILLARS))]
+    wide = counts.agg(
+        *[F.coalesce(F.sum(F.when(pillar_match(th, i, True), F.col("n")).otherwise(0)), F.lit(0)).cast("bigint").alias(f"p{i}") for i in range(len(PILLARS))]
     )
     long = wide.select(
         F.inline(
@@ -222,9 +219,9 @@ def top_pillar(theme_rows: DataFrame) -> DataFrame:
 
 def pillar_scores_wide(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
     """Per agent: weighted score per pillar (first case-sensitive pillar only), zero-filled."""
-    po = first_pillar_ord(F.col("theme"))
-    w = _weight(F.col("priority"))
-    scored = theme_rows.select("agent", po.alias("po"), w.alias("w"))
+    # Equal themes of an agent are summed up before the lexicon tests.
+    summed = theme_rows.groupBy("agent", "theme").agg(F.sum(_weight(F.col("priority"))).alias("w"))
+    scored = summed.select("agent", first_pillar_ord(F.col("theme")).alias("po"), "w")
     wide = scored.groupBy("agent").agg(
         *[F.sum(F.when(F.col("po") == i, F.col("w")).otherwise(0)).cast("bigint").alias(f"s{i}") for i in range(len(PILLARS))]
     )
@@ -271,7 +268,7 @@ def pillar_top_agents(theme_rows: DataFrame, k: int = 5, agents: DataFrame | Non
         "agent",
         "score",
         F.col("rank").cast("int").alias("rank"),
-        _r6(F.col("score") * 100.0 / F.max("score").over(Window.partitionBy("pillar_ord"))).alias("pct"),
+        (F.col("score") * 100.0 / F.max("score").over(Window.partitionBy("pillar_ord"))).alias("pct"),
     )
 
 
@@ -379,26 +376,31 @@ def first_theme(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataF
 
 
 def agent_summary_rows(theme_rows: DataFrame, agents: DataFrame | None = None, per_page: int = AGENTS_PER_PAGE) -> DataFrame:
-    """Ranking rows with calls, first theme, priority, page and the agent's initial."""
-    r = agent_ranking(theme_rows, agents, per_page)
-    f = first_theme(theme_rows, agents)
-    calls = (
-        agents.select("agent", F.col("calls_analyzed").cast("bigint").alias("calls"))
-        if agents is not None and "calls_analyzed" in agents.columns
-        else theme_rows.select("agent").distinct().select("agent", F.lit(0).cast("bigint").alias("calls"))
-    )
-    return (
-        r.join(f, "agent")
-        .join(calls, "agent", "left")
-        .select(
-            "agent",
-            "rank",
-            "page",
-            F.coalesce("calls", F.lit(0).cast("bigint")).alias("calls"),
-            "top_theme",
-            "top_priority",
-            F.upper(F.substring("agent", 1, 1)).alias("initial"),
-        )
+    """Ranking rows with calls, first theme, priority, page and the agent's initial.
+
+    Counts and the first theme come from one grouping by agent, which is then
+    ranked; ``agents(agent, calls_analyzed)`` adds the agents without themes and
+    the calls that went to review.
+    """
+    rows = theme_rows.groupBy("agent").agg(
+        F.sum(F.when(F.col("priority") == "high", 1).otherwise(0)).cast("bigint").alias("n_high"),
+        F.sum(F.when(F.col("priority") == "medium", 1).otherwise(0)).cast("bigint").alias("n_medium"),
+        F.min_by(F.struct("theme", "priority"), F.col("theme_pos")).alias("f"),
+    )
+    if agents is not None:
+        named = agents.select("agent", *(["calls_analyzed"] if "calls_analyzed" in agents.columns else []))
+        rows = rows.join(named, "agent", "full_outer").fillna(0, ["n_high", "n_medium"])
+    calls = F.col("calls_analyzed") if "calls_analyzed" in rows.columns else F.lit(None)
+    rows = rows.withColumn("calls", F.coalesce(calls.cast("bigint"), F.lit(0).cast("bigint")))
+    ranked = with_global_ordinal(rows, [F.desc("n_high"), F.desc("n_medium"), F.asc("agent")], "rank")
+    return ranked.select(
+        "agent",
+        "rank",
+        (F.floor((F.col("rank") - 1) / per_page) + 1).cast("bigint").alias("page"),
+        "calls",
+        F.coalesce("f.theme", F.lit(NO_THEME)).alias("top_theme"),
+        F.coalesce("f.priority", F.lit("low")).alias("top_priority"),
+        F.upper(F.substring("agent", 1, 1)).alias("initial"),
     )
 
 
@@ -416,36 +418,39 @@ def agent_needs(theme_rows: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
-def _first_agents(theme_rows: DataFrame, n: int, agents: DataFrame | None) -> DataFrame:
-    """The first ``n`` agents in agent order (a top-n report)."""
-    return agents_of(theme_rows, agents).orderBy("agent").limit(n)
+def _first_agents(theme_rows: DataFrame, n: int | None) -> DataFrame:
+    """The rows of all agents, or of the first ``n`` in agent order (a top-n report)."""
+    if n is None:
+        return theme_rows
+    return theme_rows.join(agents_of(theme_rows).orderBy("agent").limit(n), "agent", "left_semi")
+
+
+def _cut(c: Column, chars: int | None) -> Column:
+    return c if chars is None else F.substring(c, 1, chars)
 
 
-def profile_themes(theme_rows: DataFrame, n_agents: int = 10, n_themes: int = 3, rec_chars: int = 120) -> DataFrame:
-    """First ``n_agents`` agents × their first ``n_themes`` themes; upper priority; recommendation cut."""
-    first = _first_agents(theme_rows, n_agents, None)
-    rows = theme_rows.join(first, "agent", "left_semi").where(F.col("theme_pos") < n_themes)
+def profile_themes(theme_rows: DataFrame, n_agents: int | None = None, n_themes: int = 3, rec_chars: int | None = None) -> DataFrame:
+    """Per agent its first ``n_themes`` themes; upper priority. ``n_agents`` and ``rec_chars`` cut a report to size."""
+    rows = _first_agents(theme_rows, n_agents).where(F.col("theme_pos") < n_themes)
     return rows.select(
         "agent",
         "theme_pos",
         "theme",
         F.upper("priority").alias("priority_label"),
-        F.substring("recommendation", 1, rec_chars).alias("recommendation"),
+        _cut(F.col("recommendation"), rec_chars).alias("recommendation"),
     )
 
 
-def context_block(theme_rows: DataFrame, n_agents: int = 20, n_themes: int = 2, rec_chars: int = 100) -> DataFrame:
-    """Per first-``n_agents`` agent: a text block with its theme count and first ``n_themes`` themes."""
-    first = _first_agents(theme_rows, n_agents, None)
-    rows = theme_rows.join(first, "agent", "left_semi")
-    g = rows.groupBy("agent").agg(
+def context_block(theme_rows: DataFrame, n_agents: int | None = None, n_themes: int = 2, rec_chars: int | None = None) -> DataFrame:
+    """Per agent a text block with its theme count and first ``n_themes`` themes."""
+    g = _first_agents(theme_rows, n_agents).groupBy("agent").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_themes"),
         F.array_sort(
             F.collect_list(F.when(F.col("theme_pos") < n_themes, F.struct("theme_pos", "theme", "priority", "recommendation")))
         ).alias("firsts"),
     )
     line = lambda x: fill(
-        CONTEXT_THEME_LINE, {"theme": x["theme"], "priority": x["priority"], "recommendation": F.substring(x["recommendation"], 1, rec_chars)}
+        CONTEXT_THEME_LINE, {"theme": x["theme"], "priority": x["priority"], "recommendation": _cut(x["recommendation"], rec_chars)}
     )
     text = F.concat(
         fill(CONTEXT_AGENT_LINE, {"agent": F.col("agent"), "n": F.col("n_themes").cast("string")}),
@@ -479,7 +484,7 @@ def report_header(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | N
         "total_calls",
         a.alias("total_agents"),
         th.alias("total_themes"),
-        _r6(F.col("_avg")).alias("avg_sentiment"),
+        F.col("_avg").alias("avg_sentiment"),
         # The text is formatted from the unrounded mean, with Python's rounding.
         F.when(F.col("_avg") > 0, py_fixed(F.col("_avg"), 2)).otherwise(F.lit(NO_THEME)).alias("avg_sentiment_text"),
     )

@@ -17,6 +17,7 @@ from callsight.operators import agents as A
 from callsight.operators import transcripts as P
 from callsight.plans import fixtures as X
 from callsight.plans import oracle as O
+from callsight.functions.text import pad_left
 from callsight.session import ensure_checkpoint_dir, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,17 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: Keys whose fractions are rounded for the comparison alone; the library returns them whole.
+SIX_DIGITS = {
+    "agent_stats", "sentiment_stats", "flow_stats", "kpi_row", "avg_sentiment_turns", "call_sentiment", "worst_calls",
+    "theme_counts", "theme_bars", "pillar_top_agents", "pillar_cards", "report_header", "exec_summary", "analytics_context",
+}
+
+
+def six_digits(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
 def _prepared(fn: Query) -> Query:
     """Session prerequisites every query relies on, set on whatever session the caller passes."""
 
@@ -40,7 +52,7 @@ def _prepared(fn: Query) -> Query:
 
 def register(name: str, sql: str | None = None):
     def deco(fn: Query) -> Query:
-        QUERIES[name] = _prepared(fn)
+        QUERIES[name] = _prepared(fn if name not in SIX_DIGITS else lambda spark, sf: six_digits(fn(spark, sf)))
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -59,6 +71,11 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     return P.parse_turns(calls(spark, sf))
 
 
+def counted_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns for queries that count and never read a message: the same rows, without redaction."""
+    return P.parse_turns(calls(spark, sf), redact=False)
+
+
 def theme_rows(spark: SparkSession, sf: str) -> DataFrame:
     return X.theme_rows_from_documents(X.read_table(spark, sf, "documents"))
 
@@ -92,41 +109,39 @@ register(
 register(
     "speaker_counts",
     TC + "SELECT speaker, cast(count(*) AS bigint) AS n_turns FROM turns GROUP BY speaker",
-)(lambda spark, sf: A.speaker_counts(turns(spark, sf)))
+)(lambda spark, sf: A.speaker_counts(counted_turns(spark, sf)))
 
 # -- per-agent statistics ----------------------------------------------------
 
-AGENT_STATS_SQL = """SELECT agent,
-    cast(count(DISTINCT call_id) AS bigint) AS total_calls,
-    cast(count(*) AS bigint) AS total_messages,
-    cast(sum(CASE WHEN speaker = 'agent' THEN 1 ELSE 0 END) AS bigint) AS agent_messages,
-    cast(sum(CASE WHEN speaker = 'customer' THEN 1 ELSE 0 END) AS bigint) AS customer_messages,
-    round(avg(length(message)), 6) AS avg_message_length
-  FROM turns GROUP BY agent"""
-SENTIMENT_STATS_SQL = """SELECT agent,
-    round(avg(sentiment_score), 6) AS avg_sentiment,
-    min(sentiment_score) AS min_sentiment,
-    max(sentiment_score) AS max_sentiment,
-    cast(count(CASE WHEN sentiment_score < 0.5 THEN 1 END) AS bigint) AS low_sentiment_calls
-  FROM (SELECT DISTINCT call_id, agent, sentiment_score FROM turns WHERE sentiment_score IS NOT NULL)
-  GROUP BY agent"""
-FLOW_STATS_SQL = """SELECT agent,
-    round(avg(turns_per_call), 6) AS avg_turns,
-    round(avg(agent_response_ratio), 6) AS avg_response_ratio
-  FROM (SELECT call_id, agent, count(*) AS turns_per_call,
-          cast(sum(CASE WHEN speaker = 'agent' THEN 1 ELSE 0 END) AS double) / count(*) AS agent_response_ratio
-        FROM turns GROUP BY call_id, agent)
-  GROUP BY agent"""
-
-register("agent_stats", TC + AGENT_STATS_SQL)(lambda spark, sf: A.agent_stats(turns(spark, sf)))
-register("sentiment_stats", TC + SENTIMENT_STATS_SQL)(lambda spark, sf: A.sentiment_stats(turns(spark, sf)))
-register("flow_stats", TC + FLOW_STATS_SQL)(lambda spark, sf: A.flow_stats(turns(spark, sf)))
+# Per-call rows first, then agents: the library aggregates the turns, the oracle aggregates calls.
+_CALLS_SQL = """(SELECT agent, call_id, count(*) AS n, count(*) FILTER (WHERE speaker = 'agent') AS n_agent,
+    count(*) FILTER (WHERE speaker = 'customer') AS n_customer, sum(length(message)) AS n_chars FROM turns GROUP BY agent, call_id)"""
+_SCORES_SQL = "(SELECT agent, call_id, sentiment_score AS s FROM turns WHERE sentiment_score IS NOT NULL GROUP BY ALL)"
+AGENT_STATS_SQL = f"""SELECT agent, cast(count(call_id) AS bigint) AS total_calls, cast(sum(n) AS bigint) AS total_messages,
+    cast(sum(n_agent) AS bigint) AS agent_messages, cast(sum(n_customer) AS bigint) AS customer_messages,
+    sum(n_chars) / sum(n) AS avg_message_length FROM {_CALLS_SQL} GROUP BY agent"""
+SENTIMENT_STATS_SQL = f"""SELECT agent, avg(s) AS avg_sentiment, min(s) AS min_sentiment, max(s) AS max_sentiment,
+    cast(count(*) FILTER (WHERE s < 0.5) AS bigint) AS low_sentiment_calls FROM {_SCORES_SQL} GROUP BY agent"""
+FLOW_STATS_SQL = f"""SELECT agent, avg(n) AS avg_turns, avg(n_agent / n) AS avg_response_ratio FROM {_CALLS_SQL} GROUP BY agent"""
+
+
+def six_digits_sql(sql: str, *columns: str) -> str:
+    return f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in columns)}) FROM ({sql})"
+
+
+register("agent_stats", TC + six_digits_sql(AGENT_STATS_SQL, "avg_message_length"))(lambda spark, sf: A.agent_stats(turns(spark, sf)))
+register("sentiment_stats", TC + six_digits_sql(SENTIMENT_STATS_SQL, "avg_sentiment"))(
+    lambda spark, sf: A.sentiment_stats(counted_turns(spark, sf))
+)
+register("flow_stats", TC + six_digits_sql(FLOW_STATS_SQL, "avg_turns", "avg_response_ratio"))(
+    lambda spark, sf: A.flow_stats(counted_turns(spark, sf))
+)
 
 register(
     "volume_counts",
     TC + """SELECT cast(count(DISTINCT call_id) AS bigint) AS total_calls,
       cast(count(DISTINCT agent) AS bigint) AS total_agents, cast(count(*) AS bigint) AS total_turns FROM turns""",
-)(lambda spark, sf: A.volume_counts(turns(spark, sf)))
+)(lambda spark, sf: A.volume_counts(counted_turns(spark, sf)))
 
 register(
     "kpi_row",
@@ -135,31 +150,32 @@ register(
       (SELECT round(avg(avg_sentiment), 6) FROM ({SENTIMENT_STATS_SQL})) AS avg_sentiment,
       cast(count(*) AS bigint) AS total_messages
     FROM turns""",
-)(lambda spark, sf: A.kpi_row(turns(spark, sf)))
+)(lambda spark, sf: A.kpi_row(counted_turns(spark, sf)))
 
 register(
     "avg_sentiment_turns",
     TC + "SELECT round(avg(sentiment_score), 6) AS avg_sentiment FROM turns",
-)(lambda spark, sf: A.avg_sentiment_turns(turns(spark, sf)))
+)(lambda spark, sf: A.avg_sentiment_turns(counted_turns(spark, sf)))
 
 register(
     "call_sentiment",
     TC + """SELECT agent, call_id, round(avg(sentiment_score), 6) AS avg_sentiment
     FROM turns GROUP BY agent, call_id HAVING avg(sentiment_score) IS NOT NULL""",
-)(lambda spark, sf: A.call_sentiment(turns(spark, sf)))
+)(lambda spark, sf: A.call_sentiment(counted_turns(spark, sf)))
 
 AGENT_CALLS_SQL = """SELECT agent, cast(count(DISTINCT call_id) AS bigint) AS n_calls
   FROM turns WHERE agent IS NOT NULL GROUP BY agent"""
-register("agent_call_counts", TC + AGENT_CALLS_SQL)(lambda spark, sf: A.agent_call_counts(turns(spark, sf)))
+register("agent_call_counts", TC + AGENT_CALLS_SQL)(lambda spark, sf: A.agent_call_counts(counted_turns(spark, sf)))
 
 register(
     "agent_dashboard",
+    # Twelve digits take out what the order of summation leaves; then the display rounding.
     TC + f"""SELECT a.agent, total_calls, total_messages, agent_messages, customer_messages,
-      round_even(avg_message_length * 10, 0) / 10 AS avg_message_length,
-      round_even(avg_sentiment * 100, 0) / 100 AS avg_sentiment,
+      round_even(round(avg_message_length, 12) * 10, 0) / 10 AS avg_message_length,
+      round_even(round(avg_sentiment, 12) * 100, 0) / 100 AS avg_sentiment,
       low_sentiment_calls,
-      round_even(avg_turns * 10, 0) / 10 AS avg_turns,
-      round_even(avg_response_ratio * 100 * 10, 0) / 10 AS avg_response_ratio
+      round_even(round(avg_turns, 12) * 10, 0) / 10 AS avg_turns,
+      round_even(round(avg_response_ratio * 100, 12) * 10, 0) / 10 AS avg_response_ratio
     FROM ({AGENT_STATS_SQL}) a
     LEFT JOIN ({SENTIMENT_STATS_SQL}) s ON a.agent IS NOT DISTINCT FROM s.agent
     LEFT JOIN ({FLOW_STATS_SQL}) f ON a.agent IS NOT DISTINCT FROM f.agent""",
@@ -172,23 +188,23 @@ from callsight.operators import selection as S  # noqa: E402
 MIN_CALLS = 10
 register(
     "eligible_agents", TC + f"SELECT * FROM ({AGENT_CALLS_SQL}) WHERE n_calls >= {MIN_CALLS}"
-)(lambda spark, sf: S.eligible_agents(turns(spark, sf), MIN_CALLS))
+)(lambda spark, sf: S.eligible_agents(counted_turns(spark, sf), MIN_CALLS))
 register(
     "excluded_agents", TC + f"SELECT * FROM ({AGENT_CALLS_SQL}) WHERE n_calls < {MIN_CALLS}"
-)(lambda spark, sf: S.excluded_agents(turns(spark, sf), MIN_CALLS))
+)(lambda spark, sf: S.excluded_agents(counted_turns(spark, sf), MIN_CALLS))
 register(
     "eligibility_summary",
     TC + f"""SELECT cast(sum(CASE WHEN n_calls >= {MIN_CALLS} THEN 1 ELSE 0 END) AS bigint) AS eligible_agents,
       cast(sum(CASE WHEN n_calls < {MIN_CALLS} THEN 1 ELSE 0 END) AS bigint) AS excluded_agents
     FROM ({AGENT_CALLS_SQL})""",
-)(lambda spark, sf: S.eligibility_summary(turns(spark, sf), MIN_CALLS))
+)(lambda spark, sf: S.eligibility_summary(counted_turns(spark, sf), MIN_CALLS))
 
 PREV_AGENTS_SQL = "SELECT DISTINCT agent FROM turns WHERE agent IS NOT NULL AND cast(right(agent, 1) AS int) % 2 = 0"
 register(
     "new_agents",
     TC + f"""SELECT e.* FROM ({AGENT_CALLS_SQL}) e WHERE n_calls >= {MIN_CALLS}
       AND agent NOT IN ({PREV_AGENTS_SQL})""",
-)(lambda spark, sf: S.new_agents(turns(spark, sf), X.previous_session_agents(turns(spark, sf)), MIN_CALLS))
+)(lambda spark, sf: S.new_agents(counted_turns(spark, sf), X.previous_session_agents(counted_turns(spark, sf)), MIN_CALLS))
 
 WORST_CALLS_SQL = """SELECT agent, call_id, round(avg_sentiment, 6) AS avg_sentiment, cast(call_rank AS int) AS call_rank FROM (
     SELECT *, row_number() OVER (PARTITION BY agent ORDER BY avg_sentiment ASC NULLS LAST, call_id) AS call_rank,
@@ -196,7 +212,7 @@ WORST_CALLS_SQL = """SELECT agent, call_id, round(avg_sentiment, 6) AS avg_senti
     FROM (SELECT agent, call_id, avg(sentiment_score) AS avg_sentiment FROM turns WHERE agent IS NOT NULL
           GROUP BY agent, call_id))
   WHERE call_rank <= 5 AND (avg_sentiment IS NOT NULL OR any_scored = 0)"""
-register("worst_calls", TC + WORST_CALLS_SQL)(lambda spark, sf: S.worst_calls(turns(spark, sf), 5))
+register("worst_calls", TC + WORST_CALLS_SQL)(lambda spark, sf: S.worst_calls(counted_turns(spark, sf), 5))
 
 REVIEW_TURNS_SQL = f"""SELECT t.* FROM turns t
   WHERE t.agent IN (SELECT agent FROM ({AGENT_CALLS_SQL}) WHERE n_calls >= {MIN_CALLS})
@@ -208,7 +224,7 @@ register(
 register(
     "first_messages",
     TC + """SELECT agent, call_id, speaker, turn_idx, message, cast(msg_rank AS int) AS msg_rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY turn_idx) AS msg_rank
+      SELECT *, row_number() OVER (PARTITION BY agent, call_id, speaker ORDER BY turn_idx) AS msg_rank
       FROM turns WHERE speaker IN ('agent', 'customer')) WHERE msg_rank <= 3""",
 )(lambda spark, sf: S.first_messages(turns(spark, sf), 3))
 
@@ -220,7 +236,7 @@ register(
     "call_ordinal",
     TC + f"""SELECT agent, call_id, cast(row_number() OVER (PARTITION BY agent ORDER BY call_id) AS int) AS call_no
     FROM ({WORST_CALLS_SQL})""",
-)(lambda spark, sf: S.call_ordinal(S.worst_calls(turns(spark, sf), 5)))
+)(lambda spark, sf: S.call_ordinal(S.worst_calls(counted_turns(spark, sf), 5)))
 
 # -- theme roll-ups (F3 theme rows from documents) ---------------------------
 
@@ -319,16 +335,6 @@ register(
     FROM tk LEFT JOIN cards c ON c.pillar_ord = tk.pillar_ord AND c.agent = tk.agent""",
 )(lambda spark, sf: H.pillar_cards(theme_rows(spark, sf), 5))
 
-register(
-    "agent_segments",
-    _theme_sql(AGENT_COUNTS_SQL)
-    + """SELECT s.segment, cast(count(ac.agent) AS bigint) AS n_agents
-    FROM (VALUES ('High Performer'), ('Moderate Development'), ('Priority Coaching')) s(segment)
-    LEFT JOIN ac ON s.segment = CASE WHEN ac.n_themes >= 4 THEN 'Priority Coaching'
-      WHEN ac.n_themes >= 2 THEN 'Moderate Development' ELSE 'High Performer' END
-    GROUP BY s.segment""",
-)(lambda spark, sf: H.agent_segments(theme_rows(spark, sf)))
-
 RANKING_SQL = """rk AS (SELECT agent, n_high, n_medium,
       cast(row_number() OVER (ORDER BY n_high DESC, n_medium DESC, agent) AS bigint) AS rank FROM ac)"""
 register(
@@ -344,15 +350,6 @@ register(
     FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY theme_pos) AS rn FROM theme_rows) WHERE rn = 1""",
 )(lambda spark, sf: H.first_theme(theme_rows(spark, sf)))
 
-register(
-    "agent_summary_rows",
-    _theme_sql(AGENT_COUNTS_SQL, RANKING_SQL)
-    + """SELECT rk.agent, rk.rank, cast(floor((rk.rank - 1) / 20) + 1 AS bigint) AS page, cast(0 AS bigint) AS calls,
-      f.theme AS top_theme, f.priority AS top_priority, upper(substr(rk.agent, 1, 1)) AS initial
-    FROM rk JOIN (SELECT * FROM theme_rows QUALIFY row_number() OVER (PARTITION BY agent ORDER BY theme_pos) = 1) f
-      ON f.agent = rk.agent""",
-)(lambda spark, sf: H.agent_summary_rows(theme_rows(spark, sf)))
-
 register(
     "agent_needs",
     THC + """SELECT agent, theme_pos, theme, priority, recommendation, cast(need_rank AS int) AS need_rank FROM (
@@ -360,11 +357,10 @@ register(
         ELSE 3 END, theme_pos) AS need_rank FROM theme_rows) WHERE need_rank <= 3""",
 )(lambda spark, sf: H.agent_needs(theme_rows(spark, sf), 3))
 
-FIRST_AGENTS_SQL = "(SELECT DISTINCT agent FROM theme_rows ORDER BY agent LIMIT {n})"
 register(
     "profile_themes",
-    THC + f"""SELECT agent, theme_pos, theme, upper(priority) AS priority_label, substr(recommendation, 1, 120) AS recommendation
-    FROM theme_rows WHERE agent IN {FIRST_AGENTS_SQL.format(n=10)} AND theme_pos < 3""",
+    THC + f"""SELECT agent, theme_pos, theme, upper(priority) AS priority_label, recommendation
+    FROM theme_rows WHERE theme_pos < 3""",
 )(lambda spark, sf: H.profile_themes(theme_rows(spark, sf)))
 
 register(
@@ -372,8 +368,8 @@ register(
     THC + f"""SELECT agent, cast(count(*) AS bigint) AS n_themes,
       chr(10) || agent || ': ' || cast(count(*) AS varchar) || ' themes' || chr(10) ||
       coalesce(string_agg(CASE WHEN theme_pos < 2 THEN '  - ' || theme || ' (' || priority || '): ' ||
-        substr(recommendation, 1, 100) || '...' || chr(10) END, '' ORDER BY theme_pos), '') AS block
-    FROM theme_rows WHERE agent IN {FIRST_AGENTS_SQL.format(n=20)} GROUP BY agent""",
+        recommendation || '...' || chr(10) END, '' ORDER BY theme_pos), '') AS block
+    FROM theme_rows GROUP BY agent""",
 )(lambda spark, sf: H.context_block(theme_rows(spark, sf)))
 
 register(
@@ -421,15 +417,23 @@ MODEL = "test-model"
 RUN_STAMP = "2025-02-07T13:00:00"
 
 
+_TURN_TABLES: dict[tuple[str, str], str] = {}
+
+
 def stored_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """The turn table parsed once and written to the shared scratch folder (multi-use flows)."""
-    return P.register_turns(turns(spark, sf), scratch_path(spark, "turns"))
+    """The turn table, parsed and written to the shared scratch folder once per session and dataset, then read."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _TURN_TABLES:
+        path = scratch_path(spark, "turns")
+        P.register_turns(turns(spark, sf), path)
+        _TURN_TABLES[key] = path
+    return spark.read.parquet(_TURN_TABLES[key])
 
 
 def _review(spark: SparkSession, sf: str):
     t = stored_turns(spark, sf)
-    sel = S.review_calls(t, MIN_CALLS, 5).checkpoint(eager=True)  # ≤ 5 rows per agent, used twice
-    return S.selected_turns(t, sel, materialise=False), sel
+    sel = S.review_calls(t, MIN_CALLS, 5)  # ≤ 5 rows per agent
+    return S.selected_turns(t, sel), sel
 
 
 def _digests(spark: SparkSession, sf: str):
@@ -437,13 +441,18 @@ def _digests(spark: SparkSession, sf: str):
     return R.call_digest(review, sel)
 
 
+def _digests_of(t: DataFrame, min_calls: int, previous_agents: DataFrame) -> DataFrame:
+    sel = S.review_calls(t, min_calls, 5, previous_agents)
+    return R.call_digest(S.selected_turns(t, sel), sel)
+
+
 SCOPED_SQL = f"""scoped AS (SELECT * FROM turns WHERE agent IN (SELECT agent FROM ({AGENT_CALLS_SQL}) WHERE n_calls >= {MIN_CALLS})),
   sel AS ({WORST_CALLS_SQL.replace("FROM turns", "FROM scoped")}),
   rt AS (SELECT * FROM scoped WHERE (agent, call_id) IN (SELECT (agent, call_id) FROM sel))"""
 
 DIGEST_SQL = """,
   fm AS (SELECT *, {short} AS short
-         FROM (SELECT *, row_number() OVER (PARTITION BY call_id, speaker ORDER BY turn_idx) AS rn FROM rt
+         FROM (SELECT *, row_number() OVER (PARTITION BY agent, call_id, speaker ORDER BY turn_idx) AS rn FROM rt
                WHERE speaker IN ('agent', 'customer')) WHERE rn <= 3),
   sides AS (SELECT agent, call_id,
       string_agg(CASE WHEN speaker = 'customer' THEN short END, ' | ' ORDER BY rn) AS cust,
@@ -475,7 +484,7 @@ WIDE_SQL = """sel AS (SELECT agent, call_id FROM (
 
 register(
     "call_digest_wide",
-    TC.rstrip("\n") + ",\n" + WIDE_SQL
+    TC.rstrip("\n") + ",\n" + WIDE_SQL.replace("WHERE rn <= 10", "")
     + DIGEST_SQL.format(short="message", cust_label="Customer issues", agent_label="Agent responses"),
 )(lambda spark, sf: R.call_digest_wide(stored_turns(spark, sf)))
 
@@ -491,7 +500,7 @@ def _digest_ctes(head: str, short: str, cust_label: str, agent_label: str) -> st
 def _prompt_select(legacy: bool, n_calls_sql: str, extra_from: str = "", group: str = "dg.agent") -> str:
     from callsight.operators.themes import DEFAULT_THEMES
 
-    themes = ", ".join(DEFAULT_THEMES if legacy else DEFAULT_THEMES[: R.PROMPT_THEME_LIMIT])
+    themes = ", ".join(DEFAULT_THEMES)
     exprs = {
         "themes": O.quote_sql(themes),
         "agent": "dg.agent",
@@ -535,7 +544,7 @@ def _prompts_wide(spark: SparkSession, sf: str):
     from callsight.operators.themes import DEFAULT_THEMES
 
     t = stored_turns(spark, sf)
-    return R.agent_prompts(R.call_digest_wide(t), DEFAULT_THEMES, legacy=True, n_calls=A.agent_call_counts(t))
+    return R.agent_prompts(R.call_digest_wide(t, R.LEGACY_MAX_CALLS), DEFAULT_THEMES, legacy=True, n_calls=A.agent_call_counts(t))
 
 
 def _prompts(spark: SparkSession, sf: str):
@@ -563,6 +572,23 @@ register(
 # -- responses (F3 insights serialised into damaged envelopes) ---------------
 
 
+def run_agents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every agent of the run with its calls that went to review (F4): agents with themes, and those of the calls from
+    number 100 on under names that have none."""
+    number = F.expr("cast(substring(agent, 7) AS bigint)")
+    name = F.when(number < 100, F.concat(F.lit("Agent "), pad_left(number, 5))).otherwise(F.concat(F.lit("Quiet "), pad_left(number, 5)))
+    reviewed = S.calls_analyzed(S.review_calls(counted_turns(spark, sf), 1, 5)).select(name.alias("agent"), "calls_analyzed")
+    named = theme_rows(spark, sf).select("agent").distinct().join(reviewed, "agent", "full_outer")
+    return named.select("agent", F.coalesce("calls_analyzed", F.lit(0).cast("bigint")).alias("calls_analyzed"))
+
+
+RUN_AGENTS_SQL = f"""rc AS (SELECT CASE WHEN cast(no AS bigint) < 100 THEN 'Agent ' ELSE 'Quiet ' END || lpad(no, cast(greatest(5, length(no)) AS int), '0') AS agent, n
+    FROM (SELECT cast(cast(substr(agent, 7) AS bigint) AS varchar) AS no, count(*) AS n FROM ({WORST_CALLS_SQL}) GROUP BY ALL)),
+  ra AS (SELECT agent, cast(coalesce(max(n), 0) AS bigint) AS calls FROM
+    (SELECT agent, n FROM rc UNION ALL SELECT DISTINCT agent, NULL FROM theme_rows) GROUP BY agent)"""
+BOTH_RUN = BOTH.rstrip("\n") + ",\n" + RUN_AGENTS_SQL
+
+
 def _responses(spark: SparkSession, sf: str):
     # Python's json keeps the last duplicate key; VARIANT does with this flag.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
@@ -572,7 +598,7 @@ def _responses(spark: SparkSession, sf: str):
     return spark.read.parquet(path)
 
 
-CLASS_SQL = "cast(right(agent, 5) AS int) % 8"
+CLASS_SQL = "cast(substr(agent, 7) AS bigint) % 8"
 register(
     "response_errors",
     THC + f"""SELECT agent, CASE {CLASS_SQL} WHEN 2 THEN 'error' WHEN 3 THEN 'no_choices' WHEN 4 THEN 'bad_json'
@@ -591,23 +617,54 @@ register(
 
 register(
     "validated_strengths",
-    THC + f"""SELECT agent, ['Strength ' || cast(cast(right(agent, 5) AS int) % 3 AS varchar)] AS strengths
+    THC + f"""SELECT agent, ['Strength ' || cast(cast(substr(agent, 7) AS bigint) % 3 AS varchar)] AS strengths
     FROM (SELECT DISTINCT agent FROM theme_rows) WHERE {CLASS_SQL} IN (0, 1, 6)""",
 )(lambda spark, sf: V.validated_strengths(_responses(spark, sf)))
 
 
 @register(
     "merge_insights",
-    THC + f"""SELECT agent, cast(count(*) AS bigint) AS n_themes FROM theme_rows
-    WHERE {CLASS_SQL} IN (0, 1, 6) OR cast(right(agent, 5) AS int) % 2 = 0 GROUP BY agent""",
+    # New rows carry the validated themes and one strength; agents without a usable response keep their old rows,
+    # whose only theme and strengths name the old run.
+    THC + f"""SELECT agent, to_json(list({{'theme': theme, 'priority': CASE WHEN {CLASS_SQL} = 6 THEN 'low' ELSE priority END,
+            'frequency': CASE WHEN {CLASS_SQL} = 6 THEN cast(0 AS bigint) ELSE frequency END,
+            'examples': examples, 'recommendation': recommendation}} ORDER BY theme_pos))::varchar AS coaching_themes,
+      ['Strength ' || cast({O.AGENT_NO} % 3 AS varchar)] AS strengths
+    FROM theme_rows WHERE {CLASS_SQL} IN (0, 1, 6) GROUP BY agent
+    UNION ALL SELECT DISTINCT agent, '[{{"theme":"old theme","priority":"low","frequency":1,"examples":[],"recommendation":""}}]', ['old run']
+    FROM theme_rows WHERE {CLASS_SQL} NOT IN (0, 1, 6) AND {O.AGENT_NO} % 2 = 0""",
 )
 def _merge(spark: SparkSession, sf: str):
-    old = X.insights_from_theme_rows(theme_rows(spark, sf)).where(F.substring("agent", -1, 1).cast("int") % 2 == 0)
-    new = V.validate_insights(_responses(spark, sf))
-    m = V.merge_insights(old.select("agent", "coaching_themes", "strengths"), new)
-    return m.select("agent", F.size("coaching_themes").cast("bigint").alias("n_themes"))
+    responses = _responses(spark, sf)
+    no_examples = F.array().cast("array<string>")
+    theme = F.struct(F.lit("old theme").alias("theme"), F.lit("low").alias("priority"), F.lit(1).cast("bigint").alias("frequency"),
+                     no_examples.alias("examples"), F.lit("").alias("recommendation"))
+    even = responses.where(X.agent_number() % 2 == 0).select("agent")
+    old = even.select("agent", F.array(theme).alias("coaching_themes"), F.array(F.lit("old run")).alias("strengths"))
+    merged = V.merge_insights(old, V.validate_insights(responses))
+    return merged.select("agent", F.to_json("coaching_themes").alias("coaching_themes"), "strengths")
 
 
+register(
+    "agent_segments",
+    BOTH_RUN + """ SELECT s.segment, cast(count(c.agent) AS bigint) AS n_agents
+    FROM (VALUES ('High Performer'), ('Moderate Development'), ('Priority Coaching')) s(segment)
+    LEFT JOIN (SELECT ra.agent, count(theme) AS n FROM ra LEFT JOIN theme_rows r ON r.agent = ra.agent GROUP BY ra.agent) c
+      ON s.segment = CASE WHEN n >= 4 THEN 'Priority Coaching' WHEN n >= 2 THEN 'Moderate Development' ELSE 'High Performer' END
+    GROUP BY s.segment""",
+)(lambda spark, sf: H.agent_segments(theme_rows(spark, sf), run_agents(spark, sf)))
+
+register(
+    "agent_summary_rows",
+    BOTH_RUN + """, c AS (SELECT ra.agent, ra.calls, count(*) FILTER (WHERE priority = 'high') AS n_high,
+        count(*) FILTER (WHERE priority = 'medium') AS n_medium, coalesce(arg_min(theme, theme_pos), 'N/A') AS top_theme,
+        coalesce(arg_min(priority, theme_pos), 'low') AS top_priority
+      FROM ra LEFT JOIN theme_rows r ON r.agent = ra.agent GROUP BY ra.agent, ra.calls),
+    rk AS (SELECT *, cast(row_number() OVER (ORDER BY n_high DESC, n_medium DESC, agent) AS bigint) AS rank FROM c)
+    SELECT agent, rank, cast(floor((rank - 1) / 20) + 1 AS bigint) AS page, calls, top_theme, top_priority,
+      upper(substr(agent, 1, 1)) AS initial FROM rk""",
+)(lambda spark, sf: H.agent_summary_rows(theme_rows(spark, sf), run_agents(spark, sf)))
+
 # -- exports -------------------------------------------------------------------
 
 register(
@@ -616,6 +673,21 @@ register(
       '{RUN_STAMP}' AS processed_at, '{MODEL}' AS model_used FROM theme_rows""",
 )(lambda spark, sf: E.coaching_cache(theme_rows(spark, sf), RUN_STAMP, MODEL))
 
+
+
+@register(
+    "cache_table",
+    THC + f"""SELECT agent, theme, priority, frequency, to_json(examples)::varchar AS examples, recommendation,
+      '{RUN_STAMP}' AS processed_at, '{MODEL}' AS model_used FROM theme_rows WHERE {O.AGENT_NO} % 2 = 1""",
+)
+def _cache_table(spark: SparkSession, sf: str):
+    """The stored cache after a second run replaced the first one's rows."""
+    path, tr = scratch_path(spark, "coaching-cache"), theme_rows(spark, sf)
+    E.write_cache(E.coaching_cache(tr, "2025-02-07T12:00:00", MODEL), path)
+    E.write_cache(E.coaching_cache(tr.where(X.agent_number() % 2 == 1), RUN_STAMP, MODEL), path)
+    return E.read_cache(spark, path)
+
+
 register(
     "export_theme_rows",
     THC + "SELECT agent, theme, priority, frequency, array_to_string(examples, ' | ') AS examples, recommendation FROM theme_rows",
@@ -623,9 +695,10 @@ register(
 
 register(
     "export_summary",
-    THC + """SELECT agent, cast(0 AS bigint) AS calls, cast(count(*) AS bigint) AS coaching_themes,
-      cast(sum(CASE WHEN priority = 'high' THEN 1 ELSE 0 END) AS bigint) AS high_priority FROM theme_rows GROUP BY agent""",
-)(lambda spark, sf: E.export_summary(theme_rows(spark, sf)))
+    BOTH_RUN + """ SELECT ra.agent, ra.calls, cast(count(theme) AS bigint) AS coaching_themes,
+      cast(count(*) FILTER (WHERE priority = 'high') AS bigint) AS high_priority
+    FROM ra LEFT JOIN theme_rows r ON r.agent = ra.agent GROUP BY ra.agent, ra.calls""",
+)(lambda spark, sf: E.export_summary(theme_rows(spark, sf), run_agents(spark, sf)))
 
 register(
     "export_details", THC + "SELECT agent, theme, priority, frequency, recommendation FROM theme_rows"
@@ -635,15 +708,15 @@ register(
 
 from callsight.operators import questions as Q  # noqa: E402
 
-QUESTIONS_SQL = """qs AS (SELECT cast(right(agent, 5) AS int) AS question_id,
-    CASE cast(right(agent, 5) AS int) % 8 WHEN 0 THEN 'What are the top themes?'
+QUESTIONS_SQL = """qs AS (SELECT cast(substr(agent, 7) AS bigint) AS question_id,
+    CASE cast(substr(agent, 7) AS bigint) % 8 WHEN 0 THEN 'What are the top themes?'
       WHEN 1 THEN 'How should ' || agent || ' improve?' WHEN 2 THEN 'How many calls are there?'
       WHEN 3 THEN 'How many agents are there?' WHEN 4 THEN 'What is the average sentiment?'
       WHEN 5 THEN 'List all supervisors' WHEN 6 THEN 'Why did Monday go badly?'
       ELSE 'Which coaching theme fits ' || lower(agent) || ' best?' END AS question,
-    CASE cast(right(agent, 5) AS int) % 8 WHEN 0 THEN 'top_themes' WHEN 1 THEN 'agent_needs' WHEN 2 THEN 'count_calls'
+    CASE cast(substr(agent, 7) AS bigint) % 8 WHEN 0 THEN 'top_themes' WHEN 1 THEN 'agent_needs' WHEN 2 THEN 'count_calls'
       WHEN 3 THEN 'count_agents' WHEN 4 THEN 'avg_sentiment' WHEN 5 THEN 'help' WHEN 6 THEN 'llm' ELSE 'agent_needs' END AS route,
-    CASE WHEN cast(right(agent, 5) AS int) % 8 IN (1, 7) THEN agent END AS agent
+    CASE WHEN cast(substr(agent, 7) AS bigint) % 8 IN (1, 7) THEN agent END AS agent
   FROM (SELECT DISTINCT agent FROM theme_rows))"""
 
 
@@ -688,10 +761,9 @@ FROM qs LEFT JOIN needs ON needs.agent = qs.agent""",
 
 from callsight.operators import sessions as K  # noqa: E402
 
-FP_SQL = """SELECT substr(md5('call_id,agent,turn_idx,timestamp,speaker,message,sentiment_score' || chr(10) ||
-    string_agg(line, chr(10) ORDER BY call_id, turn_idx) || chr(10)), 1, 12) AS file_hash
-  FROM (SELECT call_id, turn_idx, concat_ws(',',
-      {f}) AS line FROM (SELECT * FROM turns ORDER BY call_id, turn_idx LIMIT 100))"""
+FP_SQL = """SELECT substr(md5(concat_ws(',', 'call_id,agent,turn_idx,timestamp,speaker,message,sentiment_score',
+      cast(count(*) AS varchar), cast(coalesce(sum(h), 0) AS varchar), cast(coalesce(bit_xor(h), 0) AS varchar))), 1, 12) AS file_hash
+  FROM (SELECT cast('0x' || substr(md5(concat_ws(',', {f})), 1, 15) AS bigint) AS h FROM turns)"""
 _FIELD = """CASE WHEN coalesce(cast({c} AS varchar), '') SIMILAR TO '.*[,"\\n\\r].*'
       THEN '"' || replace(coalesce(cast({c} AS varchar), ''), '"', '""') || '"' ELSE coalesce(cast({c} AS varchar), '') END"""
 register(
@@ -745,11 +817,42 @@ def _list(spark: SparkSession, sf: str):
 )
 def _delete(spark: SparkSession, sf: str):
     path, fh = _session_store(spark, sf)
-    kept = K.delete_session(spark, path, fh, TS_OLD, scratch_path(spark, "sessions-kept"))
+    kept = K.delete_session(spark, path, fh, TS_OLD)
     ts = F.date_format("session_ts", "yyyy-MM-dd HH:mm:ss").alias("session_ts")
     return kept.groupBy(ts).agg(F.count(F.lit(1)).cast("bigint").alias("n_agents"))
 
 
+@register(
+    "incremental_review",
+    # The stored session holds agents 0, 2, 4, 6; agents with at least two calls that it lacks are new, get two themes
+    # each, and the merged session has the old agents' theme and the new agents' two.
+    TC + f"""SELECT agent, CASE WHEN cast(substr(agent, 7) AS bigint) IN (0, 2, 4, 6) THEN 'stored' ELSE 'new' END AS origin,
+      cast(CASE WHEN cast(substr(agent, 7) AS bigint) IN (0, 2, 4, 6) THEN 1 ELSE 2 END AS bigint) AS n_themes
+    FROM ({AGENT_CALLS_SQL}) WHERE n_calls >= 2 OR cast(substr(agent, 7) AS bigint) IN (0, 2, 4, 6)""",
+)
+def _incremental(spark: SparkSession, sf: str):
+    """Newest session → its agents → new agents → their requests → answers → validated → merged → saved → read again."""
+    path, t = scratch_path(spark, "sessions"), stored_turns(spark, sf)
+    fh = one_value(K.dataset_fingerprint(t))
+    theme = lambda name: F.struct(F.lit(name).alias("theme"), F.lit("high").alias("priority"), F.lit(1).cast("bigint").alias("frequency"),
+                                  F.array(F.lit('said "so"\n')).alias("examples"), F.lit("é").alias("recommendation"))
+    agents = t.select("agent").where(F.col("agent").isNotNull()).distinct()
+    stored = agents.where(X.agent_number().isin(0, 2, 4, 6))
+    K.save_session(stored.select("agent", F.array(theme("old")).alias("coaching_themes"), F.array(F.lit("stored")).alias("strengths")), path, fh, TS_OLD, MODEL)
+
+    session = K.latest_session(spark, path, fh)
+    prompts = R.agent_prompts(_digests_of(t, 2, K.previous_agents(session)), H.DEFAULT_THEMES)
+    requests = R.request_rows(prompts, S.agent_batches(prompts.select("agent"), 20), MODEL)
+    # The model's answers come from outside the job; here each request is answered with two themes.
+    content = F.to_json(F.struct(F.array(theme("one"), theme("two")).alias("coaching_themes"), F.array(F.lit("new")).alias("strengths")))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))
+    answered = V.attach_responses(requests, requests.select("agent", body.alias("response")))
+    merged = V.merge_insights(session.select("agent", "coaching_themes", "strengths"), V.validate_insights(answered.select("agent", "response")))
+    K.save_session(merged, path, fh, TS_NEW, MODEL)
+    out = K.latest_session(spark, path, fh)
+    return out.select("agent", F.col("strengths")[0].alias("origin"), F.size("coaching_themes").cast("bigint").alias("n_themes"))
+
+
 register(
     "session_metadata",
     BOTH + f"""SELECT '{RUN_STAMP}' AS processed_at, '{MODEL}' AS model_used,
@@ -786,7 +889,7 @@ def _write_parquet(spark: SparkSession, sf: str):
 
 @register(
     "read_text_calls",
-    TCC + """SELECT 'CALL_' || lpad(cast(row_number() OVER (ORDER BY call_id) AS varchar), 4, '0') AS call_id,
+    TCC + """SELECT 'CALL_' || lpad(cast(row_number() OVER (ORDER BY call_id) AS varchar), cast(greatest(4, length(cast(row_number() OVER (ORDER BY call_id) AS varchar))) AS int), '0') AS call_id,
       'Unknown' AS agent, transcript || chr(10) AS transcript FROM calls""",
 )
 def _read_text(spark: SparkSession, sf: str):
@@ -899,12 +1002,12 @@ FROM nums""",
 register(
     "agent_profile",
     _theme_sql(FIRST_PILLAR_SQL, SCORES_SQL)
-    + f""", firsts AS {FIRST_AGENTS_SQL.format(n=10)}
+    + f""", firsts AS (SELECT DISTINCT agent FROM theme_rows)
 SELECT f.agent,
   coalesce((SELECT string_agg(pillar || ': ' || cast(score AS varchar) || ' coaching points', chr(10) ORDER BY pillar_ord)
             FROM ps WHERE ps.agent = f.agent AND score > 0), '') AS framework_text,
   (SELECT string_agg(cast(theme_pos + 1 AS varchar) || '. ' || theme || chr(10) || 'Priority Level: ' || upper(priority) ||
-      CASE WHEN length(recommendation) > 0 THEN chr(10) || substr(recommendation, 1, 120) || '...' ELSE '' END,
+      CASE WHEN length(recommendation) > 0 THEN chr(10) || recommendation || '...' ELSE '' END,
       chr(10) ORDER BY theme_pos) FROM theme_rows r WHERE r.agent = f.agent AND theme_pos < 3) AS themes_text
 FROM firsts f""",
 )(lambda spark, sf: RP.agent_profile(theme_rows(spark, sf)))
@@ -912,7 +1015,7 @@ FROM firsts f""",
 
 PLAN_DATE = "February 07, 2025"
 _EQ, _DASH = "repeat('=', 60)", "repeat('-', 60)"
-PLAN_SQL = THC.rstrip("\n") + f""",
+PLAN_SQL = BOTH_RUN + f""",
   blocks AS (
     SELECT agent, theme_pos,
       chr(10) || cast(row_number() OVER (PARTITION BY agent ORDER BY theme_pos) AS varchar) || '. ' || upper(theme) || chr(10) ||
@@ -926,20 +1029,20 @@ PLAN_SQL = THC.rstrip("\n") + f""",
   plans AS (
     SELECT agent,
       'COACHING PLAN FOR ' || upper(agent) || chr(10) || {_EQ} || chr(10) || chr(10) || 'SUMMARY' || chr(10) ||
-      '   • Calls Analyzed: 0' || chr(10) || '   • Date Generated: {PLAN_DATE}' || chr(10) || chr(10) ||
+      '   • Calls Analyzed: ' || cast(max(calls) AS varchar) || chr(10) || '   • Date Generated: {PLAN_DATE}' || chr(10) || chr(10) ||
       {_EQ} || chr(10) || chr(10) || 'COACHING THEMES' || chr(10) ||
       string_agg(block, '' ORDER BY theme_pos) ||
       chr(10) || 'STRENGTHS' || chr(10) || '   • Strength ' || cast({O.AGENT_NO} % 3 AS varchar) || chr(10) ||
       chr(10) || {_EQ} || chr(10) ||
       chr(10) || {O.quote_sql(RP.DEFAULT_FOOTER)} || chr(10) AS plan_text
-    FROM blocks GROUP BY agent)
+    FROM blocks JOIN ra USING (agent) GROUP BY agent)
 """
 
 
 def _plans(spark: SparkSession, sf: str):
     tr = theme_rows(spark, sf)
     ins = X.insights_from_theme_rows(tr)
-    return RP.coaching_plan_text(tr, ins.select("agent", "strengths"), run_date=PLAN_DATE)
+    return RP.coaching_plan_text(tr, ins.select("agent", "strengths"), run_agents(spark, sf), run_date=PLAN_DATE)
 
 
 register("coaching_plan_text", PLAN_SQL + "SELECT agent, plan_text FROM plans")(_plans)
@@ -982,14 +1085,14 @@ register("read_parquet", "SELECT conv_id, turn, role, text FROM conversations")(
 )
 
 register("total_calls", TC + "SELECT cast(count(DISTINCT call_id) AS bigint) AS total_calls FROM turns")(
-    lambda spark, sf: A.total_calls(turns(spark, sf))
+    lambda spark, sf: A.total_calls(counted_turns(spark, sf))
 )
 register("total_agents", TC + "SELECT cast(count(DISTINCT agent) AS bigint) AS total_agents FROM turns")(
-    lambda spark, sf: A.total_agents(turns(spark, sf))
+    lambda spark, sf: A.total_agents(counted_turns(spark, sf))
 )
 register(
     "distinct_rows", TC + "SELECT DISTINCT call_id, agent, sentiment_score FROM turns WHERE sentiment_score IS NOT NULL"
-)(lambda spark, sf: A.distinct_call_sentiments(turns(spark, sf)))
+)(lambda spark, sf: A.distinct_call_sentiments(counted_turns(spark, sf)))
 
 register(
     "turn_filter",
@@ -1022,12 +1125,13 @@ def _filter_to_agents(spark: SparkSession, sf: str):
 @register(
     "attach_responses",
     THC + f"""SELECT agent, cast(floor((row_number() OVER (ORDER BY agent) - 1) / 20) + 1 AS bigint) AS batch_no,
-      {CLASS_SQL} <> 7 AS has_response FROM (SELECT DISTINCT agent FROM theme_rows)""",
+      cast({CLASS_SQL} AS int) AS response_class FROM (SELECT DISTINCT agent FROM theme_rows)
+    QUALIFY {CLASS_SQL} IN (0, 1, 6)""",
 )
 def _attach(spark: SparkSession, sf: str):
     requests = S.agent_batches(theme_rows(spark, sf), 20).select("agent", "batch_no")
     out = V.attach_responses(requests, _responses(spark, sf))
-    return out.select("agent", "batch_no", F.col("response").isNotNull().alias("has_response"))
+    return out.select("agent", "batch_no", (X.agent_number() % X.RESPONSE_CLASSES).cast("int").alias("response_class"))
 
 
 register(

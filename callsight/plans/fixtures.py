@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callsight.functions.text import pad_left
 from callsight.operators.themes import theme_lexicon
 
 
@@ -17,10 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _pad(c: Column, n: int) -> Column:
-    return F.lpad(c.cast("string"), n, "0")
-
-
 def turns_source(conversations: DataFrame) -> DataFrame:
     """F1 ``turns_src``: call keys, injected markup/PII body and the expected clean text."""
     conv = F.col("conv_id")
@@ -50,8 +47,8 @@ def turns_source(conversations: DataFrame) -> DataFrame:
         .select(
             "conv_id",
             "turn",
-            F.concat(F.lit("C"), _pad(conv, 6)).alias("call_id"),
-            F.concat(F.lit("Agent "), _pad(F.col("agent_no"), 3)).alias("agent"),
+            F.concat(F.lit("C"), pad_left(conv, 6)).alias("call_id"),
+            F.concat(F.lit("Agent "), pad_left(F.col("agent_no"), 3)).alias("agent"),
             F.when((F.col("agent_no") == 3) | (conv % 11 == 0), F.lit(None).cast("double"))
             .otherwise(((conv * 37) % 51).cast("double") / 10)
             .alias("sentiment_score"),
@@ -72,8 +69,8 @@ def calls_from_conversations(conversations: DataFrame) -> DataFrame:
     """
     src = turns_source(conversations)
     conv = F.col("conv_id")
-    mm = _pad(conv % 60, 2)
-    ss = _pad(F.col("turn"), 2)
+    mm = pad_left(conv % 60, 2)
+    ss = pad_left(F.col("turn"), 2)
     bracket_line = F.concat(
         F.lit("[12:"), mm, F.lit(":"), ss, F.lit(" "), F.upper(F.col("speaker_label")), F.lit("]:\n"), F.col("body")
     )
@@ -115,6 +112,7 @@ def theme_rows_from_documents(documents: DataFrame, lexicon: DataFrame | None =
     docs = documents.select(
         "doc_id",
         "n_chars",
+        "text",
         ((d * 7 + F.floor(d / 30.0).cast("bigint")) % 30).cast("int").alias("theme_ord"),
         agent_no.alias("agent_no"),
         theme_pos.cast("int").alias("theme_pos"),
@@ -129,13 +127,19 @@ def theme_rows_from_documents(documents: DataFrame, lexicon: DataFrame | None =
     )
     prio = F.when((d * 5) % 3 == 0, "high").when((d * 5) % 3 == 1, "medium").otherwise("low")
     return j.select(
-        F.concat(F.lit("Agent "), _pad(F.col("agent_no"), 5)).alias("agent"),
+        F.concat(F.lit("Agent "), pad_left(F.col("agent_no"), 5)).alias("agent"),
         "theme_pos",
         theme.alias("theme"),
         prio.alias("priority"),
         (F.col("n_chars") % 7).cast("bigint").alias("frequency"),
-        F.array(F.concat(F.lit("Example from document "), d.cast("string"))).alias("examples"),
-        F.concat(F.lit("Practise "), F.col("lex_theme"), F.lit(" in call "), d.cast("string")).alias("recommendation"),
+        # Some carry a whole document: quotes, line breaks, long texts, letters outside ASCII.
+        F.when(d % 7 == 0, F.array(F.concat(F.lit("Example from document "), d.cast("string")), F.col("text")))
+        .otherwise(F.array(F.concat(F.lit("Example from document "), d.cast("string"))))
+        .alias("examples"),
+        F.concat(
+            F.lit("Practise "), F.col("lex_theme"), F.lit(" in call "), d.cast("string"),
+            F.when(d % 5 == 0, F.concat(F.lit(': "'), F.col("text"), F.lit('" \\ \t end'))).otherwise(F.lit("")),
+        ).alias("recommendation"),
     )
 
 
@@ -149,6 +153,11 @@ def previous_session_agents(turns_or_calls: DataFrame) -> DataFrame:
     )
 
 
+def agent_number() -> Column:
+    """The number in an F3 agent name, however long it is."""
+    return F.expr("cast(substring(agent, 7) AS bigint)")
+
+
 RESPONSE_CLASSES = 8  # agent number modulo 8 picks how the response is damaged
 
 
@@ -159,7 +168,7 @@ def insights_from_theme_rows(theme_rows: DataFrame) -> DataFrame:
             F.collect_list(F.struct("theme_pos", "theme", "priority", "frequency", "examples", "recommendation"))
         ).alias("t")
     )
-    agent_no = F.substring(F.col("agent"), -5, 5).cast("int")
+    agent_no = agent_number()
     return g.select(
         "agent",
         F.transform(
@@ -183,7 +192,7 @@ def responses_from_theme_rows(theme_rows: DataFrame) -> DataFrame:
     6 priority 'urgent' and frequency as text, 7 no response.
     """
     ins = insights_from_theme_rows(theme_rows)
-    cls = F.substring(F.col("agent"), -5, 5).cast("int") % RESPONSE_CLASSES
+    cls = agent_number() % RESPONSE_CLASSES
     plain = F.to_json(F.struct("coaching_themes", "strengths"))
     odd = F.to_json(
         F.struct(
@@ -220,7 +229,7 @@ def responses_from_theme_rows(theme_rows: DataFrame) -> DataFrame:
 def questions_from_agents(theme_rows: DataFrame) -> DataFrame:
     """F7 questions, one per F3 agent: the template is picked by agent number % 8."""
     agents = theme_rows.select("agent").distinct()
-    no = F.substring(F.col("agent"), -5, 5).cast("int")
+    no = agent_number()
     k = no % 8
     q = (
         F.when(k == 0, F.lit("What are the top themes?"))
@@ -232,4 +241,4 @@ def questions_from_agents(theme_rows: DataFrame) -> DataFrame:
         .when(k == 6, F.lit("Why did Monday go badly?"))
         .otherwise(F.concat(F.lit("Which coaching theme fits "), F.lower(F.col("agent")), F.lit(" best?")))
     )
-    return agents.select(no.cast("int").alias("question_id"), q.alias("question"))
+    return agents.select(no.alias("question_id"), q.alias("question"))

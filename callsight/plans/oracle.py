@@ -12,8 +12,8 @@ from callsight.operators.themes import PILLAR_THEMES
 TURNS_SRC = """
 turns_src AS (
   SELECT conv_id, turn,
-    'C' || lpad(cast(conv_id AS varchar), 6, '0') AS call_id,
-    'Agent ' || lpad(cast(agent_no AS varchar), 3, '0') AS agent,
+    'C' || lpad(cast(conv_id AS varchar), cast(greatest(6, length(cast(conv_id AS varchar))) AS int), '0') AS call_id,
+    'Agent ' || lpad(cast(agent_no AS varchar), cast(greatest(3, length(cast(agent_no AS varchar))) AS int), '0') AS agent,
     CASE WHEN agent_no = 3 OR conv_id % 11 = 0 THEN NULL
          ELSE cast((conv_id * 37) % 51 AS double) / 10 END AS sentiment_score,
     CASE role WHEN 'assistant' THEN 'Agent' WHEN 'user' THEN 'Customer' ELSE 'System' END AS speaker_label,
@@ -30,9 +30,9 @@ CALLS = """
 calls AS (
   SELECT call_id, agent, sentiment_score,
     CASE WHEN conv_id % 2 = 0
-      THEN string_agg('[12:' || lpad(cast(conv_id % 60 AS varchar), 2, '0') || ':' || lpad(cast(turn AS varchar), 2, '0')
+      THEN string_agg('[12:' || lpad(cast(conv_id % 60 AS varchar), 2, '0') || ':' || lpad(cast(turn AS varchar), cast(greatest(2, length(cast(turn AS varchar))) AS int), '0')
            || ' ' || upper(speaker_label) || ']:' || chr(10) || body, chr(10) ORDER BY turn)
-      ELSE string_agg('2025-02-07 13:' || lpad(cast(conv_id % 60 AS varchar), 2, '0') || ':' || lpad(cast(turn AS varchar), 2, '0')
+      ELSE string_agg('2025-02-07 13:' || lpad(cast(conv_id % 60 AS varchar), 2, '0') || ':' || lpad(cast(turn AS varchar), cast(greatest(2, length(cast(turn AS varchar))) AS int), '0')
            || ' +0000 ' || speaker_label || ': ' || body, ' | ' ORDER BY turn)
     END AS transcript
   FROM turns_src GROUP BY conv_id, call_id, agent, sentiment_score
@@ -43,8 +43,8 @@ TURNS = """
 turns AS (
   SELECT call_id, agent, cast(turn AS int) AS turn_idx,
     CASE WHEN conv_id % 2 = 0
-      THEN '12:' || lpad(cast(conv_id % 60 AS varchar), 2, '0') || ':' || lpad(cast(turn AS varchar), 2, '0')
-      ELSE '2025-02-07 13:' || lpad(cast(conv_id % 60 AS varchar), 2, '0') || ':' || lpad(cast(turn AS varchar), 2, '0') || ' +0000'
+      THEN '12:' || lpad(cast(conv_id % 60 AS varchar), 2, '0') || ':' || lpad(cast(turn AS varchar), cast(greatest(2, length(cast(turn AS varchar))) AS int), '0')
+      ELSE '2025-02-07 13:' || lpad(cast(conv_id % 60 AS varchar), 2, '0') || ':' || lpad(cast(turn AS varchar), cast(greatest(2, length(cast(turn AS varchar))) AS int), '0') || ' +0000'
     END AS timestamp,
     speaker,
     trim(regexp_replace(CASE WHEN conv_id % 2 = 0 THEN clean ELSE split_part(clean, chr(10), 1) END, '\\s+', ' ', 'g')) AS message,
@@ -63,15 +63,17 @@ def lexicon_values() -> str:
 
 THEME_ROWS = """
 theme_rows AS (
-  SELECT 'Agent ' || lpad(cast(agent_no AS varchar), 5, '0') AS agent, theme_pos,
+  SELECT 'Agent ' || lpad(cast(agent_no AS varchar), cast(greatest(5, length(cast(agent_no AS varchar))) AS int), '0') AS agent, theme_pos,
     CASE WHEN doc_id % 23 = 0 THEN 'Custom theme ' || cast(doc_id % 5 AS varchar)
          WHEN doc_id % 19 = 0 THEN lower(l.theme)
          WHEN doc_id % 13 = 0 THEN l.theme || ' skills' ELSE l.theme END AS theme,
     CASE (doc_id * 5) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority,
     cast(n_chars % 7 AS bigint) AS frequency,
-    ['Example from document ' || cast(doc_id AS varchar)] AS examples,
-    'Practise ' || l.theme || ' in call ' || cast(doc_id AS varchar) AS recommendation
-  FROM (SELECT doc_id, n_chars,
+    CASE WHEN doc_id % 7 = 0 THEN ['Example from document ' || cast(doc_id AS varchar), text]
+         ELSE ['Example from document ' || cast(doc_id AS varchar)] END AS examples,
+    'Practise ' || l.theme || ' in call ' || cast(doc_id AS varchar) ||
+      CASE WHEN doc_id % 5 = 0 THEN ': "' || text || '" \\ ' || chr(9) || ' end' ELSE '' END AS recommendation
+  FROM (SELECT doc_id, n_chars, text,
       cast((doc_id * 7 + cast(floor(doc_id / 30.0) AS bigint)) % 30 AS int) AS theme_ord,
       cast(floor(doc_id / 21.0) AS bigint) * 6 + CASE WHEN doc_id % 21 < 1 THEN 0 WHEN doc_id % 21 < 3 THEN 1
         WHEN doc_id % 21 < 6 THEN 2 WHEN doc_id % 21 < 10 THEN 3 WHEN doc_id % 21 < 15 THEN 4 ELSE 5 END AS agent_no,
@@ -110,7 +112,7 @@ def quote_sql(text: str) -> str:
 
 # F3 insights nested per agent (themes in list order, one strength each) and
 # the serialised forms the response fixture builds from them.
-AGENT_NO = "cast(right(agent, 5) AS int)"
+AGENT_NO = "cast(substr(agent, 7) AS bigint)"
 INSIGHTS = f"""
 ins AS (
   SELECT agent,

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsight.functions.scalars import one_value
-from callsight.functions.text import strip_ws
-from callsight.operators.joins import join_checked
+from callsight.functions.text import pad_left, strip_ws
 from callsight.operators.ordinal import with_global_ordinal
 
 CALLS_SCHEMA = "call_id STRING, agent STRING, transcript STRING, sentiment_score DOUBLE"
@@ -61,10 +60,8 @@ def read_text_calls(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     numbered = with_global_ordinal(files.select("path"), [F.col("path")], "file_no")
     texts = files.select("path", F.decode(F.col("content"), "UTF-8").alias("transcript"))
-    # One (path, number) row per file: broadcast when its measured size allows,
-    # so the texts are numbered where they are read; otherwise a join on the path.
-    return join_checked(texts, numbered, ["path"]).select(
-        F.concat(F.lit(TEXT_CALL_PREFIX), F.lpad(F.col("file_no").cast("string"), 4, "0")).alias("call_id"),
+    return texts.join(numbered, "path").select(
+        F.concat(F.lit(TEXT_CALL_PREFIX), pad_left(F.col("file_no"), 4)).alias("call_id"),
         F.lit(TEXT_AGENT).alias("agent"),
         "transcript",
     )

@@ -1,10 +1,9 @@
-"""Size-checked restriction of the turn table and the per-call review selection."""
+"""Restriction of the turn table to selected calls and agents, and the per-call review selection."""
 
 import re
 
 import pytest
 
-from callsight.operators import joins as J
 from callsight.operators import selection as S
 from callsight.plans import catalog
 
@@ -15,28 +14,22 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("text,expected", [("10485760b", 10485760), ("10MB", 10 << 20), ("-1", -1), ("64k", 65536), (None, None)])
-def test_threshold_parsing(text, expected):
-    assert J._to_bytes(text) == expected
-
-
 def _rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_broadcast_and_fallback_agree(spark):
+def test_broadcast_and_shuffle_agree(spark):
     t = catalog.turns(spark, MEDIUM)
-    sel = S.review_calls(t, 10, 5)
-    small = S.selected_turns(t, sel)
-    assert "BroadcastHashJoin" in _plan(small)
+    small = S.selected_turns(t, S.review_calls(t, 10, 5))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        big = S.selected_turns(t, sel)
+        big = S.selected_turns(t, S.review_calls(t, 10, 5))
         assert "BroadcastHashJoin" not in _plan(big)
-        assert _rows(big) == _rows(small)
+        rows = _rows(big)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert rows == _rows(small) and rows
 
 
 @pytest.mark.parametrize("sf,min_calls", [(SMALL, 2), (MEDIUM, 10)])
@@ -49,17 +42,26 @@ def test_review_calls_equal_filter_then_rank(spark, sf, min_calls):
     assert _rows(S.review_calls(t, min_calls, 5, prev)) == _rows(naive_new)
 
 
-def test_review_selection_never_shuffles_turns_by_agent_alone(spark):
-    # Per-agent work happens on the one-row-per-call table; the turn table is only
-    # ever repartitioned on (agent, call_id) or joined map-side.
+def test_selected_turns_are_joined_on_the_call(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        p = _plan(S.review_turns(catalog.turns(spark, MEDIUM), 10, 5))
+        t = catalog.turns(spark, MEDIUM)
+        calls = spark.createDataFrame([("a", "c")], "agent string, call_id string")
+        p = _plan(S.selected_turns(t, calls))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" not in p
-    assert "LeftSemi" in p
-    # The pair list is already materialised, so this plan only shows the turn side:
-    # its one exchange is keyed on the call, never on the agent alone.
-    assert re.search(r"hashpartitioning\(agent#\d+, call_id#\d+, \d+\)", p)
+    # The turn side's one exchange is keyed on the call, never on the agent alone.
+    assert "LeftSemi" in p and re.search(r"hashpartitioning\(agent#\d+, call_id#\d+, \d+\)", p)
     assert not re.search(r"hashpartitioning\(agent#\d+, \d+\)", p), p
+
+
+def test_building_a_plan_starts_no_job(spark):
+    t = catalog.turns(spark, SMALL)
+    sc = spark.sparkContext
+    sc.setJobGroup("plans", "plans")
+    try:
+        S.selected_turns(t, S.review_calls(t, 2, 5))
+        S.filter_to_agents(t, S.eligible_agents(t, 2))
+        assert sc.statusTracker().getJobIdsForGroup("plans") == []
+    finally:
+        sc.setJobGroup("", "")

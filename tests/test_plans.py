@@ -64,3 +64,21 @@ def test_scalar_values_are_planned_once(spark):
         n = len(set(re.findall(r"Subquery subquery#(\d+)", _plan(fn(spark, SMALL)))))
         worst[name] = n
     assert max(worst.values()) <= 6, sorted(worst.items(), key=lambda kv: -kv[1])[:5]
+
+
+COUNTS = ["total_calls", "total_agents", "volume_counts", "sentiment_stats", "flow_stats", "speaker_counts", "kpi_row", "call_sentiment", "agent_call_counts"]
+
+
+@pytest.mark.parametrize("name", COUNTS)
+def test_counts_do_not_redact(spark, name):
+    p = _plan(catalog.QUERIES[name](spark, MEDIUM))
+    assert "REDACTED" not in p and "Expand" not in p
+
+
+@pytest.mark.parametrize("name, most", [("validate_insights", 1), ("agent_summary_rows", 3), ("pillar_demand", 1), ("merge_insights", 2)])
+def test_scans(spark, name, most):
+    assert _plan(catalog.QUERIES[name](spark, MEDIUM)).count("FileScan") <= most
+
+
+def test_answers_read_no_turn_twice_in_one_aggregate(spark):
+    assert "Expand" not in _plan(catalog.QUERIES["answer_questions"](spark, MEDIUM))

@@ -70,11 +70,12 @@ def test_map_columns_nan_sentiment_becomes_null(spark):
     assert got == {"1": None, "2": 0.5}
 
 
-def test_attach_responses_keeps_requests_without_response(spark):
-    req = spark.createDataFrame([("a", 1, "{}"), ("b", 1, "{}")], "agent string, batch_no bigint, payload string")
-    res = spark.createDataFrame([("a", '{"choices":[]}')], "agent string, response string")
+def test_attach_responses_drops_requests_without_a_usable_response(spark):
+    good = '{"choices":[{"message":{"content":"{\\"strengths\\":[\\"s\\"]}"}}]}'
+    req = spark.createDataFrame([("a", 1, "{}"), ("b", 1, "{}"), ("c", 1, "{}")], "agent string, batch_no bigint, payload string")
+    res = spark.createDataFrame([("a", '{"choices":[]}'), ("c", good)], "agent string, response string")
     got = {r.agent: r.response for r in V.attach_responses(req, res).collect()}
-    assert got == {"a": '{"choices":[]}', "b": None}
+    assert got == {"c": good}
 
 
 def test_unsupported_extension_is_skipped(spark):

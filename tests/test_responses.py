@@ -115,3 +115,54 @@ def test_coercions(validated):
     assert "themes_obj" not in rows
     assert strengths["strengths_text"] == []
     assert strengths["dupkey"] == ["b"] and "dupkey" not in rows
+
+
+LONG = 'x\\"\\\\é{[' * 60_000
+
+HARD = {
+    "long": _env(_theme(recommendation=LONG)),
+    "long_trailing": _env(_theme(recommendation=LONG) + " {}"),
+    "huge": _env(_theme(frequency=1e30)),
+    "huge_int": _env(_theme(frequency=99999999999999999999)),
+    "huge_negative": _env(_theme(frequency=-1e300)),
+    "content_object": json.dumps({"choices": [{"message": {"content": {"coaching_themes": [OK_THEME]}}}]}),
+    "content_number": json.dumps({"choices": [{"message": {"content": 5}}]}),
+    "no_content": json.dumps({"choices": [{"message": {}}]}),
+    "empty_envelope": "{}",
+    "unreadable": "{",
+}
+
+
+def test_hard_responses(spark):
+    df = spark.createDataFrame(list(HARD.items()), "agent string, response string")
+    status = {r.agent: r.status for r in V.response_errors(df).collect()}
+    assert {a for a, s in status.items() if s == "ok"} == {"long", "huge", "huge_int", "huge_negative"}
+    assert status["long_trailing"] == "bad_json"
+    assert [status[a] for a in ("content_object", "content_number", "no_content")] == ["exception"] * 3
+    assert status["empty_envelope"] == status["unreadable"] == "no_response"
+    rows = {r.agent: r for r in V.validated_theme_rows(df).collect()}
+    assert rows["long"].recommendation == LONG
+    assert (rows["huge"].frequency, rows["huge_int"].frequency, rows["huge_negative"].frequency) == (2**63 - 1, 2**63 - 1, -(2**63))
+
+
+def test_responses_of_one_agent_stay_apart(spark):
+    df = spark.createDataFrame(
+        [("a", _env(_theme(theme="one"))), ("a", _env('{"coaching_themes":[{"theme":"two"}],"strengths":["t"]}')), (None, _env(_theme(theme="three")))],
+        "agent string, response string",
+    )
+    got = sorted((str(r.agent), [t.theme for t in r.coaching_themes], list(r.strengths)) for r in V.validate_insights(df).collect())
+    assert got == [("None", ["three"], ["s"]), ("a", ["one"], ["s"]), ("a", ["two"], ["t"])]
+
+
+def test_merge_takes_the_new_run_whole(spark):
+    schema = "agent string, coaching_themes array<string>, strengths array<string>"
+    old = spark.createDataFrame([("a", ["old"], ["o"]), ("b", ["old"], ["o"]), ("b", ["older"], ["o"])], schema)
+    new = spark.createDataFrame([("a", ["n1"], ["n"]), ("a", ["n2"], ["n"]), ("c", [], [])], schema)
+    got = sorted((r.agent, list(r.coaching_themes)) for r in V.merge_insights(old, new).collect())
+    assert got == [("a", ["n1"]), ("a", ["n2"]), ("b", ["old"]), ("b", ["older"]), ("c", [])]
+
+
+def test_failed_requests_are_dropped(spark):
+    requests = spark.createDataFrame([("ok", 1), ("bad", 1), ("none", 2)], "agent string, batch_no int")
+    responses = spark.createDataFrame([("ok", _env(_theme())), ("bad", _env("{")), ("other", _env(_theme()))], "agent string, response string")
+    assert [r.agent for r in V.attach_responses(requests, responses).collect()] == ["ok"]

@@ -123,3 +123,29 @@ def test_approximate_distinct_counts_are_opt_in_and_close(spark):
     assert (exact.total_calls, exact.total_agents, exact.total_turns) == (5000, 37, 5000)
     assert abs(approx.total_calls - 5000) <= 5000 * 0.08 and abs(approx.total_agents - 37) <= 3
     assert approx.total_turns == 5000
+
+
+def test_first_messages_of_a_call_that_two_agents_share(spark):
+    rows = [("c", a, i, "t", side, f"{a}{side}{i}", 1.0) for a in ("A", "B") for i, side in enumerate(["agent", "customer"] * 4)]
+    got = {}
+    for r in S.first_messages(_turns(spark, rows), 3).collect():
+        got.setdefault((r.agent, r.speaker), []).append(r.message)
+    assert {k: len(v) for k, v in got.items()} == {(a, s): 3 for a in "AB" for s in ("agent", "customer")}
+    assert all(m.startswith(a) for (a, _), messages in got.items() for m in messages)
+
+
+def test_dashboard_rounds_once(spark):
+    rows = [("c", "A", 0, "t", "agent", "m", 0.1250000004)]
+    assert A.agent_dashboard(_turns(spark, rows)).first().avg_sentiment == 0.13
+    assert A.sentiment_stats(_turns(spark, rows)).first().avg_sentiment == 0.1250000004
+
+
+def test_mentions_find_names_whose_lower_case_is_longer(spark):
+    agents = spark.createDataFrame([("\u0130pek",), ("Ann",)], "agent string")
+    qs = spark.createDataFrame([(1, "How should \u0130PEK improve?")], "question_id int, question string")
+    assert [(r.question_id, r.agent) for r in Q.agent_mentions(qs, agents).collect()] == [(1, "\u0130pek")]
+
+
+def test_calls_analyzed(spark):
+    calls = spark.createDataFrame([("A", "1"), ("A", "2"), ("B", "1")], "agent string, call_id string")
+    assert {r.agent: r.calls_analyzed for r in S.calls_analyzed(calls).collect()} == {"A": 2, "B": 1}

@@ -88,70 +88,33 @@ def test_turns_independent_of_partitioning(spark):
     assert a == b and len(a) > 0
 
 
-BRACKET_CASES = [
-    "[12:00:01 AGENT]: hi\n[12:00:02 CUSTOMER]: there\n",
-    "preamble [12:00:01 AGENT]:\n  a\n\n[12:00:02 Customer Service Rep]:b",
-    "[12:00 [12:01 AGENT]: nested header text",
-    "[12:00:01 AGENT]:[12:00:02 CUSTOMER]: back to back",
-    "[12:00:01 AGENT]: a [not a header] b [1:2 X]: c",
-    "[12:00:01 AGENT]: x [12:00:02 ]: y",
-    "[12:00:01\nAGENT]:\n  multi\nline\n\n",
-    "no headers at all",
-    "[:: A]: colons only",
-    "[12:00:01\u00a0AGENT]: no-break space in the header\u2003and an em space in the body",
-    "[\u0661\u0662:\u0660\u0660:\u0660\u0661 AGENT]: Arabic-Indic digits",
-    "[12:00:01 AGENT]: a<br\u00a0/>b<BR\u2009>c",
+#: Transcripts and the turns that they hold.
+CASES = [
+    ('[12:00:01 AGENT]: hi\n[12:00:02 CUSTOMER]: there\n', [(0, '12:00:01', 'agent', 'hi'), (1, '12:00:02', 'customer', 'there')]),
+    ('preamble [12:00:01 AGENT]:\n  a\n\n[12:00:02 Customer Service Rep]:b', [(0, '12:00:01', 'agent', 'a'), (1, '12:00:02', 'agent', 'b')]),
+    ('[12:00 [12:01 AGENT]: nested header text', [(0, '12:00', 'agent', 'nested header text')]),
+    ('[12:00:01 AGENT]:[12:00:02 CUSTOMER]: back to back', [(0, '12:00:02', 'customer', 'back to back')]),
+    ('[12:00:01 AGENT]: a [not a header] b [1:2 X]: c', [(0, '12:00:01', 'agent', 'a [not a header] b'), (1, '1:2', 'x', 'c')]),
+    ('[12:00:01 AGENT]: x [12:00:02 ]: y', [(0, '12:00:01', 'agent', 'x [12:00:02 ]: y')]),
+    ('[12:00:01\nAGENT]:\n  multi\nline\n\n', [(0, '12:00:01', 'agent', 'multi line')]),
+    ('no headers at all', []),
+    ('[:: A]: colons only', [(0, '::', 'a', 'colons only')]),
+    ('[12:00:01\xa0AGENT]: no-break space in the header\u2003and an em space in the body', [(0, '12:00:01', 'agent', 'no-break space in the header and an em space in the body')]),
+    ('[\u0661\u0662:\u0660\u0660:\u0660\u0661 AGENT]: Arabic-Indic digits', [(0, '\u0661\u0662:\u0660\u0660:\u0660\u0661', 'agent', 'Arabic-Indic digits')]),
+    ('[12:00:01 AGENT]: a<br\xa0/>b<BR\u2009>c', [(0, '12:00:01', 'agent', 'a b c')]),
+    ('2025-02-07 13:17:57 +0000 Consumer: Hi! | 2025-02-07 13:18:01 +0000 Agent: Hello', [(0, '2025-02-07 13:17:57 +0000', 'customer', 'Hi!'), (1, '2025-02-07 13:18:01 +0000', 'agent', 'Hello')]),
+    ('2025-02-07 13:17:57 +0000 Agent:\n\n  second line wins | 2025-02-07 13:18:01 +0000 Customer:   spaced  ', [(0, '2025-02-07 13:17:57 +0000', 'agent', 'second line wins'), (1, '2025-02-07 13:18:01 +0000', 'customer', 'spaced')]),
+    ('  2025-02-07 13:17:57 +0000  Sales Rep : a:b:c | junk | 2025-02-07 13:18:01 +0000 Agent:', [(0, '2025-02-07 13:17:57 +0000', 'agent', 'a:b:c')]),
+    ('2025-02-07 13:17:57 +0000 Agent: a\xa0\nb | 2025-02-07 13:18:01 +0000 Client: <br>x', [(0, '2025-02-07 13:17:57 +0000', 'agent', 'a'), (1, '2025-02-07 13:18:01 +0000', 'customer', 'x')]),
+    ('2025-02-07 13:17:57 +0000\nAgent\n: multi-line speaker | x', [(0, '2025-02-07 13:17:57 +0000', 'agent', 'multi-line speaker')]),
+    ('2025-02-07 13:17:57 +0000\nAgent\n: no pipe means bracket form', []),
+    ('2025-02-07 13:17:57 0000 Agent: bad offset | | ', []),
+    ('2025-02-07\xa013:17:57\u2009+0000\xa0Agent: thin and no-break spaces | 2025-02-07 13:18:01 +0000 Customer: ok', [(0, '2025-02-07\xa013:17:57\u2009+0000', 'agent', 'thin and no-break spaces'), (1, '2025-02-07 13:18:01 +0000', 'customer', 'ok')]),
+    ('\u0662\u0660\u0662\u0665-\u0660\u0662-\u0660\u0667 13:17:57 +0000 Agent: Arabic-Indic date | x', [(0, '\u0662\u0660\u0662\u0665-\u0660\u0662-\u0660\u0667 13:17:57 +0000', 'agent', 'Arabic-Indic date')]),
+    ('2025-02-07 13:17:57 +0000 Agent: a<br\xa0/>b | 2025-02-07 13:18:01 +0000 Customer:\u3000c', [(0, '2025-02-07 13:17:57 +0000', 'agent', 'a b'), (1, '2025-02-07 13:18:01 +0000', 'customer', 'c')]),
 ]
 
 
-@pytest.mark.parametrize("text", BRACKET_CASES)
-def test_bracket_split_matches_findall_brute_force(spark, text):
-    import re
-
-    pat = re.compile(r"\[([\d:]+)\s+([^\]]+)\]:\s*\n?\s*(.*?)(?=\[[\d:]+\s+[^\]]+\]:|$)", re.DOTALL)
-    want = []
-    for ts, spk, msg in pat.findall(text):
-        msg = re.sub(r"<[^>]+>", "", re.sub(r"<br\s*/?>", " ", msg, flags=re.I))
-        m = " ".join(msg.split())
-        if m:
-            low = spk.strip().lower()
-            sp = "agent" if any(w in low for w in ("agent", "representative", "rep")) else (
-                "customer" if any(w in low for w in ("customer", "consumer", "client")) else low)
-            want.append((len(want), ts.strip(), sp, m))
-    assert _turns(spark, text) == want
-
-
-PIPE_CASES = [
-    f"{P1} Consumer: Hi! | {P2} Agent: Hello",
-    f"{P1} Agent:\n\n  second line wins | {P2} Customer:   spaced  ",
-    f"  {P1}  Sales Rep : a:b:c | junk | {P2} Agent:",
-    f"{P1} Agent: a \nb | {P2} Client: <br>x",
-    f"{P1}\nAgent\n: multi-line speaker | x",
-    f"{P1}\nAgent\n: no pipe means bracket form",
-    "2025-02-07 13:17:57 0000 Agent: bad offset | | ",
-    f"2025-02-07\u00a013:17:57\u2009+0000\u00a0Agent: thin and no-break spaces | {P2} Customer: ok",
-    "\u0662\u0660\u0662\u0665-\u0660\u0662-\u0660\u0667 13:17:57 +0000 Agent: Arabic-Indic date | x",
-    f"{P1} Agent: a<br\u00a0/>b | {P2} Customer:\u3000c",
-]
-
-
-@pytest.mark.parametrize("text", PIPE_CASES)
-def test_pipe_matches_brute_force(spark, text):
-    import re
-
-    pat = re.compile(r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\s+[+-]\d{4})\s+([^:]+):\s*(.*)")
-    want = []
-    for seg in (text.split("|") if "|" in text else []):  # no '|' means the bracket path
-        seg = seg.strip()
-        m = pat.match(seg) if seg else None
-        if not m:
-            continue
-        ts, spk, msg = m.groups()
-        msg = re.sub(r"<[^>]+>", "", re.sub(r"<br\s*/?>", " ", msg, flags=re.I))
-        msg = " ".join(msg.split())
-        if msg:
-            low = spk.strip().lower()
-            sp = "agent" if any(w in low for w in ("agent", "representative", "rep")) else (
-                "customer" if any(w in low for w in ("customer", "consumer", "client")) else low)
-            want.append((len(want), ts, sp, msg))
-    assert _turns(spark, text) == want
+@pytest.mark.parametrize("text, turns", CASES)
+def test_transcript_cases(spark, text, turns):
+    assert _turns(spark, text) == turns
