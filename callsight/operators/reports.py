@@ -71,7 +71,43 @@ CONTEXT_TEMPLATE = (
     "- High Priority: {high} themes requiring immediate attention\n"
     "- Medium Priority: {medium} themes\n"
     "- Low Priority: {low} themes\n"
+    "\n"
+    "Available Tables:\n"
+    "- transcripts: call_id, agent, speaker, message, sentiment_score, timestamp\n"
+    "- coaching_cache: agent, theme, priority, frequency, recommendation, processed_at\n"
+    "\n"
+    "You can answer questions about:\n"
+    "- Agent performance comparisons\n"
+    "- Theme correlations and patterns\n"
+    "- Sentiment analysis by agent or theme\n"
+    "- Call volume and engagement metrics\n"
 )
+SUMMARY_TEMPLATE = (
+    "Executive Summary\n"
+    "\n"
+    "Analysis Overview\n"
+    "- {agents} agents analyzed across {calls} calls\n"
+    "- Report generated: {date}\n"
+    "- Average sentiment score: {sentiment}/5.0\n"
+    "\n"
+    "Critical Findings\n"
+    "- {high} agents require immediate coaching intervention (high-priority themes)\n"
+    "{needs}"
+    "- {pillar} pillar shows highest coaching demand ({demand} agents affected)\n"
+    "\n"
+    "Agent Segmentation\n"
+    "- High Performers: {performers} agents (0-1 coaching themes)\n"
+    "- Moderate Development: {moderate} agents (2-3 themes)\n"
+    "- Priority Coaching: {priority} agents (4+ themes)\n"
+    "\n"
+    "Recommended Actions\n"
+    "- Immediate 1-on-1 coaching sessions for {high} high-priority agents\n"
+    "- Launch targeted {pillar} training program (impacts {demand} agents)\n"
+    "{workshop}"
+    "- Establish monthly coaching review cycle for moderate-need agents\n"
+)
+SUMMARY_NEEDS = "- Top coaching needs: {themes}\n"
+SUMMARY_WORKSHOP = "- Conduct focused workshop on {theme} (most common challenge)\n"
 CONTEXT_THEME_LINE = "- #{rank} Theme: {theme} ({n} agents, {pct}%)\n"
 MISSING_SENTIMENT_TEXT = "nan"
 # ---------------------------------------------------------------------------
@@ -239,6 +275,28 @@ def analytics_context(turns: DataFrame, theme_rows: DataFrame) -> DataFrame:
     )
 
 
+def exec_summary_text(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | None = None, run_date: str = "January 01, 2025") -> DataFrame:
+    """One row: the executive summary as plain text."""
+    s = H.exec_summary(turns, theme_rows, agents)
+    some = F.col("focus_theme") != ""
+    text = lambda c: F.col(c).cast("string")
+    values = {
+        "agents": text("total_agents"),
+        "calls": F.format_number(F.col("total_calls"), 0),
+        "date": F.lit(run_date),
+        "sentiment": F.when(F.col("avg_sentiment").isNull(), F.lit(MISSING_SENTIMENT_TEXT)).otherwise(py_fixed(F.col("avg_sentiment"), 2)),
+        "high": text("high_themes"),
+        "needs": F.when(some, fill(SUMMARY_NEEDS, {"themes": F.col("top_themes_text")})).otherwise(F.lit("")),
+        "pillar": F.col("top_pillar"),
+        "demand": text("top_pillar_n"),
+        "performers": text("high_performers"),
+        "moderate": text("moderate"),
+        "priority": text("priority_coaching"),
+        "workshop": F.when(some, fill(SUMMARY_WORKSHOP, {"theme": F.col("focus_theme")})).otherwise(F.lit("")),
+    }
+    return s.select(fill(SUMMARY_TEMPLATE, values).alias("summary_text"))
+
+
 def cache_count(cache: DataFrame) -> DataFrame:
     """One row: cached theme rows and whether the cache is usable."""
     return cache.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")).select("n_rows", (F.col("n_rows") > 0).alias("has_coaching"))
