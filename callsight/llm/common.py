@@ -29,12 +29,18 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def shipped(df: DataFrame) -> DataFrame:
-    """``df``, after the session's Python workers were given this package (as ``--py-files`` would), so that they can import it."""
-    sc = df.sparkSession.sparkContext
+    """``df``, after the session's Python workers were given this package (as ``--py-files`` would), so that they can import it.
+
+    Rows hold whole texts: where the session has Spark's default number of rows a batch, it is lowered.
+    """
+    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    if conf.get(BATCH) == "10000":
+        conf.set(BATCH, "2000")
     if sc.applicationId not in _shipped:
         package = Path(__file__).resolve().parent.parent
         target = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"  # the driver's own; Spark hands it out

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsight.llm.common import id_and_text, landed
-from callsight.llm.wordhash import Words, blocks, grams, mix
+from callsight.llm.wordhash import Words, blocks, column_blocks, grams, mix
 
 #: Different paths of one anchor in a block from which on it is taken for branching without being asked.
 CROWD = 8
@@ -112,14 +112,13 @@ def paths_of(ids: np.ndarray, variants: np.ndarray, texts: list[bytes], k: int,
     )
 
 
-def edges_of(ids: np.ndarray, variants: np.ndarray, texts: list[bytes], asked: list[list[dict]], k: int, m: int) -> Paths:
+def edges_of(ids: np.ndarray, variants: np.ndarray, texts: list[bytes], asked: Places, k: int, m: int) -> Paths:
     """The single edges at the places asked for, as paths of their own: the edge's hash stands as the anchor."""
     w, at, edge, _, anchor = windows_of(texts, k, m)
     wanted = np.zeros(len(w.starts) + 1, dtype=np.int32)
-    for first, places in zip(w.first, asked):
-        for x in places:
-            wanted[first + x["start"]] += 1
-            wanted[first + x["start"] + x["edges"]] -= 1
+    first = np.repeat(w.first[:-1], asked.counts) + asked.starts
+    np.add.at(wanted, first, 1)
+    np.add.at(wanted, first + asked.edges, -1)
     rows = np.flatnonzero(np.cumsum(wanted)[at] > 0)
     text = w.texts_of()[at[rows]]
     return Paths(
@@ -133,6 +132,24 @@ def edges_of(ids: np.ndarray, variants: np.ndarray, texts: list[bytes], asked: l
     )
 
 
+class Places:
+    """The places of some texts as flat arrays: a text's own lie between two of ``cuts``."""
+
+    def __init__(self, starts: np.ndarray, edges: np.ndarray, counts: np.ndarray):
+        self.starts, self.edges, self.counts = starts, edges, counts
+        self.cuts = np.concatenate([[0], np.cumsum(counts)])
+
+    @classmethod
+    def of(cls, column: pa.ListArray) -> Places:
+        flat = column.flatten()
+        counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return cls(flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False), counts)
+
+    def between(self, a: int, b: int) -> Places:
+        own = slice(self.cuts[a], self.cuts[b])
+        return Places(self.starts[own], self.edges[own], self.counts[a:b])
+
+
 def settled(p: Paths, source: Paths, kind: int) -> np.ndarray:
     out = np.empty(len(p), dtype=SETTLED)
     for name, column in (("doc", p.doc), ("text", p.text), ("start", p.start), ("edges", p.edges), ("source_doc", source.doc), ("source_start", source.start), ("kind", kind)):
@@ -247,7 +264,7 @@ class Graph:
             for batch in batches:
                 batch = batch.filter(batch.column(0).is_valid())
                 ids, variants = batch.column(0).to_numpy(), batch.column(1).fill_null(0).to_numpy()
-                for first, some in blocks([(t.as_py() or "").encode() for t in batch.column(2)]):
+                for first, some in column_blocks(batch.column(2)):
                     own = slice(first, first + len(some))
                     yield from sent(paths_of(ids[own], variants[own], some, k, m), parts)
 
@@ -266,10 +283,10 @@ class Graph:
             for batch in batches:
                 batch = batch.filter(batch.column(3).is_valid())
                 ids, variants = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                asked = batch.column(3).to_pylist()
+                asked = Places.of(batch.column(3))
                 for first, some in blocks([plain(t.as_py()) for t in batch.column(2)]):
                     own = slice(first, first + len(some))
-                    yield from sent(edges_of(ids[own], variants[own], some, asked[own], k, m), parts)
+                    yield from sent(edges_of(ids[own], variants[own], some, asked.between(own.start, own.stop), k, m), parts)
 
         branches = self.with_places(self.first.filter(F.col("kind") == BRANCH))
         single = self._settled(branches.mapInArrow(edge_blocks, PACKED))
@@ -282,14 +299,15 @@ class Graph:
         def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 count, gone, kept = [], [], []
-                for text, places in zip(batch.column(2), batch.column(3).to_pylist()):
+                all_places = Places.of(batch.column(3))
+                for i, text in enumerate(batch.column(2)):
                     words = plain(text.as_py()).split()  # of bytes: the six ASCII white-space ones
                     count.append(len(words))
-                    if places:
+                    places = all_places.between(i, i + 1)
+                    if len(places.starts):
                         step = np.zeros(len(words) + 1, dtype=np.int32)
-                        for x in places:
-                            step[x["start"]] += 1
-                            step[x["start"] + x["edges"] + k - 1] -= 1
+                        np.add.at(step, places.starts, 1)
+                        np.add.at(step, places.starts + places.edges + k - 1, -1)
                         stays = np.cumsum(step[:-1]) == 0
                         words = [w for w, s in zip(words, stays.tolist()) if s]
                     gone.append(count[-1] - len(words))

@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Texts are taken together up to so many bytes; a longer text is taken alone.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -96,6 +98,16 @@ def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(step[:size]) > 0
 
 
+def column_blocks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first row, texts as UTF-8) of at most BLOCK bytes, or of one text; null is an empty text. Only one block is unpacked at a time."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first, done = 0, 0
+    while first < len(ends):
+        stop = max(first + 1, int(np.searchsorted(ends, done + BLOCK, side="right")))
+        yield first, [t or b"" for t in column.slice(first, stop - first).cast(pa.binary()).to_pylist()]
+        first, done = stop, int(ends[stop - 1])
+
+
 def blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """(number of the first text, texts) of at most BLOCK bytes, or of one text."""
     first, size = 0, 0
