@@ -6,8 +6,10 @@ helpers exist for tests, ``bench.py`` and the query catalogue.
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -53,6 +55,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share; only a local[...] session may use its own disk")
         conf_dir = tempfile.mkdtemp(prefix="callsight-ckpt-")
+        atexit.register(shutil.rmtree, conf_dir, ignore_errors=True)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
@@ -60,4 +63,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+_scratch: list[str] = []
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Deletes the scratch tables of this process, when no result that reads them is needed any more."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
