@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsight.llm.common import id_and_text, shipped
-from callsight.llm.wordhash import blocks
+from callsight.llm.wordhash import column_blocks
 
 Q = 8
 #: Bytes of benchmark text that go to the tasks at once, at most (one item alone may be longer).
@@ -33,9 +33,10 @@ QUERY_BYTES = 4 << 20
 _TABLE_BITS = 22
 
 
-def normal(text: str | None) -> bytes:
+def normal(text: str | bytes | None) -> bytes:
     """A-Z in lower case, words (runs without ASCII white space) joined by one space."""
-    return b" ".join((text or "").encode().lower().split())
+    raw = text if isinstance(text, bytes) else (text or "").encode()
+    return b" ".join(raw.lower().split())
 
 
 def banded_distance(pattern: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int]:
@@ -95,9 +96,9 @@ class Patterns:
         self.of, self.place = of[order], place[order]
         self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.table[slot(self.grams)] = True
-        # A passage of m + k bytes with the bound's hits has a window of the shortest length with its share of them.
-        self.window = int(length.min())
-        self.window_hits = int(np.min(-(-self.bound // -(-(length + self.most) // self.window))))
+        # A passage, with all its hits, lies in a window of the longest passage's length that begins with a hit.
+        self.window = int((length + self.most).max())
+        self.window_hits = int(self.bound.min())
         self.reach = int((length + 2 * self.most).max()) + 2 * self.step
 
     def regions(self, buffer: np.ndarray) -> list[tuple[int, int]]:
@@ -193,7 +194,7 @@ def query_blocks(benchmark: DataFrame, item_col: str, text_col: str, span: int,
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, span: int = 100, rate: float = 0.08, shortest: int = 40, item_col: str = "item_id", bench_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, span: int = 64, rate: float = 0.08, shortest: int = 40, item_col: str = "item_id", bench_text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, start, end, patterns, edits, coverage): one row per document and item found in it.
 
@@ -210,10 +211,9 @@ def contaminated(
             index = shared.value
             for batch in batches:
                 ids, found = batch.column(0).to_pylist(), []
-                texts = [normal(t.as_py()) for t in batch.column(1)]
-                for first, some in blocks(texts):
+                for first, some in column_blocks(batch.column(1)):
                     by: dict[tuple[int, int], list[tuple]] = {}
-                    for text, item, *rest in index.search(some):
+                    for text, item, *rest in index.search([normal(t) for t in some]):
                         by.setdefault((text, item), []).append(rest)
                     for (text, item), hits in sorted(by.items()):
                         name, whole = index.items[item]
@@ -233,7 +233,7 @@ def contaminated(
 
 
 def clean(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", span: int = 100, rate: float = 0.08, shortest: int = 40, item_col: str = "item_id", bench_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", span: int = 64, rate: float = 0.08, shortest: int = 40, item_col: str = "item_id", bench_text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
     out, at = shipped(docs), docs.columns.index(text_col)
@@ -242,9 +242,9 @@ def clean(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts, keep = [normal(t.as_py()) for t in batch.column(at)], np.ones(batch.num_rows, dtype=bool)
-                for first, some in blocks(texts):
-                    for text, *_ in shared.value.search(some):
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for first, some in column_blocks(batch.column(at)):
+                    for text, *_ in shared.value.search([normal(t) for t in some]):
                         keep[first + text] = False
                 yield batch.filter(pa.array(keep))
 
