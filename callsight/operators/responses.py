@@ -53,9 +53,9 @@ def _is_numeric(kind: Column) -> Column:
     return cond
 
 
-def _truthy(v: Column) -> Column:
-    """Python truthiness of a JSON value; a missing value (SQL null) is falsy."""
-    k = _kind(v)
+def _truthy(v: Column, kind: Column | None = None) -> Column:
+    """Python truthiness of a JSON value; a missing value (SQL null) is falsy. ``kind`` is its type name where already known."""
+    k = _kind(v) if kind is None else kind
     return (
         F.when(v.isNull() | (k == "VOID"), F.lit(False))
         .when(k == "BOOLEAN", _get(v, "$", "boolean"))
@@ -67,9 +67,9 @@ def _truthy(v: Column) -> Column:
     )
 
 
-def _py_str(v: Column) -> Column:
+def _py_str(v: Column, kind: Column | None = None) -> Column:
     """``str(value)`` for JSON scalars: strings as is, booleans True/False, other values as JSON text."""
-    k = _kind(v)
+    k = _kind(v) if kind is None else kind
     return (
         F.when(k == "STRING", _get(v, "$", "string"))
         .when(k == "BOOLEAN", F.when(_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
@@ -78,12 +78,12 @@ def _py_str(v: Column) -> Column:
     )
 
 
-def _py_int(v: Column) -> Column:
+def _py_int(v: Column, kind: Column | None = None) -> Column:
     """``int(value)`` if the value is a JSON number or boolean (truncated toward zero), else 0.
 
     Python's integers have no limit; a number beyond 64 bits becomes the nearest 64-bit one.
     """
-    k = _kind(v)
+    k = _kind(v) if kind is None else kind
     number = _get(v, "$", "double")
     fits = number.try_cast("bigint")
     return (
@@ -102,28 +102,37 @@ def _str_list(v: Column) -> Column:
     )
 
 
+_THEME_FIELDS = ("theme", "priority", "frequency", "examples", "recommendation")
+
+
+def _theme_fields(x: Column) -> Column:
+    """A theme value taken apart: each field and its type name, read once."""
+    fields = [(f, _get(x, f"$.{f}")) for f in _THEME_FIELDS]
+    return F.struct(_kind(x).alias("kind"), *(v.alias(f) for f, v in fields), *(_kind(v).alias(f"{f}_kind") for f, v in fields))
+
+
 def validate_theme(x: Column) -> Column:
-    """One theme value → STRUCT(theme, priority, frequency, examples, recommendation)."""
-    is_obj = _kind(x).startswith("OBJECT")
-    theme = _get(x, "$.theme")
-    prio = _get(x, "$.priority")
-    prio_s = F.when(_kind(prio) == "STRING", _get(prio, "$", "string"))
-    rec = _get(x, "$.recommendation")
+    """One theme value, as taken apart by ``_theme_fields`` → STRUCT(theme, priority, frequency, examples, recommendation)."""
+    of = lambda f: (x[f], x[f"{f}_kind"])
+    prio = F.when(x["priority_kind"] == "STRING", _get(x["priority"], "$", "string"))
+    none = F.array().cast("array<string>")
     ok = F.struct(
-        F.when(_truthy(theme), _py_str(theme)).otherwise(F.lit(UNKNOWN_THEME)).alias("theme"),
-        F.when(prio_s.isin(*VALID_PRIORITIES), prio_s).otherwise(F.lit(DEFAULT_PRIORITY)).alias("priority"),
-        F.coalesce(_py_int(_get(x, "$.frequency")), F.lit(0).cast("bigint")).alias("frequency"),
-        F.coalesce(_str_list(_get(x, "$.examples")), F.array().cast("array<string>")).alias("examples"),
-        F.when(_truthy(rec), _py_str(rec)).otherwise(F.lit("")).alias("recommendation"),
+        F.when(_truthy(*of("theme")), _py_str(*of("theme"))).otherwise(F.lit(UNKNOWN_THEME)).alias("theme"),
+        F.when(prio.isin(*VALID_PRIORITIES), prio).otherwise(F.lit(DEFAULT_PRIORITY)).alias("priority"),
+        F.coalesce(_py_int(*of("frequency")), F.lit(0).cast("bigint")).alias("frequency"),
+        F.when(x["examples_kind"].startswith("ARRAY"), F.transform(_get(x["examples"], "$", "array<variant>"), lambda e: _py_str(e)))
+        .otherwise(none)
+        .alias("examples"),
+        F.when(_truthy(*of("recommendation")), _py_str(*of("recommendation"))).otherwise(F.lit("")).alias("recommendation"),
     )
     bad = F.struct(
         F.lit(UNKNOWN_THEME).alias("theme"),
         F.lit(DEFAULT_PRIORITY).alias("priority"),
         F.lit(0).cast("bigint").alias("frequency"),
-        F.array().cast("array<string>").alias("examples"),
+        none.alias("examples"),
         F.lit(INVALID_THEME_RECOMMENDATION).alias("recommendation"),
     )
-    return F.when(is_obj, ok).otherwise(bad)
+    return F.when(x["kind"].startswith("OBJECT"), ok).otherwise(bad)
 
 
 def strip_fences(c: Column) -> Column:
@@ -231,7 +240,7 @@ def validate_insights(responses: DataFrame) -> DataFrame:
     insight = F.col("insight")
     return p.select(
         "agent",
-        F.transform(_theme_list(insight), validate_theme).cast(THEME_TYPE).alias("coaching_themes"),
+        F.transform(F.transform(_theme_list(insight), _theme_fields), validate_theme).cast(THEME_TYPE).alias("coaching_themes"),
         F.coalesce(_str_list(_get(insight, "$.strengths")), F.array().cast("array<string>")).alias("strengths"),
     )
 
