@@ -41,6 +41,11 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL AND doc_id IS NOT NULL")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: a generator's output, which later filters and columns cannot inline again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def matched_places(docs: DataFrame, id_col: str, text_col: str, window: int, min_words: int) -> DataFrame:
     """(doc_id, variant, place): lines, counted without blank ones, that the method matches with an earlier place."""
     if not 1 <= window <= REACH:
@@ -88,23 +93,26 @@ def dedup_lines(
     starts = F.filter("at", lambda x, i: (i == 0) | F.coalesce(F.get(F.col("at"), F.greatest(i - 1, F.lit(0))) != x - 1, F.lit(True)))
     runs = places.select("doc_id", "variant", F.arrays_zip(starts.alias("a"), edge(1).alias("b")).alias("runs"))
 
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("variant"))
-    text = F.col("row").getField(text_col)
+    # The input's columns travel under names of their own, so that none can clash.
+    own = {c: f"_input{i}" for i, c in enumerate(docs.columns)}
+    text = F.col(own[text_col])
+    renamed = docs.toDF(*own.values())
+    rows = renamed.select("*", F.col(own[id_col]).alias("doc_id"), F.xxhash64(text).alias("variant"))
     joined = rows.join(runs, ["doc_id", "variant"], "left")
-    lines = joined.withColumn("lines", F.when(F.col("runs").isNotNull(), word_lines(text)))
+    lines = once(joined, "lines", F.when(F.col("runs").isNotNull(), word_lines(text)))
     words = lambda r: F.aggregate(F.slice("lines", r.a + 1, r.b - r.a + 1), F.lit(0), lambda n, x: n + x.words)
     long_runs = F.filter("runs", lambda r: (r.b - r.a + 1 >= min_lines) | (words(r) >= min_words))
     number = lambda place: F.get(F.col("lines"), place).line
     spans = F.transform(long_runs, lambda r: F.struct(number(r.a).alias("a"), number(r.b).alias("b")))
-    cut = lines.withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<a:int,b:int>>"))).withColumn("all", all_lines(text))
+    cut = once(lines, "spans", F.coalesce(spans, F.array().cast("array<struct<a:int,b:int>>")))
+    cut = once(cut, "all", F.when(F.size("spans") > 0, all_lines(text)))  # only where lines go
     # What stands before each run and after the last one.
     after = lambda i: F.when(i > 0, F.get(F.col("spans"), F.greatest(i - 1, F.lit(0))).b + 1).otherwise(0)
     until = lambda i: F.coalesce(F.get(F.col("spans"), i).a, F.size("all"))
     parts = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda i: F.slice("all", after(i) + 1, until(i) - after(i)))
-    kept = F.when(F.size("spans") == 0, text).otherwise(F.array_join(F.flatten(parts), "\n"))
-    out = [kept.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    left = once(cut, "kept", F.when(F.size("spans") == 0, text).otherwise(F.array_join(F.flatten(parts), "\n")))
+    out = [F.col("kept" if c == text_col else name).alias(c) for c, name in own.items()]
     if counts:
-        deleted = F.aggregate("spans", F.lit(0), lambda n, s: n + s.b - s.a + 1)
-        out += [F.coalesce(F.size("all"), F.lit(0)).alias("n_lines"), deleted.alias("n_deleted")]
-    return cut.select(*out)
+        n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+        out += [n_lines.alias("n_lines"), F.aggregate("spans", F.lit(0), lambda n, s: n + s.b - s.a + 1).alias("n_deleted")]
+    return left.select(*out)
