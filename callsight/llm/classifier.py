@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsight.llm.common import id_and_text, shipped
-from callsight.llm.wordhash import Words, blocks, grams, mix
+from callsight.llm.wordhash import Words, blocks, column_blocks, grams, mix
 
 BITS = 18
 #: Labelled rows that are learnt from, at most.
-SAMPLE = 16_384
+SAMPLE = 8_192
 SHARDS = 4
 THRESHOLD = 0.7
 
@@ -99,7 +99,8 @@ def vectors(texts: list[bytes], bits: int = BITS) -> list[tuple[np.ndarray, np.n
     keys, inverse = np.unique(of << bits | numbers, return_inverse=True)
     values = np.bincount(inverse, weights=worth)
     cut = np.searchsorted(keys, np.arange(len(texts) + 1) << bits)
-    return [(keys[a:b] & ((1 << bits) - 1), values[a:b]) for a, b in zip(cut, cut[1:])]
+    numbers = (keys & ((1 << bits) - 1)).astype(np.int32)
+    return [(numbers[a:b], values[a:b].astype(np.float32)) for a, b in zip(cut, cut[1:])]
 
 
 def learn(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], how: Ftrl, bits: int = BITS) -> np.ndarray:
@@ -149,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
         shard = shard.sort_values(["doc_id", "text"])
         shard = shard.iloc[np.argsort(mix(shard.doc_id.to_numpy().astype(np.uint64)), kind="stable")]
         texts = [(t or "").encode() for t in shard.text]
-        sparse = [v for _, some in blocks(texts) for v in vectors(some, bits)]
+        sparse = [v for _, some in blocks(texts, 256 << 10) for v in vectors(some, bits)]
         import pandas as pd
 
         return pd.DataFrame({"rows": [len(texts)], "weights": [learn(sparse, shard.label.tolist(), how, bits).astype("<f4").tobytes()]})
@@ -167,8 +168,8 @@ def scores(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = score([(t.as_py() or "").encode() for t in batch.column(1)], shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], ["doc_id", "score"])
+            got = [score(some, shared.value) for _, some in column_blocks(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *got]))], ["doc_id", "score"])
 
     scored = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -181,7 +182,7 @@ def accepted(docs: DataFrame, weights: np.ndarray, text_col: str = "text", thres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = score([(t.as_py() or "").encode() for t in batch.column(at)], shared.value)
-            yield batch.filter(pa.array(got >= threshold))
+            got = [score(some, shared.value) for _, some in column_blocks(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *got]) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsight.llm.common import id_and_text
-from callsight.llm.wordhash import Words, blocks
+from callsight.llm.wordhash import Words, column_blocks
 
 #: The phrases of the base rule and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -113,10 +113,9 @@ class Templates:
                     yield t, overlap / len(ranked)
 
 
-def scan(texts: list[str | None], index: Templates) -> Iterator[tuple]:
+def scan(texts: pa.Array, index: Templates) -> Iterator[tuple]:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, blocks) per text."""
-    raw = [(t or "").encode() for t in texts]
-    for _, some in blocks(raw):
+    for _, some in column_blocks(texts):
         w = Words([t.translate(_PLAIN) for t in some])
         hashes, of = w.hashes(), w.texts_of()
         base: list[list[tuple[int, str]]] = [[] for _ in some]
@@ -157,10 +156,9 @@ def license_scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(t.as_py() or "").encode().translate(_PLAIN) for t in batch.column(1)]
             total = np.zeros(len(index.vocabulary), dtype=np.int64)
-            for _, some in blocks(raw):
-                total += np.bincount(index.find(Words(some).hashes())[1], minlength=len(total))
+            for _, some in column_blocks(batch.column(1)):
+                total += np.bincount(index.find(Words([t.translate(_PLAIN) for t in some]).hashes())[1], minlength=len(total))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["word", "n"])
 
     counted = rows.mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row per word of the templates
@@ -174,7 +172,7 @@ def license_scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = zip(*scan(batch.column(1).to_pylist(), index))
+            got = zip(*scan(batch.column(1), index))
             columns = [pa.array(c, t) for c, t in zip(got, types)]
             if columns:
                 names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]

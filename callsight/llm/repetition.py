@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from callsight.llm.common import id_and_text
-from callsight.llm.wordhash import Words, blocks, covered, grams, mix
+from callsight.llm.wordhash import Words, column_blocks, covered, grams, mix
 
 #: Largest share of characters in repeated windows, by their number of words.
 GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -102,8 +102,7 @@ def repetition_rules(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-            for first, some in blocks(texts):
+            for first, some in column_blocks(batch.column(1)):
                 got = measure(some, lengths)
                 failed = (got["n_words"] < 10) | (100 * got["n_repeat_words"] > 20 * got["n_words"])
                 kept = ~failed

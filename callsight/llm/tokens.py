@@ -18,8 +18,8 @@ WHITE = "\t-\r \x85\xa0  -     　"
 #: Characters whose letter, digit and lower-case rules are the same in Python and in the tokenizers, and that NFC keeps.
 PLAIN = re.compile("[\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Remembered entries per worker and kind; beyond it, new ones are computed each time.
-MEMORY = 400_000
+#: Remembered words and cuts per worker, some 100 MB; beyond it, new ones are computed each time.
+WORDS, CUTS = 400_000, 250_000
 LONGEST = 64
 
 SPACED_RULE = re.compile(CONTRACTIONS + r"| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
@@ -43,7 +43,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         spelled = word.encode().decode("latin-1").translate(self.letters)
         ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
-        if len(self) < MEMORY and len(word) <= LONGEST:
+        if len(self) < WORDS and len(word) <= LONGEST:
             self[word] = ids
         return ids
 
@@ -57,7 +57,7 @@ class _Cuts(dict):
 
     def __missing__(self, cut: str) -> bytes:
         ids = self.encoder.cut_ids(cut)
-        if len(self) < MEMORY and len(cut) <= LONGEST:
+        if len(self) < CUTS and len(cut) <= LONGEST:
             self[cut] = ids
         return ids
 

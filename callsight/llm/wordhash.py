@@ -7,7 +7,9 @@ over the words' hashes, mixed again.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ import pyarrow.compute as pc
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Texts are taken together up to so many bytes; a longer text is taken alone.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -98,8 +100,19 @@ def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(step[:size]) > 0
 
 
+@cache
+def returned_arrays() -> None:
+    """Has the C library give freed arrays back to the system at once: a Python worker lives through many tasks, and would keep the
+    largest task's memory. Where there is no such setting, nothing is set."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 256 << 10)  # M_MMAP_THRESHOLD of glibc; set, it no longer grows
+    except (OSError, AttributeError):
+        pass
+
+
 def column_blocks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """(number of the first row, texts as UTF-8) of at most BLOCK bytes, or of one text; null is an empty text. Only one block is unpacked at a time."""
+    returned_arrays()
     ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     first, done = 0, 0
     while first < len(ends):
@@ -108,11 +121,12 @@ def column_blocks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         first, done = stop, int(ends[stop - 1])
 
 
-def blocks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first text, texts) of at most BLOCK bytes, or of one text."""
+def blocks(texts: list[bytes], most: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first text, texts) of at most so many bytes, or of one text."""
+    returned_arrays()
     first, size = 0, 0
     for i, t in enumerate(texts):
-        if i > first and size + len(t) > BLOCK:
+        if i > first and size + len(t) > most:
             yield first, texts[first:i]
             first, size = i, 0
         size += len(t)
