@@ -3,8 +3,9 @@
 Benchmark items and documents are compared as UTF-8 bytes with A-Z in lower case and one space between words. An item is
 cut into overlapping patterns of ``span`` bytes (a shorter item is one pattern). A pattern of m bytes within k edits of a
 document's passage shares at least m - q + 1 - q * k of its q-grams with it, on diagonals at most k apart. So shared
-q-grams are counted in overlapping bands of diagonals, bands that reach the bound are regions, and a banded alignment of
-the pattern with the region decides. A document is contaminated when one pattern is found with at most ``rate`` * m edits.
+q-grams are counted in overlapping bands of diagonals, bands that reach the bound are regions, and an alignment of the
+pattern with the region decides: bit-parallel over many regions at once for patterns of up to 64 bytes, banded for longer
+ones. A document is contaminated when one pattern is found with at most ``rate`` * m edits.
 
 The benchmark is the query set: it goes to the tasks in blocks of bounded size, and the documents are scanned whole, once
 a block, without a shuffle. With q = 8 a q-gram is one 64-bit number, so equal numbers are equal q-grams.
@@ -30,6 +31,8 @@ from callsight.llm.wordhash import column_blocks
 Q = 8
 #: Bytes of benchmark text that go to the tasks at once, at most (one item alone may be longer).
 QUERY_BYTES = 4 << 20
+#: Regions aligned at once: each takes a table of 2 KB.
+ALIGNED = 2048
 _TABLE_BITS = 22
 
 
@@ -67,6 +70,31 @@ def banded_distance(pattern: np.ndarray, region: np.ndarray, most: int) -> tuple
     return int(row[best]), int(best - most + m)
 
 
+def aligned(patterns: list[np.ndarray], buffer: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) per pattern of at most 64 bytes: the fewest edits between it and any part of buffer[begin:end], and where the
+    first such part ends, counted from begin. Myers' bit-parallel columns, one column of all patterns a step."""
+    size = np.array([len(p) for p in patterns])
+    each, one = np.arange(len(patterns)), np.uint64(1)
+    equal = np.zeros((len(patterns), 256), dtype=np.uint64)  # per byte, the places of the pattern that hold it
+    for i in range(int(size.max())):
+        long = np.flatnonzero(size > i)
+        equal[long, np.array([patterns[k][i] for k in long])] |= one << np.uint64(i)
+    last = (size - 1).astype(np.uint64)
+    up, down = np.full(len(patterns), ~np.uint64(0)), np.zeros(len(patterns), dtype=np.uint64)
+    score, best, end = size.copy(), size.copy(), np.zeros(len(patterns), dtype=np.int64)
+    for j in range(int((ends - begins).max())):
+        same = equal[each, buffer[np.minimum(begins + j, len(buffer) - 1)]]
+        across = same | down
+        same = (((same & up) + up) ^ up) | same
+        more, less = down | ~(same | up), up & same
+        score += ((more >> last) & one).astype(np.int64) - ((less >> last) & one).astype(np.int64)
+        more, less = more << one, less << one  # a part may start anywhere
+        up, down = less | ~(across | more), more & across
+        better = (score < best) & (begins + j < ends)
+        best[better], end[better] = score[better], j + 1
+    return best, end
+
+
 @dataclass
 class Patterns:
     """The patterns of some items and the index of their q-grams."""
@@ -152,24 +180,38 @@ class Patterns:
         buffer = np.frombuffer(raw, dtype=np.uint8)
         begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         seen: set[tuple[int, int, int]] = set()
-        for p, diagonal in self.regions(buffer):
-            pattern, most = self.text[p], int(self.most[p])
-            middle = min(max(0, diagonal + self.step + len(pattern) // 2), len(buffer) - 1)
-            for text in {int(np.searchsorted(begins, x, side="right")) - 1 for x in (max(0, diagonal), middle, min(len(buffer) - 1, diagonal + 2 * self.step + len(pattern)))}:
-                a = max(int(begins[text]), diagonal)
-                b = min(int(begins[text + 1]) - 1, diagonal + 2 * self.step + len(pattern) + most)
-                if b - a < len(pattern) - most:
-                    continue
-                exact = raw.find(pattern.tobytes(), a, b)
-                if exact >= 0:
-                    edits, end = 0, exact + len(pattern)
-                else:
-                    edits, end = banded_distance(pattern, buffer[a:b], most)
-                    end += a
-                if edits <= most and (text, p, end) not in seen:
-                    seen.add((text, p, end))
-                    start = end - len(pattern) - int(begins[text])
-                    yield text, self.item[p], self.at[p], max(0, start), end - int(begins[text]), edits
+        for text, p, edits, end in self._aligned(raw, buffer, begins):
+            if edits <= self.most[p] and (text, p, end) not in seen:
+                seen.add((text, p, end))
+                start = end - len(self.text[p]) - int(begins[text])
+                yield text, self.item[p], self.at[p], max(0, start), end - int(begins[text]), edits
+
+    def _aligned(self, raw: bytes, buffer: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, pattern, edits, end in the buffer) of every region, aligned in each text that it touches."""
+        found = np.array(self.regions(buffer), dtype=np.int64).reshape(-1, 2)
+        p, diagonal = found[:, 0], found[:, 1]
+        size, most = np.array([len(t) for t in self.text])[p], self.most[p]
+        stop = diagonal + 2 * self.step + size
+        probes = np.clip(np.stack([diagonal, diagonal + self.step + size // 2, stop], axis=1), 0, max(0, len(buffer) - 1))
+        touched = np.sort(np.searchsorted(begins, probes, side="right") - 1, axis=1)
+        new = np.diff(touched, axis=1, prepend=-1) > 0
+        region, text = np.nonzero(new)[0], touched[new]
+        a = np.maximum(begins[text], diagonal[region])
+        b = np.minimum(begins[text + 1] - 1, (stop + most)[region])
+        fits = b - a >= (size - most)[region]
+        region, text, a, b = region[fits], text[fits], a[fits], b[fits]
+        if self.span > 64:
+            for k, t, x, y in zip(p[region].tolist(), text.tolist(), a.tolist(), b.tolist()):
+                pattern = self.text[k]
+                exact = raw.find(pattern.tobytes(), x, y)
+                edits, end = (0, exact + len(pattern) - x) if exact >= 0 else banded_distance(pattern, buffer[x:y], int(self.most[k]))
+                yield t, k, edits, x + end
+            return
+        for i in range(0, len(region), ALIGNED):
+            some = slice(i, i + ALIGNED)
+            own = p[region[some]].tolist()
+            edits, end = aligned([self.text[k] for k in own], buffer, a[some], b[some])
+            yield from zip(text[some].tolist(), own, edits.tolist(), (a[some] + end).tolist())
 
 
 def qgrams(data: np.ndarray) -> np.ndarray:
@@ -194,7 +236,7 @@ def query_blocks(benchmark: DataFrame, item_col: str, text_col: str, span: int,
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, span: int = 64, rate: float = 0.08, shortest: int = 40, item_col: str = "item_id", bench_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, span: int = 64, rate: float = 0.1, shortest: int = 40, item_col: str = "item_id", bench_text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, start, end, patterns, edits, coverage): one row per document and item found in it.
 
@@ -233,7 +275,7 @@ def contaminated(
 
 
 def clean(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", span: int = 64, rate: float = 0.08, shortest: int = 40, item_col: str = "item_id", bench_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", span: int = 64, rate: float = 0.1, shortest: int = 40, item_col: str = "item_id", bench_text_col: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
     out, at = shipped(docs), docs.columns.index(text_col)

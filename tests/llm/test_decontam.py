@@ -103,3 +103,38 @@ def test_defined_cases(spark):
     assert left.schema == docs.schema and left.count() == docs.count() - len(holds)
     assert contaminated(no_docs(spark), bench).count() == 0
     assert contaminated(docs, bench.limit(0)).count() == 0 and clean(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_six_edits_in_64_bytes(spark):
+    rng = random.Random(4)
+    items = [(i, "".join(rng.choices("abcdefghijklmnop", k=64))) for i in range(20)]
+    docs = []
+    for i, item in items:  # every tenth byte replaced: six edits, and the q-grams of 9 bytes in between are left
+        broken = "".join("z" if at % 10 == 9 else c for at, c in enumerate(item))
+        docs += [(i, f"before {broken} after"), (100 + i, f"before z{broken[1:]} after")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert multiset((r.doc_id, r.item_id, r.edits) for r in contaminated(a, b).collect()) == multiset((i, i, 6) for i, _ in items)
+    assert {r.doc_id for r in clean(a, b).collect()} == {100 + i for i, _ in items}
+
+
+def test_alignments_at_once():
+    rng = random.Random(6)
+    patterns, texts = [], []
+    for _ in range(400):
+        pattern = "".join(rng.choices("abc ", k=rng.choice([16, 40, 63, 64])))
+        patterns.append(np.frombuffer(pattern.encode(), np.uint8))
+        texts.append(("".join(rng.choices("abc ", k=rng.randint(0, 9))) + edited(rng, pattern, rng.randint(0, 8)) + "".join(rng.choices("abc ", k=rng.randint(0, 9)))).encode())
+    begins = np.cumsum([0, *(len(t) for t in texts)])
+    edits, end = decontam.aligned(patterns, np.frombuffer(b"".join(texts), np.uint8), begins[:-1], begins[1:])
+    for k, (pattern, text) in enumerate(zip(patterns, texts)):
+        assert edits[k] == best_match(pattern, text) == best_match(pattern, text[: end[k]])
+        assert not end[k] or best_match(pattern, text[: end[k] - 1]) > edits[k]
+
+
+def test_patterns_longer_than_a_machine_word(spark):
+    rng = random.Random(13)
+    items = [(i, "".join(rng.choices("abcdefgh ", k=150))) for i in range(6)]
+    docs = [(d, f"begin {edited(rng, items[d % 6][1][10:140], d % 14)} end") for d in range(40)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items, 80, 0.1, 40)
+    assert {(r.doc_id, r.item_id) for r in contaminated(a, b, span=80).collect()} == want and len(want) > 5
