@@ -5,6 +5,9 @@ A line is compared by the hash of its words. Grams are two consecutive lines of
 holds one at the same place in every copy. Grams and single lines of ``min_words`` words or more are always
 fingerprints. A fingerprint is joined with its first place in the table, in the order (doc_id, place), and from there
 the match is extended both ways line by line, ``window`` lines at most: what follows is matched by its own fingerprint.
+That first place may be followed by other lines than a later one is. So with ``whole_runs``, as registered, every three
+lines in a row are joined with their own first place too, and nothing needs to be extended: what an extension to three
+lines or more matches is made of such runs. Then each run of three lines that stood earlier, anywhere, is matched.
 The matched lines of a document that stand side by side are a run; runs of at least ``min_lines`` lines or ``min_words``
 words are deleted with the blank lines inside. First places stay.
 
@@ -46,7 +49,7 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def matched_places(docs: DataFrame, id_col: str, text_col: str, window: int, min_words: int) -> DataFrame:
+def matched_places(docs: DataFrame, id_col: str, text_col: str, window: int, min_words: int, whole_runs: bool) -> DataFrame:
     """(doc_id, variant, place): lines, counted without blank ones, that the method matches with an earlier place."""
     if not 1 <= window <= REACH:
         raise ValueError(f"a window of 1 to {REACH} grams")
@@ -64,16 +67,21 @@ def matched_places(docs: DataFrame, id_col: str, text_col: str, window: int, min
     if window == 2:
         chosen = (own_gram <= left) | (own_gram <= right) | (left.isNull() & right.isNull())
     chosen = own_gram.isNotNull() & F.coalesce(chosen | (F.col("words") + F.col("next_words") >= min_words), F.lit(False))
-    prints = F.array(
+    prints = [
         F.when(chosen, F.struct(own_gram.alias("print"), F.lit(2).alias("height"))),
         F.when(F.col("words") >= min_words, F.struct(F.xxhash64(f"h{REACH}").alias("print"), F.lit(1).alias("height"))),
-    )
-    hashes = [f"h{k}" for k in range(2 * REACH + 2)]
-    marks = each.select("doc_id", "variant", "place", *hashes, F.explode(F.array_compact(prints)).alias("p")).select(
+    ]
+    if whole_runs:
+        prints.append(F.when(right.isNotNull(), F.struct(F.xxhash64(*(f"h{REACH + k}" for k in range(3))).alias("print"), F.lit(3).alias("height"))))
+    hashes = [] if whole_runs else [f"h{k}" for k in range(2 * REACH + 2)]
+    marks = each.select("doc_id", "variant", "place", *hashes, F.explode(F.array_compact(F.array(*prints))).alias("p")).select(
         F.struct("doc_id", "place", "variant").alias("spot"), *hashes, "p.print", "p.height"
     )
     first = marks.groupBy("print", "height").agg(F.min(F.struct("spot", *hashes)).alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = marks.join(first, ["print", "height"]).filter("spot > first.spot")
+    if whole_runs:
+        places = F.sequence("spot.place", F.col("spot.place") + F.col("height") - 1)
+        return later.select("spot.doc_id", "spot.variant", F.explode(places).alias("place")).distinct()
     same = lambda k: F.coalesce(F.col(f"h{k}") == F.col(f"first.h{k}"), F.lit(False))
     chain = lambda a, b: F.when(~same(a), 0).when(~same(b), 1).otherwise(2)  # noqa: E731  equal lines in a row, up to REACH
     ahead = F.when(F.col("height") == 2, chain(REACH + 2, REACH + 3)).otherwise(chain(REACH + 1, REACH + 2))
@@ -83,10 +91,10 @@ def matched_places(docs: DataFrame, id_col: str, text_col: str, window: int, min
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_lines: int = 3, min_words: int = 50, counts: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_lines: int = 3, min_words: int = 50, counts: bool = False, whole_runs: bool = False
 ) -> DataFrame:
     """``docs`` without its later repeated runs of lines; with ``counts`` also n_lines and n_deleted (all lines, blank ones too)."""
-    found = matched_places(docs, id_col, text_col, window, min_words)
+    found = matched_places(docs, id_col, text_col, window, min_words, whole_runs)
     # A document's own matched lines: an array no longer than its text.
     places = found.groupBy("doc_id", "variant").agg(F.array_sort(F.collect_list("place")).alias("at"))
     edge = lambda step: F.filter("at", lambda x, i: F.coalesce(F.get(F.col("at"), i + step) != x + step, F.lit(True)))

@@ -38,7 +38,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"), counts=True, whole_runs=True)
     return kept.select("doc_id", "n_lines", "n_deleted", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 

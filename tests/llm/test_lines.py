@@ -113,3 +113,54 @@ def test_defined_cases(spark):
 def test_no_python_in_the_plan(spark):
     plan = dedup_lines(small_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def earlier_runs(rows, least=3):
+    """Per row the numbers of the lines, blank ones left out, in a run of three lines that stood earlier; knows nothing of fingerprints."""
+    first, out = {}, []
+    own = [[p for p in (" ".join(x.split()) for x in text.split("\n")) if p] for _, text in rows]
+    runs = [[tuple(w[i : i + least]) for i in range(len(w) - least + 1)] for w in own]
+    for (doc, _), each in zip(rows, runs):
+        for i, run in enumerate(each):
+            first[run] = min(first.get(run, (doc, i)), (doc, i))
+    for (doc, _), each in zip(rows, runs):
+        out.append({i + k for i, run in enumerate(each) if first[run] < (doc, i) for k in range(least)})
+    return own, out
+
+
+def test_every_run_that_stood_earlier(spark):
+    rng = random.Random(5)
+    rows = [(1, "x1\nx2\nedited"), (2, "x1\nx2\nx3"), (3, "above\nx1\nx2\nx3\nbelow")]
+    for trial in range(300):  # three copies of a run, the first one edited in its first or last line
+        run = [f"{rng.random()}" for _ in range(rng.randint(3, 6))]
+        broken = run[:]
+        broken[rng.choice([0, -1])] = f"edit {rng.random()}"
+        for k, lines in enumerate((broken, run, run)):
+            rows.append((10 + 3 * trial + k, "\n".join([f"{rng.random()}", *lines, f"{rng.random()}"])))
+    rows += [(5000 + d, "\n".join(rng.choices("abcde", k=rng.randint(0, 14)))) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own, want = earlier_runs(rows)
+    kept = {r.doc_id: r.text.split("\n") for r in dedup_lines(docs, whole_runs=True).collect()}
+    for (doc, _), lines, gone in zip(rows[:-60], own, want):
+        assert kept[doc] == [x for i, x in enumerate(lines) if i not in gone] if len(gone) < len(lines) else kept[doc] in ([""], []), doc
+    for (doc, _), lines, gone in zip(rows[-60:], own[-60:], want[-60:]):  # matches of two lines side by side may go as well
+        left = iter(x for i, x in enumerate(lines) if i not in gone)
+        assert all(x in left for x in kept[doc] if x), doc
+    plain = {r.doc_id: len(r.text) for r in dedup_lines(docs).collect()}
+    assert all(len("\n".join(kept[doc])) <= plain[doc] for doc in plain) and any(len("\n".join(kept[doc])) < plain[doc] for doc in plain)
+
+
+def test_registered_queries_delete_whole_runs(spark, tmp_path):
+    import corpus_pipeline
+    from callsight.llm import queries
+
+    texts = []
+    for trial in range(20):
+        a, b, c = (f"{trial} {x}" for x in ("alpha", "beta", "gamma"))
+        texts += [f"{a}\n{b}\nedited {trial}", f"{a}\n{b}\n{c}", f"{a}\n{b}\n{c}\nown {trial}"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.n_deleted for r in queries.op6_line_winnowing(spark, str(tmp_path)).collect()}
+    assert found == {i: 3 * (i % 3 == 2) for i in range(60)}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert all(kept[i] == (f"own {i // 3}" if i % 3 == 2 else t) for i, t in enumerate(texts))
