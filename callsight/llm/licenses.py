@@ -8,7 +8,13 @@ table, the rarest first. With o the overlap that is needed,
 * length filter: it holds at least o words that occur in templates,
 * positional filter: the words from the first common one on, in either order, must suffice for o,
 
-and what passes is counted exactly. The templates are a fixed list, so their index goes to every task as part of the
+and what passes is counted exactly.
+
+With ``wrapped``, as registered, a block is a window of a text's words instead, across line breaks: as many words as the
+template has, repeated ones too, over ``threshold``. So a notice that is wrapped over lines is found, and words that are
+scattered over a long line are not. Windows that begin with a word of the template are enough; those without one of its
+prefix words, or with too few of its words, are left out first, and the rest are counted exactly. Windows that overlap
+are one block, named by the line on which the best one begins. The templates are a fixed list, so their index goes to every task as part of the
 code; the table itself is never shuffled. Only the counts of the templates' words, one row a word, come to the driver.
 
 Defined cases: a null or empty text has no words and no labels; a null doc_id stays null; repeated rows give repeated
@@ -69,6 +75,7 @@ class Templates:
         self.phrases = [(label, [w for w in words_of(p) if w]) for p, label in phrases.items()]
         self.vocabulary = sorted(set().union(*(s for _, s in sets), *(p for _, p in self.phrases)))
         number = {w: i for i, w in enumerate(self.vocabulary)}
+        self.spans = [int(sum(map(bool, words_of(t))) / threshold + 1e-9) for _, t in templates if any(words_of(t))]  # words of a window
         self.sets = [(label, {number[w] for w in s}, math.ceil(threshold * len(s) - 1e-9)) for label, s in sets if s]
         own = Words(self.vocabulary).hashes()
         self.order = np.argsort(own)
@@ -112,8 +119,32 @@ class Templates:
                 if overlap >= o:
                     yield t, overlap / len(ranked)
 
-
-def scan(texts: pa.Array, index: Templates) -> Iterator[tuple]:
+    def windows(self, at: np.ndarray, rank: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(first word, template, containment) per run of overlapping windows; ``stop`` is the end of each word's text."""
+        for t, (_, ranked, o) in enumerate(self.sorted_sets):
+            of_template = np.zeros(len(self.rank), dtype=bool)
+            of_template[ranked] = True
+            own = of_template[rank]
+            begin, word, end = at[own], rank[own], np.minimum(at[own] + self.spans[t], stop[own])
+            rare = begin[np.isin(word, ranked[: len(ranked) - o + 1])]
+            if not len(rare):
+                continue
+            enough = np.searchsorted(begin, end) - np.arange(len(begin)) >= o
+            enough &= np.searchsorted(rare, end) > np.searchsorted(rare, begin)
+            begin_of, end_of = begin[enough], end[enough]
+            overlap = np.zeros(len(begin_of), dtype=np.int64)
+            for r in ranked:
+                places = np.append(begin[word == r], np.iinfo(np.int64).max)
+                overlap += places[np.searchsorted(places, begin_of)] < end_of
+            found = overlap >= o
+            begin_of, end_of, overlap = begin_of[found], end_of[found], overlap[found]
+            for run in np.split(np.arange(len(begin_of)), np.flatnonzero(begin_of[1:] >= end_of[:-1]) + 1):
+                if len(run):
+                    best = run[overlap[run].argmax()]
+                    yield int(begin_of[best]), t, float(overlap[best] / len(ranked))
+
+
+def scan(texts: pa.Array, index: Templates, wrapped: bool = False) -> Iterator[tuple]:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, blocks) per text."""
     for _, some in column_blocks(texts):
         w = Words([t.translate(_PLAIN) for t in some])
@@ -132,15 +163,20 @@ def scan(texts: pa.Array, index: Templates) -> Iterator[tuple]:
             breaks = np.concatenate([[0], np.cumsum(np.frombuffer(b"\n".join(some), dtype=np.uint8) == 10)])
             line = breaks[w.starts[at]]  # numbered through the whole block; a text's end ends a line
             rank = index.rank[number]
-            wanted = np.unique(line[index.is_prefix[rank]])
-            keep = np.isin(line, wanted)
-            at, line, rank = at[keep], line[keep], rank[keep]
-            cut = np.flatnonzero(np.diff(line, prepend=-1))
-            for a, b in zip(cut, [*cut[1:], len(line)]):
-                text = int(of[at[a]])
-                number_in_text = int(line[a] - breaks[w.text_at[text]])
-                for t, share in index.join(sorted(set(rank[a:b].tolist()))):
-                    found[text].append((number_in_text, t, share))
+            if wrapped:
+                for first, t, share in index.windows(at, rank, w.first[of[at] + 1]):
+                    text = int(of[first])
+                    found[text].append((int(breaks[w.starts[first]] - breaks[w.text_at[text]]), t, share))
+            else:
+                wanted = np.unique(line[index.is_prefix[rank]])
+                keep = np.isin(line, wanted)
+                at, line, rank = at[keep], line[keep], rank[keep]
+                cut = np.flatnonzero(np.diff(line, prepend=-1))
+                for a, b in zip(cut, [*cut[1:], len(line)]):
+                    text = int(of[at[a]])
+                    number_in_text = int(line[a] - breaks[w.text_at[text]])
+                    for t, share in index.join(sorted(set(rank[a:b].tolist()))):
+                        found[text].append((number_in_text, t, share))
         for i in range(len(some)):
             starts, own = [s for s, _ in base[i]], sorted({x for _, x in base[i]})
             every = sorted({*own, *(index.sorted_sets[t][0] for _, t, _ in found[i])})
@@ -149,8 +185,8 @@ def scan(texts: pa.Array, index: Templates) -> Iterator[tuple]:
             yield int(w.counts[i]), len(starts), min(starts, default=None), max(starts, default=None), ",".join(own), ",".join(every), score, lines
 
 
-def license_scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
-    """One row per document. ``blocks`` holds every line found with its label and containment; ``score`` is the largest, or 0."""
+def license_scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, wrapped: bool = False) -> DataFrame:
+    """One row per document. ``blocks`` holds every block found with its label and containment; ``score`` is the largest, or 0."""
     index = Templates(templates or TEMPLATES, phrases or PHRASES, threshold)
     rows = id_and_text(docs)
 
@@ -172,7 +208,7 @@ def license_scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = zip(*scan(batch.column(1), index))
+            got = zip(*scan(batch.column(1), index, wrapped))
             columns = [pa.array(c, t) for c, t in zip(got, types)]
             if columns:
                 names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]

@@ -26,7 +26,7 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents")).drop("blocks")
+    return licenses.license_scan(table(spark, sf_dir, "documents"), wrapped=True).drop("blocks")
 
 
 def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,54 @@ def test_defined_cases(spark):
     docs = odd_docs(spark)
     assert got(docs, 0.5) == multiset(expected(rows_of(docs), 0.5))
     assert license_scan(no_docs(spark)).count() == 0
+
+
+def windowed(text, threshold):
+    """(label, containment) of every window of words that holds enough of a template, by trying all windows."""
+    w, out = plain(text), set()
+    for label, template in TEMPLATES:
+        words = plain(template)
+        t = set(words)
+        span = math.floor(len(words) / threshold + 1e-9)
+        best = max((len(t & set(w[i : i + span])) for i in range(len(w))), default=0)
+        if best >= math.ceil(threshold * len(t) - 1e-9):
+            out.add((label, best / len(t)))
+    return ",".join(sorted({label for label, _ in out})), max((share for _, share in out), default=0.0)
+
+
+def test_wrapped_notices_and_scattered_words(spark, tmp_path):
+    import textwrap
+
+    from callsight.llm import queries
+
+    texts = ["\n".join(f"# {x}" for x in textwrap.wrap(f"Copyright of some of us. {template} and so on.", 40)) for _, template in TEMPLATES]
+    far = "all of it " + "word " * 50 + "rights " + "word " * 50 + "reserved; released under the sun, " + "word " * 50 + "MIT has a license"
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, far, None, ""])], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op3_license_scan(spark, str(tmp_path)).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, (label, _) in enumerate(TEMPLATES))
+    assert all(got[len(TEMPLATES) + k].labels == "" and got[len(TEMPLATES) + k].score == 0 for k in range(3))
+    lines = {r.doc_id: [b.line for b in r.blocks] for r in license_scan(docs, wrapped=True).collect()}
+    assert all(lines[i] and max(lines[i]) <= 1 for i in range(len(TEMPLATES)))
+
+
+def test_every_window_that_holds_enough(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = []
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            notice = plain(rng.choice(TEMPLATES)[1])
+            words += [w for w in notice if rng.random() > 0.08] if rng.random() < 0.5 else rng.sample(notice, len(notice))
+            words += rng.choices(["the", "of", "license", "other", "rights"], k=rng.randint(0, 12))
+            if rng.random() < 0.3:
+                words.insert(rng.randrange(len(words) + 1), "between")
+        texts.append("".join(w + rng.choice([" ", " ", "\n", ", "]) for w in words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for threshold in (0.5, 0.8, 0.9, 1.0):
+        found = {r.doc_id: r for r in license_scan(docs, threshold, wrapped=True).collect()}
+        for i, text in enumerate(texts):
+            labels, score = windowed(text, threshold)
+            assert (",".join(sorted({b.label for b in found[i].blocks})), found[i].score) == (labels, score), (threshold, text)
