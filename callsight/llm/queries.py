@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsight.llm import classifier, debruijn, decontam, eliasfano, licenses, lines, packing, repetition, simhash, warc
+from callsight.llm import classifier, debruijn, decontam, eliasfano, licenses, lines, packing, periods, repetition, simhash, warc
 from callsight.llm.common import table
 from callsight.session import scratch_path
 
@@ -64,11 +64,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(normalised, single).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(table(spark, sf_dir, "documents"), exponent=4, shortest=6, order=periods.planted, details=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_vector_packing, op3_license_scan, op4_repetition_rules, op5_decontamination,
-        op6_line_winnowing, op7_elias_fano, op8_simhash, op9_quality_classifier, op10_warc,
+        op6_line_winnowing, op7_elias_fano, op8_simhash, op9_quality_classifier, op10_warc, op13_periodic_runs,
     )
 }
 ORACLE: dict[str, str] = {}
