@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsight.llm import classifier, debruijn, decontam, eliasfano, licenses, lines, packing, periods, repetition, simhash, warc
+from callsight.llm import chosenpath, classifier, debruijn, decontam, eliasfano, lexical, licenses, lines, packing, periods, repetition, simhash, warc
 from callsight.llm.common import table
 from callsight.session import scratch_path
 
@@ -64,6 +64,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(normalised, single).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(table(spark, sf_dir, "documents"), exponent=4, shortest=6, order=periods.planted, details=False)
 
@@ -72,7 +80,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_vector_packing, op3_license_scan, op4_repetition_rules, op5_decontamination,
-        op6_line_winnowing, op7_elias_fano, op8_simhash, op9_quality_classifier, op10_warc, op13_periodic_runs,
+        op6_line_winnowing, op7_elias_fano, op8_simhash, op9_quality_classifier, op10_warc, op11_chosen_path, op12_ranked_search,
+        op13_periodic_runs,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_ranked_search": lexical.oracle(k=50)}

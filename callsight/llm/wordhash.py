@@ -46,13 +46,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Places and hashes of the words of ``texts`` (UTF-8 bytes)."""
+    """Places and hashes of the words of ``texts`` (UTF-8 bytes); ``space`` says of each byte whether it parts words, as a line feed must."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], space: np.ndarray = SPACE):
         self.raw = b"\n".join(texts)
         self.bytes = np.frombuffer(self.raw, dtype=np.uint8)
         inside = np.zeros(len(self.bytes) + 2, dtype=np.int8)
-        inside[1:-1] = ~SPACE[self.bytes]
+        inside[1:-1] = ~space[self.bytes]
         step = np.diff(inside)
         self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
