@@ -45,13 +45,13 @@ LANES = [f"lane{i}" for i in range(TOKENS // 16)]
 #: twelve lose one pair of 10^8, 10^6, 30,000, 5,000 and 1,600; none of these figures counts the pivots.
 TREES = 12
 #: Classes of a node: compared pair by pair at once; compared on whole sets in one task, with so many shingles together.
-CROWD, LIMIT, LIMIT_SHINGLES = 16, 512, 1 << 20
+CROWD, LIMIT, LIMIT_SHINGLES = 16, 2048, 1 << 20
 #: Members of a large node with which all others are compared.
 PIVOTS = 4
 #: Standard deviations by which the estimate may fall short of the threshold.
 MARGIN = 4.5
-#: Levels after which nodes are compared whatever their size.
-DEEPEST = 60
+#: Levels that a node takes at once when it is larger than so many times LIMIT: as many tokens, chosen as one level each would.
+JUMPS = [(64, 4), (4, 2)]
 
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SECOND = np.uint64(0xA0761D6478BD642F)
@@ -229,14 +229,40 @@ def first_choices(pairs: DataFrame) -> DataFrame:
     return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def crossing_links(docs: DataFrame, classes: DataFrame, large: DataFrame, groups: DataFrame, size: int, percent: int) -> list[DataFrame]:
-    """Links between first groups, from nodes that hold several of them: a table a level."""
-    links = []
-    active = large.join(groups, "cls")
-    for depth in range(1, DEEPEST + 1):
+def merged(groups: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """The groups (cls, comp) after links (a, b) between classes."""
+    if not links:
+        return groups
+    of = lambda side: groups.toDF(side, f"comp_{side}")
+    between = reduce(DataFrame.unionByName, links).join(of("a"), "a").join(of("b"), "b").select("comp_a", "comp_b")
+    roots = connected_components(between, "comp_a", "comp_b").toDF("comp", "root")
+    return landed(groups.join(roots, "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp")), "path-groups")
+
+
+def children(rows: DataFrame) -> DataFrame:
+    """Rows of large nodes sent on to the nodes below: one token of the node's choice, in a quarter of the nodes two."""
+
+    def token(k: int) -> Column:
+        number = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(TOKENS)).cast("int")
+        return F.xxhash64("node", F.lit(k), F.substring(F.col("tokens"), 4 * number + 1, F.lit(4)))
+
+    below = F.array_compact(F.array(token(0), F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(4)) == 0, token(1))))
+    levels = reduce(lambda rest, j: F.when(F.col("size") > j[0] * LIMIT, j[1]).otherwise(rest), reversed(JUMPS), F.lit(1))
+    rows = rows.withColumn("levels", levels)
+    for done in range(max(n for _, n in JUMPS)):
+        rows = rows.withColumn("node", F.explode(F.when(F.col("levels") > done, below).otherwise(F.array("node"))))
+    return rows.select("node", "cls", "n", "comp", "tokens", *LANES)
+
+
+def settled_groups(docs: DataFrame, classes: DataFrame, large: DataFrame, groups: DataFrame, links: list[DataFrame], size: int, percent: int) -> DataFrame:
+    """The groups after ``links`` and all that the nodes below large root nodes give: nodes of one group are dropped, the others branch until they are small."""
+    active = large.join(classes.select("cls", "tokens"), "cls").join(groups, "cls")
+    level = 0
+    while True:
+        level += 1
         rows = crowded(active, F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").drop("lo", "hi")
         rows = landed(rows, "path-nodes")
-        fits = (F.col("size") <= CROWD) | (F.col("size") <= LIMIT) & (F.col("shingles") <= LIMIT_SHINGLES) | F.lit(depth == DEEPEST)
+        fits = (F.col("size") <= CROWD) | (F.col("size") <= LIMIT) & (F.col("shingles") <= LIMIT_SHINGLES)
         small, beyond = rows.filter(fits), rows.filter(~fits)
         apart = F.col("x.comp") != F.col("y.comp")
         like = (F.col("x.node") == F.col("y.node")) & apart & sized("x.n", "y.n", percent) & (differences("x", "y") <= most_differences(percent))
@@ -246,17 +272,14 @@ def crossing_links(docs: DataFrame, classes: DataFrame, large: DataFrame, groups
             found = whole.groupBy("node").applyInArrow(lambda t: linked_within(t, size, percent), "a long, b long")
             links.append(landed(found.distinct(), "path-links"))
         if beyond.isEmpty():
-            break
-        stars = first_choices(pivot_pairs(beyond.drop("tokens"), percent, apart))
-        names = stars.select("a").union(stars.select("b")).toDF("cls").distinct()
-        links.append(landed(confirmed(stars, texts_of(docs, classes, names), size, percent), "path-links"))
-        if depth == 1:
-            beyond = beyond.join(classes.select("cls", "tokens"), "cls")
-        # One token more, in a quarter of the nodes two.
-        token = lambda k: F.xxhash64("node", F.lit(k), F.substring(F.col("tokens"), (4 * F.pmod(F.xxhash64("node", F.lit(k)), F.lit(TOKENS)) + 1).cast("int"), F.lit(4)))
-        second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(4)) == 0, token(1))
-        active = beyond.select(F.explode(F.array_compact(F.array(token(0), second))).alias("node"), "cls", "n", "comp", "tokens", *LANES)
-    return links
+            return merged(groups, links)
+        if level & (level - 1) == 0:  # at levels 1, 2, 4, ...: pivots again, between groups, and the groups are brought up to date
+            stars = landed(first_choices(pivot_pairs(beyond, percent, apart)), "path-stars")
+            names = stars.select("a").union(stars.select("b")).toDF("cls").distinct()
+            links.append(landed(confirmed(stars, texts_of(docs, classes, names), size, percent), "path-links"))
+            groups, links = merged(groups, links), []
+            beyond = beyond.drop("comp").join(groups, "cls")
+        active = children(beyond)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,17 +296,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     chosen = landed(first_choices(pairs.unionByName(stars)), "path-chosen")
     names = chosen.select("a").union(chosen.select("b")).toDF("cls").distinct()
     links = landed(confirmed(chosen, texts_of(own, classes, names), shingle, percent), "path-links")
-    first = connected_components(links, "a", "b")
-    groups = landed(classes.select("cls").join(first, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("comp")), "path-groups")
+    groups = merged(classes.select("cls", F.col("cls").alias("comp")), [links])
 
     # What the first choices left open: pairs of small nodes between groups, and large nodes with several groups.
     left = pairs.select("a", "b").join(groups.toDF("a", "ca"), "a").join(groups.toDF("b", "cb"), "b").filter("ca != cb").select("a", "b")
     left = landed(left.join(chosen, ["a", "b"], "left_anti"), "path-left")
     names = left.select("a").union(left.select("b")).toDF("cls").distinct()
-    more = [confirmed(left, texts_of(own, classes, names), shingle, percent), *crossing_links(own, classes, large, groups, shingle, percent)]
-    between = reduce(DataFrame.unionByName, more).join(groups.toDF("a", "ca"), "a").join(groups.toDF("b", "cb"), "b").select("ca", "cb")
-    second = connected_components(between, "ca", "cb").toDF("comp", "root")
-    roots = groups.join(second, "comp", "left").select("cls", F.coalesce("root", "comp").alias("root"))
+    rest = landed(confirmed(left, texts_of(own, classes, names), shingle, percent), "path-links")
+    groups = settled_groups(own, classes, large, groups, [rest], shingle, percent)
+    roots = groups.withColumnRenamed("comp", "root")
     named = roots.join(classes.select("cls", "first_doc"), "cls")
     of_root = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of_class = named.join(of_root, "root").select("cls", "component_id")
@@ -292,3 +313,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     alone = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def oracle(shingle: int = 4, percent: int = 80) -> str:
+    """The same over ``documents`` as DuckDB SQL: shingles in common are counted for every pair that has any."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    words = rf"regexp_extract_all(translate(text, {letters}), '[^\x20\x09-\x0D]+')"
+    return f"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS ws FROM documents),
+    s AS (
+      SELECT DISTINCT r, array_to_string(ws[p : p + {shingle - 1}], ' ') AS x
+      FROM (SELECT r, ws, unnest(range(1, greatest(1, len(ws) - {shingle - 1}) + 1)) AS p FROM d WHERE len(ws) > 0)
+    ),
+    n AS (SELECT r, count(*)::BIGINT AS n FROM s GROUP BY r),
+    common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r),
+    links AS (SELECT a, b FROM common JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
+    reach AS (SELECT a AS r, b FROM links UNION SELECT reach.r, links.b FROM reach JOIN links ON reach.b = links.a),
+    least AS (SELECT reach.r, min(d.doc_id) AS doc_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.r),
+    named AS (SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, least.doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN least USING (r))
+    SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM named
+    """

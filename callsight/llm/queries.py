@@ -84,4 +84,4 @@ QUERIES = {
         op13_periodic_runs,
     )
 }
-ORACLE: dict[str, str] = {"op12_ranked_search": lexical.oracle(k=50)}
+ORACLE: dict[str, str] = {"op11_chosen_path": chosenpath.oracle(shingle=4, percent=80), "op12_ranked_search": lexical.oracle(k=50)}
