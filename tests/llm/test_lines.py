@@ -13,58 +13,31 @@ def of_text(text):
     return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(text.encode(), seed=42)))[0]
 
 
-def of_numbers(*numbers):
-    h = 42
-    for x in numbers:
-        h = xxhash.xxh64_intdigest(struct.pack("<q", x), seed=h)
-    return struct.unpack("<q", struct.pack("<Q", h))[0]
+def expected(rows, min_lines=3, min_words=50):
+    """What should go, said without fingerprints: (doc_id, text, n_lines, n_deleted) per row.
 
-
-def expected(rows, window=2, min_lines=3, min_words=50):
-    """The method spelled out on lists: (doc_id, text, n_lines, n_deleted) per row."""
-    places, prints = {}, {}
+    A window of ``min_lines`` lines, or of one or two with ``min_words`` words, goes where the same lines stood earlier.
+    """
+    first, own = {}, {}
     for doc, text in rows:
         if doc is None or text is None:
             continue
-        plain = [re.sub(r"[ \t\x0B\f\r]+", " ", line).strip(" ") for line in text.split("\n")]
-        own = [(i, of_text(p), len(p.split(" "))) for i, p in enumerate(plain) if p]
-        key = doc, of_text(text)
-        places[key] = own
-        grams = [of_numbers(own[i][1], own[i + 1][1]) for i in range(len(own) - 1)]
-        for i, g in enumerate(grams):
-            left, right = grams[i - 1] if i else None, grams[i + 1] if i + 1 < len(grams) else None
-            least = (left is None and right is None) or (left is not None and g <= left) or (right is not None and g <= right)
-            if window == 1 or least or own[i][2] + own[i + 1][2] >= min_words:
-                prints.setdefault((g, 2), set()).add((doc, i, key[1]))
-        for i, (_, h, n) in enumerate(own):
-            if n >= min_words:
-                prints.setdefault((of_numbers(h), 1), set()).add((doc, i, key[1]))
-    matched = {}
-    for (_, height), spots in prints.items():
-        doc0, i0, variant0 = min(spots)
-        source = places[doc0, variant0]
-        for doc, i, variant in spots - {min(spots)}:
-            own = places[doc, variant]
-            same = lambda step, own=own, i=i: 0 <= i + step < len(own) and 0 <= i0 + step < len(source) and own[i + step][1] == source[i0 + step][1]
-            back = 0
-            while back < window and same(-back - 1):
-                back += 1
-            ahead = 0
-            while ahead < window and same(height + ahead):
-                ahead += 1
-            matched.setdefault((doc, variant), set()).update(range(i - back, i + height + ahead))
+        plain = [" ".join(re.split("[ \t\x0b\f\r]+", line)).strip(" ") for line in text.split("\n")]
+        lines = [(i, p, len(p.split(" "))) for i, p in enumerate(plain) if p]
+        windows = {(i, n) for n in (1, 2, min_lines) for i in range(len(lines) - n + 1) if n == min_lines or sum(x[2] for x in lines[i : i + n]) >= min_words}
+        own[doc, text] = lines, windows
+        for i, n in windows:
+            key = tuple(x[1] for x in lines[i : i + n])
+            spot = doc, i, of_text(text)
+            first[key] = min(first.get(key, spot), spot)
     out = []
     for doc, text in rows:
-        all_ = text.split("\n") if text is not None else []
-        gone = set()
+        all_, gone = text.split("\n") if text is not None else [], set()
         if doc is not None and text is not None:
-            own, at = places[doc, of_text(text)], sorted(matched.get((doc, of_text(text)), ()))
-            while at:
-                run = [at.pop(0)]
-                while at and at[0] == run[-1] + 1:
-                    run.append(at.pop(0))
-                if len(run) >= min_lines or sum(own[i][2] for i in run) >= min_words:
-                    gone.update(range(own[run[0]][0], own[run[-1]][0] + 1))
+            lines, windows = own[doc, text]
+            for i, n in windows:
+                if first[tuple(x[1] for x in lines[i : i + n])] < (doc, i, of_text(text)):
+                    gone.update(range(lines[i][0], lines[i + n - 1][0] + 1))
         left = "\n".join(x for i, x in enumerate(all_) if i not in gone) if text is not None else None
         out.append((doc, left, len(all_), len(gone)))
     return out
@@ -91,7 +64,7 @@ def test_random_lines(spark):
             lines.insert(rng.randint(0, len(lines)), passage)
         rows.append((doc // 2 if doc < 10 else doc, "\n".join(lines)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"window": 1}, {"min_lines": 2, "min_words": 5}):
+    for options in ({}, {"min_lines": 2}, {"min_words": 5}, {"min_lines": 2, "min_words": 5}):
         assert got(docs, **options) == multiset(expected(rows, **options)), options
 
 
@@ -115,19 +88,6 @@ def test_no_python_in_the_plan(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def earlier_runs(rows, least=3):
-    """Per row the numbers of the lines, blank ones left out, in a run of three lines that stood earlier; knows nothing of fingerprints."""
-    first, out = {}, []
-    own = [[p for p in (" ".join(x.split()) for x in text.split("\n")) if p] for _, text in rows]
-    runs = [[tuple(w[i : i + least]) for i in range(len(w) - least + 1)] for w in own]
-    for (doc, _), each in zip(rows, runs):
-        for i, run in enumerate(each):
-            first[run] = min(first.get(run, (doc, i)), (doc, i))
-    for (doc, _), each in zip(rows, runs):
-        out.append({i + k for i, run in enumerate(each) if first[run] < (doc, i) for k in range(least)})
-    return own, out
-
-
 def test_every_run_that_stood_earlier(spark):
     rng = random.Random(5)
     rows = [(1, "x1\nx2\nedited"), (2, "x1\nx2\nx3"), (3, "above\nx1\nx2\nx3\nbelow")]
@@ -137,17 +97,31 @@ def test_every_run_that_stood_earlier(spark):
         broken[rng.choice([0, -1])] = f"edit {rng.random()}"
         for k, lines in enumerate((broken, run, run)):
             rows.append((10 + 3 * trial + k, "\n".join([f"{rng.random()}", *lines, f"{rng.random()}"])))
-    rows += [(5000 + d, "\n".join(rng.choices("abcde", k=rng.randint(0, 14)))) for d in range(60)]
+    rows += [(5000 + d, "\n".join(rng.choices(["a", "b", "c", "d", "e", "", " "], k=rng.randint(0, 14)))) for d in range(200)]
+    want = expected(rows)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == multiset(want) and sum(r[3] for r in want) > 1000
+
+
+def test_matches_of_different_sources_are_not_one_run(spark):
+    rows = []
+    for i in range(100):
+        a, b, c, d = (f"{x} {i}" for x in "abcd")
+        rows += [(3 * i, f"{a}\n{b}"), (3 * i + 1, f"{c}\n{d}"), (3 * i + 2, f"{a}\n{b}\n{c}\n{d}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    own, want = earlier_runs(rows)
-    kept = {r.doc_id: r.text.split("\n") for r in dedup_lines(docs, whole_runs=True).collect()}
-    for (doc, _), lines, gone in zip(rows[:-60], own, want):
-        assert kept[doc] == [x for i, x in enumerate(lines) if i not in gone] if len(gone) < len(lines) else kept[doc] in ([""], []), doc
-    for (doc, _), lines, gone in zip(rows[-60:], own[-60:], want[-60:]):  # matches of two lines side by side may go as well
-        left = iter(x for i, x in enumerate(lines) if i not in gone)
-        assert all(x in left for x in kept[doc] if x), doc
-    plain = {r.doc_id: len(r.text) for r in dedup_lines(docs).collect()}
-    assert all(len("\n".join(kept[doc])) <= plain[doc] for doc in plain) and any(len("\n".join(kept[doc])) < plain[doc] for doc in plain)
+    assert all(r.n_deleted == 0 for r in dedup_lines(docs, counts=True).collect())
+
+
+def test_blank_lines_between_matches_stay(spark):
+    rows = [(1, "a\nb\nc"), (2, "d\ne\nf"), (3, "a\n\nb\nc\n\nd\ne\n \nf\nown")]
+    kept = {r.doc_id: (r.text, r.n_deleted) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    assert kept[3] == ("\nown", 8)
+
+
+def test_a_text_over_a_megabyte(spark):
+    lines = [f"line number {i} of a long text" for i in range(50_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["own", *lines[100:40_000], "end"])), (3, "\n".join(reversed(lines)))]
+    assert len(rows[0][1]) > 1 << 20
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == multiset(expected(rows))
 
 
 def test_registered_queries_delete_whole_runs(spark, tmp_path):
