@@ -3,15 +3,15 @@
 The library's pre-tokenizers never join text across white space, so a text is cut at white space first and the ids of
 each cut are remembered in the Python worker (a bounded memory). A cut that is new goes through the file's own
 pre-tokenizer rule and the library's model, or, where it holds characters outside plain Latin text, through the whole
-library. ``tests/llm/test_tokens.py`` compares the result with a direct ``encode`` call.
+library. A file with other rules than the two kinds known here is left to the library as a whole. ``tests/llm/test_tokens.py`` compares the result with a direct ``encode`` call.
 """
 
 from __future__ import annotations
 
 import json
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: Unicode White_Space, as in the tokenizers' own ``\s``.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -19,13 +19,27 @@ WHITE = "\t-\r \x85\xa0  -     　"
 PLAIN = re.compile("[\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Remembered words and cuts per worker, some 100 MB; beyond it, new ones are computed each time.
-WORDS, CUTS = 400_000, 250_000
+WORDS, CUTS = 150_000, 500_000
 LONGEST = 64
 
 SPACED_RULE = re.compile(CONTRACTIONS + r"| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 WORD_RULE = re.compile(CONTRACTIONS + r"|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
+#: The normalizer and the splitting rule of a file that WORD_RULE stands for, as its JSON states them.
+LOWERING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def has(found, wanted) -> bool:
+    """Whether a part of a tokenizer file states all that is wanted; lists must be of one length."""
+    if isinstance(wanted, dict):
+        return isinstance(found, dict) and all(has(found.get(k), v) for k, v in wanted.items())
+    if isinstance(wanted, list):
+        return isinstance(found, list) and len(found) == len(wanted) and all(map(has, found, wanted))
+    return found == wanted
+
+
 def byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -33,6 +47,16 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def id_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if out.itemsize != 4:
+        return b"".join(i.to_bytes(4, "little") for i in ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Words(dict):
     """Pre-token -> its ids as little-endian unsigned 32-bit bytes."""
 
@@ -42,7 +66,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         spelled = word.encode().decode("latin-1").translate(self.letters)
-        ids = np.array([t.id for t in self.model.tokenize(spelled)], dtype="<u4").tobytes()
+        ids = id_bytes([t.id for t in self.model.tokenize(spelled)])
         if len(self) < WORDS and len(word) <= LONGEST:
             self[word] = ids
         return ids
@@ -74,9 +98,10 @@ class Encoder:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t["content"] for t in spec.get("added_tokens") or ()]
-        kind = json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
-        spaced = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
-        lowered = all(x in kind for x in ('"NFC"', '"Lowercase"', '"ByteLevel"', "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"))
+        whole = not (spec.get("truncation") or spec.get("padding"))
+        cut, letters = spec.get("pre_tokenizer") or {}, {"type": "ByteLevel", "add_prefix_space": False}
+        spaced = whole and spec.get("normalizer") is None and has(cut, letters | {"use_regex": True})
+        lowered = whole and has(spec.get("normalizer") or {}, LOWERING) and has(cut, {"type": "Sequence", "pretokenizers": [WORD_SPLIT, letters | {"use_regex": False}]})
         self.rule = SPACED_RULE if spaced else WORD_RULE if lowered else None
         self.lower = lowered
         self.cutter = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+" if spaced else f"[^{WHITE}]+")
@@ -90,7 +115,7 @@ class Encoder:
         return cls._open[path]
 
     def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def cut_ids(self, cut: str) -> bytes:
         if not PLAIN.fullmatch(cut):

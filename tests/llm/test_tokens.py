@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -41,3 +43,18 @@ def test_same_ids_as_the_library(file):
 def test_any_text(file, text):
     encoder = Encoder.of(tokenizer(file))
     assert encoder.ids(text) == direct(encoder, text)
+
+
+@pytest.mark.parametrize("file,change", [("byte_bpe_50k.json", {"add_prefix_space": True}), ("byte_bpe_50k.json", {"use_regex": False}), ("word_bpe_49k.json", {"use_regex": True})])
+def test_other_rules_are_left_to_the_library(tmp_path, file, change):
+    with open(tokenizer(file), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert Encoder.of(tokenizer(file)).rule is not None
+    rules = spec["pre_tokenizer"]
+    (rules if rules["type"] == "ByteLevel" else rules["pretokenizers"][-1]).update(change)
+    path = tmp_path / "changed.json"
+    path.write_text(json.dumps(spec))
+    encoder = Encoder(str(path))
+    assert encoder.rule is None
+    for text in TRICKY:
+        assert encoder.ids(text) == direct(encoder, text)
