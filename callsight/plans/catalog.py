@@ -434,6 +434,7 @@ register("exec_summary", EXEC_CTES + EXEC_SQL)(lambda spark, sf: H.exec_summary(
 from callsight.operators import requests as R  # noqa: E402
 from callsight.operators import responses as V  # noqa: E402
 from callsight.operators import exports as E  # noqa: E402
+from callsight.sources.csvlines import read_csv_lines  # noqa: E402
 
 MODEL = "test-model"
 RUN_STAMP = "2025-02-07T13:00:00"
@@ -904,6 +905,14 @@ def _read_csv(spark: SparkSession, sf: str):
     return Y.read_csv(spark, path, Y.CALLS_SCHEMA)
 
 
+@register("read_csv_lines", TCC + CALLS_OUT_SQL)
+def _read_csv_lines(spark: SparkSession, sf: str):
+    """The same file, whose transcripts hold line breaks, read by as many tasks as it has splits."""
+    path = scratch_path(spark, "calls-csv")
+    E.write_csv(calls(spark, sf), path)
+    return read_csv_lines(spark, path, Y.CALLS_SCHEMA)
+
+
 @register("write_parquet", TC + "SELECT call_id, agent, turn_idx, timestamp, speaker, message, sentiment_score FROM turns")
 def _write_parquet(spark: SparkSession, sf: str):
     path = scratch_path(spark, "turns-parquet")

@@ -33,9 +33,9 @@ def read_csv(
     Without a schema every column is read as text: ``map_columns`` casts the
     mapped columns anyway, and inference would be a full extra pass over
     the data (``infer_schema=True`` opts in). ``multiLine`` makes each file
-    one split, so parallelism then comes from the number of files; pass
-    ``multi_line=False`` for uploads known to hold one record per line, so
-    large files are split across tasks.
+    one split, so parallelism then comes from the number of files. For large
+    files, ``csvlines.read_csv_lines`` gives the same rows from many tasks;
+    ``multi_line=False`` splits uploads known to hold one record per line.
     """
     r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema:
