@@ -1,17 +1,17 @@
 """Canned questions: keyword routing and SQL-backed answers, as DataFrame joins.
 
 ``questions(question_id, question)`` is routed row by row with ordered
-``contains`` tests. Agent mentions are found with an exact equi-join: every
-substring of the lower-cased question whose length equals some agent-name
-length is generated and joined to the lower-cased agent names. That is the
-same result as testing every (question, agent) pair, without emitting all
-pairs; the work per question is bounded by its length times the number of
-distinct name lengths.
+``contains`` tests. Agent mentions are found with an equi-join on q-grams:
+each lower-cased name stands under its rarest q-gram (by counts over all
+names), a question offers each of its different q-grams once, and a pair that
+meets is verified. That is the same result as testing every (question, agent)
+pair, without emitting all pairs; a question gives no more rows than it has
+q-grams, whatever lengths the names have.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsight.functions.numbers import py_fixed
@@ -49,26 +49,41 @@ def _any_contains(q, words) -> F.Column:
     return out
 
 
+#: Characters of the grams that names are found by.
+GRAM = 4
+
+
+def _grams(text: Column, n: Column | int) -> Column:
+    """The different substrings of length ``n``; none of a shorter text."""
+    size = F.lit(n) if isinstance(n, int) else n
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size)))
+
+
+def name_anchors(agents: DataFrame) -> DataFrame:
+    """(agent, needle, gram): each lower-cased name and its rarest q-gram; a name shorter than that is its own."""
+    names = agents.select("agent").where(F.col("agent").isNotNull()).distinct().select("agent", F.lower("agent").alias("needle"))
+    each = names.select("agent", "needle", F.explode(F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(_grams(F.col("needle"), GRAM))).alias("gram"))
+    counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(counts, "gram").groupBy("agent", "needle").agg(F.min(F.struct("n", "gram")).alias("m"))
+    return rarest.select("agent", "needle", "m.gram")
+
+
 def agent_mentions(questions: DataFrame, agents: DataFrame) -> DataFrame:
     """Per question: the first agent (in agent order) whose lower-cased name occurs in the question.
 
-    Substrings are generated once per distinct question text (a repeated
-    question collapses in the map-side distinct), then the per-text result
-    is joined back to the question ids.
+    Grams are taken once per distinct question text (a repeated question
+    collapses in the map-side distinct), then the per-text result is joined
+    back to the question ids.
     """
-    names = agents.select("agent").where(F.col("agent").isNotNull()).distinct().select(
-        "agent", F.lower("agent").alias("needle"), F.length(F.lower("agent")).alias("len")
-    )
-    # The distinct name lengths: one value, bounded by the longest name.
-    lengths = one_value(names.agg(F.collect_set("len").alias("lens")))
-    texts = questions.select(F.lower("question").alias("q")).where(F.col("q").isNotNull()).distinct()
-    cand = (
-        texts.select("q", F.explode(lengths).alias("len"))
-        .where(F.col("len") <= F.length("q"))
-        .select("q", "len", F.explode(F.sequence(F.lit(1), F.length("q") - F.col("len") + 1)).alias("pos"))
-        .select("q", "len", F.expr("substring(q, pos, len)").alias("needle"))
-    )
-    per_text = cand.join(names, ["len", "needle"]).groupBy("q").agg(F.min("agent").alias("agent"))
+    anchors = name_anchors(agents)
+    # Which names are shorter than a gram: at most GRAM different lengths.
+    short = one_value(anchors.where(F.length("gram") < GRAM).agg(F.collect_set(F.length("gram")).alias("lens")))
+    texts = questions.select(F.lower("question").alias("q")).where(F.col("q").isNotNull()).distinct().withColumn("short", short)
+    below = F.flatten(F.transform("short", lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(_grams(F.col("q"), n))))
+    offered = texts.select("q", F.explode(F.concat(_grams(F.col("q"), GRAM), below)).alias("gram"))
+    found = offered.join(anchors, "gram").where(F.col("q").contains(F.col("needle")))
+    per_text = found.groupBy("q").agg(F.min("agent").alias("agent"))
     return (
         questions.select("question_id", F.lower("question").alias("q"))
         .join(per_text, "q")  # a question that many ask is a hot key of a plain join, which Spark splits
@@ -109,12 +124,14 @@ def answer_questions(questions: DataFrame, turns: DataFrame, cache: DataFrame, a
     ``cache`` is the flat theme table (agent, theme_pos, theme, priority, recommendation); ``agents`` adds agents without
     themes, whose questions are routed to an empty list of needs.
     """
-    has = cache.agg((F.count(F.lit(1)) > 0).alias("has_coaching"))
-    names = cache.select("agent") if agents is None else cache.select("agent").unionByName(agents.select("agent"))
-    agents = names.distinct()
+    # The flag, the names and the top themes are read off one theme table; needs read the rows' texts.
+    table = H.theme_table(cache)
+    has = H.priority_split(table.withColumn("priority", F.lit("high"))).select((F.col("high") > 0).alias("has_coaching"))
+    names = table.groupBy("agent").agg(F.sum("n").alias("n")).where("n > 0").select("agent")
+    agents = names if agents is None else names.unionByName(agents.select("agent")).distinct()
     routed = route_questions(questions, agents, has)
 
-    top = H.top_themes(cache, 5).agg(
+    top = H.top_of(table, 5).agg(
         F.array_sort(F.collect_list(F.struct("rank", "theme", "n"))).alias("t")  # 5 rows
     ).select(
         F.concat(
@@ -146,14 +163,7 @@ def answer_questions(questions: DataFrame, turns: DataFrame, cache: DataFrame, a
             ).alias("needs_answer"),
         )
     )
-    s = F.col("sentiment_score")
-    # Summed up to (agent, call) first: two distinct counts over the turns would send each of them twice.
-    score = F.when(~F.isnan(s), s)
-    per_call = turns.groupBy("agent", "call_id").agg(F.sum(score).alias("s_sum"), F.count(score).alias("s_n"))
-    n_calls = one_value(per_call.agg(F.countDistinct("call_id").alias("n")))
-    per_agent = per_call.groupBy("agent").agg(F.sum("s_sum").alias("s_sum"), F.sum("s_n").alias("s_n"))
-    metrics = per_agent.agg(F.count("agent").alias("n_agents"), F.try_divide(F.sum("s_sum"), F.sum("s_n")).alias("avg_s"))
-    metrics = metrics.select(n_calls.alias("n_calls"), "n_agents", "avg_s")
+    metrics = H.call_totals(turns).select(F.col("total_calls").alias("n_calls"), F.col("total_agents").alias("n_agents"), F.col("avg_sentiment").alias("avg_s"))
     # The one-row answers are built inside their one-row tables and attached as
     # columns once: each scalar subquery appears once in the plan.
     texts = metrics.select(

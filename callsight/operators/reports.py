@@ -137,8 +137,9 @@ def coaching_plan_text(
 ) -> DataFrame:
     """Per agent: the plain-text coaching plan (numbered themes, priority label, advice, two examples, strengths)."""
     n = _nested(theme_rows)
-    if strengths is not None:
-        n = n.join(strengths.select("agent", "strengths"), "agent", "left")
+    if strengths is not None:  # agents with strengths alone have a plan too, without a theme
+        n = n.join(strengths.select("agent", "strengths"), "agent", "full_outer")
+        n = n.withColumn("t", F.coalesce("t", F.array().cast(n.schema["t"].dataType)))
     else:
         n = n.withColumn("strengths", F.array().cast("array<string>"))
     if calls is not None:
@@ -228,17 +229,16 @@ def agent_profile(theme_rows: DataFrame, n_agents: int | None = None, rec_chars:
 
 def analytics_context(turns: DataFrame, theme_rows: DataFrame) -> DataFrame:
     """One row: agents, calls, mean sentiment, top 3 themes with share, priority split, and the text block."""
-    s = F.col("sentiment_score")
-    t = turns.agg(F.countDistinct("call_id").cast("bigint").alias("total_calls"), F.avg(F.when(~F.isnan(s), s)).alias("avg_sentiment"))
-    # t is the one-row base; the other one-row tables are scalar subqueries.
-    n_agents = one_value(theme_rows.agg(F.countDistinct("agent").cast("bigint").alias("total_agents")))
-    p = one_row(H.priority_dist(theme_rows))
-    top3 = one_value(H.top_themes(theme_rows, 3).agg(F.array_sort(F.collect_list(F.struct("rank", "theme", "n"))).alias("top3")))  # 3 rows
-    attached = t.select("total_calls", "avg_sentiment", n_agents.alias("total_agents"), p.alias("_p"), top3.alias("top3"))
+    # The turns are read once; t is the one-row base, and the other one-row tables, off one theme table, are scalar subqueries.
+    table = H.theme_table(theme_rows)
+    t = H.call_totals(turns).select("total_calls", "avg_sentiment")
+    a, p = one_row(H.agent_totals(table)), one_row(H.priority_split(table))
+    top3 = one_value(H.top_of(table, 3).agg(F.array_sort(F.collect_list(F.struct("rank", "theme", "n"))).alias("top3")))  # 3 rows
+    attached = t.select("total_calls", "avg_sentiment", a.alias("_a"), p.alias("_p"), top3.alias("top3"))
     row = attached.select(
-        "total_calls", "avg_sentiment", "total_agents", F.col("_p.high").alias("high"), F.col("_p.medium").alias("medium"),
-        F.col("_p.low").alias("low"), "top3",
-    )
+        "total_calls", "avg_sentiment", F.col("_a.total_agents").alias("total_agents"), F.col("_p.high").alias("high"),
+        F.col("_p.medium").alias("medium"), F.col("_p.low").alias("low"), "top3",
+    )
     dist = F.array_join(
         F.transform(
             "top3",

@@ -93,7 +93,7 @@ CUSTOMER_LABEL = "Customer"
 AGENT_LABEL = "Agent"
 LEGACY_CUSTOMER_LABEL = "Customer issues"
 LEGACY_AGENT_LABEL = "Agent responses"
-LEGACY_MAX_CALLS = 10
+LEGACY_CALLS_PER_PROMPT = 10
 
 TEMPERATURE = 0.3
 MAX_TOKENS = 2000
@@ -117,13 +117,30 @@ def call_digest(
     whole messages (the older variant).
     """
     s = F.col("sentiment_score")
+    means = review.groupBy("agent", "call_id").agg(F.avg(F.when(~F.isnan(s), s)).alias("avg_sentiment"))
+    return _digest(S.first_messages(review, MESSAGES_PER_SIDE), means, calls, truncate, customer_label, agent_label)
+
+
+def digest_of_heads(
+    heads: DataFrame,
+    calls: DataFrame,
+    truncate: int | None = MESSAGE_CHARS,
+    customer_label: str = CUSTOMER_LABEL,
+    agent_label: str = AGENT_LABEL,
+) -> DataFrame:
+    """``call_digest`` from ``call_heads`` rows, so that no turn is read again; ``calls`` may carry ``avg_sentiment``."""
+    review = heads.join(calls.select("agent", "call_id"), ["agent", "call_id"], "left_semi")
+    means = calls.select("agent", "call_id", "avg_sentiment") if "avg_sentiment" in calls.columns else S.head_means(review)
+    return _digest(S.first_of_heads(review, MESSAGES_PER_SIDE), means, calls, truncate, customer_label, agent_label)
+
+
+def _digest(firsts: DataFrame, means: DataFrame, calls: DataFrame, truncate: int | None, customer_label: str, agent_label: str) -> DataFrame:
     short = truncate_text("message", truncate) if truncate else F.col("message")
-    firsts = S.first_messages(review, MESSAGES_PER_SIDE).select("agent", "call_id", "speaker", "msg_rank", short.alias("short"))
+    firsts = firsts.select("agent", "call_id", "speaker", "msg_rank", short.alias("short"))
     sides = firsts.groupBy("agent", "call_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("speaker") == "customer", F.struct("msg_rank", "short")))).alias("cust"),
         F.array_sort(F.collect_list(F.when(F.col("speaker") == "agent", F.struct("msg_rank", "short")))).alias("agt"),
     )
-    means = review.groupBy("agent", "call_id").agg(F.avg(F.when(~F.isnan(s), s)).alias("avg_sentiment"))
     ordinals = S.call_ordinal(calls)
     j = ordinals.join(means, ["agent", "call_id"], "left").join(sides, ["agent", "call_id"], "left")
     tag = F.when(
@@ -155,21 +172,27 @@ def first_calls(turns: DataFrame, n: int | None = None) -> DataFrame:
     return calls.select("agent", "call_id", F.row_number().over(w).alias("_rn")).where(F.col("_rn") <= n).drop("_rn")
 
 
-def call_digest_wide(turns: DataFrame, n_calls: int | None = None) -> DataFrame:
-    """Older digest variant: every call (or the first ``n_calls`` per agent), whole messages, 'issues/responses' labels."""
-    calls = first_calls(turns, n_calls)
-    review = S.selected_turns(turns, calls)
-    return call_digest(review, calls, None, LEGACY_CUSTOMER_LABEL, LEGACY_AGENT_LABEL)
+def call_digest_wide(heads: DataFrame, n_calls: int | None = None) -> DataFrame:
+    """Older digest variant, from ``call_heads`` rows: every call (or the first ``n_calls`` per agent), whole messages, 'issues/responses' labels."""
+    return digest_of_heads(heads, first_calls(heads, n_calls), None, LEGACY_CUSTOMER_LABEL, LEGACY_AGENT_LABEL)
 
 
-def agent_prompts(digests: DataFrame, themes: list[str], legacy: bool = False, n_calls: DataFrame | None = None, theme_limit: int | None = None) -> DataFrame:
+def agent_prompts(
+    digests: DataFrame, themes: list[str], legacy: bool = False, n_calls: DataFrame | None = None, theme_limit: int | None = None, per_prompt: int | None = None
+) -> DataFrame:
     """Per agent: system and user prompt from its call digests (≤ k per agent).
 
     ``legacy`` uses the older templates; its call count is the agent's total
     calls, given as ``n_calls(agent, n_calls)``. Every theme reaches the
-    prompt unless ``theme_limit`` says how many.
+    prompt unless ``theme_limit`` says how many. With ``per_prompt`` an agent
+    gets as many prompts as its calls need, so many calls each, numbered by
+    ``part`` from 1 on: no call is left out and every prompt stays bounded.
     """
-    per_agent = digests.groupBy("agent").agg(
+    keys = ["agent"]
+    if per_prompt is not None:
+        digests = digests.withColumn("part", (F.floor((F.col("call_no") - 1) / per_prompt) + 1).cast("int"))
+        keys.append("part")
+    per_agent = digests.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("call_no", "digest"))).alias("d"),
         F.count(F.lit(1)).cast("bigint").alias("n_calls"),
     )
@@ -183,7 +206,7 @@ def agent_prompts(digests: DataFrame, themes: list[str], legacy: bool = False, n
         "digests": F.array_join(F.transform("d", lambda x: x["digest"]), DIGEST_SEPARATOR),
     }
     return per_agent.select(
-        "agent",
+        *keys,
         "n_calls",
         fill(LEGACY_SYSTEM_PROMPT_TEMPLATE if legacy else SYSTEM_PROMPT_TEMPLATE, vals).alias("system_prompt"),
         fill(LEGACY_USER_PROMPT_TEMPLATE if legacy else USER_PROMPT_TEMPLATE, vals).alias("user_prompt"),

@@ -102,13 +102,38 @@ def _str_list(v: Column) -> Column:
     )
 
 
+def python_json(text: Column) -> Column:
+    """``text`` with Python's extra number words as JSON strings: NaN, Infinity and -Infinity outside of strings.
+
+    As ``str`` would print them: no field of a theme treats such a number
+    otherwise (a frequency that is none counts as 0). Only texts that hold one
+    of the words are rewritten: strings and words are marked in one left-to-right pass, with characters that no JSON text may hold.
+    """
+    marked = F.regexp_replace(text, _STRINGS_AND_WORDS, "$1\x01$2\x02")
+    out = F.replace(marked, F.lit("\x01\x02"), F.lit(""))
+    for word, printed in (("NaN", "nan"), ("-Infinity", "-inf"), ("Infinity", "inf")):
+        out = F.replace(out, F.lit(f"\x01{word}\x02"), F.lit(f'"{printed}"'))
+    return F.when(text.rlike("NaN|Infinity") & ~text.rlike("[\x01\x02]"), out).otherwise(text)
+
+
+_STRINGS_AND_WORDS = r'(?s)("(?:[^"\\]|\\.)*+")|(-?Infinity|NaN)'  # possessive: no recursion per character
+
 _THEME_FIELDS = ("theme", "priority", "frequency", "examples", "recommendation")
 
 
 def _theme_fields(x: Column) -> Column:
-    """A theme value taken apart: each field and its type name, read once."""
-    fields = [(f, _get(x, f"$.{f}")) for f in _THEME_FIELDS]
-    return F.struct(_kind(x).alias("kind"), *(v.alias(f) for f, v in fields), *(_kind(v).alias(f"{f}_kind") for f, v in fields))
+    """A theme value taken apart: each field, read once, and the value itself."""
+    return F.struct(*(_get(x, f"$.{f}").alias(f) for f in _THEME_FIELDS), x.alias("whole"))
+
+
+def _with_kinds(v: Column) -> Column:
+    """The fields with their type names. A value with one of the fields is an object; only one that has none needs its own."""
+    some = None
+    for f in _THEME_FIELDS:
+        some = v[f].isNotNull() if some is None else some | v[f].isNotNull()
+    kinds = (_kind(v[f]).alias(f"{f}_kind") for f in ("theme", "priority", "frequency", "recommendation"))
+    examples = _get(v["examples"], "$", "array<variant>").alias("items")  # null for anything but a list
+    return F.struct((some | _kind(v["whole"]).startswith("OBJECT")).alias("is_object"), *(v[f].alias(f) for f in _THEME_FIELDS), *kinds, examples)
 
 
 def validate_theme(x: Column) -> Column:
@@ -120,9 +145,7 @@ def validate_theme(x: Column) -> Column:
         F.when(_truthy(*of("theme")), _py_str(*of("theme"))).otherwise(F.lit(UNKNOWN_THEME)).alias("theme"),
         F.when(prio.isin(*VALID_PRIORITIES), prio).otherwise(F.lit(DEFAULT_PRIORITY)).alias("priority"),
         F.coalesce(_py_int(*of("frequency")), F.lit(0).cast("bigint")).alias("frequency"),
-        F.when(x["examples_kind"].startswith("ARRAY"), F.transform(_get(x["examples"], "$", "array<variant>"), lambda e: _py_str(e)))
-        .otherwise(none)
-        .alias("examples"),
+        F.coalesce(F.transform(x["items"], lambda e: _py_str(e)), none).alias("examples"),
         F.when(_truthy(*of("recommendation")), _py_str(*of("recommendation"))).otherwise(F.lit("")).alias("recommendation"),
     )
     bad = F.struct(
@@ -132,7 +155,7 @@ def validate_theme(x: Column) -> Column:
         none.alias("examples"),
         F.lit(INVALID_THEME_RECOMMENDATION).alias("recommendation"),
     )
-    return F.when(x["kind"].startswith("OBJECT"), ok).otherwise(bad)
+    return F.when(x["is_object"], ok).otherwise(bad)
 
 
 def strip_fences(c: Column) -> Column:
@@ -140,77 +163,62 @@ def strip_fences(c: Column) -> Column:
     return strip_ws(F.regexp_replace(F.regexp_replace(c, FENCE_JSON_PATTERN, ""), FENCE_PATTERN, ""))
 
 
-def response_content(responses: DataFrame) -> DataFrame:
-    """Per agent: failure class (or null) and the stripped content string.
+def response_content(responses: DataFrame, carry: tuple[str, ...] = ("agent",)) -> DataFrame:
+    """Per response: failure class (or null) and the stripped content string.
 
     Classes: no_response (null body, unreadable, or an empty value such as ``{}``), error (``error`` key), no_choices,
     exception (``choices[0].message.content`` is missing or not a string).
     """
-    # Staged columns: the envelope is parsed once, the content taken once and its type read before any cast.
-    rows = responses.select("agent", "response", F.try_parse_json(F.col("response")).alias("env"))
-    rows = rows.select("agent", "env", _get(F.col("env"), "$.choices[0].message.content").alias("inner"))
-    env, inner = F.col("env"), F.col("inner")
+    # Staged columns: the envelope is parsed once, each part taken once, the content's type read before any cast.
+    rows = responses.select(*carry, F.try_parse_json(python_json(F.col("response"))).alias("_env"))
+    parts = {"_inner": "$.choices[0].message.content", "_error": "$.error", "_choices": "$.choices"}
+    rows = rows.select(*carry, "_env", *(_get(F.col("_env"), path).alias(name) for name, path in parts.items()))
+    rows = rows.withColumn("_kind", _kind(F.col("_inner")))
+    # An envelope with one of the keys is not empty; only one without needs its type name.
     status = (
-        F.when(~_truthy(env), F.lit("no_response"))
-        .when(_get(env, "$.error").isNotNull(), F.lit("error"))
-        .when(_get(env, "$.choices").isNull(), F.lit("no_choices"))
-        .when(inner.isNull() | (_kind(inner) != "STRING"), F.lit("exception"))
+        F.when(F.col("_error").isNotNull(), F.lit("error"))
+        .when(F.col("_choices").isNotNull(), F.when(F.col("_inner").isNull() | (F.col("_kind") != "STRING"), F.lit("exception")))
+        .when(_truthy(F.col("_env")), F.lit("no_choices"))
+        .otherwise(F.lit("no_response"))
     )
-    content = F.when(_kind(inner) == "STRING", _get(inner, "$", "string"))
-    return rows.select("agent", status.alias("status"), strip_fences(content).alias("content"))
+    content = F.when(F.col("_kind") == "STRING", _get(F.col("_inner"), "$", "string"))
+    return rows.select(*carry, status.alias("status"), strip_fences(content).alias("content"))
 
 
-def _first_object_ends_last(content: Column) -> Column:
-    """True when the object that opens ``content`` is closed by its last bracket.
+def single_value(content: Column) -> Column:
+    """The JSON value that makes up all of ``content``, as Python's ``json.loads`` reads it; null for anything else.
 
-    ``try_parse_json`` reads the first value and ignores what follows;
-    Python's json rejects any extra data. String literals are blanked
-    first (their brackets do not count), then only brackets are kept and
-    the running depth finds where the first object closes. Together with
-    "the text ends with '}'" this means nothing follows the object.
+    ``try_parse_json`` reads the first value and ignores what follows. So the
+    text is read as the first element of a list whose second one is a hash of
+    the text itself: text after the value, another value or a stray bracket
+    either breaks the list or shifts the hash from its place, which no text
+    can repair, as none holds its own hash.
     """
-    no_strings = F.regexp_replace(content, r'(?s)"(?:[^"\\]|\\.)*+"', '""')  # possessive: no recursion per character
-    marks = F.regexp_replace(no_strings, r"[^\[\]{}]", "")
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed_at"), F.lit(0).alias("pos"))
+    mark = F.md5(content)
+    listed = F.try_parse_json(F.concat(F.lit("["), python_json(content), F.lit(',"'), mark, F.lit('"]')))
+    return F.transform(
+        F.array(listed), lambda v: F.when((_get(v, "$[1]", "string") == mark) & _get(v, "$[2]").isNull(), _get(v, "$[0]"))
+    )[0]
 
-    def step(acc: Column, ch: Column) -> Column:
-        depth = acc["depth"] + F.when(ch.isin("{", "["), 1).when(ch.isin("}", "]"), -1).otherwise(0)
-        first_close = (acc["closed_at"] == 0) & (depth == 0) & (ch != "")
-        return F.struct(
-            depth.alias("depth"),
-            F.when(first_close, acc["pos"] + 1).otherwise(acc["closed_at"]).alias("closed_at"),
-            (acc["pos"] + 1).alias("pos"),
-        )
 
-    closed_at = F.aggregate(F.split(marks, ""), start, step, lambda acc: acc["closed_at"])
-    return content.endswith("}") & (closed_at == F.length(marks))
-
-
-def parse_insights(responses: DataFrame) -> DataFrame:
+def parse_insights(responses: DataFrame, carry: tuple[str, ...] = ("agent",)) -> DataFrame:
     """Responses → (agent, status, insight VARIANT): insight is set only for a usable non-empty object.
 
-    The content must parse as JSON with nothing after the object (Python
-    rejects extra data, including a second object).
+    The content must be one JSON object and nothing else. ``carry`` names the columns that come along.
     """
-    rc = response_content(responses)
-    # Staged columns: the JSON is parsed once, its type read once, the
-    # extra-data check run once and only for objects; status is then a column.
-    parsed = rc.select("agent", "status", "content", F.try_parse_json(F.col("content")).alias("parsed"))
-    typed = parsed.select("*", _kind(F.col("parsed")).alias("kind"))
-    checked = typed.select(
-        "*", F.when(F.col("kind").startswith("OBJECT"), _first_object_ends_last(F.col("content"))).alias("single")
-    )
-    kind = F.col("kind")
+    # Staged columns: the JSON is parsed once and its top level read once; status is then a column.
+    parsed = response_content(responses, carry).withColumn("_value", single_value(F.col("content")))
+    fields = parsed.withColumn("_fields", F.size(_get(F.col("_value"), "$", "map<string,variant>")))
+    value, size = F.col("_value"), F.col("_fields")
     status = (
         F.when(F.col("status").isNotNull(), F.col("status"))
-        .when(F.col("parsed").isNull(), F.lit("bad_json"))
-        .when(~kind.startswith("OBJECT"), F.when(_truthy(F.col("parsed")), F.lit("not_object")).otherwise(F.lit("empty")))
-        .when(~F.col("single"), F.lit("bad_json"))
-        .when(kind == "OBJECT<>", F.lit("empty"))
-        .otherwise(F.lit("ok"))
+        .when(value.isNull(), F.lit("bad_json"))
+        .when(size > 0, F.lit("ok"))
+        .when(size == 0, F.lit("empty"))
+        .otherwise(F.when(_truthy(value), F.lit("not_object")).otherwise(F.lit("empty")))
     )
-    with_status = checked.select("agent", status.alias("status"), "parsed")
-    return with_status.select("agent", "status", F.when(F.col("status") == "ok", F.col("parsed")).alias("insight"))
+    with_status = fields.select(*carry, status.alias("status"), "_value")
+    return with_status.select(*carry, "status", F.when(F.col("status") == "ok", value).alias("insight"))
 
 
 def response_errors(responses: DataFrame) -> DataFrame:
@@ -219,12 +227,11 @@ def response_errors(responses: DataFrame) -> DataFrame:
 
 
 def _theme_list(v: Column) -> Column:
-    """``coaching_themes`` as ARRAY<VARIANT> with falsy entries skipped; a non-list gives []."""
-    themes_v = _get(v, "$.coaching_themes")
-    arr = F.when(_kind(themes_v).startswith("ARRAY"), _get(themes_v, "$", "array<variant>")).otherwise(
-        F.array().cast("array<variant>")
-    )
-    return F.filter(arr, lambda x: _truthy(x))
+    """``coaching_themes`` as entries taken apart, falsy ones skipped; a non-list gives []."""
+    arr = F.coalesce(_get(v, "$.coaching_themes", "array<variant>"), F.array().cast("array<variant>"))
+    taken = F.transform(arr, _theme_fields)
+    some = lambda x: x["theme"].isNotNull() | x["recommendation"].isNotNull()  # noqa: E731  an object that is not empty
+    return F.transform(F.filter(taken, lambda x: some(x) | _truthy(x["whole"])), _with_kinds)
 
 
 def validate_insights(responses: DataFrame) -> DataFrame:
@@ -240,7 +247,7 @@ def validate_insights(responses: DataFrame) -> DataFrame:
     insight = F.col("insight")
     return p.select(
         "agent",
-        F.transform(F.transform(_theme_list(insight), _theme_fields), validate_theme).cast(THEME_TYPE).alias("coaching_themes"),
+        F.transform(_theme_list(insight), validate_theme).cast(THEME_TYPE).alias("coaching_themes"),
         F.coalesce(_str_list(_get(insight, "$.strengths")), F.array().cast("array<string>")).alias("strengths"),
     )
 
@@ -282,6 +289,9 @@ def merge_insights(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def attach_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Each request with its response; requests that failed (none came back, or not a usable one) are dropped."""
-    usable = response_errors(responses).where(F.col("status") == "ok").select("agent").distinct()
-    return requests.join(responses, "agent").join(usable, "agent", "left_semi")
+    """Each request with its response; requests that failed (none came back, or not a usable one) are dropped.
+
+    Every response is judged by itself: of an agent with a usable and a failed one, the usable one is attached.
+    """
+    usable = parse_insights(responses, carry=tuple(responses.columns)).where(F.col("status") == "ok")
+    return requests.join(usable.select(*responses.columns), "agent")

@@ -57,6 +57,16 @@ def call_means(turns: DataFrame) -> DataFrame:
     )
 
 
+def head_means(heads: DataFrame) -> DataFrame:
+    """``call_means`` from ``call_heads`` rows: each row's score counts once for each of its turns."""
+    s = F.col("sentiment_score")
+    scored = F.when(~F.isnan(s), s)
+    turns = F.col("n_turns")
+    total = F.sum(F.when(scored.isNotNull(), turns))
+    mean = F.when(F.min(scored) == F.max(scored), F.min(scored)).otherwise(F.sum(scored * turns) / total)  # one score: exactly that
+    return heads.where(F.col("agent").isNotNull()).groupBy("agent", "call_id").agg(mean.alias("avg_sentiment"))
+
+
 def worst_calls(turns: DataFrame, k: int = 5) -> DataFrame:
     """Per agent the ``k`` calls with the lowest mean sentiment (ties by call_id).
 
@@ -107,7 +117,15 @@ def review_calls(turns: DataFrame, min_calls: int = 10, k: int = 5, previous_age
     eligible agents. Both sides of that filter have at most k rows per
     agent, so no join here ever sees a hot agent's calls, let alone its turns.
     """
-    per_call = call_means(turns)
+    return _review_of(call_means(turns), min_calls, k, previous_agents)
+
+
+def review_heads(heads: DataFrame, min_calls: int = 10, k: int = 5, previous_agents: DataFrame | None = None) -> DataFrame:
+    """``review_calls`` from ``call_heads`` rows."""
+    return _review_of(head_means(heads), min_calls, k, previous_agents)
+
+
+def _review_of(per_call: DataFrame, min_calls: int, k: int, previous_agents: DataFrame | None) -> DataFrame:
     counts = per_call.groupBy("agent").agg(F.count("call_id").alias("n_calls"))
     agents = counts.where(F.col("n_calls") >= min_calls).select("agent")
     if previous_agents is not None:
@@ -140,6 +158,13 @@ def first_messages(turns: DataFrame, n: int = 3, speakers: tuple[str, ...] = ("a
     )
 
 
+def first_of_heads(heads: DataFrame, n: int = 3) -> DataFrame:
+    """``first_messages`` from ``call_heads`` rows: at most ``n`` messages of a side and row are ranked, never a call's turns."""
+    sides = F.array(*(F.struct(F.lit(side).alias("speaker"), F.col(c).alias("items")) for side, c in (("customer", "customer"), ("agent", "agent_side"))))
+    rows = heads.select("agent", "call_id", F.explode(sides).alias("s")).select("agent", "call_id", "s.speaker", F.explode("s.items").alias("m"))
+    return first_messages(rows.select("agent", "call_id", "speaker", "m.turn_idx", "m.message"), n)
+
+
 def call_ordinal(selected: DataFrame) -> DataFrame:
     """1..n number of each selected call inside its agent, by first appearance (call_id order).
 

@@ -149,6 +149,36 @@ def _pillar_names() -> Column:
     return F.array(*[F.lit(p) for p in PILLARS])
 
 
+def theme_table(theme_rows: DataFrame) -> DataFrame:
+    """(agent, theme, priority, n): how often each theme stands for an agent at each priority.
+
+    A mergeable table that every one-row summary is read off. Each reader uses
+    ``n``, so all of them share one aggregation: Spark runs its exchange once
+    and reuses it, and the theme rows are read once.
+    """
+    return theme_rows.groupBy("agent", "theme", "priority").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+def priority_split(table: DataFrame) -> DataFrame:
+    """``priority_dist`` off a theme table."""
+    p = F.col("priority")
+    return table.agg(*[F.coalesce(F.sum(F.when(p == v, F.col("n")).otherwise(0)), F.lit(0)).cast("bigint").alias(v) for v in ("high", "medium", "low")])
+
+
+def agent_totals(table: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """One row off a theme table: agents, themes, and agents with four themes or more (priority_coaching) or two to three (moderate)."""
+    per_agent = table.groupBy("agent").agg(F.sum("n").alias("n"))
+    if agents is not None:
+        per_agent = per_agent.unionByName(agents.select("agent", F.lit(0).cast("bigint").alias("n"))).groupBy("agent").agg(F.sum("n").alias("n"))
+    n = F.col("n")
+    return per_agent.agg(
+        F.count(n).cast("bigint").alias("total_agents"),
+        F.sum(n).cast("bigint").alias("total_themes"),
+        F.sum(F.when(n >= 4, 1).otherwise(0)).cast("bigint").alias("priority_coaching"),
+        F.sum(F.when((n >= 2) & (n < 4), 1).otherwise(0)).cast("bigint").alias("moderate"),
+    )
+
+
 def theme_counts(theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
     """Rows per theme and pct = rows / total agents × 100."""
     n_agents = one_value(agents_of(theme_rows, agents).agg(F.count(F.lit(1)).alias("n_agents")))
@@ -170,18 +200,35 @@ def _ranked_top(theme_rows: DataFrame, k: int) -> DataFrame:
     The per-task top k runs before any exchange (TakeOrderedAndProject), so
     only k rows per task move; the final array holds at most k entries.
     """
-    counts = theme_rows.groupBy("theme").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return _ranked(theme_rows.groupBy("theme").agg(F.count(F.lit(1)).cast("bigint").alias("n")), k)
+
+
+def _ranked(counts: DataFrame, k: int) -> DataFrame:
     top = counts.orderBy(F.desc("n"), F.asc("theme")).limit(k)  # top-k is the feature
     return top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg_n"), "theme", "n"))).alias("t"))
 
 
 def top_themes(theme_rows: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` most frequent themes (ties by theme), with rank 1..k."""
-    return _ranked_top(theme_rows, k).select(F.posexplode("t").alias("i", "x")).select(
+    return _as_rows(_ranked_top(theme_rows, k))
+
+
+def _as_rows(ranked: DataFrame) -> DataFrame:
+    return ranked.select(F.posexplode("t").alias("i", "x")).select(
         F.col("x.theme").alias("theme"), F.col("x.n").alias("n"), (F.col("i") + 1).cast("int").alias("rank")
     )
 
 
+def theme_totals(table: DataFrame) -> DataFrame:
+    """(theme, n) off a theme table."""
+    return table.groupBy("theme").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+def top_of(table: DataFrame, k: int) -> DataFrame:
+    """``top_themes`` off a theme table."""
+    return _as_rows(_ranked(theme_totals(table), k))
+
+
 def theme_bars(theme_rows: DataFrame, k: int = 8) -> DataFrame:
     """Top ``k`` themes with their bar length = n / max n × 100 (the max is the first entry)."""
     return _ranked_top(theme_rows, k).select(F.posexplode("t").alias("i", "x"), F.col("t")[0]["n"].alias("max_n")).select(
@@ -195,7 +242,10 @@ def theme_bars(theme_rows: DataFrame, k: int = 8) -> DataFrame:
 def pillar_demand(theme_rows: DataFrame) -> DataFrame:
     """Per pillar: theme rows matching it case-insensitively (a row may count for several pillars)."""
     # Each different theme is tested once; its rows are counted before.
-    counts = theme_rows.groupBy("theme").agg(F.count(F.lit(1)).alias("n"))
+    return _demand(theme_rows.groupBy("theme").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _demand(counts: DataFrame) -> DataFrame:
     th = F.col("theme")
     wide = counts.agg(
         *[F.coalesce(F.sum(F.when(pillar_match(th, i, True), F.col("n")).otherwise(0)), F.lit(0)).cast("bigint").alias(f"p{i}") for i in range(len(PILLARS))]
@@ -210,7 +260,10 @@ def pillar_demand(theme_rows: DataFrame) -> DataFrame:
 
 def top_pillar(theme_rows: DataFrame) -> DataFrame:
     """One row: the pillar with the largest demand (ties by pillar order), else the fallback with 0."""
-    d = pillar_demand(theme_rows)
+    return _top_demand(pillar_demand(theme_rows))
+
+
+def _top_demand(d: DataFrame) -> DataFrame:
     best = d.orderBy(F.desc("n"), F.asc("pillar_ord")).limit(1)
     fallback = d.sparkSession.createDataFrame([(99, FALLBACK_PILLAR, 0)], "pillar_ord INT, pillar STRING, n BIGINT")
     both = best.unionByName(fallback)
@@ -471,19 +524,33 @@ def theme_card_text(theme_rows: DataFrame) -> DataFrame:
     )
 
 
-def report_header(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
-    """One row: distinct calls, agents in the insights, total themes, mean sentiment (turn-weighted)."""
+def call_totals(turns: DataFrame) -> DataFrame:
+    """One row: different calls, different agents (null left out) and the mean sentiment over turns.
+
+    Turns are summed up to (agent, call) once; each such row then counts once
+    for its call and once for its agent.
+    """
     s = F.col("sentiment_score")
-    t = turns.agg(
-        F.countDistinct("call_id").cast("bigint").alias("total_calls"),
-        F.avg(F.when(~F.isnan(s), s)).alias("_avg"),
+    score = F.when(~F.isnan(s), s)
+    per_call = turns.groupBy("agent", "call_id").agg(F.sum(score).alias("s"), F.count(score).alias("n"))
+    zero, nothing = F.lit(0).cast("bigint"), F.lit(None).cast("double")
+    roles = F.array(
+        F.struct(F.lit("call").alias("role"), F.col("call_id").cast("string").alias("name"), F.col("s").alias("s"), F.col("n").alias("n")),
+        F.struct(F.lit("agent").alias("role"), F.col("agent").alias("name"), nothing.alias("s"), zero.alias("n")),
     )
-    a = one_value(agents_of(theme_rows, agents).agg(F.count(F.lit(1)).cast("bigint").alias("total_agents")))
-    th = one_value(theme_rows.agg(F.count(F.lit(1)).cast("bigint").alias("total_themes")))
-    return t.select(
+    each = per_call.select(F.inline(roles)).groupBy("role", "name").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    named = lambda role: F.count(F.when(F.col("role") == role, F.col("name"))).cast("bigint")
+    return each.agg(named("call").alias("total_calls"), named("agent").alias("total_agents"), F.try_divide(F.sum("s"), F.sum("n")).alias("avg_sentiment"))
+
+
+def report_header(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """One row: distinct calls, agents in the insights, total themes, mean sentiment (turn-weighted)."""
+    t = call_totals(turns).select("total_calls", F.col("avg_sentiment").alias("_avg"))
+    row = t.select("*", one_row(agent_totals(theme_table(theme_rows), agents)).alias("_a"))
+    return row.select(
         "total_calls",
-        a.alias("total_agents"),
-        th.alias("total_themes"),
+        F.col("_a.total_agents").alias("total_agents"),
+        F.coalesce(F.col("_a.total_themes"), F.lit(0)).cast("bigint").alias("total_themes"),
         F.col("_avg").alias("avg_sentiment"),
         # The text is formatted from the unrounded mean, with Python's rounding.
         F.when(F.col("_avg") > 0, py_fixed(F.col("_avg"), 2)).otherwise(F.lit(NO_THEME)).alias("avg_sentiment_text"),
@@ -491,10 +558,14 @@ def report_header(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | N
 
 
 def exec_summary(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | None = None) -> DataFrame:
-    """One row: header numbers, priority split, top 3 themes, top pillar, segment counts."""
-    h = report_header(turns, theme_rows, agents).select("total_calls", "total_agents", "avg_sentiment")
-    p = priority_dist(theme_rows)
-    top3 = top_themes(theme_rows, 3).agg(
+    """One row: header numbers, priority split, top 3 themes, top pillar, segment counts.
+
+    The turns are read once (``call_totals``) and the theme rows once (``theme_table``).
+    """
+    table = theme_table(theme_rows)
+    h = call_totals(turns).select("total_calls", "avg_sentiment")
+    p = priority_split(table)
+    top3 = top_of(table, 3).agg(
         F.array_sort(F.collect_list(F.struct("rank", "theme", "n"))).alias("t")  # ≤ 3 rows
     ).select(
         F.array_join(
@@ -502,18 +573,15 @@ def exec_summary(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | No
         ).alias("text"),
         F.coalesce(F.col("t")[0]["theme"], F.lit("")).alias("focus"),
     )
-    tp = top_pillar(theme_rows)
-    seg = agent_theme_counts(theme_rows, agents).agg(
-        F.sum(F.when(F.col("n_themes") >= 4, 1).otherwise(0)).cast("bigint").alias("priority_coaching"),
-        F.sum(F.when((F.col("n_themes") >= 2) & (F.col("n_themes") < 4), 1).otherwise(0)).cast("bigint").alias("moderate"),
-    )
+    tp = _top_demand(_demand(theme_totals(table)))
+    seg = agent_totals(table, agents)
     # h is the one-row base; each other one-row table is attached once as a struct column.
     wide = h.select(
         "*", one_row(p).alias("_p"), one_row(tp).alias("_tp"), one_row(seg).alias("_seg"), one_row(top3).alias("_top3")
     )
     return wide.select(
         "total_calls",
-        "total_agents",
+        F.col("_seg.total_agents").alias("total_agents"),
         "avg_sentiment",
         F.col("_p.high").alias("high_themes"),
         F.col("_p.medium").alias("medium_themes"),
@@ -522,7 +590,12 @@ def exec_summary(turns: DataFrame, theme_rows: DataFrame, agents: DataFrame | No
         F.col("_top3.focus").alias("focus_theme"),
         F.col("_tp.top_pillar").alias("top_pillar"),
         F.col("_tp.top_pillar_n").alias("top_pillar_n"),
-        (F.col("total_agents") - F.col("_seg.priority_coaching") - F.col("_seg.moderate")).alias("high_performers"),
-        F.col("_seg.moderate").alias("moderate"),
-        F.col("_seg.priority_coaching").alias("priority_coaching"),
+        (F.col("_seg.total_agents") - _none(F.col("_seg.priority_coaching")) - _none(F.col("_seg.moderate"))).alias("high_performers"),
+        _none(F.col("_seg.moderate")).alias("moderate"),
+        _none(F.col("_seg.priority_coaching")).alias("priority_coaching"),
     )
+
+
+def _none(count: Column) -> Column:
+    """A sum over no rows is 0."""
+    return F.coalesce(count, F.lit(0)).cast("bigint")

@@ -98,6 +98,34 @@ def clean_turns(t: Column, redact: bool = True) -> Column:
     )
 
 
+def _side(turns: Column, speaker: str, n: int) -> Column:
+    """The first ``n`` turns of one side, redacted: ARRAY<STRUCT<turn_idx, message>>."""
+    own = F.slice(F.filter(turns, lambda x: x["speaker"] == speaker), 1, n)
+    return F.transform(own, lambda x: F.struct(x["turn_idx"].alias("turn_idx"), T.redact_pii(x["message"]).alias("message")))
+
+
+def call_heads(calls: DataFrame, n: int = 3) -> DataFrame:
+    """``calls`` → per row its number of turns and the first ``n`` messages of either side; calls without turns are left out.
+
+    Everything a digest needs, taken from the call's turn array in the parsing
+    pass itself: no turn rows, no window, no shuffle, and only the messages that
+    are kept are redacted. The result is a small part of the transcripts.
+    """
+    parsed = calls.withColumn("_turns", _clean_turns_of("transcript", False)).filter("size(_turns) > 0")
+    # A generator's output is computed once a row; a plain column would be parsed again for each use.
+    numbered = F.transform("_turns", lambda x, i: F.struct(i.cast("int").alias("turn_idx"), x["speaker"].alias("speaker"), x["message"].alias("message")))
+    once = parsed.select("call_id", "agent", "sentiment_score", F.explode(F.array(numbered)).alias("turns"))
+    turns = F.col("turns")
+    return once.select(
+        "call_id",
+        "agent",
+        "sentiment_score",
+        F.size(turns).cast("bigint").alias("n_turns"),
+        _side(turns, "customer", n).alias("customer"),
+        _side(turns, "agent", n).alias("agent_side"),
+    )
+
+
 @lru_cache(maxsize=16)
 def _clean_turns_of(column: str, redact: bool) -> Column:
     """``clean_turns`` of a named column, built once per process.

@@ -18,7 +18,7 @@ from callsight.operators import transcripts as P
 from callsight.plans import fixtures as X
 from callsight.plans import oracle as O
 from callsight.functions.text import pad_left
-from callsight.session import ensure_checkpoint_dir, scratch_path
+from callsight.session import ensure_checkpoint_dir, scratch_path, table_version, when_removed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,7 +63,13 @@ def register(name: str, sql: str | None = None):
 # -- shared inputs -----------------------------------------------------------
 
 
-_LANDED: dict[tuple[str, str], dict[str, str]] = {}
+_LANDED: dict[tuple[str, ...], dict[str, str]] = {}
+when_removed(_LANDED.clear)
+
+
+def _input_key(spark: SparkSession, sf: str, *tables: str) -> tuple[str, ...]:
+    """Names a written copy by what it was made of: the session, and the input tables as they are now."""
+    return spark.sparkContext.applicationId, sf, *(table_version(spark, f"{sf.rstrip('/')}/{t}.parquet") for t in tables)
 
 
 def land_inputs(spark: SparkSession, sf: str) -> None:
@@ -71,7 +77,7 @@ def land_inputs(spark: SparkSession, sf: str) -> None:
 
     For measurements: the queries are then timed without making their inputs.
     """
-    key = spark.sparkContext.applicationId, sf
+    key = _input_key(spark, sf, "conversations", "documents")
     if key in _LANDED:
         return
     made = {"calls": calls(spark, sf), "theme_rows": theme_rows(spark, sf)}
@@ -83,7 +89,7 @@ def land_inputs(spark: SparkSession, sf: str) -> None:
 
 
 def _landed(spark: SparkSession, sf: str, name: str) -> DataFrame | None:
-    paths = _LANDED.get((spark.sparkContext.applicationId, sf)) if _LANDED else None
+    paths = _LANDED.get(_input_key(spark, sf, "conversations", "documents")) if _LANDED else None
     return spark.read.parquet(paths[name]) if paths else None
 
 
@@ -410,7 +416,7 @@ register(
       (SELECT round(avg(sentiment_score), 6) FROM turns) AS avg_sentiment,
       (SELECT CASE WHEN avg(sentiment_score) > 0 THEN printf('%.2f', avg(sentiment_score))
          ELSE 'N/A' END FROM turns) AS avg_sentiment_text""",
-)(lambda spark, sf: H.report_header(turns(spark, sf), theme_rows(spark, sf)))
+)(lambda spark, sf: H.report_header(counted_turns(spark, sf), theme_rows(spark, sf)))
 
 EXEC_CTES = BOTH.rstrip("\n") + ",\n" + ",\n".join([DEMAND_SQL, AGENT_COUNTS_SQL]) + "\n"
 EXEC_SQL = f"""SELECT (SELECT cast(count(DISTINCT call_id) AS bigint) FROM turns) AS total_calls,
@@ -427,7 +433,7 @@ EXEC_SQL = f"""SELECT (SELECT cast(count(DISTINCT call_id) AS bigint) FROM turns
       (SELECT cast(count(*) FILTER (WHERE n_themes < 2) AS bigint) FROM ac) AS high_performers,
       (SELECT cast(count(*) FILTER (WHERE n_themes >= 2 AND n_themes < 4) AS bigint) FROM ac) AS moderate,
       (SELECT cast(count(*) FILTER (WHERE n_themes >= 4) AS bigint) FROM ac) AS priority_coaching"""
-register("exec_summary", EXEC_CTES + EXEC_SQL)(lambda spark, sf: H.exec_summary(turns(spark, sf), theme_rows(spark, sf)))
+register("exec_summary", EXEC_CTES + EXEC_SQL)(lambda spark, sf: H.exec_summary(counted_turns(spark, sf), theme_rows(spark, sf)))
 
 # -- request building (F1 review turns) -----------------------------------
 
@@ -440,12 +446,13 @@ MODEL = "test-model"
 RUN_STAMP = "2025-02-07T13:00:00"
 
 
-_TURN_TABLES: dict[tuple[str, str], str] = {}
+_TURN_TABLES: dict[tuple[str, ...], str] = {}
+when_removed(_TURN_TABLES.clear)
 
 
 def stored_turns(spark: SparkSession, sf: str) -> DataFrame:
     """The turn table, parsed and written to the shared scratch folder once per session and dataset, then read."""
-    key = spark.sparkContext.applicationId, sf
+    key = _input_key(spark, sf, "conversations")
     if key not in _TURN_TABLES:
         path = scratch_path(spark, "turns")
         P.register_turns(turns(spark, sf), path)
@@ -459,14 +466,19 @@ def _review(spark: SparkSession, sf: str):
     return S.selected_turns(t, sel), sel
 
 
-def _digests(spark: SparkSession, sf: str):
-    review, sel = _review(spark, sf)
-    return R.call_digest(review, sel)
+def heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Each call's turn count and first messages, parsed in one scan, written, and read by every step of a digest."""
+    path = scratch_path(spark, "heads")
+    P.call_heads(calls(spark, sf)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def _digests_of(t: DataFrame, min_calls: int, previous_agents: DataFrame) -> DataFrame:
-    sel = S.review_calls(t, min_calls, 5, previous_agents)
-    return R.call_digest(S.selected_turns(t, sel), sel)
+def _digests_of(h: DataFrame, min_calls: int, previous_agents: DataFrame | None = None) -> DataFrame:
+    return R.digest_of_heads(h, S.review_heads(h, min_calls, 5, previous_agents))  # ≤ 5 calls per agent
+
+
+def _digests(spark: SparkSession, sf: str):
+    return _digests_of(heads(spark, sf), MIN_CALLS)
 
 
 SCOPED_SQL = f"""scoped AS (SELECT * FROM turns WHERE agent IN (SELECT agent FROM ({AGENT_CALLS_SQL}) WHERE n_calls >= {MIN_CALLS})),
@@ -509,7 +521,7 @@ register(
     "call_digest_wide",
     TC.rstrip("\n") + ",\n" + WIDE_SQL.replace("WHERE rn <= 10", "")
     + DIGEST_SQL.format(short="message", cust_label="Customer issues", agent_label="Agent responses"),
-)(lambda spark, sf: R.call_digest_wide(stored_turns(spark, sf)))
+)(lambda spark, sf: R.call_digest_wide(heads(spark, sf)))
 
 
 def _digest_ctes(head: str, short: str, cust_label: str, agent_label: str) -> str:
@@ -545,10 +557,13 @@ PROMPT_DIGESTS_SQL = _digest_ctes(
     "Agent",
 )
 PROMPTS_SQL = PROMPT_DIGESTS_SQL + "\n" + _prompt_select(False, "count(*)")
+PART_SQL = "cast((dg.call_no - 1) // 10 + 1 AS int)"
 WIDE_PROMPTS_SQL = (
-    _digest_ctes(TC.rstrip("\n") + ",\n" + WIDE_SQL, "message", "Customer issues", "Agent responses")
+    _digest_ctes(TC.rstrip("\n") + ",\n" + WIDE_SQL.replace("WHERE rn <= 10", ""), "message", "Customer issues", "Agent responses")
     + f",\n  cc AS ({AGENT_CALLS_SQL})\n"
-    + _prompt_select(True, "cc.n_calls", "JOIN cc ON cc.agent = dg.agent", "dg.agent, cc.n_calls")
+    + _prompt_select(True, "cc.n_calls", "JOIN cc ON cc.agent = dg.agent", f"dg.agent, {PART_SQL}, cc.n_calls").replace(
+        "SELECT dg.agent AS agent", f"SELECT dg.agent AS agent, {PART_SQL} AS part"
+    )
 )
 REQUESTS_SQL = (
     PROMPT_DIGESTS_SQL
@@ -566,8 +581,8 @@ FROM pr"""
 def _prompts_wide(spark: SparkSession, sf: str):
     from callsight.operators.themes import DEFAULT_THEMES
 
-    t = stored_turns(spark, sf)
-    return R.agent_prompts(R.call_digest_wide(t, R.LEGACY_MAX_CALLS), DEFAULT_THEMES, legacy=True, n_calls=A.agent_call_counts(t))
+    h = heads(spark, sf)
+    return R.agent_prompts(R.call_digest_wide(h), DEFAULT_THEMES, legacy=True, n_calls=A.agent_call_counts(h), per_prompt=R.LEGACY_CALLS_PER_PROMPT)
 
 
 def _prompts(spark: SparkSession, sf: str):
@@ -780,7 +795,7 @@ SELECT qs.question_id, qs.question, qs.route, qs.agent,
     WHEN 'help' THEN 'I can answer questions about call counts, agent counts, and sentiment averages. Try rephrasing!'
   END AS answer
 FROM qs LEFT JOIN needs ON needs.agent = qs.agent""",
-)(lambda spark, sf: Q.answer_questions(_questions(spark, sf), turns(spark, sf), theme_rows(spark, sf)))
+)(lambda spark, sf: Q.answer_questions(_questions(spark, sf), counted_turns(spark, sf), theme_rows(spark, sf)))
 
 # -- sessions ------------------------------------------------------------------
 
@@ -866,7 +881,7 @@ def _incremental(spark: SparkSession, sf: str):
     K.save_session(stored.select("agent", F.array(theme("old")).alias("coaching_themes"), F.array(F.lit("stored")).alias("strengths")), path, fh, TS_OLD, MODEL)
 
     session = K.latest_session(spark, path, fh)
-    prompts = R.agent_prompts(_digests_of(t, 2, K.previous_agents(session)), H.DEFAULT_THEMES)
+    prompts = R.agent_prompts(_digests_of(heads(spark, sf), 2, K.previous_agents(session)), H.DEFAULT_THEMES)
     requests = R.request_rows(prompts, S.agent_batches(prompts.select("agent"), 20), MODEL)
     # The model's answers come from outside the job; here each request is answered with two themes.
     content = F.to_json(F.struct(F.array(theme("one"), theme("two")).alias("coaching_themes"), F.array(F.lit("new")).alias("strengths")))
@@ -883,7 +898,7 @@ register(
     BOTH + f"""SELECT '{RUN_STAMP}' AS processed_at, '{MODEL}' AS model_used,
       (SELECT cast(count(DISTINCT call_id) AS bigint) FROM turns) AS total_calls,
       (SELECT cast(count(DISTINCT agent) AS bigint) FROM theme_rows) AS total_agents""",
-)(lambda spark, sf: K.session_metadata(turns(spark, sf), X.insights_from_theme_rows(theme_rows(spark, sf)), RUN_STAMP, MODEL))
+)(lambda spark, sf: K.session_metadata(counted_turns(spark, sf), X.insights_from_theme_rows(theme_rows(spark, sf)), RUN_STAMP, MODEL))
 
 INS_CTES = THC.rstrip("\n") + ",\n" + O.INSIGHTS.strip() + "\n"
 register(
@@ -1031,7 +1046,7 @@ SELECT total_agents, total_calls, round(avg_s, 6) AS avg_sentiment, high_themes,
   '- Low Priority: ' || cast(low_themes AS varchar) || ' themes' || chr(10) ||
   {O.quote_sql(RP.CONTEXT_TEMPLATE.split("{low} themes" + chr(10))[1])} AS context_text
 FROM nums""",
-)(lambda spark, sf: RP.analytics_context(turns(spark, sf), theme_rows(spark, sf)))
+)(lambda spark, sf: RP.analytics_context(counted_turns(spark, sf), theme_rows(spark, sf)))
 
 _SUMMARY = {
     "agents": "cast(total_agents AS varchar)", "calls": "format('{:,}', total_calls)", "date": "'February 07, 2025'",
@@ -1042,7 +1057,7 @@ _SUMMARY = {
     "workshop": "CASE WHEN focus_theme <> '' THEN '- Conduct focused workshop on ' || focus_theme || ' (most common challenge)' || chr(10) ELSE '' END",
 }
 register("exec_summary_text", f"{EXEC_CTES} SELECT {O.text_template(RP.SUMMARY_TEMPLATE, _SUMMARY)} AS summary_text FROM ({EXEC_SQL})")(
-    lambda spark, sf: RP.exec_summary_text(turns(spark, sf), theme_rows(spark, sf), run_date="February 07, 2025")
+    lambda spark, sf: RP.exec_summary_text(counted_turns(spark, sf), theme_rows(spark, sf), run_date="February 07, 2025")
 )
 
 register(

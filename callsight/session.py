@@ -12,6 +12,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -69,11 +70,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _scratch: list[str] = []
+_forget: list[Callable[[], None]] = []
+
+
+def when_removed(forget: Callable[[], None]) -> None:
+    """Has ``forget`` called when scratch tables go: for whoever remembers the path of one."""
+    _forget.append(forget)
 
 
 def remove_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch tables of this process, when no result that reads them is needed any more."""
+    """Deletes the scratch tables of this process, when no result that reads them is needed any more, and what remembers them."""
+    for forget in _forget:
+        forget()
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     while _scratch:
         path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+def table_version(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files: changes when the table does."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(folder)
+    return ";".join(sorted(f"{x.getPath().getName()} {x.getLen()} {x.getModificationTime()}" for x in found))

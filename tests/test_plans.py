@@ -66,7 +66,8 @@ def test_scalar_values_are_planned_once(spark):
     assert max(worst.values()) <= 6, sorted(worst.items(), key=lambda kv: -kv[1])[:5]
 
 
-COUNTS = ["total_calls", "total_agents", "volume_counts", "sentiment_stats", "flow_stats", "speaker_counts", "kpi_row", "call_sentiment", "agent_call_counts"]
+COUNTS = ["total_calls", "total_agents", "volume_counts", "sentiment_stats", "flow_stats", "speaker_counts", "kpi_row", "call_sentiment", "agent_call_counts",
+          "report_header", "exec_summary", "exec_summary_text", "analytics_context", "session_metadata", "answer_questions"]
 
 
 @pytest.mark.parametrize("name", COUNTS)
@@ -82,3 +83,30 @@ def test_scans(spark, name, most):
 
 def test_answers_read_no_turn_twice_in_one_aggregate(spark):
     assert "Expand" not in _plan(catalog.QUERIES["answer_questions"](spark, MEDIUM))
+
+
+def _scans_run(df) -> int:
+    """File scans of the plan that ran: a reused exchange is none."""
+    df.collect()
+    plan = _plan(df)
+    return sum(x.split("== Initial Plan ==")[0].count("FileScan") for x in plan.split("== Final Plan ==")[1:])
+
+
+@pytest.mark.parametrize("name, most", [("report_header", 2), ("exec_summary", 2), ("exec_summary_text", 2), ("analytics_context", 2), ("question_intent", 2), ("answer_questions", 4)])
+def test_summaries_read_each_table_once(spark, name, most):
+    # answer_questions: turns, theme table, needs texts, and the questions themselves (made from the theme rows here).
+    assert _scans_run(catalog.QUERIES[name](spark, MEDIUM)) <= most
+
+
+def test_heads_are_one_scan_without_a_shuffle(spark):
+    from callsight.operators import transcripts as P
+
+    p = _plan(P.call_heads(catalog.calls(spark, MEDIUM)))
+    calls = _plan(catalog.calls(spark, MEDIUM))
+    assert p.count("FileScan") == 1 and "Window" not in p and p.count("Exchange") == calls.count("Exchange")
+
+
+@pytest.mark.parametrize("name", ["call_digest", "call_digest_wide", "agent_prompt", "agent_prompt_wide"])
+def test_digests_read_heads_alone(spark, name):
+    p = _plan(catalog.QUERIES[name](spark, MEDIUM))
+    assert "transcript" not in p and "regexp" not in p.lower() and "heads-" in p

@@ -59,3 +59,14 @@ def test_digest_sentiment_uses_python_rounding(spark):
     calls = review.select("agent", "call_id").distinct()
     got = {r.call_id: r.digest.split("\n")[0] for r in R.call_digest(review, calls).collect()}
     assert got == {"c1": f"Call 1: [Sentiment: {0.125:.2f}]", "c2": f"Call 2: [Sentiment: {2.675:.2f}]"}
+
+
+def test_plan_of_an_agent_without_themes(spark):
+    themes = spark.createDataFrame([("a", 0, "T", "high", ["e"], "r")], "agent string, theme_pos int, theme string, priority string, examples array<string>, recommendation string")
+    strengths = spark.createDataFrame([("a", ["s"]), ("quiet", ["calm", "clear"]), ("none", None)], "agent string, strengths array<string>")
+    plans = RP.coaching_plan_text(themes, strengths, run_date="May 01, 2025", footer="F")
+    got = {r.agent: r.plan_text for r in plans.collect()}
+    assert got["quiet"] == plan_text("quiet", [], ["calm", "clear"], 0, "May 01, 2025", "F")
+    assert got["none"] == plan_text("none", [], [], 0, "May 01, 2025", "F")
+    assert got["a"] == plan_text("a", [{"theme": "T", "priority": "high", "recommendation": "r", "examples": ["e"]}], ["s"], 0, "May 01, 2025", "F")
+    assert {r.agent for r in RP.mailto_link(plans).collect()} == set(got)

@@ -166,3 +166,83 @@ def test_failed_requests_are_dropped(spark):
     requests = spark.createDataFrame([("ok", 1), ("bad", 1), ("none", 2)], "agent string, batch_no int")
     responses = spark.createDataFrame([("ok", _env(_theme())), ("bad", _env("{")), ("other", _env(_theme()))], "agent string, response string")
     assert [r.agent for r in V.attach_responses(requests, responses).collect()] == ["ok"]
+
+
+def test_usable_responses_are_attached_one_by_one(spark):
+    requests = spark.createDataFrame([("a", 1)], "agent string, batch_no int")
+    good = _env(_theme())
+    responses = spark.createDataFrame([("a", good), ("a", '{"error": "x"}'), ("a", _env("[]"))], "agent string, response string")
+    assert [(r.agent, r.response) for r in V.attach_responses(requests, responses).collect()] == [("a", good)]
+
+
+def python_themes(content):
+    """The reference's coercions on what Python's json reads; None where the response is dropped."""
+    try:
+        value = json.loads(content)
+    except ValueError:
+        return None
+    if not isinstance(value, dict) or not value:
+        return None
+    themes = value.get("coaching_themes", [])
+    out = []
+    for t in themes if isinstance(themes, list) else []:
+        if not t:
+            continue
+        if not isinstance(t, dict):
+            out.append(("Unknown Theme", "low", 0, [], "Invalid theme data"))
+            continue
+        text = lambda x: x if isinstance(x, str) else json.dumps(x, separators=(",", ":"), ensure_ascii=False) if isinstance(x, (list, dict)) else str(x)
+        f = t.get("frequency", 0)
+        number = isinstance(f, (int, float)) and f == f and abs(f) != float("inf")
+        examples = t.get("examples", [])
+        out.append(
+            (
+                text(t.get("theme")) if t.get("theme") else "Unknown Theme",
+                t.get("priority") if t.get("priority") in ("high", "medium", "low") else "low",
+                int(f) if number else 0,
+                [text(e) for e in examples] if isinstance(examples, list) else [],
+                text(t.get("recommendation")) if t.get("recommendation") else "",
+            )
+        )
+    return out
+
+
+def test_contents_equal_python_json(spark):
+    """Random contents, whole and damaged, against ``json.loads`` and the coercions in plain Python."""
+    import random
+
+    rng = random.Random(21)
+    texts = ["t", "", 'q"uote', "NaN", "a Infinity b", "-Infinity", "\\\\", "br{ack]ets", "é\n", "```"]
+
+    def value(depth):
+        k = rng.randrange(12 if depth else 8)
+        if k < 3:
+            return rng.choice(texts)
+        if k < 8:
+            return [rng.randrange(5), True, False, None, float("nan"), float("inf"), float("-inf"), 2.5][rng.randrange(8)]
+        return [value(depth - 1) for _ in range(rng.randrange(3))] if k < 10 else {rng.choice("ab"): value(depth - 1) for _ in range(rng.randrange(3))}
+
+    contents = []
+    for i in range(1500):
+        theme = lambda: {f: value(1) if f == "examples" else rng.choice([value(0), "high"]) for f in ("theme", "priority", "frequency", "examples", "recommendation") if rng.random() < 0.8}
+        body = {"coaching_themes": [rng.choice([theme(), theme(), value(1)]) for _ in range(rng.randrange(4))], "strengths": [], "x": value(1)}
+        text = json.dumps(rng.choice([body] * 8 + [value(2)]))
+        damage = rng.randrange(12)
+        if damage == 0:
+            text += rng.choice(["}", "]", " x", ",{}", "{}", "],[1]", ',"a"', " NaN", "//"])
+        elif damage == 1:
+            text = rng.choice(["[", "x", "{", "NaN ", ","]) + text
+        elif damage == 2 and len(text) > 3:
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(['"', "}", "NaN", "\\", ""]) + text[at + 1 :]
+        contents.append(text)
+    contents = [c for c in contents if "```" not in c]
+    plain = ("nan", "inf", "-inf")
+    df = spark.createDataFrame([(str(i), _env(c)) for i, c in enumerate(contents)], "agent string, response string")
+    got = {int(r.agent): [(t.theme, t.priority, t.frequency, list(t.examples), t.recommendation) for t in r.coaching_themes] for r in V.validate_insights(df).collect()}
+    wanted = {i: t for i, t in enumerate(python_themes(c.strip()) for c in contents) if t is not None}
+    assert set(got) == set(wanted), [contents[i] for i in set(got) ^ set(wanted)][:5]
+    nested = lambda rows: any(x[:1] in "[{" for r in rows for x in (r[0], r[4], *r[3]) if x)  # noqa: E731  texts of lists differ in their spacing
+    compared = [i for i in wanted if not nested(wanted[i])]
+    assert all(got[i] == wanted[i] for i in compared), [(contents[i], got[i], wanted[i]) for i in compared if got[i] != wanted[i]][:3]
+    assert len(compared) > 500 and any(x in plain for i in compared for r in got[i] for x in (r[0], r[4], *r[3]))

@@ -149,3 +149,74 @@ def test_mentions_find_names_whose_lower_case_is_longer(spark):
 def test_calls_analyzed(spark):
     calls = spark.createDataFrame([("A", "1"), ("A", "2"), ("B", "1")], "agent string, call_id string")
     assert {r.agent: r.calls_analyzed for r in S.calls_analyzed(calls).collect()} == {"A": 2, "B": 1}
+
+
+CALLS = "call_id string, agent string, transcript string, sentiment_score double"
+
+
+def _bracket(*turns):
+    return "\n".join(f"[10:00:0{i % 10} {who}]: {text}" for i, (who, text) in enumerate(turns))
+
+
+def test_digests_of_heads_equal_digests_of_turns(spark):
+    """Calls whole, spread over rows, shared by two agents, one-sided, without turns, with numbers to redact."""
+    from callsight.operators import requests as R, transcripts as P
+
+    talk = [("AGENT", f"a{i} 555-123-4567") if i % 3 else ("CUSTOMER", f"c{i} " + "x" * 120) for i in range(12)]
+    rows = [
+        ("c1", "A", _bracket(*talk), 0.125),
+        ("c2", "A", _bracket(*talk[:2]), None),
+        ("c2", "A", _bracket(*reversed(talk)), 0.5),
+        ("c2", "A", _bracket(("CUSTOMER", "again"), ("SUPERVISOR", "hm"), ("AGENT", "a0")), 0.25),
+        ("c2", "B", _bracket(("CUSTOMER", "mine")), float("nan")),
+        ("c3", "B", _bracket(("SUPERVISOR", "only me")), 1.0),
+        ("c4", "B", "no turns here", 1.0),
+        ("c5", "B", None, 1.0),
+        ("c6", None, _bracket(*talk), 1.0),
+    ]
+    calls = spark.createDataFrame(rows, CALLS)
+    turns, heads = P.parse_turns(calls), P.call_heads(calls)
+    for k, least in ((5, 1), (1, 2)):
+        chosen = S.review_calls(turns, least, k)
+        want = R.call_digest(S.selected_turns(turns, chosen), chosen).collect()
+        got = R.digest_of_heads(heads, S.review_heads(heads, least, k)).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+    means = {(r.agent, r.call_id): r.avg_sentiment for r in S.call_means(turns).collect()}
+    assert {(r.agent, r.call_id): r.avg_sentiment for r in S.head_means(heads).collect()} == means
+
+
+def test_prompts_in_parts_hold_every_call(spark):
+    from callsight.operators import requests as R
+
+    digests = spark.createDataFrame([("A", f"c{i:02}", i, f"Call {i}") for i in range(1, 24)] + [("B", "b", 1, "Call 1")], "agent string, call_id string, call_no int, digest string")
+    totals = spark.createDataFrame([("A", 23), ("B", 1)], "agent string, n_calls int")
+    got = {(r.agent, r.part): (r.n_calls, r.user_prompt) for r in R.agent_prompts(digests, ["t"], legacy=True, n_calls=totals, per_prompt=10).collect()}
+    assert set(got) == {("A", 1), ("A", 2), ("A", 3), ("B", 1)} and got["A", 2][0] == 23
+    calls = lambda text: [x for x in text.split("\n") if x.startswith("Call ") and x[5:].isdigit()]
+    assert calls(got["A", 1][1]) == [f"Call {i}" for i in range(1, 11)]
+    assert calls(got["A", 3][1]) == ["Call 21", "Call 22", "Call 23"]
+
+
+def test_mentions_equal_testing_every_pair(spark):
+    import random
+
+    rng = random.Random(2)
+    letters = "abA 1"
+    names = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) for _ in range(150)] + ["Agent 00001", "Agent 00011", "É", "ABC"]
+    for some in (names, [n for n in names if len(n) > 5], ["Agent 00001", "Agent 00011"], [""]):
+        agents = spark.createDataFrame([(n,) for n in some] + [(None,)], "agent string")
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["ask AGENT 00011 or agent 00001?", "é", "", "abc", None]
+        asked = spark.createDataFrame(list(enumerate(texts + texts[:5])), "question_id int, question string")
+        got = {r.question_id: r.agent for r in Q.agent_mentions(asked, agents).collect()}
+        want = {}
+        for i, t in enumerate(texts + texts[:5]):
+            found = [n for n in some if t is not None and n.lower() in t.lower()]
+            if found:
+                want[i] = min(found)
+        assert got == want
+
+
+def test_a_question_gives_no_more_rows_than_its_grams(spark):
+    agents = spark.createDataFrame([(f"Agent {'x' * (i % 40)}{i:05}",) for i in range(400)], "agent string")
+    anchors = Q.name_anchors(agents).collect()
+    assert len(anchors) == 400 and all(len(r.gram) == Q.GRAM and r.gram in r.needle for r in anchors)
