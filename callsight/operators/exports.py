@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callsight.operators import versions
+
 # Fixed values that must equal the reference's export defaults.
 EXAMPLES_SEPARATOR = " | "
 
@@ -23,13 +25,17 @@ def coaching_cache(theme_rows: DataFrame, processed_at: str, model_used: str) ->
     )
 
 
+CACHE_SCHEMA = "agent string, theme string, priority string, frequency bigint, examples string, recommendation string, processed_at string, model_used string"
+
+
 def write_cache(cache: DataFrame, path: str) -> None:
-    """Replaces the stored cache table with this run's rows."""
-    cache.write.mode("overwrite").parquet(path)
+    """Replaces the stored cache table with this run's rows, in one step: a write that fails leaves the old table."""
+    versions.put(cache, path)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The rows of the last cache that was written whole; none before the first."""
+    return versions.stored(spark, path, CACHE_SCHEMA, "table").drop("key", "version")
 
 
 def export_theme_rows(theme_rows: DataFrame) -> DataFrame:

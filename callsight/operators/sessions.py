@@ -1,15 +1,13 @@
-"""Saved analysis sessions as a Parquet table partitioned by dataset fingerprint and session.
+"""Saved analysis sessions as a stored table of versions, a key per dataset fingerprint and session.
 
 A session is the insights of one run (one row per agent) stamped with the
 dataset fingerprint (``file_hash``), the session time, the model and the
-filter criteria. Each session is its own partition ``fp=h<hash>/session_id=s<time>``
-written with dynamic partition overwrite, so saving the same session again
-(a re-run after a failure) replaces it instead of adding a copy. Partition
-values carry a letter prefix because Spark infers partition value types on
-read: a bare fingerprint made only of digits would come back as a number.
-Reads prune to one fingerprint and pick the newest ``session_ts``. The store
-lives in a shared folder (a path the caller gives, e.g. under the cluster's
-checkpoint dir).
+filter criteria. Each session is one key of a versioned store (``versions``):
+its rows are written to a folder of their own and become visible by one log row,
+so a save that fails leaves what was there, and saving the same session again
+(a re-run after a failure) replaces it instead of adding a copy. Listings are
+read off the log alone, a session's rows from its own folder. The store lives in
+a shared folder (a path the caller gives, e.g. under the cluster's checkpoint dir).
 """
 
 from __future__ import annotations
@@ -18,12 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsight.functions.scalars import one_value
+from callsight.operators import versions
 
 FINGERPRINT_CHARS = 12
-
-_FP_PREFIX = "h"
-_SESSION_PREFIX = "s"
-PARTITION_COLUMNS = ("fp", "session_id")
+#: Columns of a stored session before those of the insights. Keys carry a letter: one made of digits would be read as a number.
+STAMP = "file_hash string, session_ts timestamp, model_used string, filter_criteria map<string,string>"
+INSIGHTS = (
+    "agent string, coaching_themes array<struct<theme:string,priority:string,frequency:bigint,examples:array<string>,recommendation:string>>, "
+    "strengths array<string>"
+)
 
 
 def _csv_field(c) -> F.Column:
@@ -57,9 +58,11 @@ def _value(x: str | Column) -> Column:
     return F.lit(x) if isinstance(x, str) else x
 
 
-def _fp(file_hash: str | Column) -> Column:
-    """Partition value of a fingerprint (never numeric-looking)."""
-    return F.concat(F.lit(_FP_PREFIX), _value(file_hash))
+def _key(spark: SparkSession, file_hash: str | Column, session_ts: str) -> tuple[str, str]:
+    """(key, fingerprint) as texts; a fingerprint that is computed on the cluster is computed here, once."""
+    when = F.date_format(F.to_timestamp(F.lit(session_ts)), "yyyyMMddHHmmssSSS")
+    one = spark.range(1).select(_value(file_hash).alias("f"), when.alias("t")).first()  # two short texts
+    return f"h{one['f']}-s{one['t']}", one["f"]
 
 
 def save_session(
@@ -70,63 +73,52 @@ def save_session(
     model_used: str,
     filter_criteria: dict[str, str] | None = None,
 ) -> None:
-    """Append one session (all its agents) to the store.
+    """Adds one session (all its agents) to the store, or replaces it; a save that fails changes nothing.
 
     ``file_hash`` is a literal or a one-value column such as
     ``one_value(dataset_fingerprint(turns))`` (computed on the cluster).
     """
-    crit = filter_criteria or {}
-    crit_col = (
-        F.create_map(*[x for k, v in sorted(crit.items()) for x in (F.lit(k), F.lit(str(v)))])
-        if crit
-        else F.create_map().cast("map<string,string>")
-    )
+    key, fingerprint = _key(insights.sparkSession, file_hash, session_ts)
+    crit = [x for k, v in sorted((filter_criteria or {}).items()) for x in (F.lit(k), F.lit(str(v)))]
     ts = F.to_timestamp(F.lit(session_ts))
     out = insights.select(
-        _fp(file_hash).alias("fp"),
-        F.concat(F.lit(_SESSION_PREFIX), F.date_format(ts, "yyyyMMddHHmmssSSS")).alias("session_id"),
-        _value(file_hash).alias("file_hash"),
+        F.lit(fingerprint).alias("file_hash"),
         ts.alias("session_ts"),
         F.lit(model_used).alias("model_used"),
-        crit_col.alias("filter_criteria"),
-        *[c for c in insights.columns],
-    )
-    (
-        out.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")  # replaces only this session's partition
-        .partitionBy(*PARTITION_COLUMNS)
-        .parquet(path)
+        (F.create_map(*crit) if crit else F.create_map().cast("map<string,string>")).alias("filter_criteria"),
+        *insights.columns,
     )
+    versions.put(out, path, key, {"file_hash": F.lit(fingerprint), "session_ts": ts, "model_used": F.lit(model_used)})
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """The whole store; ``fp`` and ``session_id`` are the partition columns."""
-    return spark.read.parquet(path)
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """(key, file_hash, session_ts, model_used, n_agents) of every stored session, off the log."""
+    v = F.from_json("values", "file_hash string, session_ts timestamp, model_used string, n_rows bigint").alias("v")
+    return versions.live(spark, path).select("key", v).select("key", "v.file_hash", "v.session_ts", "v.model_used", F.col("v.n_rows").alias("n_agents"))
 
 
-def latest_session(spark: SparkSession, path: str, file_hash: str | Column) -> DataFrame:
-    """Rows of the newest session of ``file_hash`` (partition-pruned, also for a subquery value); empty if none."""
-    s = read_sessions(spark, path).where(F.col("fp") == _fp(file_hash))
-    newest = one_value(s.agg(F.max("session_ts").alias("session_ts")))
-    return s.where(F.col("session_ts") == newest)
+def read_sessions(spark: SparkSession, path: str, insights: str = INSIGHTS) -> DataFrame:
+    """The rows of all stored sessions; ``insights`` names their own columns where they are others than an insight's."""
+    return versions.stored(spark, path, f"{STAMP}, {insights}").drop("key", "version")
+
+
+def latest_session(spark: SparkSession, path: str, file_hash: str | Column, insights: str = INSIGHTS) -> DataFrame:
+    """Rows of the newest session of ``file_hash`` (folder-pruned, also for a subquery value); empty if none."""
+    mine = _listed(spark, path).where(F.col("file_hash") == _value(file_hash))
+    newest = one_value(mine.agg(F.max_by("key", "session_ts").alias("key")))
+    return versions.stored(spark, path, f"{STAMP}, {insights}", newest).drop("key", "version")
 
 
 def list_sessions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Sessions newest first with their agent counts (all, or the newest ``limit``)."""
-    s = read_sessions(spark, path).groupBy("file_hash", "session_ts", "model_used").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_agents")
-    )
-    s = s.orderBy(F.desc("session_ts"), F.asc("file_hash"))
+    """Sessions newest first with their agent counts (all, or the newest ``limit``); no data file is opened."""
+    s = _listed(spark, path).drop("key").orderBy(F.desc("session_ts"), F.asc("file_hash"))
     return s.limit(limit) if limit else s
 
 
-def delete_session(spark: SparkSession, path: str, file_hash: str | Column, session_ts: str) -> DataFrame:
-    """The store without one session: its partition's folder is deleted, no other file is read or written."""
-    day = F.concat(F.lit(_SESSION_PREFIX), F.date_format(F.to_timestamp(F.lit(session_ts)), "yyyyMMddHHmmssSSS"))
-    fp, session_id = spark.range(1).select(_fp(file_hash), day).first()  # two short texts
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/fp={fp}/session_id={session_id}")
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-    return read_sessions(spark, path)
+def delete_session(spark: SparkSession, path: str, file_hash: str | Column, session_ts: str, insights: str = INSIGHTS) -> DataFrame:
+    """The store without one session: a log row, no other file is read or written (``versions.remove_unused`` frees the space)."""
+    versions.take_away(spark, path, _key(spark, file_hash, session_ts)[0])
+    return read_sessions(spark, path, insights)
 
 
 def previous_agents(session: DataFrame) -> DataFrame:
