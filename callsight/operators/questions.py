@@ -177,7 +177,7 @@ def answer_questions(questions: DataFrame, turns: DataFrame, cache: DataFrame, a
     r = F.col("route")
     answer = (
         F.when(r == "top_themes", F.col("_top"))
-        .when(r == "agent_needs", F.col("needs_answer"))
+        .when(r == "agent_needs", F.coalesce("needs_answer", fill(AGENT_NEEDS_HEADER, {"agent": F.col("agent")})))
         .when(r == "count_calls", F.col("_m.calls_text"))
         .when(r == "count_agents", F.col("_m.agents_text"))
         .when(r == "avg_sentiment", F.col("_m.sentiment_text"))

@@ -41,9 +41,23 @@ def new_agents(turns: DataFrame, previous_agents: DataFrame, min_calls: int = 10
     return eligible_agents(turns, min_calls).join(prev, "agent", "left_anti")
 
 
-def filter_to_agents(turns: DataFrame, agents: DataFrame) -> DataFrame:
-    """Turns of the listed agents: a plain semi join, which Spark broadcasts or splits by the sizes it sees at run time."""
-    return turns.join(agents.select("agent").distinct(), "agent", "left_semi").select(*turns.columns)
+def filter_to_agents(turns: DataFrame, agents: DataFrame, salts: int | None = None) -> DataFrame:
+    """Turns of the listed agents: a plain semi join, which Spark broadcasts or splits by the sizes it sees at run time.
+
+    For a list too large to broadcast, ``salts`` spreads each agent's turns
+    over so many keys, and gives every agent of the list once per key: an
+    agent with a third of all turns then meets its name in many tasks, without
+    relying on a split at run time. The list grows by that factor.
+    """
+    names = agents.select("agent").distinct()
+    if salts is None:
+        return turns.join(names, "agent", "left_semi").select(*turns.columns)
+    if salts < 1:
+        raise ValueError("one salt at least")
+    name, salt = "_agent", "_salt"
+    listed = names.select(F.col("agent").alias(name), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias(salt))
+    dealt = F.pmod(F.xxhash64("call_id", "turn_idx"), F.lit(salts))
+    return turns.join(listed, (turns["agent"] == listed[name]) & (dealt == listed[salt]), "left_semi").select(*turns.columns)
 
 
 def call_means(turns: DataFrame) -> DataFrame:

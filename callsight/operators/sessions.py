@@ -45,13 +45,29 @@ def dataset_fingerprint(turns: DataFrame, first_rows: int | None = None, order:
     cols = turns.columns
     if first_rows is not None:  # ties on every other column: the rows are the same on every run
         turns = turns.orderBy(*order, *[c for c in cols if c not in order]).limit(first_rows)
-    line = F.md5(F.concat_ws(",", *[_csv_field(F.col(c)) for c in cols]))
-    number = F.conv(F.substring(line, 1, 15), 16, 10).cast("bigint")
-    one = turns.select(number.alias("h")).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).alias("s"), F.coalesce(F.expr("bit_xor(h)"), F.lit(0)).alias("x")
-    )
-    text = F.concat_ws(",", F.lit(",".join(cols)), F.col("n").cast("string"), F.col("s").cast("decimal(38,0)").cast("string"), F.col("x").cast("string"))
-    return one.select(F.substring(F.md5(text), 1, FINGERPRINT_CHARS).alias("file_hash"))
+    one = hashed_rows(turns).agg(*hash_sums()).select(F.lit(",".join(cols)).alias("columns"), "n", "s", "x")
+    return fingerprint_of(one)
+
+
+def hashed_rows(turns: DataFrame, *carry: str) -> DataFrame:
+    """``h``: the hash of each row's CSV text, 60 bits; ``carry`` names columns that come along."""
+    line = F.md5(F.concat_ws(",", *[_csv_field(F.col(c)) for c in turns.columns]))
+    return turns.select(F.conv(F.substring(line, 1, 15), 16, 10).cast("bigint").alias("h"), *carry)
+
+
+def hash_sums() -> list[Column]:
+    """Number, sum and exclusive or of the row hashes: those of two datasets add up to those of both."""
+    return [
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("s"),
+        F.coalesce(F.expr("bit_xor(h)"), F.lit(0)).alias("x"),
+    ]
+
+
+def fingerprint_of(state: DataFrame) -> DataFrame:
+    """The fingerprint of a one-row state (columns, n, s, x)."""
+    text = F.concat_ws(",", "columns", F.col("n").cast("string"), F.col("s").cast("decimal(38,0)").cast("string"), F.col("x").cast("string"))
+    return state.select(F.substring(F.md5(text), 1, FINGERPRINT_CHARS).alias("file_hash"))
 
 
 def _value(x: str | Column) -> Column:

@@ -797,6 +797,32 @@ SELECT qs.question_id, qs.question, qs.route, qs.agent,
 FROM qs LEFT JOIN needs ON needs.agent = qs.agent""",
 )(lambda spark, sf: Q.answer_questions(_questions(spark, sf), counted_turns(spark, sf), theme_rows(spark, sf)))
 
+
+def quiet_agents(spark: SparkSession, sf: str) -> DataFrame:
+    """Agents of the run that have no theme: those of the calls, under names that no theme row has."""
+    agents = counted_turns(spark, sf).where(F.col("agent").isNotNull()).select("agent").distinct()
+    return agents.select(F.concat(F.lit("Quiet "), "agent").alias("agent"), F.substring("agent", 7, 12).cast("bigint").alias("no"))
+
+
+@register(
+    "answer_questions_quiet",
+    # Coaching questions about agents without themes: routed to them, with an empty list of needs.
+    TC + """SELECT 1000000 + no AS question_id, 'Any coaching for quiet ' || lower(agent) || '?' AS question, 'agent_needs' AS route,
+      'Quiet ' || agent AS agent, '**Coaching needs for Quiet ' || agent || ':**' || chr(10) AS answer
+    FROM (SELECT DISTINCT agent, cast(substr(agent, 7) AS bigint) AS no FROM turns WHERE agent IS NOT NULL)
+    UNION ALL SELECT 2000000 + no, 'List all of Quiet ' || agent || ', total', 'help', NULL,
+      'I can answer questions about call counts, agent counts, and sentiment averages. Try rephrasing!'
+    FROM (SELECT DISTINCT agent, cast(substr(agent, 7) AS bigint) AS no FROM turns WHERE agent IS NOT NULL)""",
+)
+def _quiet(spark: SparkSession, sf: str):
+    quiet = quiet_agents(spark, sf)
+    asked = [
+        quiet.select((F.col("no") + 1_000_000).alias("question_id"), F.concat(F.lit("Any coaching for "), F.lower("agent"), F.lit("?")).alias("question")),
+        quiet.select((F.col("no") + 2_000_000).alias("question_id"), F.concat(F.lit("List all of "), "agent", F.lit(", total")).alias("question")),
+    ]
+    return Q.answer_questions(asked[0].unionByName(asked[1]), counted_turns(spark, sf), theme_rows(spark, sf), quiet.select("agent"))
+
+
 # -- sessions ------------------------------------------------------------------
 
 from callsight.operators import sessions as K  # noqa: E402
@@ -813,6 +839,25 @@ register(
     ),
 )(lambda spark, sf: K.dataset_fingerprint(turns(spark, sf)))
 
+from callsight.operators import uploads as U  # noqa: E402
+
+_FINGERPRINT_SQL = TC + FP_SQL.format(
+    f=", ".join(_FIELD.format(c=c) for c in ["call_id", "agent", "turn_idx", "timestamp", "speaker", "message", "sentiment_score"])
+)
+UPLOADS = 3
+
+
+def _uploads(spark: SparkSession, sf: str) -> str:
+    """The turns loaded as uploads, one of them twice: each is read once, and its state kept."""
+    path, t = scratch_path(spark, "uploads"), stored_turns(spark, sf)
+    number = F.pmod(F.xxhash64("call_id"), F.lit(UPLOADS))
+    for i in [*range(UPLOADS), 0]:
+        U.add_upload(t.where(number == i), path, f"upload{i}")
+    return path
+
+
+register("upload_fingerprint", _FINGERPRINT_SQL)(lambda spark, sf: U.stored_fingerprint(spark, _uploads(spark, sf)))
+
 TS_OLD, TS_NEW = "2025-02-07 12:00:00", "2025-02-07 13:00:00"
 
 
@@ -1183,6 +1228,16 @@ def _filter_to_agents(spark: SparkSession, sf: str):
     return S.filter_to_agents(t, S.eligible_agents(t, MIN_CALLS))
 
 
+@register(
+    "filter_to_agents_salted",
+    TC + f"""SELECT call_id, agent, turn_idx, timestamp, speaker, message, sentiment_score FROM turns
+    WHERE agent IN (SELECT agent FROM ({AGENT_CALLS_SQL}) WHERE n_calls >= {MIN_CALLS})""",
+)
+def _filter_salted(spark: SparkSession, sf: str):
+    t = stored_turns(spark, sf)
+    return S.filter_to_agents(t, S.eligible_agents(t, MIN_CALLS), salts=16)
+
+
 @register(
     "attach_responses",
     THC + f"""SELECT agent, cast(floor((row_number() OVER (ORDER BY agent) - 1) / 20) + 1 AS bigint) AS batch_no,

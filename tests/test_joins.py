@@ -65,3 +65,28 @@ def test_building_a_plan_starts_no_job(spark):
         assert sc.statusTracker().getJobIdsForGroup("plans") == []
     finally:
         sc.setJobGroup("", "")
+
+
+def test_salted_filter_spreads_a_hot_agent(spark):
+    """With broadcasts and the splitting of skewed partitions off, a hot agent's turns are still filtered in many tasks."""
+    from pyspark.sql import functions as F
+
+    from callsight.operators import selection as S
+
+    n = 6000
+    turns = spark.range(n).selectExpr("concat('c', id div 3) AS call_id", "CASE WHEN id % 3 = 0 THEN concat('a', id % 90) WHEN id % 30 = 1 THEN NULL ELSE 'hot' END AS agent", "cast(id % 3 AS int) AS turn_idx")
+    agents = spark.createDataFrame([("hot",), ("a0",), ("a3",), ("hot",), ("gone",), (None,)], "agent string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        largest = lambda df: df.where("agent = 'hot'").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        plain, salted = S.filter_to_agents(turns, agents), S.filter_to_agents(turns, agents, salts=64)
+        hot = turns.where("agent = 'hot'").count()
+        assert largest(plain) == hot and largest(salted) < hot / 4
+        rows = lambda df: sorted((r.call_id, str(r.agent), r.turn_idx) for r in df.collect())
+        assert rows(salted) == rows(plain) and salted.columns == turns.columns
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
