@@ -1,14 +1,14 @@
 """Near-duplicates by a chosen-path set similarity join (operator 11).
 
-A document is the set of its shingles; equal sets are one class from here on. ``TOKENS`` minwise tokens stand for a set: two
-sets share each of them with their similarity as the chance. Trees branch the classes by such tokens. A tree's root sends each
+A document is the set of its shingles; equal sets are one class from here on. Minwise tokens stand for a set: two sets share
+each of them with their similarity as the chance. Trees branch the classes by such tokens. A tree's root sends each
 class to the node of one token; a node that is too large chooses one token number more, in a quarter of the nodes two, the same for
 all its members, and sends each member to the child its tokens name. So two classes at the threshold have one common child of a node
 on average, while classes that are less alike part after a few levels. Nodes of one class are dropped.
 
 * Nodes of up to ``CROWD`` classes are compared exhaustively: four bits of each token estimate the similarity of every pair.
 * Larger nodes first compare all members with ``PIVOTS`` of them. What is found is confirmed on whole sets, each class
-  with its nearest and its smallest candidate, and gives first groups.
+  with one candidate, and gives first groups.
 * Only nodes that hold members of different groups go on: of up to ``LIMIT`` classes they are compared exhaustively, on whole
   sets, between groups; the larger ones branch on. So a large cluster of near copies never gives its pairs.
 
@@ -38,9 +38,9 @@ from callsight.llm.common import id_and_text, landed
 from callsight.llm.components import connected_components
 from callsight.llm.wordhash import BLOCK, Words, blocks, column_blocks, grams, mix
 
-#: Minwise tokens of a set, and the 64-bit numbers that hold four bits of each.
-TOKENS = 128
-LANES = [f"lane{i}" for i in range(TOKENS // 16)]
+#: Minwise tokens of a set that paths choose from; and how many are estimated with, as 64-bit numbers that hold four bits of each.
+TOKENS, ESTIMATED = 64, 128
+LANES = [f"lane{i}" for i in range(ESTIMATED // 16)]
 #: Trees. At a similarity of 0.8 a tree keeps a pair in common with a chance of 0.80, 0.67, 0.58, 0.51 and 0.46 after 1 to 5 levels:
 #: twelve lose one pair of 10^8, 10^6, 30,000, 5,000 and 1,600; none of these figures counts the pivots.
 TREES = 12
@@ -50,10 +50,12 @@ CROWD, LIMIT, LIMIT_SHINGLES = 16, 2048, 1 << 20
 PIVOTS = 4
 #: Standard deviations by which the estimate may fall short of the threshold.
 MARGIN = 4.5
+#: Bits that mark wanted texts, a megabyte, in pages as Spark's bitmaps have them.
+MARKS, PAGE = 1 << 23, 1 << 15
 #: Levels that a node takes at once when it is larger than so many times LIMIT: as many tokens, chosen as one level each would.
 JUMPS = [(64, 4), (4, 2)]
 
-_FACTORS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, ESTIMATED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
 
@@ -77,7 +79,7 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def sketch_rows(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, variant, n, cls, tokens, lanes): the row's text hash, size and name of the set, its minwise tokens; tokens are null for an empty set."""
+    """(doc_id, variant, n, cls, tokens, lanes): a hash of the row, size and name of the set, its minwise tokens; tokens are null for an empty set."""
     schema = ", ".join(["doc_id long, variant long, n long, cls long, tokens binary", *(f"{c} long" for c in LANES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +89,7 @@ def sketch_rows(docs: DataFrame, size: int) -> DataFrame:
                 counts = np.bincount(owner, minlength=len(some))
                 full = np.flatnonzero(counts)
                 starts = np.concatenate([[0], np.cumsum(counts)])[full]
-                tokens = np.zeros((len(full), TOKENS), dtype=np.uint32)
+                tokens = np.zeros((len(full), ESTIMATED), dtype=np.uint32)
                 names = np.zeros(len(some), dtype=np.uint64)
                 if len(full):
                     sums = [np.add.reduceat(mix(h), starts) for h in (hashes, hashes ^ _SECOND)]
@@ -99,19 +101,19 @@ def sketch_rows(docs: DataFrame, size: int) -> DataFrame:
                 lanes = np.zeros((len(some), len(LANES)), dtype=np.uint64)
                 lanes[full] = np.bitwise_or.reduce(bits, axis=2)
                 packed: list[bytes | None] = [None] * len(some)
-                for k, row in zip(full.tolist(), tokens.astype("<u4")):
+                for k, row in zip(full.tolist(), tokens[:, :TOKENS].astype("<u4")):
                     packed[k] = row.tobytes()
                 ids, variants = (batch.column(c).slice(first, len(some)) for c in (0, 1))
                 columns = [ids, variants, pa.array(counts, pa.int64()), pa.array(names.view(np.int64)), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(lanes[:, i].view(np.int64)) for i in range(len(LANES)))], names=[f.split()[0] for f in schema.split(", ")])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("variant"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("variant"), "text").mapInArrow(run, schema)
 
 
-def most_differences(percent: int) -> int:
+def most_differences(percent: int, margin: float = MARGIN) -> int:
     """Tokens of which four bits may differ in a pair that is worth comparing."""
     p = (1 - percent / 100) * 15 / 16
-    return math.floor(TOKENS * p + MARGIN * math.sqrt(TOKENS * p * (1 - p)))
+    return math.floor(ESTIMATED * p + margin * math.sqrt(ESTIMATED * p * (1 - p)))
 
 
 def differences(x: str, y: str) -> Column:
@@ -146,12 +148,37 @@ def pivot_pairs(large: DataFrame, percent: int, *apart: Column) -> DataFrame:
     return large.alias("x").join(chosen.alias("y"), like).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), differences("x", "y").alias("differing"))
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame:
-    """(cls, text) of the classes in ``names``, written once; a class's text is that of its representative row."""
-    wanted = classes.join(names, "cls", "left_semi").select("cls", "rep.doc_id", "rep.variant").alias("w")
-    own = docs.select("doc_id", F.xxhash64("text").alias("variant"), "text").alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.variant") == F.col("w.variant"))
-    return landed(own.join(wanted, same).select("cls", "text").dropDuplicates(["cls"]), "path-texts")
+def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``variant`` may be wanted: those whose hash meets a bit set by ``wanted``.
+
+    MARKS bits, whatever the number of rows, go to every task; they keep most texts out of the shuffle that follows while fewer
+    rows than bits are wanted, and change no result.
+    """
+    bit = lambda c: F.pmod(F.col(c), F.lit(MARKS))
+    pages = wanted.groupBy(F.floor(bit("variant") / PAGE).cast("long").alias("page")).agg(F.bitmap_construct_agg((bit("variant") % PAGE)).alias("bits"))
+    rows = docs.withColumn("page", F.floor(bit("variant") / PAGE).cast("long")).join(F.broadcast(pages), "page")  # at most MARKS bits
+    place = (bit("variant") % PAGE).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.filter(F.getbit(byte, (place % 8).cast("int")) == 1).drop("page", "bits")
+
+
+class Texts:
+    """Texts of classes, each fetched from the table once: that of the class's representative row."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame):
+        self.docs, self.classes, self.parts = docs.select(F.xxhash64("doc_id", "text").alias("variant"), "text"), classes, []
+
+    def of(self, *sides: DataFrame) -> DataFrame:
+        """(cls, text) of at least the classes named by one-column tables."""
+        names = reduce(DataFrame.union, sides).toDF("cls").distinct()
+        for part in self.parts:
+            names = names.join(part.select("cls"), "cls", "left_anti")
+        # Written first, so that Spark sees its size: few rows are broadcast, and the table is not shuffled for them.
+        wanted = landed(self.classes.select("cls", F.col("rep").alias("variant")).join(names, "cls", "left_semi"), "path-wanted")
+        if not wanted.isEmpty():
+            found = marked(self.docs, wanted).join(wanted, "variant").dropDuplicates(["variant"])  # repeated rows
+            self.parts.append(landed(found.select("cls", "text"), "path-texts"))
+        return reduce(DataFrame.unionByName, self.parts) if self.parts else wanted.select("cls", F.lit("").alias("text"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -212,20 +239,22 @@ def linked_within(table: pa.Table, size: int, percent: int) -> pa.Table:
 def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs of small root nodes, pairs with pivots, rows of large root nodes)."""
     roots = F.array(*(F.xxhash64(F.lit(t), F.substring("tokens", 4 * t + 1, 4)) for t in range(TREES)))
-    rows = classes.select(F.explode(roots).alias("node"), "cls", "n", *LANES)
-    shared = landed(crowded(rows), "path-nodes")
+    # Nodes of several classes are found on the ids alone; only their members get the lanes.
+    members = classes.select(F.explode(roots).alias("node"), "cls")
+    sizes = members.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = landed(members.join(sizes, "node").join(classes.select("cls", "n", *LANES), "cls"), "path-nodes")
     small = shared.filter(F.col("size") <= CROWD)
     like = (F.col("x.node") == F.col("y.node")) & (F.col("x.cls") < F.col("y.cls")) & sized("x.n", "y.n", percent) & (differences("x", "y") <= most_differences(percent))
     pairs = small.alias("x").join(small.alias("y"), like).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), differences("x", "y").alias("differing"))
     large = shared.filter(F.col("size") > CROWD)
-    return landed(pairs.distinct(), "path-pairs"), landed(pivot_pairs(large, percent).distinct(), "path-stars"), large.drop("size", "shingles")
+    return landed(pairs.distinct(), "path-pairs"), landed(pivot_pairs(large, percent).distinct(), "path-stars"), large.drop("size")
 
 
-def first_choices(pairs: DataFrame) -> DataFrame:
-    """Of each class's candidates the nearest and the smallest, as pairs."""
+def first_choices(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of each class one candidate, as pairs: the smallest of those that are estimated to be similar enough, else the nearest."""
     both = pairs.select("a", "b", "differing").union(pairs.select("b", "a", "differing"))
-    best = both.groupBy("a").agg(F.min(F.struct("differing", "b")).alias("near"), F.min("b").alias("low"))
-    chosen = best.select("a", F.explode(F.array("near.b", "low")).alias("b"))
+    short = F.greatest(F.col("differing") - most_differences(percent, margin=0), F.lit(0))
+    chosen = both.groupBy("a").agg(F.min(F.struct(short.alias("short"), "b")).alias("best")).select("a", "best.b")
     return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -254,9 +283,9 @@ def children(rows: DataFrame) -> DataFrame:
     return rows.select("node", "cls", "n", "comp", "tokens", *LANES)
 
 
-def settled_groups(docs: DataFrame, classes: DataFrame, large: DataFrame, groups: DataFrame, links: list[DataFrame], size: int, percent: int) -> DataFrame:
+def settled_groups(texts: Texts, classes: DataFrame, large: DataFrame, groups: DataFrame, links: list[DataFrame], size: int, percent: int) -> DataFrame:
     """The groups after ``links`` and all that the nodes below large root nodes give: nodes of one group are dropped, the others branch until they are small."""
-    active = large.join(classes.select("cls", "tokens"), "cls").join(groups, "cls")
+    active = large.join(groups, "cls")
     level = 0
     while True:
         level += 1
@@ -268,17 +297,18 @@ def settled_groups(docs: DataFrame, classes: DataFrame, large: DataFrame, groups
         like = (F.col("x.node") == F.col("y.node")) & apart & sized("x.n", "y.n", percent) & (differences("x", "y") <= most_differences(percent))
         members = landed(small.alias("x").join(small.alias("y"), like, "left_semi").select("node", "cls", "comp"), "path-members")
         if not members.isEmpty():
-            whole = members.join(texts_of(docs, classes, members.select("cls").distinct()), "cls").select("node", "cls", "comp", "text")
+            whole = members.join(texts.of(members.select("cls")), "cls").select("node", "cls", "comp", "text")
             found = whole.groupBy("node").applyInArrow(lambda t: linked_within(t, size, percent), "a long, b long")
             links.append(landed(found.distinct(), "path-links"))
         if beyond.isEmpty():
             return merged(groups, links)
         if level & (level - 1) == 0:  # at levels 1, 2, 4, ...: pivots again, between groups, and the groups are brought up to date
-            stars = landed(first_choices(pivot_pairs(beyond, percent, apart)), "path-stars")
-            names = stars.select("a").union(stars.select("b")).toDF("cls").distinct()
-            links.append(landed(confirmed(stars, texts_of(docs, classes, names), size, percent), "path-links"))
+            stars = landed(first_choices(pivot_pairs(beyond, percent, apart), percent), "path-stars")
+            links.append(landed(confirmed(stars, texts.of(stars.select("a"), stars.select("b")), size, percent), "path-links"))
             groups, links = merged(groups, links), []
             beyond = beyond.drop("comp").join(groups, "cls")
+        if level == 1:
+            beyond = beyond.join(classes.select("cls", "tokens"), "cls")
         active = children(beyond)
 
 
@@ -290,20 +320,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, id_col
     rows = landed(sketch_rows(own, shingle), "path-rows")
     full = rows.filter("n > 0")
     values = [F.any_value(c).alias(c) for c in ("n", "tokens", *LANES)]
-    classes = landed(full.groupBy("cls").agg(F.min(F.struct("doc_id", "variant")).alias("rep"), F.min("doc_id").alias("first_doc"), *values), "path-classes")
+    classes = landed(full.groupBy("cls").agg(F.min("variant").alias("rep"), F.min("doc_id").alias("first_doc"), *values), "path-classes")
 
     pairs, stars, large = candidates(classes, percent)
-    chosen = landed(first_choices(pairs.unionByName(stars)), "path-chosen")
-    names = chosen.select("a").union(chosen.select("b")).toDF("cls").distinct()
-    links = landed(confirmed(chosen, texts_of(own, classes, names), shingle, percent), "path-links")
+    chosen = landed(first_choices(pairs.unionByName(stars), percent), "path-chosen")
+    texts = Texts(own, classes)
+    links = landed(confirmed(chosen, texts.of(*(p.select(c) for p in (pairs, stars) for c in ("a", "b"))), shingle, percent), "path-links")
     groups = merged(classes.select("cls", F.col("cls").alias("comp")), [links])
 
     # What the first choices left open: pairs of small nodes between groups, and large nodes with several groups.
     left = pairs.select("a", "b").join(groups.toDF("a", "ca"), "a").join(groups.toDF("b", "cb"), "b").filter("ca != cb").select("a", "b")
     left = landed(left.join(chosen, ["a", "b"], "left_anti"), "path-left")
-    names = left.select("a").union(left.select("b")).toDF("cls").distinct()
-    rest = landed(confirmed(left, texts_of(own, classes, names), shingle, percent), "path-links")
-    groups = settled_groups(own, classes, large, groups, [rest], shingle, percent)
+    rest = landed(confirmed(left, texts.of(left.select("a"), left.select("b")), shingle, percent), "path-links")
+    groups = settled_groups(texts, classes, large, groups, [rest], shingle, percent)
     roots = groups.withColumnRenamed("comp", "root")
     named = roots.join(classes.select("cls", "first_doc"), "cls")
     of_root = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
