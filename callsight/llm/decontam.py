@@ -10,15 +10,19 @@ ones. A document is contaminated when one pattern is found with at most ``rate``
 The benchmark is the query set: it goes to the tasks in blocks of bounded size, and the documents are scanned whole, once
 a block, without a shuffle. With q = 8 a q-gram is one 64-bit number, so equal numbers are equal q-grams.
 
-Defined cases: a null or empty text holds nothing; items of fewer than ``shortest`` bytes, null ones included, are too
-short to tell from ordinary prose and are not searched; a null doc_id stays null; repeated rows and repeated items are
-reported each; an empty table on either side gives no rows; other columns are ignored.
+Items of fewer than ``shortest`` bytes hold too few q-grams to tell an edited one from ordinary prose; they are searched word for
+word, all at once by an automaton, and found only as whole words.
+
+Defined cases: a null or empty text holds nothing, and a null or blank item is found nowhere; a null doc_id stays null; a very
+long text is scanned alone, in parts of bounded size; repeated rows and repeated items are reported each; an empty table on either
+side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ from callsight.llm.wordhash import column_blocks
 Q = 8
 #: Bytes of benchmark text that go to the tasks at once, at most (one item alone may be longer).
 QUERY_BYTES = 4 << 20
+#: Places of q-grams in patterns that are counted at once.
+COUNTED = 2_000_000
 #: Regions aligned at once: each takes a table of 2 KB.
 ALIGNED = 2048
 _TABLE_BITS = 22
@@ -102,15 +108,23 @@ class Patterns:
     items: list[tuple[int, bytes]]
     span: int
     rate: float
+    shortest: int = 2 * Q
 
     def __post_init__(self):
         self.item, self.at, self.text = [], [], []
+        self.short: dict[bytes, list[int]] = {}
         for i, (_, text) in enumerate(self.items):
+            if len(text) < max(self.shortest, 2 * Q):
+                self.short.setdefault(text, []).append(i)
+                continue
             last = max(0, len(text) - self.span)
             for a in sorted({*range(0, last + 1, self.span // 2), last}):
                 self.item.append(i)
                 self.at.append(a)
                 self.text.append(np.frombuffer(text[a : a + self.span], dtype=np.uint8))
+        self.automaton = None  # of the short items; made where it is used
+        if not self.text:
+            return
         length = np.array([len(t) for t in self.text])
         self.most = np.minimum((length * self.rate).astype(int), (length - Q) // Q)  # the bound stays at least 1
         self.bound = length - Q + 1 - Q * self.most
@@ -122,6 +136,8 @@ class Patterns:
         self.grams, first = np.unique(grams[order], return_index=True)
         self.first = np.append(first, len(order))
         self.of, self.place = of[order], place[order]
+        # Places by q-gram and then pattern: those of a range of patterns are found by bisection.
+        self.gram_of = np.repeat(np.arange(len(self.grams), dtype=np.int64), np.diff(self.first)) << 32 | self.of
         self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.table[slot(self.grams)] = True
         # A passage, with all its hits, lies in a window of the longest passage's length that begins with a hit.
@@ -150,25 +166,30 @@ class Patterns:
         hits, row = hits[real], row[real]
         found: list[tuple[int, int]] = []
         size = self.first[row + 1] - self.first[row]
-        # Places and patterns of each hit, in parts of bounded size. A part ends where no region can span it.
+        # Places and patterns of each hit, in parts that end where no region can span them; a part with more places than are counted
+        # at once, as of a q-gram that many patterns share, is taken by ranges of patterns.
         for part in self._parts(hits, size):
-            n = size[part]
-            index = np.repeat(self.first[row[part]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            of = self.of[index]
-            band = (np.repeat(hits[part], n) - self.place[index]) // self.step
-            both = np.concatenate([band, band - 1]) + 2**20  # a diagonal may be negative at the buffer's start
-            keys, counts = np.unique(np.concatenate([of, of]).astype(np.int64) << 40 | both, return_counts=True)
-            reached = counts >= self.bound[keys >> 40]
-            found += [(int(k >> 40), (int(k & (1 << 40) - 1) - 2**20) * self.step) for k in keys[reached]]
+            ranges = 1 + int(size[part].sum()) // COUNTED
+            for low, high in pairwise(np.linspace(0, len(self.text), min(ranges, len(self.text)) + 1).astype(np.int64).tolist()):
+                base = row[part].astype(np.int64) << 32
+                first = np.searchsorted(self.gram_of, base | low) if low else self.first[row[part]]
+                n = (np.searchsorted(self.gram_of, base | high) if high < len(self.text) else self.first[row[part] + 1]) - first
+                index = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                of = self.of[index]
+                band = (np.repeat(hits[part], n) - self.place[index]) // self.step
+                both = np.concatenate([band, band - 1]) + 2**20  # a diagonal may be negative at the buffer's start
+                keys, counts = np.unique(np.concatenate([of, of]).astype(np.int64) << 40 | both, return_counts=True)
+                reached = counts >= self.bound[keys >> 40]
+                found += [(int(k >> 40), (int(k & (1 << 40) - 1) - 2**20) * self.step) for k in keys[reached]]
         return found
 
     def _parts(self, hits: np.ndarray, size: np.ndarray) -> Iterator[slice]:
-        """Slices of the hits with some two million places each, cut at gaps longer than any region."""
+        """Slices of the hits with some COUNTED places each, cut at gaps longer than any region."""
         gaps = np.flatnonzero(np.diff(hits) > self.reach) + 1
         total = np.cumsum(size)
         start, done = 0, 0
         for g in gaps.tolist():
-            if total[g - 1] - done >= 2_000_000:
+            if total[g - 1] - done >= COUNTED:
                 yield slice(start, g)
                 start, done = g, int(total[g - 1])
         if start < len(hits):
@@ -176,6 +197,9 @@ class Patterns:
 
     def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(text, item, place in the item, start, end, edits) of every pattern found in texts, places in normalised bytes."""
+        yield from self._exact(texts)
+        if not self.text:
+            return
         raw = b"\n".join(texts)
         buffer = np.frombuffer(raw, dtype=np.uint8)
         begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
@@ -186,6 +210,22 @@ class Patterns:
                 start = end - len(self.text[p]) - int(begins[text])
                 yield text, self.item[p], self.at[p], max(0, start), end - int(begins[text]), edits
 
+    def _exact(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """``search`` for the short items: as they stand, between spaces or ends of the text."""
+        if not self.short:
+            return
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for word in self.short:
+                self.automaton.add_word(f" {word.decode('latin-1')} ", word)
+            self.automaton.make_automaton()
+        for text, raw in enumerate(texts):
+            for end, word in self.automaton.iter(f" {raw.decode('latin-1')} "):
+                for item in self.short[word]:
+                    yield text, item, 0, end - len(word) - 1, end - 1, 0
+
     def _aligned(self, raw: bytes, buffer: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, pattern, edits, end in the buffer) of every region, aligned in each text that it touches."""
         found = np.array(self.regions(buffer), dtype=np.int64).reshape(-1, 2)
@@ -231,8 +271,8 @@ def query_blocks(benchmark: DataFrame, item_col: str, text_col: str, span: int,
     for b in range(count):
         mine = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == b).collect()  # bounded: half of QUERY_BYTES on average
         rows = [(r["item"], normal(r["text"])) for r in sorted(mine, key=lambda r: (r["item"] is None, r["item"], r["text"]))]
-        if rows := [r for r in rows if len(r[1]) >= max(shortest, 2 * Q)]:
-            yield Patterns(rows, span, rate)
+        if rows := [r for r in rows if r[1]]:
+            yield Patterns(rows, span, rate, shortest)
 
 
 def contaminated(

@@ -49,7 +49,9 @@ def brute(docs, items, span, rate, shortest):
         text = normal(text)
         for name, item in items:
             item = normal(item)
-            if len(item) < max(shortest, 16):
+            if len(item) < max(shortest, 16):  # word for word
+                if item and b" " + item + b" " in b" " + text + b" ":
+                    found.add((doc, name))
                 continue
             last = max(0, len(item) - span)
             for a in sorted({*range(0, last + 1, span // 2), last}):
@@ -84,6 +86,37 @@ def test_every_match_within_the_budget(spark):
         assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_short_items_word_for_word(spark):
+    items = [(1, "Two words"), (2, "two"), (3, " words  and "), (4, ""), (5, None), (6, "é"), (7, "two words"), (8, "a benchmark item of more than forty bytes stands here")]
+    docs = [(1, "two words and more"), (2, "TWO\nwords"), (3, "twofold words andante"), (4, "and é"), (5, "éa"), (6, None), (7, "x two two words"), (8, f"so {items[7][1]} too")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items, 64, 0.1, 40)
+    assert {(r.doc_id, r.item_id) for r in contaminated(a, b).collect()} == want and (3, 2) not in want and (8, 8) in want and (1, 3) in want
+    found = {(r.doc_id, r.item_id): (r.start, r.end, r.edits, r.coverage) for r in contaminated(a, b).collect()}
+    assert found[1, 1] == (0, 9, 0, 1.0) and found[7, 7] == (6, 15, 0, 1.0)
+    assert {r.doc_id for r in clean(a, b).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert {(r.doc_id, r.item_id) for r in contaminated(a, b.filter("item_id < 8")).collect()} == {x for x in want if x[1] < 8}
+
+
+def test_common_grams_are_counted_in_ranges_of_patterns(spark, monkeypatch):
+    """Items that share a phrase, in a text that repeats it: the same regions, however few places are counted at once."""
+    rng = random.Random(17)
+    phrase = "the one phrase that all of them share"
+    items = [(i, f"{phrase} {rng.random()} {phrase}") for i in range(30)]
+    texts = [normal(f"{phrase} " * 40 + items[3][1] + f" {phrase}" * 20), normal(items[7][1]), normal(phrase)]
+    patterns = decontam.Patterns([(i, normal(t)) for i, t in items], 64, 0.1, 40)
+    whole = sorted(patterns.search(texts))
+    monkeypatch.setattr(decontam, "COUNTED", 100)
+    assert sorted(patterns.search(texts)) == whole and {w[1] for w in whole} >= {3, 7}
+
+
+def test_a_text_over_a_block(spark):
+    item = "a benchmark item of more than forty bytes stands here"
+    docs = [(1, "word " * 300_000 + item + " more" * 100_000), (2, item), (3, "word " * 10)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {(r.doc_id, r.start) for r in contaminated(a, b).collect()} == {(1, 1_500_000), (2, 0)}
+
+
 def test_small_table_in_query_blocks(spark, monkeypatch):
     docs, bench = small_docs(spark), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     whole = contaminated(docs, bench).collect()
