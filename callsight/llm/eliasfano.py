@@ -6,14 +6,15 @@ an Elias-Fano sequence: the low bits of each value packed side by side, the high
 bit position of every ``SAMPLE``-th value for select. For n values up to u that is n * (2 + log2(u / n)) bits, not 64 n.
 
 Defined cases: a null text is an empty text, and a document without ids still has the end id; a null doc_id sorts first
-and stays null; rows that repeat a doc_id keep their own ids, ordered by their text; an empty table gives an empty
-dataset; other columns of the input are ignored.
+and stays null; rows that repeat a doc_id keep their own ids, ordered by a hash of their text; a very long text is a
+segment of its own length; an empty table gives an empty dataset; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from callsight.llm.common import id_and_text
 
 #: Every so many values the bit position of one is kept.
 SAMPLE = 64
+#: Documents whose bounds are read together.
+BATCH = 1 << 12
 #: A segment is closed when its ids reach this size.
 SEGMENT_BYTES = 8 << 20
 SEGMENT_SCHEMA = (
@@ -80,6 +83,24 @@ class EliasFano:
         raw = self.low[first // 8 : (first + width + 7) // 8].tobytes()
         return int.from_bytes(raw, "little") >> first % 8 & ((1 << width) - 1)
 
+    def select_range(self, first: int, stop: int) -> np.ndarray:
+        """Values number ``first`` to ``stop`` - 1: only the bits from the sample before them to the one after them are looked at."""
+        if not 0 <= first <= stop <= self.n:
+            raise IndexError((first, stop))
+        if first == stop:
+            return np.zeros(0, dtype=np.int64)
+        sample, after = first // SAMPLE, -(-stop // SAMPLE)
+        begin = int(self.samples[sample])
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin // 8 : -(-end // 8)], bitorder="little")) + begin // 8 * 8
+        ones = ones[ones >= begin][first - sample * SAMPLE :][: stop - first]
+        out = (ones - np.arange(first, stop)).astype(np.int64) << self.low_bits
+        if self.low_bits:
+            a, b = first * self.low_bits, stop * self.low_bits
+            bits = np.unpackbits(self.low[a // 8 : -(-b // 8)], bitorder="little")[a % 8 :][: b - a].reshape(stop - first, self.low_bits)
+            out |= bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        return out
+
     def values(self) -> np.ndarray:
         """All values, decoded at once."""
         if not self.n:
@@ -156,14 +177,19 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 ends = EliasFano(r["docs"], r["low_bits"], r["low"], r["high"], r["samples"])
-                stops = ends.values()
-                starts = np.concatenate([[0], stops[:-1]])
-                flat = np.frombuffer(r["ids"], dtype=f"<u{r['id_bytes']}").astype("<u4").tobytes()
+                flat = np.frombuffer(r["ids"], dtype=f"<u{r['id_bytes']}")
                 width, steps = r["doc_ids"][:3].decode(), r["doc_ids"][3:]
                 keys = r["first_doc"] + np.cumsum(np.frombuffer(steps, dtype=width).astype(np.int64))
                 null = np.unpackbits(np.frombuffer(r["null_docs"], dtype=np.uint8), bitorder="little")[: r["docs"]].astype(bool)
-                crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist())]
-                columns = [pa.array(keys, pa.int64(), mask=null), pa.array(starts + r["base"], pa.int64()), pa.array(stops - starts, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in ROW_SCHEMA.split(", ")])
+                for first in range(0, r["docs"], BATCH):
+                    # A batch's bounds by select, the end of the document before it included.
+                    stop = min(first + BATCH, r["docs"])
+                    bounds = ends.select_range(max(0, first - 1), stop) if first else np.concatenate([[0], ends.select_range(0, stop)])
+                    begin = int(bounds[0])
+                    some = flat[begin : int(bounds[-1])].astype("<u4").tobytes()
+                    crc = [zlib.crc32(some[4 * a : 4 * b]) for a, b in pairwise((bounds - begin).tolist())]
+                    own = pa.array(keys[first:stop], pa.int64(), mask=null[first:stop])
+                    columns = [own, pa.array(bounds[:-1] + r["base"], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in ROW_SCHEMA.split(", ")])
 
     return placed.mapInArrow(documents, ROW_SCHEMA)

@@ -22,6 +22,8 @@ def test_round_trip_and_select(steps, scale):
     again = E.EliasFano(e.n, e.low_bits, e.low.tobytes(), e.high.tobytes(), e.samples.tobytes())
     assert again.values().tolist() == values.tolist()
     assert [again.select(i) for i in range(len(values))] == values.tolist()
+    for a, b in ((0, len(values)), (len(values) // 3, len(values)), (len(values) // 2, len(values) // 2), (len(values) // 5, len(values) // 2), (min(63, len(values)), min(130, len(values)))):
+        assert again.select_range(a, b).tolist() == values[a:b].tolist()
 
 
 def test_near_minimal_space():
@@ -49,6 +51,17 @@ def test_small_table(spark):
     assert multiset(written_and_read(spark, docs, partitions=3).collect()) == multiset(expected(docs))
 
 
+def test_bounds_in_batches(spark, monkeypatch):
+    docs = small_docs(spark)
+    monkeypatch.setattr(E, "BATCH", 7)
+    assert multiset(written_and_read(spark, docs, partitions=2).collect()) == multiset(expected(docs))
+
+
+def test_a_text_over_a_megabyte(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "word, " * 300_000), (3, "end")], "doc_id long, text string")
+    assert multiset(written_and_read(spark, docs, partitions=2).collect()) == multiset(expected(docs))
+
+
 def test_small_segments(spark, monkeypatch):
     docs = small_docs(spark).limit(40)
     monkeypatch.setattr(E, "SEGMENT_BYTES", 1 << 10)
