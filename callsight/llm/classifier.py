@@ -143,8 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).filter(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # At most ``sample`` rows of two numbers: bounded, whatever the size of the tables.
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)))
+    # At most ``sample`` rows of two numbers: bounded, whatever the size of the tables. Of rows that repeat an id one is learnt from.
+    found = id_and_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)))
 
     def fit(shard):
         shard = shard.sort_values(["doc_id", "text"])

@@ -53,3 +53,41 @@ def test_defined_cases(spark):
     empty = no_docs(spark)
     assert C.scores(empty, C.train(empty, labels)).count() == 0
     assert {r.score for r in C.scores(docs, C.train(docs, labels.limit(0))).collect()} == {0.5}
+
+
+def test_learning_against_a_plain_loop():
+    """FTRL-proximal one coordinate at a time, in plain Python."""
+    import math
+
+    rng = np.random.default_rng(4)
+    how = C.Ftrl(epochs=2)
+    rows = [(np.sort(rng.choice(32, rng.integers(1, 9), replace=False)).astype(np.int32), rng.random(1).astype(np.float32)) for _ in range(60)]
+    rows = [(numbers, np.resize(values, len(numbers)).astype(np.float32)) for numbers, values in rows]
+    labels = [int(x) for x in rng.integers(0, 2, 60)]
+    z, n = [0.0] * 32, [0.0] * 32
+
+    def weight(i):
+        if abs(z[i]) <= how.l1:
+            return 0.0
+        return -(z[i] - math.copysign(how.l1, z[i])) / ((how.beta + math.sqrt(n[i])) / how.alpha + how.l2)
+
+    for _ in range(how.epochs):
+        for (numbers, values), label in zip(rows, labels):
+            w = {int(i): weight(int(i)) for i in numbers}
+            p = 1 / (1 + math.exp(-sum(w[int(i)] * float(v) for i, v in zip(numbers, values))))
+            for i, v in zip(numbers.tolist(), values.tolist()):
+                g = (p - label) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / how.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    got = C.learn(rows, labels, how, bits=5)
+    assert np.allclose(got, [weight(i) for i in range(32)], rtol=1e-5, atol=1e-7)
+
+
+def test_rows_that_repeat_an_id_are_bounded(spark):
+    """Of thousands of rows of one id one is learnt from, and all are scored."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(3000)] + [(5, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int")
+    weights = C.train(docs, labels, bits=10)
+    one = C.train(docs.groupBy("doc_id").agg(F.min("text").alias("text")), labels, bits=10)
+    assert np.array_equal(weights, one) and C.scores(docs, weights).count() == 3001
