@@ -17,6 +17,8 @@ from array import array
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Characters whose letter, digit and lower-case rules are the same in Python and in the tokenizers, and that NFC keeps.
 PLAIN = re.compile("[\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
+#: A cut that is one run of letters, after at most one space: no rule parts it.
+LETTERS = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+")
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Remembered words and cuts per worker, some 100 MB; beyond it, new ones are computed each time.
 WORDS, CUTS = 150_000, 500_000
@@ -64,9 +66,13 @@ class _Words(dict):
         super().__init__()
         self.model, self.letters = model, byte_letters()
 
-    def __missing__(self, word: str) -> bytes:
+    def made(self, word: str) -> bytes:
+        """The ids of a word, computed and not remembered."""
         spelled = word.encode().decode("latin-1").translate(self.letters)
-        ids = id_bytes([t.id for t in self.model.tokenize(spelled)])
+        return id_bytes([t.id for t in self.model.tokenize(spelled)])
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.made(word)
         if len(self) < WORDS and len(word) <= LONGEST:
             self[word] = ids
         return ids
@@ -118,9 +124,12 @@ class Encoder:
         return id_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def cut_ids(self, cut: str) -> bytes:
+        if LETTERS.fullmatch(cut):
+            return self.words.made(cut.lower() if self.lower else cut)
         if not PLAIN.fullmatch(cut):
             return self.direct(cut)
-        return b"".join(map(self.words.__getitem__, self.rule.findall(cut.lower() if self.lower else cut)))
+        known, words = self.cuts.get, self.words
+        return b"".join([known(w) or words[w] for w in self.rule.findall(cut.lower() if self.lower else cut)])
 
     def ids(self, text: str | None) -> bytes:
         if not text:
