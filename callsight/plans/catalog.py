@@ -121,6 +121,12 @@ register(
 
 TCC = O.with_ctes(O.TURNS_SRC, O.CALLS, O.TURNS)
 
+register(
+    "parse_turns_original",
+    TCC + """SELECT t.call_id, t.agent, t.turn_idx, t.timestamp, t.speaker, t.message, t.sentiment_score, c.transcript AS original_transcript
+    FROM turns t JOIN calls c ON c.call_id = t.call_id""",
+)(lambda spark, sf: P.parse_turns(calls(spark, sf), keep_original=True))
+
 register(
     "detect_format",
     TCC + """SELECT call_id, agent,
@@ -856,6 +862,10 @@ def _uploads(spark: SparkSession, sf: str) -> str:
     return path
 
 
+register(
+    "upload_counts",
+    TC + "SELECT count(*) AS total_messages, count(DISTINCT call_id) AS total_calls, count(DISTINCT agent) AS total_agents FROM turns",
+)(lambda spark, sf: U.estimated_counts(spark, _uploads(spark, sf)))  # estimates: exact for as few as the comparison has
 register("upload_fingerprint", _FINGERPRINT_SQL)(lambda spark, sf: U.stored_fingerprint(spark, _uploads(spark, sf)))
 
 TS_OLD, TS_NEW = "2025-02-07 12:00:00", "2025-02-07 13:00:00"
@@ -1020,6 +1030,19 @@ register(
 )
 
 
+register(
+    "map_columns_extra",
+    # Columns that the mapping names besides the four come along as they are.
+    """SELECT cast(conv_id AS varchar) || '-' || cast(turn AS varchar) AS call_id, role AS agent, text AS transcript,
+      cast(turn AS double) AS sentiment_score, conv_id, role FROM conversations""",
+)(
+    lambda spark, sf: Y.map_columns(
+        X.read_table(spark, sf, "conversations").withColumn("key", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))),
+        "key", "role", "text", "turn", passthrough=("conv_id", "role"),
+    )
+)
+
+
 @register(
     "active_themes",
     _theme_sql("""cu AS (SELECT theme, min(agent || '#' || lpad(cast(theme_pos AS varchar), 3, '0')) AS k FROM theme_rows
