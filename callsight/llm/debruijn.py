@@ -10,19 +10,21 @@ covers it also starts in a document with a smaller doc_id.
    and places in other than the smallest document are repeats. The same holds for equal paths of a branching anchor.
 3. What is left of branching anchors is broken up again: a join with the documents brings the edges at those coordinates
    one by one, and they are matched in the same way.
-4. A join of the repeats with the documents removes their words. ``repeated_spans`` also joins repeats that continue each
-   other, in the document and in their source, to spans, and verifies them: the words at both coordinates are compared.
+4. Repeats that continue each other, in the document and in their source, are joined to spans (an anti join finds where spans
+   begin), and source coordinates verify them: the words at both coordinates are hashed where the texts are, and a join on the
+   coordinates keeps the spans whose words agree. A join of these with the documents removes their words.
 
 Rows go to the matching tasks as columns of numbers in binary values, one value for each block of texts and each of
 ``parts`` parts of the anchors' hashes. A block sends each of its paths once, for its smallest document; the other
 places are repeats already. An anchor with more than ``CROWD`` different paths in a block is branching for certain: one
 row says so, and the paths are settled as such. So no anchor, however frequent, sends more than a few rows a block.
 
-Paths count as equal when 112 bits agree (anchor and edges), single edges when 88 bits do (edge and anchor).
+Paths are taken as equal when 112 bits agree (anchor and edges), single edges when 88 bits do (edge and anchor); the words of
+what goes are then compared with those of its source by SHA-256.
 
 Defined cases: a null or empty text has no words and the hash of the empty string; fewer than k words: nothing goes; a
-null doc_id takes no part and loses nothing; rows that repeat a doc_id are windows of one document, each row with its
-own result; an empty table gives no rows; other columns are ignored.
+null doc_id takes no part and loses nothing; a very long text is one block; rows that repeat a doc_id are windows
+of one document, each row with its own result; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -248,8 +250,8 @@ class Graph:
         self.parts = parts or 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ids = rows.select("doc_id").filter("doc_id IS NOT NULL")
         # Rows of one doc_id are told apart by a hash of their text, where there are any.
-        again = not ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-        self.rows = rows.select("doc_id", (F.xxhash64("text") if again else F.lit(0).cast("long")).alias("variant"), "text")
+        self.again = not ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+        self.rows = rows.select("doc_id", (F.xxhash64("text") if self.again else F.lit(0).cast("long")).alias("variant"), "text")
         first = self._settled(self.rows.mapInArrow(self._path_blocks(), PACKED))
         self.first = landed(first, "debruijn-paths")
         self.texts = self.rows.mapInArrow(squeezed, "doc_id long, variant long, squeezed binary")
@@ -293,8 +295,9 @@ class Graph:
         return self.first.unionByName(single).filter(F.col("kind") == REPEAT)
 
     def kept(self) -> DataFrame:
-        """(doc_id, n_words, n_removed, kept): every row's words without those of repeats, joined by one space."""
+        """(doc_id, n_words, n_removed, kept): every row's words without those of verified repeats, joined by one space."""
         k = self.k
+        places = self.verified().select("doc_id", "variant", "start", (F.col("words") - (k - 1)).alias("edges"))
 
         def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -314,14 +317,15 @@ class Graph:
                     kept.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-        return self.with_places(self.repeats()).mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+        return self.with_places(places).mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
 
     def spans(self) -> DataFrame:
         """(doc_id, variant, start, words, source_doc, source_start): repeats that continue each other, joined.
 
         A repeat is joined with the one before it when that ends where it begins, in the document and in the source.
         """
-        rows = landed(self.repeats().select("doc_id", "variant", "start", "edges", "source_doc", "source_start"), "debruijn-repeats")
+        found = self.repeats().select("doc_id", "variant", "start", "edges", "source_doc", "source_start")
+        rows = landed(found.distinct() if self.again else found, "debruijn-repeats")  # equal rows have equal repeats
         ends = rows.select("doc_id", "variant", (F.col("start") + F.col("edges")).alias("start"), "source_doc", (F.col("source_start") + F.col("edges")).alias("source_start"))
         on = ["doc_id", "variant", "start", "source_doc", "source_start"]
         heads = rows.join(ends, on, "left_anti").select(*on)
@@ -333,6 +337,38 @@ class Graph:
         return joined.select("doc_id", "variant", "start", (F.col("edges") + self.k - 1).cast("int").alias("words"), "source_doc", "source_start")
 
 
+    def verified(self) -> DataFrame:
+        """The spans whose words are those at their source coordinates; the others, equal by chance in their hashes alone, are left out."""
+        spans = landed(self.spans(), "debruijn-spans")
+        here = spans.select("doc_id", "variant", "start", F.col("words").alias("edges"))
+        # A source's rows of one doc_id may differ; each is asked and one that agrees is enough.
+        there = spans.select(F.col("source_doc").alias("doc_id"), F.col("source_start").alias("start"), F.col("words").alias("edges")).distinct()
+        if self.again:
+            there = there.join(self.rows.select("doc_id", "variant").distinct(), "doc_id")
+        else:
+            there = there.withColumn("variant", F.lit(0).cast("long"))
+        asked = self.with_places(here.unionByName(there.select("doc_id", "variant", "start", "edges")).distinct()).filter("places IS NOT NULL")
+        seen = landed(asked.mapInArrow(digests, "doc_id long, variant long, start int, words int, digest binary"), "debruijn-digests")
+        sources = seen.select(F.col("doc_id").alias("source_doc"), F.col("start").alias("source_start"), "words", F.col("digest").alias("source_digest")).distinct()
+        checked = spans.join(seen, ["doc_id", "variant", "start", "words"]).join(sources, ["source_doc", "source_start", "words"])
+        return checked.filter("digest = source_digest").select("doc_id", "variant", "start", "words", "source_doc", "source_start").distinct()
+
+
+def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the words, joined by one space, at each place asked for."""
+    for batch in batches:
+        places, out = Places.of(batch.column(3)), []
+        for i, (doc, variant, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))):
+            own = places.between(i, i + 1)
+            words = plain(text.as_py()).split()
+            for a, n in zip(own.starts.tolist(), own.edges.tolist()):
+                if a + n <= len(words):
+                    out.append((doc, variant, a, n, hashlib.sha256(b" ".join(words[a : a + n])).digest()))
+        if out:
+            names, kinds = ["doc_id", "variant", "start", "words", "digest"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+
 def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one: half of what a shuffle's own compression leaves."""
     import zstandard
@@ -355,30 +391,5 @@ def dedup_substrings(docs: DataFrame, k: int = 13, m: int = 5, parts: int | None
 
 
 def repeated_spans(docs: DataFrame, k: int = 13, m: int = 5, parts: int | None = None) -> DataFrame:
-    """The spans that go, each with a copy in a smaller document; a span whose words differ from its source's is left out.
-
-    Words of both coordinates are hashed where the texts are and compared in a join on the coordinates.
-    """
-    graph = Graph(docs, k, m, parts)
-    spans = landed(graph.spans(), "debruijn-spans")
-    here = spans.select("doc_id", "variant", "start", F.col("words").alias("edges"))
-    # A source's rows of one doc_id may differ; each is asked and one that agrees is enough.
-    there = spans.select(F.col("source_doc").alias("doc_id"), F.col("source_start").alias("start"), F.col("words").alias("edges")).distinct()
-    there = there.join(graph.rows.select("doc_id", "variant").distinct(), "doc_id").select("doc_id", "variant", "start", "edges")
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, variant, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                words = plain(text.as_py()).split() if places else []
-                for a, n in {(x["start"], x["edges"]) for x in places or ()}:
-                    if a + n <= len(words):
-                        out.append((doc, variant, a, n, hashlib.sha256(b" ".join(words[a : a + n])).hexdigest()))
-            names, kinds = ["doc_id", "variant", "start", "words", "digest"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
-
-    asked = graph.with_places(here.unionByName(there).distinct())
-    seen = asked.mapInArrow(digests, "doc_id long, variant long, start int, words int, digest string")
-    sources = seen.select(F.col("doc_id").alias("source_doc"), F.col("start").alias("source_start"), "words", F.col("digest").alias("source_digest")).distinct()
-    checked = spans.join(seen, ["doc_id", "variant", "start", "words"]).join(sources, ["source_doc", "source_start", "words"])
-    return checked.filter("digest = source_digest").select("doc_id", "variant", "start", "words", "source_doc", "source_start").distinct()
+    """The spans that go, each with a copy in a smaller document: (doc_id, variant, start, words, source_doc, source_start)."""
+    return Graph(docs, k, m, parts).verified()

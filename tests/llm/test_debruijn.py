@@ -99,3 +99,22 @@ def test_defined_cases(spark):
     docs = odd_docs(spark)
     assert multiset(dedup_substrings(docs).collect()) == multiset(removed(rows_of(docs)))
     assert dedup_substrings(no_docs(spark)).count() == 0
+
+
+def test_equal_hashes_of_other_words_remove_nothing(spark, monkeypatch):
+    """Where places count as equal whose words differ, the words at both coordinates decide."""
+    rows = [(1, " ".join(f"a{i}" for i in range(30))), (2, " ".join(f"b{i}" for i in range(30))), (3, " ".join(f"a{i}" for i in range(30)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    graph = debruijn.Graph(docs, 13, 5)
+    fake = spark.createDataFrame([(2, 0, 0, 18, 1, 0, 1), (3, 0, 0, 18, 1, 0, 1)], debruijn.PLACES)
+    monkeypatch.setattr(graph, "repeats", lambda: fake)
+    assert multiset(graph.kept().collect()) == multiset(removed(rows))
+
+
+def test_a_text_over_a_block(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(f"w{i % 70_000}" for i in range(250_000))
+    rows = [(1, f"own {passage}"), (2, f"{long} {passage} end"), (3, " ".join(long.split()[100_000:100_080])), (4, None)]
+    assert len(rows[1][1]) > 1 << 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert multiset(dedup_substrings(docs).collect()) == multiset(removed(rows))
