@@ -10,7 +10,8 @@ text leaves 2 modulo 4 are never learnt from. Scoring covers every row in one pa
 
 Defined cases: a null or empty text has the two constant features alone and is scored by them; a null doc_id is scored
 and not held out; a null label is not learnt from, and of several labels of a document the smallest counts; repeated rows
-are scored each; without any labelled row every score is 0.5; empty tables give no rows; other columns are no inputs.
+are scored each; without any labelled row every score is 0.5; a very long text is scored alone, whole; empty tables give no rows;
+other columns are no inputs. Of rows that repeat a labelled doc_id the one with the smallest text is learnt from.
 """
 
 from __future__ import annotations

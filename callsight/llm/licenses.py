@@ -18,7 +18,7 @@ are one block, named by the line on which the best one begins. The templates are
 code; the table itself is never shuffled. Only the counts of the templates' words, one row a word, come to the driver.
 
 Defined cases: a null or empty text has no words and no labels; a null doc_id stays null; repeated rows give repeated
-rows; an empty table gives none; other columns are ignored.
+rows; a very long text is scanned alone, whole; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations

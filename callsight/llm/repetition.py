@@ -7,7 +7,7 @@ occurrence is not counted. The limits are the usual ones for web text: 15 % for
 the characters and 30 % of the lines for repeated lines.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null doc_id stays null; repeated rows give
-repeated rows; an empty table gives none; other columns are ignored.
+repeated rows; a very long text is judged alone, whole; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ files in the manifest, a table written when a step has ended, count; what a lost
 
 Defined cases: a null html is an empty payload, as is an empty one; a null url is written as an empty target; a null
 page_id is written and read back as null, is never referred to, and its copies refer to the largest id that is not null;
-rows equal in page_id and payload are written each and have the same type; an empty table gives no files and no rows;
+rows equal in page_id and payload are written each and have the same type; a very long html is one record; an empty table gives no files and no rows;
 other columns are ignored.
 """
 

@@ -91,3 +91,10 @@ def test_rows_that_repeat_an_id_are_bounded(spark):
     weights = C.train(docs, labels, bits=10)
     one = C.train(docs.groupBy("doc_id").agg(F.min("text").alias("text")), labels, bits=10)
     assert np.array_equal(weights, one) and C.scores(docs, weights).count() == 3001
+
+
+def test_a_text_over_a_block():
+    long = ("word " * 250_000).encode()
+    weights = np.random.default_rng(2).normal(size=1 << 12)
+    assert len(long) > 1 << 20
+    assert np.allclose(C.score([b"one", long, b"two words"], weights), [C.score([t], weights)[0] for t in (b"one", long, b"two words")])

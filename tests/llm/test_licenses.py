@@ -113,3 +113,16 @@ def test_every_window_that_holds_enough(spark):
         for i, text in enumerate(texts):
             labels, score = windowed(text, threshold)
             assert (",".join(sorted({b.label for b in found[i].blocks})), found[i].score) == (labels, score), (threshold, text)
+
+
+def test_a_text_over_a_block_and_odd_rows_in_windows(spark):
+    notice = "Released under\nthe MIT License"
+    long = "plain words of a line\n" * 60_000 + notice + "\nend" * 1000
+    assert len(long) > 1 << 20
+    docs = spark.createDataFrame([(1, "before"), (2, long), (3, notice)], "doc_id long, text string")
+    found = {r.doc_id: r for r in license_scan(docs, wrapped=True).collect()}
+    assert {i: r.labels for i, r in found.items()} == {1: "", 2: "mit", 3: "mit"} and found[2].n_words == len(plain(long))
+    odd = odd_docs(spark)
+    rows = license_scan(odd, wrapped=True).collect()
+    assert multiset((r.doc_id, r.n_words) for r in rows) == multiset((i, len(plain(t))) for i, t in rows_of(odd))
+    assert license_scan(no_docs(spark), wrapped=True).count() == 0

@@ -60,3 +60,10 @@ def test_defined_cases(spark):
 def test_shorter_windows_are_refused(spark):
     with pytest.raises(ValueError):
         repetition_rules(no_docs(spark), {3: 0.1})
+
+
+def test_a_text_over_a_block(spark):
+    long = "one two three four five six seven eight nine ten eleven\n" * 3 + "\n".join(f"w{i} and x{i % 977} some# more" for i in range(60_000))
+    assert len(long) > 1 << 20
+    docs = spark.createDataFrame([(1, "a short text before it"), (2, long), (3, "and one after")], "doc_id long, text string")
+    assert got(docs) == multiset(expected(rows_of(docs)))
