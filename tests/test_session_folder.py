@@ -33,3 +33,19 @@ def test_a_cluster_must_name_a_shared_folder(master):
 @pytest.mark.parametrize("master", ["local", "local[4]", "local[*]"])
 def test_a_local_session_has_its_own(master):
     assert session.ensure_checkpoint_dir(_Session(master))
+
+
+def test_queries_run_again_after_scratch_is_removed_and_see_changed_tables(spark, tmp_path):
+    from callsight.plans import catalog
+    from callsight.session import remove_scratch
+
+    def table(n):
+        spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").filter(f"conv_id < {n}").write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
+
+    count = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).count()
+    table(6)
+    few = {name: count(name) for name in ("register_turns", "call_digest_wide")}
+    remove_scratch(spark)
+    assert {name: count(name) for name in few} == few
+    table(9)
+    assert all(count(name) > few[name] > 0 for name in few)
