@@ -206,8 +206,9 @@ def parse_insights(responses: DataFrame, carry: tuple[str, ...] = ("agent",)) ->
 
     The content must be one JSON object and nothing else. ``carry`` names the columns that come along.
     """
-    # Staged columns: the JSON is parsed once and its top level read once; status is then a column.
-    parsed = response_content(responses, carry).withColumn("_value", single_value(F.col("content")))
+    # Staged columns: the JSON is parsed once and its top level read once; status is then a column. The value comes out of
+    # a generator, below which no later filter on it can be pushed (that would repeat the parse for each mention).
+    parsed = response_content(responses, carry).select("*", F.explode(F.array(single_value(F.col("content")))).alias("_value"))
     fields = parsed.withColumn("_fields", F.size(_get(F.col("_value"), "$", "map<string,variant>")))
     value, size = F.col("_value"), F.col("_fields")
     status = (
@@ -264,7 +265,8 @@ def validated_strengths(responses: DataFrame) -> DataFrame:
 
 def flatten_insights(insights: DataFrame) -> DataFrame:
     """Nested insights → flat theme rows with ``theme_pos`` (0-based list position)."""
-    return insights.select("agent", F.posexplode("coaching_themes").alias("theme_pos", "t")).select(
+    # The outer form, filtered afterwards: for the plain one Spark adds a test of the list's size that evaluates the list again.
+    return insights.select("agent", F.posexplode_outer("coaching_themes").alias("theme_pos", "t")).where("theme_pos IS NOT NULL").select(
         "agent",
         F.col("theme_pos").cast("int").alias("theme_pos"),
         "t.theme",
